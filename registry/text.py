@@ -180,7 +180,7 @@ def _tags_sql(source, key, dictionary):
               FROM (SELECT DISTINCT t FROM texts), dict),
     spots AS (SELECT t, "column", value, tw, vw, list_filter(list_transform(range(1, len(cut)),
                 lambda i: CASE WHEN NOT regexp_matches(cut[i], '[\\p{{L}}\\p{{N}}_]$') AND NOT regexp_matches(cut[i + 1], '^[\\p{{L}}\\p{{N}}_]')
-                               THEN array_to_string(cut[1:i], value) END), lambda x: x IS NOT NULL) AS starts FROM pairs),
+                               THEN substr(t, 1, CAST(list_sum(list_transform(cut[1:i], lambda c: length(c))) AS BIGINT) + (i - 1) * length(value)) END), lambda x: x IS NOT NULL) AS starts FROM pairs),
     marked AS (SELECT t, "column", value, len(starts) > 0 AS whole, list_has_any(tw, vw) AS loose,
                 len(list_filter(starts, lambda x: regexp_matches(x, '{before}'))) > 0 AS neg FROM spots),
     hits AS (SELECT t, "column", value, neg, 'whole' AS matched FROM marked WHERE whole

@@ -1,0 +1,8 @@
+"""Streams.
+
+There is no streaming operator here on purpose: the work is on finished tables.
+Operators that look at one row at a time (column edits, filters without a
+whole-column fallback, text labels, numbers, comparisons, steps, synonyms) are
+plain column expressions and accept a streaming DataFrame as it is; see
+``tests/test_streaming.py``.
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["tables_and_columns", "filters", "aggregates", "sqlbox", "quality", "text"]
+_MODULES = ["tables_and_columns", "filters", "aggregates", "sqlbox", "quality", "text", "learning"]
 
 
 def all_queries():

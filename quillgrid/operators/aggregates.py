@@ -153,37 +153,43 @@ def fast_group_agg(df: DataFrame, key: str, column: str, func: str = "avg") -> D
     return grouped.orderBy(F.col(f"`{alias}`").desc_nulls_last())
 
 
-def _pair_r(x: Column, y: Column) -> Column:
-    """Pearson r over rows where both are present; null for a constant column.
+def correlations(df: DataFrame, columns: list[str] | None = None, digits: int | None = 3) -> DataFrame:
+    """Pearson matrix as rows ``(col_a, col_b, r)`` over rows where both are present.
 
-    ``corr`` raises a division error on constants under ANSI rules, hence the
-    explicit quotient.
+    Null for a constant column. ``corr`` raises a division error on constants
+    under ANSI rules, hence the explicit quotient. Each row gives one short
+    record per pair of columns, combined before the shuffle to one per pair and
+    task; a single wide aggregate would be too large to compile.
     """
-    sx = F.stddev_pop(F.when(y.isNotNull(), x))
-    sy = F.stddev_pop(F.when(x.isNotNull(), y))
-    return F.try_divide(F.covar_pop(x, y), sx * sy)
-
-
-def correlations(df: DataFrame, columns: list[str] | None = None, digits: int | None = 3) -> DataFrame:
-    """Pearson matrix as rows ``(col_a, col_b, r)``, all pairs in one aggregate."""
     columns = columns or numeric_columns(df)
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-
-    def number(i: int) -> Column:
-        return as_number(df, columns[i]).cast("double")
-
-    one_row = df.agg(*[_pair_r(number(i), number(j)).alias(f"r_{i}_{j}") for i, j in pairs])
-
-    def shown(i: int, j: int) -> Column:
-        r = F.col(f"r_{min(i, j)}_{max(i, j)}")
-        return r if digits is None else F.bround(r, digits)
-
-    cells = [
-        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), shown(i, j).alias("r"))
-        for i, a in enumerate(columns)
-        for j, b in enumerate(columns)
-    ]
-    return one_row.select(F.explode(F.array(*cells)).alias("_c")).select("_c.*")
+    pairs = F.array(
+        *[
+            F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"_v{i}").alias("x"), F.col(f"_v{j}").alias("y"))
+            for i in range(len(columns))
+            for j in range(i, len(columns))
+        ]
+    )
+    values = df.select(*[as_number(df, c).cast("double").alias(f"_v{i}") for i, c in enumerate(columns)])
+    found = (
+        values.select(F.explode(pairs).alias("_p"))
+        .select("_p.*")
+        .groupBy("i", "j")
+        # both sides only where the other is present
+        .agg(
+            F.try_divide(
+                F.covar_pop("x", "y"),
+                F.stddev_pop(F.when(F.col("y").isNotNull(), F.col("x")))
+                * F.stddev_pop(F.when(F.col("x").isNotNull(), F.col("y"))),
+            ).alias("r")
+        )
+    )
+    names = F.array(*[F.lit(c) for c in columns])
+    shown = F.col("r") if digits is None else F.bround("r", digits)
+    a, b = F.get(names, F.col("i")), F.get(names, F.col("j"))
+    both = F.when(
+        F.col("i") == F.col("j"), F.array(F.struct(a.alias("col_a"), b.alias("col_b")))
+    ).otherwise(F.array(F.struct(a.alias("col_a"), b.alias("col_b")), F.struct(b.alias("col_a"), a.alias("col_b"))))
+    return found.select(F.explode(both).alias("_c"), shown.alias("r")).select("_c.*", "r")
 
 
 def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -35,49 +35,78 @@ _MOST_PATTERNS = 256
 
 
 class _Partition:
-    """A k-d partition of one space, built from sample points."""
+    """A k-d partition of one space, built from sample points.
+
+    Node boxes are closed below and open above; leaves are numbered as parts.
+    """
 
     def __init__(self, points: np.ndarray, parts: int, k: int) -> None:
         self.points, self.k = points, k
-        self.low, self.high, self.members = [], [], []
+        self.members: list[np.ndarray] = []
+        nodes: list[list] = []
         size = points.shape[1]
-        self._split(np.arange(len(points)), parts, np.full(size, -np.inf), np.full(size, np.inf))
-        self.low, self.high = np.array(self.low), np.array(self.high)
-
-    def _split(self, rows: np.ndarray, parts: int, low: np.ndarray, high: np.ndarray) -> None:
+        self._split(nodes, np.arange(len(points)), parts, np.full(size, -np.inf), np.full(size, np.inf))
+        low, high, axis, cut, left, right, part = zip(*nodes)
+        self.low, self.high = np.array(low), np.array(high)
+        self.axis, self.cut = np.array(axis), np.array(cut)
+        self.left, self.right, self.part = np.array(left), np.array(right), np.array(part)
+
+    def _split(self, nodes: list, rows: np.ndarray, parts: int, low: np.ndarray, high: np.ndarray) -> int:
+        number = len(nodes)
+        nodes.append([low, high, 0, 0.0, -1, -1, -1])
         if parts > 1 and len(rows) >= 2 * max(self.k, 2):
             axis = int(np.argmax(np.ptp(self.points[rows], axis=0)))
             values = self.points[rows, axis]
             cut = float(np.median(values))
-            left = values < cut
-            if left.any() and not left.all():
+            if cut == values.min() < values.max():
+                cut = float(values[values > cut].min())
+            below = values < cut
+            if below.any():
                 up, down = high.copy(), low.copy()
                 up[axis], down[axis] = cut, cut
-                self._split(rows[left], parts // 2, low, up)
-                self._split(rows[~left], parts - parts // 2, down, high)
-                return
-        self.low.append(low)
-        self.high.append(high)
+                left = self._split(nodes, rows[below], parts // 2, low, up)
+                right = self._split(nodes, rows[~below], parts - parts // 2, down, high)
+                nodes[number][2:6] = [axis, cut, left, right]
+                return number
+        nodes[number][6] = len(self.members)
         self.members.append(rows)
+        return number
 
     def home(self, points: np.ndarray) -> np.ndarray:
-        """Part of each point: boxes are closed below and open above."""
-        out = np.zeros(len(points), dtype=np.int64)
-        for part in range(len(self.low)):
-            out[np.all((points >= self.low[part]) & (points < self.high[part]), axis=1)] = part
-        return out
-
-    def touched(self, points: np.ndarray) -> list[np.ndarray]:
-        """Parts that may hold one of the k nearest donors of each point."""
+        """Part of each point, one tree level at a time."""
+        at = np.zeros(len(points), dtype=np.int64)
+        while True:
+            inner = np.flatnonzero(self.left[at] >= 0)
+            if not len(inner):
+                return self.part[at]
+            node = at[inner]
+            below = points[inner, self.axis[node]] < self.cut[node]
+            at[inner] = np.where(below, self.left[node], self.right[node])
+
+    def touched(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (point, part): the parts that may hold one of its k nearest donors."""
+        bound = np.full(len(points), np.inf)
         homes = self.home(points)
-        out = []
-        for point, part in zip(points, homes):
-            near = np.sort(((self.points[self.members[part]] - point) ** 2).sum(axis=1))
-            bound = near[self.k - 1] if len(near) >= self.k else np.inf
-            away = np.maximum(np.maximum(self.low - point, point - self.high), 0.0)
-            # a little slack for rounding in the two distance computations
-            out.append(np.flatnonzero((away**2).sum(axis=1) <= bound * (1 + 1e-9)))
-        return out
+        for part in np.unique(homes):
+            mine = np.flatnonzero(homes == part)
+            sample = self.points[self.members[part]]
+            if len(sample) >= self.k:
+                squared = ((points[mine, None, :] - sample[None, :, :]) ** 2).sum(axis=2)
+                bound[mine] = np.partition(squared, self.k - 1, axis=1)[:, self.k - 1]
+        bound *= 1 + 1e-9  # slack for rounding in the two distance computations
+        who, at = np.arange(len(points)), np.zeros(len(points), dtype=np.int64)
+        found_who, found_part = [], []
+        while len(who):
+            here = points[who]
+            away = np.maximum(np.maximum(self.low[at] - here, here - self.high[at]), 0.0)
+            near = (away**2).sum(axis=1) <= bound[who]
+            who, at = who[near], at[near]
+            leaf = self.left[at] < 0
+            found_who.append(who[leaf])
+            found_part.append(self.part[at[leaf]])
+            who, at = who[~leaf], at[~leaf]
+            who, at = np.concatenate([who, who]), np.concatenate([self.left[at], self.right[at]])
+        return np.concatenate(found_who), np.concatenate(found_part)
 
 
 def fill_from_neighbours(df: DataFrame, cols: list[str], gaps: list[str], k: int, rid: str) -> DataFrame:
@@ -101,8 +130,11 @@ def fill_from_neighbours(df: DataFrame, cols: list[str], gaps: list[str], k: int
                 spaces += [(j, donor, s) for s in sorted(shared)]
     if not spaces:
         return df.fillna({c: means[c] for c in gaps if means[c] is not None})
-    donors = _donors(rows, cols, spaces, k)
-    partitions = _partitions(donors, spaces, sizes, k)
+    each = _donor_points(rows, cols, spaces)
+    partitions = _partitions(each, cols, spaces, sizes, k)
+    # Of equal points the k smallest row ids are enough.
+    copies = Window.partitionBy("_space", "_point").orderBy("_donor")
+    donors = each.withColumn("_r", F.row_number().over(copies)).where(F.col("_r") <= k).drop("_r")
     neighbours = _search(donors, _receivers(rows, cols, spaces), spaces, partitions, p, k)
 
     # Fill: one row per (target, receiver point), found again by its coordinates.
@@ -137,8 +169,8 @@ def _point_key(cols: list[str], shared: int):
     )
 
 
-def _donors(rows: DataFrame, cols: list[str], spaces: list[tuple[int, int, int]], k: int) -> DataFrame:
-    """``_space, _point, _donor, _value``: of equal points the k smallest row ids."""
+def _donor_points(rows: DataFrame, cols: list[str], spaces: list[tuple[int, int, int]]) -> DataFrame:
+    """``_space, _point, _donor, _value``: every row in every space it can give to."""
     entries = []
     for number, (j, donor, shared) in enumerate(spaces):
         entry = F.struct(
@@ -148,9 +180,7 @@ def _donors(rows: DataFrame, cols: list[str], spaces: list[tuple[int, int, int]]
             F.col(f"`{cols[j]}`").alias("_value"),
         )
         entries.append(F.when(F.col("_mask") == donor, entry))
-    each = rows.select(F.explode(F.array_compact(F.array(*entries))).alias("_e")).select("_e.*")
-    copies = Window.partitionBy("_space", "_point").orderBy("_donor")
-    return each.withColumn("_r", F.row_number().over(copies)).where(F.col("_r") <= k).drop("_r")
+    return rows.select(F.explode(F.array_compact(F.array(*entries))).alias("_e")).select("_e.*")
 
 
 def _receivers(rows: DataFrame, cols: list[str], spaces: list[tuple[int, int, int]]) -> DataFrame:
@@ -171,22 +201,23 @@ def _receivers(rows: DataFrame, cols: list[str], spaces: list[tuple[int, int, in
 
 
 def _partitions(
-    donors: DataFrame, spaces: list[tuple[int, int, int]], sizes: dict[int, int], k: int
-) -> dict[int, _Partition]:
-    """The k-d partition of every space, from at most ``_SAMPLE_ROWS`` points in all."""
+    each: DataFrame, cols: list[str], spaces: list[tuple[int, int, int]], sizes: dict[int, int], k: int
+) -> list[_Partition]:
+    """The k-d partition of every space, from about ``_SAMPLE_ROWS`` points in all.
+
+    The sample only steers the search; a space without sample points is one part.
+    """
     share = _SAMPLE_ROWS // len(spaces)
-    rate = F.element_at(
-        F.array(*[F.lit(min(1.0, share / max(sizes[donor], 1))) for _, donor, _ in spaces]), F.col("_space") + 1
-    )
-    draw = F.pmod(F.xxhash64("_donor", "_space"), F.lit(1_000_003)) / 1_000_003.0
-    sample = donors.where(draw < rate).select("_space", "_point").limit(2 * _SAMPLE_ROWS).toPandas()
-    out = {}
-    for number, (_, donor, shared) in enumerate(spaces):
-        points = sample.loc[sample["_space"] == number, "_point"]
-        block = np.array(points.tolist(), dtype=np.float64).reshape(len(points), -1)
-        wanted = min(-(-sizes[donor] // _PART_ROWS), max(len(points) // _SAMPLE_PER_PART, 1))
-        if len(points):
-            out[number] = _Partition(block, int(wanted), k)
+    rates = [F.lit(min(1.0, share / max(sizes[donor], 1))) for _, donor, _ in spaces]
+    draw = F.pmod(F.xxhash64("_donor", "_space"), F.lit(1 << 40)) / float(1 << 40)
+    drawn = each.where(draw < F.element_at(F.array(*rates), F.col("_space") + 1))
+    sample = drawn.select("_space", "_point").limit(2 * _SAMPLE_ROWS).toPandas()
+    out = []
+    for number, (_, donor, _) in enumerate(spaces):
+        points = sample.loc[sample["_space"] == number, "_point"].tolist()
+        block = np.unique(np.array(points, dtype=np.float64).reshape(len(points), len(cols)), axis=0)
+        parts = min(-(-sizes[donor] // _PART_ROWS), max(len(block) // _SAMPLE_PER_PART, 1))
+        out.append(_Partition(block, int(parts), k))
     return out
 
 
@@ -194,7 +225,7 @@ def _search(
     donors: DataFrame,
     receivers: DataFrame,
     spaces: list[tuple[int, int, int]],
-    partitions: dict[int, _Partition],
+    partitions: list[_Partition],
     p: int,
     k: int,
 ) -> DataFrame:
@@ -204,21 +235,18 @@ def _search(
         for batch in batches:
             part = np.zeros(len(batch), dtype=np.int64)
             for space, rows in batch.groupby("_space").indices.items():
-                if space in partitions:
-                    part[rows] = partitions[space].home(np.stack(batch["_point"].to_numpy()[rows]))
+                part[rows] = partitions[space].home(np.stack(batch["_point"].to_numpy()[rows]))
             yield batch.assign(_part=part)
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = np.empty(len(batch), dtype=object)
+            which, parts = [], []
             for space, rows in batch.groupby("_space").indices.items():
-                if space in partitions:
-                    found = partitions[space].touched(np.stack(batch["_at"].to_numpy()[rows]))
-                else:
-                    found = [np.zeros(1, dtype=np.int64)] * len(rows)
-                for row, one in zip(rows, found):
-                    parts[row] = one
-            yield batch.assign(_part=parts).explode("_part").astype({"_part": "int64"})
+                who, part = partitions[space].touched(np.stack(batch["_at"].to_numpy()[rows]))
+                which.append(rows[who])
+                parts.append(part)
+            if which:
+                yield batch.iloc[np.concatenate(which)].assign(_part=np.concatenate(parts).astype(np.int64))
 
     placed = materialize(
         donors.mapInPandas(place, "_space int, _point array<double>, _donor long, _value double, _part long"), "donors"

@@ -195,21 +195,20 @@ def extract_comparisons(df: DataFrame, text_col: str, keep: list[str]) -> DataFr
     value is no number has a null number.
     """
     text = F.regexp_replace(F.lower(F.col(f"`{text_col}`")), r"[_\-]+", " ")
-    groups = [F.regexp_extract_all(text, F.lit(COMPARISON), i) for i in (1, 2, 3)]
-    hits = df.select(
-        *keep, F.posexplode(F.arrays_zip(*[g.alias(n) for g, n in zip(groups, ("o", "v", "s"))])).alias("_p", "_h")
-    )
+    # One pass over the text; the short hits are then taken apart.
+    hits = df.select(*keep, F.posexplode(F.regexp_extract_all(text, F.lit(f"({COMPARISON})"), 1)).alias("_p", "_h"))
+    hits = hits.select(*keep, "_p", *[F.regexp_extract("_h", COMPARISON, i).alias(n) for i, n in ((1, "_o"), (2, "_v"), (3, "_s"))])
     operators = F.create_map(*[F.lit(x) for item in COMPARISONS.items() for x in item])
     scales = F.create_map(*[F.lit(x) for item in SCALES.items() for x in item])
-    value = F.col("_h.v")
+    value = F.col("_v")
     digits = F.regexp_replace(value, ",", "").try_cast("double")
     spelled = phrase_value(F.split(value, "[ -]+"))
     number = F.when(value.rlike(r"^-?\d"), digits).otherwise(spelled)
-    factor = F.coalesce(F.try_element_at(scales, F.lower(F.col("_h.s"))), F.lit(1.0))
+    factor = F.coalesce(F.try_element_at(scales, F.lower("_s")), F.lit(1.0))
     return hits.select(
         *keep,
         (F.col("_p") + 1).alias("position"),
-        operators[F.col("_h.o")].alias("operator"),
+        operators[F.col("_o")].alias("operator"),
         (number * factor).alias("number"),
     )
 
@@ -218,8 +217,10 @@ def extract_comparisons(df: DataFrame, text_col: str, keep: list[str]) -> DataFr
 
 # The words between steps, what a step may not end with, and the
 # shortest step.
-STEP_SEPARATOR = r"(?iU)\b(?:then|and then|after that|and next|followed by|afterwards|also)\b|;"
-DANGLING = r"(?iU)(?:\s+\b(?:and|then)\b)+\s*$"
+STEP_SEPARATOR = (
+    r"(?i)(?<![\p{L}\p{N}_])(?:then|and then|after that|and next|followed by|afterwards|also)(?![\p{L}\p{N}_])|;"
+)
+DANGLING = r"(?i)(?:\s+(?:and|then)(?![\p{L}\p{N}_]))+\s*$"
 STEP_EDGES = " \t\r\n,;."
 SHORTEST_STEP = 3
 
@@ -242,16 +243,13 @@ def split_steps(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
 
 
 def _phrases(words: Column, longest: int) -> Column:
-    """All runs of 1..longest neighbouring words."""
-    count = F.size(words)
-    runs = F.transform(
-        F.sequence(F.lit(1), F.greatest(count, F.lit(1))),
-        lambda i: F.transform(
-            F.sequence(F.lit(1), F.greatest(F.least(F.lit(longest), count - i + 1), F.lit(1))),
-            lambda n: F.array_join(F.slice(words, i, n), " "),
-        ),
-    )
-    return F.array_distinct(F.flatten(runs))
+    """All runs of 1..longest neighbouring words, each once."""
+    runs = [words]
+    for n in range(2, longest + 1):
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
+        found = F.transform(starts, lambda i, n=n: F.array_join(F.slice(words, i, n), " "))
+        runs.append(F.when(F.size(words) >= n, found).otherwise(F.array().cast("array<string>")))
+    return F.array_distinct(F.concat(*runs))
 
 
 def tag_dictionary_values(df: DataFrame, text_col: str, rid: str, dictionary: DataFrame) -> DataFrame:
@@ -272,23 +270,33 @@ def tag_dictionary_values(df: DataFrame, text_col: str, rid: str, dictionary: Da
     pairs = dictionary.where(F.col("value").isNotNull()).select("column", value.alias("value")).distinct()
     pairs = pairs.where(F.length("value") > 0).withColumn("_words", words_of(F.col("value")))
     pairs = materialize(
-        pairs.withColumn("_phrase", F.array_join("_words", " ")).where(F.size("_words") > 0), "dictionary"
+        pairs.withColumns({"_phrase": F.array_join("_words", " "), "_edged": _edges(F.col("value"))}).where(
+            F.size("_words") > 0
+        ),
+        "dictionary",
     )
     longest = pairs.agg(F.max(F.size("_words"))).first()[0] or 1
     text = F.regexp_replace(F.lower(F.col(f"`{text_col}`")), r"[_\-]+", " ")
     texts = df.select(F.col(f"`{rid}`").alias("_id"), text.alias("_text")).where(F.col("_text").isNotNull())
+    # The text with marked word edges, and what follows a negation word in each line.
+    marked = texts.select(
+        "_id",
+        _edges(F.col("_text")).alias("_marked"),
+        F.transform(F.regexp_extract_all("_text", F.lit(_AFTER_NEGATION), 1), _edges).alias("_tails"),
+    )
 
-    # Keys travel without the text; it is joined back, by id, to the few hits.
-    runs = texts.select("_id", F.explode(_phrases(words_of(F.col("_text")), longest)).alias("_phrase"))
-    candidates = runs.join(pairs.select("column", "value", "_phrase"), "_phrase").select("_id", "column", "value")
+    # Keys travel without the text; it is joined back, by id, to the hits.
+    words = texts.select("_id", words_of(F.col("_text")).alias("_w"))
+    runs = words.select("_id", F.explode(_phrases(F.col("_w"), longest)).alias("_phrase"))
+    candidates = runs.join(pairs.select("column", "value", "_edged", "_phrase"), "_phrase").drop("_phrase")
     whole = materialize(
-        candidates.join(texts, "_id")
-        .where(_stands_alone(F.col("_text"), F.col("value")))
+        candidates.join(marked, "_id")
+        .where(F.contains("_marked", "_edged"))
         .groupBy("_id", "column")
         .agg(
             F.min("value").alias("_low"),
             F.max("value").alias("_high"),
-            F.max_by(_negated(F.col("_text"), F.col("value")), F.col("value")).alias("negated"),
+            F.max_by(_negated(F.col("_edged")), F.col("value")).alias("negated"),
         ),
         "whole-values",
     )
@@ -304,8 +312,8 @@ def tag_dictionary_values(df: DataFrame, text_col: str, rid: str, dictionary: Da
         .join(by_word, "_w")
         .groupBy("_id", "column")
         .agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"))
-        .join(texts, "_id")
-        .select("_id", "column", "_low", "_high", _negated(F.col("_text"), F.col("_low")).alias("negated"))
+        .join(marked, "_id")
+        .select("_id", "column", "_low", "_high", _negated(_edges(F.col("_low"))).alias("negated"))
     )
     one = F.col("_low") == F.col("_high")
     both = whole.withColumn("matched", F.lit("whole")).unionByName(loose.withColumn("matched", F.lit("word")))
@@ -319,17 +327,21 @@ def tag_dictionary_values(df: DataFrame, text_col: str, rid: str, dictionary: Da
     )
 
 
-def _escaped(value: Column) -> Column:
-    return F.regexp_replace(value, r"([^\p{L}\p{N}_ ])", r"\\$1")
+_AFTER_NEGATION = f"(?:^|{NOT_WORD})(?:{NEGATION})({NOT_WORD}.*)"
+
 
+def _edges(text: Column) -> Column:
+    """Mark where words start and end, and the places between two other characters.
 
-def _stands_alone(text: Column, value: Column) -> Column:
-    return F.regexp_like(text, F.concat(F.lit(f"(?:^|{NOT_WORD})(?:"), _escaped(value), F.lit(f")(?:$|{NOT_WORD})")))
+    A value stands alone in a text exactly when its marked form occurs in the
+    marked text, so no pattern has to be built per value.
+    """
+    between = F.regexp_replace(text, r"(?<![\p{L}\p{N}_])(?![\p{L}\p{N}_])", "\u0003")
+    return F.regexp_replace(between, r"([\p{L}\p{N}_]+)", "\u0001$1\u0002")
 
 
-def _negated(text: Column, value: Column) -> Column:
-    start = F.lit(f"(?:^|{NOT_WORD})(?:{NEGATION})(?:{NOT_WORD}|{NOT_WORD}.*{NOT_WORD})(?:")
-    return F.regexp_like(text, F.concat(start, _escaped(value), F.lit(f")(?:$|{NOT_WORD})")))
+def _negated(edged: Column) -> Column:
+    return F.exists("_tails", lambda tail: F.contains(tail, edged))
 
 
 def _long_words(text: Column) -> Column:

@@ -57,24 +57,27 @@ def summarize(df: DataFrame, keys: list[str], specs: list[tuple[str, str, str]],
     # Ranked functions need a key to be spread by; whole-table calls get one.
     by = keys or ["_all"]
     table = df if keys else df.withColumn("_all", F.lit(0))
-    out = table.groupBy(*keys).agg(*aggregates, F.count("*").alias("_rows"))
-    if not keys:
-        out = out.withColumn("_all", F.lit(0))
+    parts = [df.groupBy(*keys).agg(*aggregates, F.count("*").alias("_rows"))]
     for func in ("median", "mode"):
         wanted = [(c, a) for f, c, a in ranked if f == func]
         if not wanted:
             continue
-        names = sorted({c for c, _ in wanted})
-        long = long_form(table, by, {c: as_number(df, c) for c in names})
+        long = long_form(table, by, {c: as_number(df, c) for c in sorted({c for c, _ in wanted})})
         if func == "median":
             found = exact_quantiles(long, [*by, "column"], [0.5])
             answer = F.col("quantiles")[0]
         else:
             found, answer = exact_modes(long, [*by, "column"]), F.col("mode")
-        wide = found.groupBy(*by).agg(
-            *[F.max(F.when(F.col("column") == c, _as_type(df, c, func, answer))).alias(a) for c, a in wanted]
-        )
-        out = same_rows(out, wide, by, "left")
+        picked = [F.max(F.when(F.col("column") == c, _as_type(df, c, func, answer))).alias(a) for c, a in wanted]
+        parts.append(found.groupBy(*keys).agg(*picked))
+    out = parts[0]
+    for part in parts[1:]:
+        if keys:
+            out = same_rows(out, part, keys, "left")
+        else:
+            out = out.unionByName(part, allowMissingColumns=True)
+    if not keys:  # one row per part, each with its own columns
+        out = out.agg(*[F.max(a).alias(a) for _, _, a in specs])
     return out.select(*order)
 
 

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillgrid.functions.values import (
     WORD,
@@ -51,6 +52,13 @@ def _number(value: object) -> float | None:
         return None
 
 
+def _literal(df: DataFrame, name: str, number: float) -> Column:
+    """A whole number stays whole next to a whole-number column, so that the
+    comparison needs no cast and is pushed down."""
+    whole = isinstance(df.schema[name].dataType, T.IntegralType) and number == int(number)
+    return F.lit(int(number)) if whole else F.lit(number)
+
+
 def compare(df: DataFrame, condition: Condition) -> Column:
     """The predicate of one condition; may be null, which a filter drops."""
     name, op, value = condition.column, condition.operator, condition.value
@@ -60,7 +68,7 @@ def compare(df: DataFrame, condition: Condition) -> Column:
         number = _number(value)
         if number is None:
             raise ValueError(f"{value!r} is not a number")
-        return _COMPARE[op](as_number(df, name), F.lit(number))
+        return _COMPARE[op](as_number(df, name), _literal(df, name, number))
     if op == "!=":
         return _differs(df, name, value)
     if op != "==":
@@ -69,7 +77,7 @@ def compare(df: DataFrame, condition: Condition) -> Column:
     if is_numeric(df, name):
         if number is None:
             raise ValueError(f"{value!r} is not a number")
-        return F.col(f"`{name}`") == F.lit(number)
+        return F.col(f"`{name}`") == _literal(df, name, number)
     if condition.exact:
         return folded(F.col(f"`{name}`")) == F.lit(str(value).strip().lower())
     if isinstance(value, (int, float)):
@@ -81,7 +89,7 @@ def _differs(df: DataFrame, name: str, value: object) -> Column:
     """Not equal; a null cell differs from every value and is kept."""
     number = _number(value)
     if is_numeric(df, name) and number is not None:
-        return ~F.col(f"`{name}`").eqNullSafe(F.lit(number))
+        return ~F.col(f"`{name}`").eqNullSafe(_literal(df, name, number))
     return ~folded(F.col(f"`{name}`")).eqNullSafe(F.lit(str(value).strip().lower()))
 
 

@@ -244,12 +244,13 @@ def split_steps(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
 
 def _phrases(words: Column, longest: int) -> Column:
     """All runs of 1..longest neighbouring words, each once."""
-    runs = [words]
-    for n in range(2, longest + 1):
+
+    def runs(n: int) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
-        found = F.transform(starts, lambda i, n=n: F.array_join(F.slice(words, i, n), " "))
-        runs.append(F.when(F.size(words) >= n, found).otherwise(F.array().cast("array<string>")))
-    return F.array_distinct(F.concat(*runs))
+        found = F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+        return F.when(F.size(words) >= n, found).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(words, *[runs(n) for n in range(2, longest + 1)]))
 
 
 def tag_dictionary_values(df: DataFrame, text_col: str, rid: str, dictionary: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""``python -m registry.check [folder] [name part ...]``: compare all queries."""
+"""``python -m registry.check [folder] [name part ...] [-skipped part ...]``: compare queries."""
 
 from __future__ import annotations
 
@@ -13,12 +13,13 @@ from registry.compare import compare, connect
 
 def main() -> int:
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    parts = sys.argv[2:]
+    parts = [a for a in sys.argv[2:] if not a.startswith("-")]
+    skipped = [a[1:] for a in sys.argv[2:] if a.startswith("-")]
     queries, oracle = all_queries()
     spark, con = local_session(8), connect(folder)
     bad = 0
     for name, query in queries.items():
-        if parts and not any(p in name for p in parts):
+        if parts and not any(p in name for p in parts) or any(p in name for p in skipped):
             continue
         try:
             if name in oracle:

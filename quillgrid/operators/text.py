@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgrid.functions.number_words import pair_value, phrase_value, word_value
-from quillgrid.functions.values import NOT_WORD, all_of, strip, whole_word, words_of
+from quillgrid.functions.values import NOT_WORD, all_of, any_of, strip, whole_word, words_of
 from quillgrid.operators.filters import NEGATION
 from quillgrid.operators.similarity import similar_pairs, similarity
 from quillgrid.session import materialize
@@ -62,21 +63,31 @@ RULES = [
 NO_RULE = "FILTER"
 
 
+def _found(text: Column, pattern: str) -> Column:
+    """``rlike``, or plain substring searches when the pattern is only a list of words."""
+    words = pattern.split("|")
+    if all(re.fullmatch(r"[a-z ]+", w) for w in words):
+        return any_of([text.contains(w) for w in words])
+    return text.rlike(pattern)
+
+
 def label_by_rules(
     df: DataFrame, text_col: str, rules: list[Rule] | None = None, default: str = NO_RULE, name: str = "label"
 ) -> DataFrame:
     """Add the label of the first rule that fits the lower-case text."""
-    text = F.coalesce(F.lower(strip(F.col(f"`{text_col}`"))), F.lit(""))
+    # The folded text is a column of its own, so that the rules share it.
+    folded = df.withColumn("_folded", F.coalesce(F.lower(strip(F.col(f"`{text_col}`"))), F.lit("")))
+    text = F.col("_folded")
     label = None
     for rule in rules or RULES:
-        fits = all_of([text.rlike(p) for p in rule.needs] + [~text.rlike(p) for p in rule.unless])
+        fits = all_of([_found(text, p) for p in rule.needs] + [~_found(text, p) for p in rule.unless])
         if isinstance(rule.label, dict):
             word = F.regexp_extract(text, f"(?:^|{NOT_WORD})({'|'.join(rule.label)})(?:$|{NOT_WORD})", 1)
             value: Column = F.create_map(*[F.lit(x) for item in rule.label.items() for x in item])[word]
         else:
             value = F.lit(rule.label)
         label = F.when(fits, value) if label is None else label.when(fits, value)
-    return df.withColumn(name, label.otherwise(default))
+    return folded.withColumn(name, label.otherwise(default)).drop("_folded")
 
 
 # --- labels by vectors -------------------------------------------------------
@@ -152,8 +163,9 @@ def extract_word_numbers(df: DataFrame, text_col: str, keep: list[str]) -> DataF
     """
     text = F.lower(F.col(f"`{text_col}`"))
     words = F.filter(words_of(text), lambda w: w.rlike("^[a-z]+$"))
-    values = F.transform(words, lambda w: F.when(~w.isin(SKIPPED_WORDS), word_value(w)))
-    here = df.select(*keep, _digit_numbers(text).alias("_digits"), words.alias("_w"), values.alias("_v"))
+    split = df.select(*keep, _digit_numbers(text).alias("_digits"), words.alias("_w"))
+    values = F.transform("_w", lambda w: F.when(~w.isin(SKIPPED_WORDS), word_value(w)))
+    here = split.select("*", values.alias("_v")).where(F.exists("_v", lambda v: v.isNotNull()))
 
     def at(i: Column) -> Column:
         value, following = F.get(F.col("_v"), i), F.get(F.col("_v"), i + 1)
@@ -163,7 +175,6 @@ def extract_word_numbers(df: DataFrame, text_col: str, keep: list[str]) -> DataF
         return F.array(value, pair)
 
     found = F.flatten(F.transform(F.sequence(F.lit(0), F.size("_v") - 1), at))
-    found = F.when(F.exists(F.col("_v"), lambda v: v.isNotNull()), found).otherwise(F.array().cast("array<double>"))
     fresh = F.array_except(F.array_distinct(F.filter(found, lambda v: v > 0)), F.col("_digits"))
     return here.select(*keep, F.posexplode(fresh).alias("_p", "number")).select(
         *keep, (F.col("_p") + 1).alias("position"), "number"
@@ -459,9 +470,10 @@ SYNONYMS = {
 
 def synonym_fields(df: DataFrame, text_col: str, synonyms: dict[str, list[str]] | None = None) -> DataFrame:
     """Add ``fields``: every field whose words stand in the text, in table order."""
-    text = F.regexp_replace(F.lower(F.col(f"`{text_col}`")), r"[_\-]+", " ")
+    plain = df.withColumn("_plain", F.regexp_replace(F.lower(F.col(f"`{text_col}`")), r"[_\-]+", " "))
+    text = F.col("_plain")
     hits = [F.when(text.rlike(whole_word("|".join(words))), F.lit(f)) for f, words in (synonyms or SYNONYMS).items()]
-    return df.withColumn("fields", F.array_compact(F.array(*hits)))
+    return plain.withColumn("fields", F.array_compact(F.array(*hits))).drop("_plain")
 
 
 def synonym_join(

@@ -103,7 +103,9 @@ _LABEL = {"mean": "mean (average)"}
         " UNION ALL ".join(
             f"SELECT '{c}' AS \"column\", "
             + ", ".join(
-                f'round_even(CAST({_scalar(f, c, "dirty_orders")} AS DOUBLE), 4) AS "{_LABEL.get(f, f)}"' for f in _MATRIX
+                # sums of this size carry two safe decimals, whatever the order of addition
+                f'round_even(CAST({_scalar(f, c, "dirty_orders")} AS DOUBLE), {2 if f == "sum" else 4}) AS "{_LABEL.get(f, f)}"'
+                for f in _MATRIX
             )
             + " FROM dirty_orders"
             for c in ("custkey", "price", "price_null_group")
@@ -111,7 +113,8 @@ _LABEL = {"mean": "mean (average)"}
     ),
 )
 def agg_matrix(spark, folder):
-    return D.aggregate_matrix(view(spark, folder, "dirty_orders"), _MATRIX, ["custkey", "price", "price_null_group"])
+    out = D.aggregate_matrix(view(spark, folder, "dirty_orders"), _MATRIX, ["custkey", "price", "price_null_group"])
+    return out.withColumn("sum", F.bround("sum", 2))
 
 
 # Grouped aggregates of one column.

@@ -205,6 +205,27 @@ def strongest_correlation(spark, folder):
     return J.strongest_correlation(table(spark, folder, "lineitem"), _LINE)
 
 
-@register("insight_table")
+_TOP = """(SELECT priority, count(*) AS n, round_even(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM dirty_orders) * 100, 1) AS share
+           FROM dirty_orders WHERE priority IS NOT NULL GROUP BY priority ORDER BY n DESC, priority LIMIT 1)"""
+_INSIGHTS = f"""
+WITH n AS ({_nulls_sql()}), f AS (SELECT {_FENCES} FROM dirty_orders), o AS (SELECT * FROM ({_COUNTS}) WHERE outliers > 0),
+s AS (SELECT {_SCORE} AS score, count(*) AS total FROM dirty_orders),
+worst AS (SELECT "column", null_pct, (SELECT count(*) FROM n WHERE null_pct > 0) AS gaps FROM n ORDER BY null_pct DESC, ordinal LIMIT 1),
+head AS (SELECT round_even(avg(custkey), 2) AS m, round_even(stddev_samp(custkey), 2) AS d, CAST({_skew('custkey')} AS DOUBLE) AS k FROM dirty_orders),
+r AS (SELECT * FROM (SELECT 'custkey' AS a, 'price' AS b, corr(custkey, price) AS r FROM dirty_orders
+      UNION ALL SELECT 'custkey', 'price_null_group', corr(custkey, price_null_group) FROM dirty_orders
+      UNION ALL SELECT 'price', 'price_null_group', corr(price, price_null_group) FROM dirty_orders) ORDER BY abs(r) DESC LIMIT 1)
+SELECT 1 AS rank, 'overview' AS kind, CAST(NULL AS VARCHAR) AS "column", score AS value,
+  format('{{:,}}', total) || ' rows, 5 columns, ' || score || '% of cells filled' AS text FROM s
+UNION ALL SELECT 2, 'missing', "column", null_pct, gaps || ' columns have gaps, most in ' || "column" || ' (' || null_pct || '%)' FROM worst
+UNION ALL SELECT 3, 'category', 'priority', share, 'priority is mostly ' || priority || ': ' || format('{{:,}}', n) || ' rows (' || share || '%)' FROM {_TOP}
+UNION ALL SELECT 4, 'distribution', 'custkey', m, 'custkey averages ' || m || ' (std ' || d || '), ' ||
+  CASE WHEN k > 1 THEN 'strongly right-skewed' WHEN k < -1 THEN 'strongly left-skewed' ELSE 'symmetrical' END || ' (skewness ' || k || ')' FROM head
+UNION ALL SELECT 5, 'outliers', "column", CAST(outliers AS DOUBLE),
+  "column" || ' has ' || format('{{:,}}', outliers) || ' values outside the interquartile fences' FROM (SELECT * FROM o ORDER BY outliers DESC, ordinal LIMIT 3)
+UNION ALL SELECT 6, 'correlation', a || ' ~ ' || b, round_even(r, 2), a || ' and ' || b || ' move together most (r = ' || round_even(r, 2) || ')' FROM r"""
+
+
+@register("insight_table", over("dirty_orders", _INSIGHTS))
 def insight_table(spark, folder):
     return J.insight_table(view(spark, folder, "dirty_orders"))

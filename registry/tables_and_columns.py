@@ -134,7 +134,7 @@ _FORMULAS = {
 def _formula(operation, right):
     def query(spark, folder):
         out = C.add_formula(view(spark, folder, "dirty_customer"), "result", "balance", operation, right)
-        return out.select("_rid", F.bround("result", 4).alias("result"))
+        return out.select("_rid", "result")
 
     return query
 
@@ -142,7 +142,7 @@ def _formula(operation, right):
 for _name, (_op, _sql, _right) in _FORMULAS.items():
     register(
         f"add_formula_{_name}",
-        over("dirty_customer", f"SELECT _rid, round_even({_sql}, 4) AS result FROM dirty_customer"),
+        over("dirty_customer", f"SELECT _rid, {_sql} AS result FROM dirty_customer"),
     )(_formula(_op, _right))
 
 SQL_STAT = {

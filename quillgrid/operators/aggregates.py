@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from quillgrid.functions.values import as_number, numeric_columns, other_columns, same_rows
 from quillgrid.operators.quantiles import exact_modes, exact_quantiles, long_form
+from quillgrid.sources.ingest import number_like_columns
 
 # Function names and their other spellings.
 FUNCTIONS = ["sum", "mean", "median", "mode", "min", "max", "count"]
@@ -102,15 +103,19 @@ def mode_of_text(df: DataFrame, column: str) -> DataFrame:
     return exact_modes(pairs, ["_all"]).select(F.col("mode").alias("value"))
 
 
+def _all_numbers(df: DataFrame) -> list[str]:
+    """Numeric columns, then text columns that read as numbers."""
+    return numeric_columns(df) + number_like_columns(df)
+
+
 def aggregate_all(df: DataFrame, func: str, columns: list[str] | None = None) -> DataFrame:
     """One function over every numeric column: one wide row."""
-    columns = columns or numeric_columns(df)
-    return summarize(df, [], [(func, c, c) for c in columns])
+    return summarize(df, [], [(func, c, c) for c in columns or _all_numbers(df)])
 
 
 def aggregate_matrix(df: DataFrame, funcs: list[str], columns: list[str] | None = None) -> DataFrame:
     """Several functions over every numeric column: one row per column."""
-    columns = columns or numeric_columns(df)
+    columns = columns or _all_numbers(df)
     funcs = [function_name(f) for f in funcs]
     wide = summarize(df, [], [(f, c, f"{i}_{f}") for i, c in enumerate(columns) for f in funcs])
     labels = {"mean": "mean (average)"}
@@ -139,7 +144,7 @@ def group_agg(df: DataFrame, key: str, func: str, column: str | None = None, app
 
 def group_agg_all(df: DataFrame, key: str, func: str, columns: list[str] | None = None) -> DataFrame:
     """One function of every numeric column per group."""
-    columns = [c for c in (columns or numeric_columns(df)) if c != key]
+    columns = columns or [c for c in _all_numbers(df) if c != key]
     return summarize(df, [key], [(func, c, c) for c in columns])
 
 

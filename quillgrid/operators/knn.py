@@ -24,14 +24,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgrid.functions.values import any_of
 from quillgrid.session import materialize
 
 _PART_ROWS = 4_000
 _BLOCK_ROWS = 20_000
 _SAMPLE_ROWS = 200_000
 _SAMPLE_PER_PART = 24
-_MOST_PATTERNS = 256
+_MOST_SPACES = 10_000
 
 
 class _Partition:
@@ -112,30 +111,23 @@ class _Partition:
 def fill_from_neighbours(df: DataFrame, cols: list[str], gaps: list[str], k: int, rid: str) -> DataFrame:
     """``df`` with the gaps of ``gaps`` filled; ``cols`` are doubles, ``rid`` is unique."""
     p = len(cols)
-    mask = sum((F.col(f"`{c}`").isNotNull().cast("int") * (1 << i) for i, c in enumerate(cols)), F.lit(0))
-    rows = df.select(F.col(f"`{rid}`").alias("_id"), mask.alias("_mask"), *[F.col(f"`{c}`") for c in cols])
-    # One row per set of present columns.
-    found = rows.groupBy("_mask").count().limit(_MOST_PATTERNS + 1).collect()
-    if len(found) > _MOST_PATTERNS:
-        raise ValueError(f"more than {_MOST_PATTERNS} different sets of missing columns")
+    # Which columns a row has, as bits; its coordinates with 0 for missing ones.
+    mask = sum((F.col(f"`{c}`").isNotNull().cast("long") * (1 << i) for i, c in enumerate(cols)), F.lit(0).cast("long"))
+    point = F.array(*[F.coalesce(F.col(f"`{c}`"), F.lit(0.0)) + F.lit(0.0) for c in cols])
+    rows = df.select(F.col(f"`{rid}`").alias("_id"), mask.alias("_mask"), point.alias("_point"))
+    # One row per set of present columns, each of which is a space at least.
+    found = rows.groupBy("_mask").count().limit(_MOST_SPACES + 1).collect()
     sizes = {r["_mask"]: r["count"] for r in found}
-    means = rows.agg(*[F.avg(f"`{c}`").alias(c) for c in gaps]).first()
-
-    # space = (target column, columns of the donor, shared columns)
-    spaces: list[tuple[int, int, int]] = []
-    for j in (cols.index(c) for c in gaps):
-        for donor in sizes:
-            shared = {donor & receiver for receiver in sizes if not receiver >> j & 1} - {0}
-            if donor >> j & 1:
-                spaces += [(j, donor, s) for s in sorted(shared)]
+    means = df.agg(*[F.avg(f"`{c}`").alias(c) for c in gaps]).first()
+    spaces, calls = _spaces(sorted(sizes), [cols.index(c) for c in gaps])
     if not spaces:
         return df.fillna({c: means[c] for c in gaps if means[c] is not None})
-    each = _donor_points(rows, cols, spaces)
-    partitions = _partitions(each, cols, spaces, sizes, k)
+    each = _donor_points(rows, spaces, sizes)
+    partitions = _partitions(each, p, spaces, sizes, k)
     # Of equal points the k smallest row ids are enough.
     copies = Window.partitionBy("_space", "_point").orderBy("_donor")
-    donors = each.withColumn("_r", F.row_number().over(copies)).where(F.col("_r") <= k).drop("_r")
-    neighbours = _search(donors, _receivers(rows, cols, spaces), spaces, partitions, p, k)
+    donors = each.withColumn("_r", F.row_number().over(copies)).where(F.col("_r") <= k).drop("_r", "_rate")
+    neighbours = _search(donors, _receivers(rows, calls), spaces, partitions, p, k)
 
     # Fill: one row per (target, receiver point), found again by its coordinates.
     best = Window.partitionBy("_j", "_mask", "_point").orderBy("_d", "_donor")
@@ -146,7 +138,6 @@ def fill_from_neighbours(df: DataFrame, cols: list[str], gaps: list[str], k: int
         .agg(F.avg("_value").alias("_fill"))
     )
     answers = materialize(answers, "neighbour-means")
-    point = _point_key(cols, (1 << p) - 1)
     whole = df.withColumns({"_mask": mask, "_point": point})
     complete = whole.where(F.col("_mask") == (1 << p) - 1)
     filled = whole.where(F.col("_mask") != (1 << p) - 1)
@@ -162,60 +153,70 @@ def fill_from_neighbours(df: DataFrame, cols: list[str], gaps: list[str], k: int
     return complete.select(*df.columns).unionByName(filled.select(*df.columns))
 
 
-def _point_key(cols: list[str], shared: int):
-    """Coordinates as one array; 0 stands in for a missing one (the mask tells)."""
-    return F.array(
-        *[F.coalesce(F.col(f"`{c}`"), F.lit(0.0)) + F.lit(0.0) if shared >> i & 1 else F.lit(0.0) for i, c in enumerate(cols)]
+def _spaces(
+    masks: list[int], targets: list[int]
+) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int]]]:
+    """Spaces ``(target, donor columns, shared columns)``, and which rows look
+    into them: ``(receiver columns, space, target, shared columns)``."""
+    numbers: dict[tuple[int, int, int], int] = {}
+    calls = []
+    for j in targets:
+        for donor in (m for m in masks if m >> j & 1):
+            for receiver in (m for m in masks if not m >> j & 1):
+                if donor & receiver:
+                    number = numbers.setdefault((j, donor, donor & receiver), len(numbers))
+                    calls.append((receiver, number, j, donor & receiver))
+        if len(numbers) > _MOST_SPACES:
+            raise ValueError(
+                f"the rows miss their values in too many different ways (over {_MOST_SPACES} combinations); "
+                "impute fewer columns together, or use the median or chained regressions"
+            )
+    return list(numbers), calls
+
+
+# The coordinates kept in a space; the others are 0 on both sides.
+_SHARED_POINT = "transform(_point, (v, i) -> if((_shared & shiftleft(1L, i)) != 0, v, 0D))"
+
+
+def _donor_points(rows: DataFrame, spaces: list[tuple[int, int, int]], sizes: dict[int, int]) -> DataFrame:
+    """``_space, _point, _donor, _value, _rate``: every row in every space it gives to."""
+    share = _SAMPLE_ROWS // len(spaces)
+    table = [(n, j, donor, shared, min(1.0, share / sizes[donor])) for n, (j, donor, shared) in enumerate(spaces)]
+    offers = rows.sparkSession.createDataFrame(table, "_space int, _j int, _mask long, _shared long, _rate double")
+    return rows.join(F.broadcast(offers), "_mask").select(  # at most _MOST_SPACES rows
+        "_space",
+        F.expr(_SHARED_POINT).alias("_point"),
+        F.col("_id").alias("_donor"),
+        F.get(F.col("_point"), F.col("_j")).alias("_value"),
+        "_rate",
     )
 
 
-def _donor_points(rows: DataFrame, cols: list[str], spaces: list[tuple[int, int, int]]) -> DataFrame:
-    """``_space, _point, _donor, _value``: every row in every space it can give to."""
-    entries = []
-    for number, (j, donor, shared) in enumerate(spaces):
-        entry = F.struct(
-            F.lit(number).alias("_space"),
-            _point_key(cols, shared).alias("_point"),
-            F.col("_id").alias("_donor"),
-            F.col(f"`{cols[j]}`").alias("_value"),
-        )
-        entries.append(F.when(F.col("_mask") == donor, entry))
-    return rows.select(F.explode(F.array_compact(F.array(*entries))).alias("_e")).select("_e.*")
-
-
-def _receivers(rows: DataFrame, cols: list[str], spaces: list[tuple[int, int, int]]) -> DataFrame:
+def _receivers(rows: DataFrame, calls: list[tuple[int, int, int, int]]) -> DataFrame:
     """``_space, _j, _mask, _point, _at``: distinct points, ``_at`` within the space."""
-    p = len(cols)
-    entries = []
-    for number, (j, donor, shared) in enumerate(spaces):
-        entry = F.struct(
-            F.lit(number).alias("_space"),
-            F.lit(j).alias("_j"),
-            "_mask",
-            _point_key(cols, (1 << p) - 1).alias("_point"),
-            _point_key(cols, shared).alias("_at"),
-        )
-        mine = (F.col("_mask").bitwiseAND(1 << j) == 0) & (F.col("_mask").bitwiseAND(donor) == shared)
-        entries.append(F.when(mine, entry))
-    return rows.select(F.explode(F.array_compact(F.array(*entries))).alias("_e")).select("_e.*").distinct()
+    looks = rows.sparkSession.createDataFrame(calls, "_mask long, _space int, _j int, _shared long")
+    return (
+        rows.select("_mask", "_point")
+        .distinct()
+        .join(F.broadcast(looks), "_mask")  # a few rows per space
+        .select("_space", "_j", "_mask", "_point", F.expr(_SHARED_POINT).alias("_at"))
+    )
 
 
 def _partitions(
-    each: DataFrame, cols: list[str], spaces: list[tuple[int, int, int]], sizes: dict[int, int], k: int
+    each: DataFrame, p: int, spaces: list[tuple[int, int, int]], sizes: dict[int, int], k: int
 ) -> list[_Partition]:
     """The k-d partition of every space, from about ``_SAMPLE_ROWS`` points in all.
 
     The sample only steers the search; a space without sample points is one part.
     """
-    share = _SAMPLE_ROWS // len(spaces)
-    rates = [F.lit(min(1.0, share / max(sizes[donor], 1))) for _, donor, _ in spaces]
     draw = F.pmod(F.xxhash64("_donor", "_space"), F.lit(1 << 40)) / float(1 << 40)
-    drawn = each.where(draw < F.element_at(F.array(*rates), F.col("_space") + 1))
-    sample = drawn.select("_space", "_point").limit(2 * _SAMPLE_ROWS).toPandas()
+    sample = each.where(draw < F.col("_rate")).select("_space", "_point").limit(2 * _SAMPLE_ROWS).toPandas()
+    drawn = {number: block["_point"].tolist() for number, block in sample.groupby("_space")}
     out = []
     for number, (_, donor, _) in enumerate(spaces):
-        points = sample.loc[sample["_space"] == number, "_point"].tolist()
-        block = np.unique(np.array(points, dtype=np.float64).reshape(len(points), len(cols)), axis=0)
+        points = drawn.get(number, [])
+        block = np.unique(np.array(points, dtype=np.float64).reshape(len(points), p), axis=0)
         parts = min(-(-sizes[donor] // _PART_ROWS), max(len(block) // _SAMPLE_PER_PART, 1))
         out.append(_Partition(block, int(parts), k))
     return out
@@ -253,7 +254,7 @@ def _search(
     )
     visits = materialize(
         receivers.mapInPandas(
-            visit, "_space int, _j int, _mask int, _point array<double>, _at array<double>, _part long"
+            visit, "_space int, _j int, _mask long, _point array<double>, _at array<double>, _part long"
         ),
         "visits",
     )
@@ -302,7 +303,7 @@ def _search(
 
     keys = ["_space", "_part", "_block", "_call"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        score, "_j int, _mask int, _point array<double>, _donor long, _value double, _d double"
+        score, "_j int, _mask long, _point array<double>, _donor long, _value double, _d double"
     )
 
 

@@ -22,8 +22,8 @@ class Outcome:
 
 def run_steps(df: DataFrame, steps: list[Step]) -> Outcome:
     """Each step gets the result of the one before; the first failing step stops
-    the run and the input is kept. Steps are lazy, so nothing is computed or
-    written before all of them have been accepted."""
+    the run and the input is kept. A step returns a plan; some look at the data
+    while making it, but no result is computed before all steps are accepted."""
     out = df
     for number, step in enumerate(steps, 1):
         try:

@@ -25,14 +25,18 @@ _WHOLE = r"^\s*[+-]?\d{1,18}\s*$"
 _TRUTH = ["True", "TRUE", "true", "False", "FALSE", "false"]
 
 
-def csv_scan(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def csv_scan(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = False
+) -> DataFrame:
     """Read CSV with a header row: missing tokens to null, then typed columns.
 
     Everything is read as text first, because the missing tokens would spoil
     Spark's own inference. One aggregate over the file then decides per column:
     whole numbers, numbers, true/false or text. Pass ``schema`` to skip it.
+    ``multi_line`` allows line breaks inside quoted cells, at the price that a
+    file can no longer be read by several tasks.
     """
-    raw = spark.read.options(header=True, escape='"').csv(path)
+    raw = spark.read.options(header=True, escape='"', multiLine=multi_line).csv(path)
     names = raw.columns
     text = raw.select(*[F.when(~F.col(f"`{n}`").isin(NA_TOKENS), F.col(f"`{n}`")).alias(n) for n in names])
     if schema is not None:

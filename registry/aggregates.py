@@ -92,6 +92,19 @@ def agg_all_numeric_median(spark, folder):
     return medians.select(*[F.bround(c, 4).alias(c) for c in _LINE])
 
 
+@register(
+    "agg_all_numeric_text",
+    over(
+        "dirty_customer",
+        f"""SELECT CAST(max(c_nationkey) AS INTEGER) AS c_nationkey, max(balance) AS balance,
+            max({sql_number('balance_text')}) AS balance_text FROM dirty_customer""",
+    ),
+)
+def agg_all_numeric_text(spark, folder):
+    """Without a column list, number-like text columns take part."""
+    return D.aggregate_all(view(spark, folder, "dirty_customer"), "max")
+
+
 _MATRIX = ["sum", "mean", "median", "mode", "min", "max", "count"]
 _LABEL = {"mean": "mean (average)"}
 

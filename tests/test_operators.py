@@ -263,6 +263,13 @@ def test_csv_missing_tokens_and_types(spark):
     assert rows_ == {(1, 2.5, True, "x ", None), (None, None, False, None, None), (3, None, True, " y", None)}
 
 
+def test_csv_line_breaks_and_quotes(spark):
+    df = spark.createDataFrame([("a \"quoted\", cell", 1), ("two\nlines", 2)], "t string, n long")
+    path = ingest.csv_sink(df, scratch_path(spark, "test-csv"))
+    got = ingest.csv_scan(spark, path, multi_line=True)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, df.collect()))
+
+
 def test_sorting_puts_nulls_last(people):
     assert values(ordering.sort_by(people, "Age"), "Age")[-1] is None
     down = values(ordering.sort_by(people, "Age", descending=True), "Age")

@@ -65,6 +65,18 @@ def test_positions_with_a_hot_sort_value(spark):
     assert {r["id"]: r["position"] for r in got} == {row: place + 1 for place, row in enumerate(order)}
 
 
+def test_positions_over_many_sort_partitions(spark):
+    df = spark.range(5_000).select("id", (F.col("id") % 3).alias("v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        got = with_position(df, [F.col("v").desc(), F.col("id").asc()])
+        rows = got.select("id", "position").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    order = sorted(range(5_000), key=lambda i: (-(i % 3), i))
+    assert {r["id"]: r["position"] for r in rows} == {row: place + 1 for place, row in enumerate(order)}
+
+
 @pytest.mark.parametrize("cutoff", [70, 80, 88])
 def test_similar_pairs_equal_brute_force(spark, cutoff):
     draw = random.Random(cutoff)
@@ -129,6 +141,19 @@ def _nearest(data, target, row, k):
     return float(np.mean(chosen)) if chosen else float(np.nanmean(data[:, target]))
 
 
+def test_knn_with_scattered_gaps_in_five_columns(spark):
+    draw = np.random.default_rng(8)
+    data = np.round(draw.normal(size=(220, 5)), 2)
+    data[draw.random(data.shape) < 0.3] = np.nan
+    rows = [(i, *[None if np.isnan(v) else float(v) for v in row]) for i, row in enumerate(data)]
+    df = spark.createDataFrame(rows, "_rid long, a double, b double, c double, d double, e double")
+    got = {r["_rid"]: r for r in impute.impute_knn(df).collect()}
+    for i, row in enumerate(data):
+        for axis, name in enumerate("abcde"):
+            expected = _nearest(data, axis, i, 5) if np.isnan(row[axis]) else row[axis]
+            assert got[i][name] == pytest.approx(expected, rel=1e-9, abs=1e-9), (i, name)
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_knn_equals_brute_force(spark, monkeypatch, small):
     if small:  # many parts and many blocks

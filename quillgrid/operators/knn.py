@@ -17,15 +17,20 @@ Spark does the grouping, shuffling and merging; numpy scores one block.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgrid.session import materialize
 
+# Functions sent to the workers travel by value: the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _PART_ROWS = 4_000
 _BLOCK_ROWS = 20_000
 _SAMPLE_ROWS = 200_000

@@ -9,9 +9,11 @@ looking values up in that list.
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +21,9 @@ from pyspark.sql import types as T
 from quillgrid.functions.values import is_numeric
 from quillgrid.operators.quantiles import exact_quantiles
 
+# Functions sent to the workers travel by value: the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Share of rows to flag, seed, trees, rows per tree.
 CONTAMINATION = 0.05
 SEED = 42

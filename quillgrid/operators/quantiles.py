@@ -86,11 +86,13 @@ def exact_quantiles(
         ],
         -1 - gap,
     )
-    pieces = (
+    # Stored, being needed twice and small: the second and last look at the rows.
+    pieces = materialize(
         same_rows(rows, sketch, keys)
         .select(*keys, "_n", bin_of.alias("_bin"), F.when(any_of(inside), v).alias("_slot"), "_v")
         .groupBy(*keys, "_n", "_bin", "_slot")
-        .agg(F.count("*").alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+        .agg(F.count("*").alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max")),
+        "quantile-pieces",
     )
 
     # Where each bin starts. At most m * _BINS + m + 1 rows per group.

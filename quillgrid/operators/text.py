@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+import sys
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,9 @@ from quillgrid.operators.filters import NEGATION
 from quillgrid.operators.similarity import similar_pairs, similarity
 from quillgrid.session import materialize
 
+# Functions sent to the workers travel by value: the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # --- labels by rules ---------------------------------------------------------
 
 

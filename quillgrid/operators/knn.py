@@ -21,7 +21,7 @@ import sys
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -216,17 +216,29 @@ def _partitions(
     The sample only steers the search; a space without sample points is one part.
     """
     draw = F.pmod(F.xxhash64("_donor", "_space"), F.lit(1 << 40)) / float(1 << 40)
-    sample = each.where(draw < F.col("_rate")).select("_space", "_point").limit(2 * _SAMPLE_ROWS).toPandas()
-    drawn = {number: block["_point"].tolist() for number, block in sample.groupby("_space")}
+    sample = each.where(draw < F.col("_rate")).select("_space", "_point").limit(2 * _SAMPLE_ROWS).toArrow()
+    of_space, drawn = sample["_space"].to_numpy(), _points(sample["_point"], p)
     out = []
     for number, (_, donor, _) in enumerate(spaces):
-        points = drawn.get(number, [])
-        block = np.unique(np.array(points, dtype=np.float64).reshape(len(points), p), axis=0)
+        block = np.unique(drawn[of_space == number], axis=0)
         parts = min(-(-sizes[donor] // _PART_ROWS), max(len(block) // _SAMPLE_PER_PART, 1))
         out.append(_Partition(block, int(parts), k))
     return out
 
 
+def _points(column: pa.Array | pa.ChunkedArray, p: int) -> np.ndarray:
+    """A column of coordinate lists as a matrix."""
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), p)
+
+
+def _by_space(spaces: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    order = np.argsort(spaces, kind="stable")
+    numbers, starts = np.unique(spaces[order], return_index=True)
+    return list(zip(numbers.tolist(), np.split(order, starts[1:])))
+
+
 def _search(
     donors: DataFrame,
     receivers: DataFrame,
@@ -237,28 +249,35 @@ def _search(
 ) -> DataFrame:
     """Candidates ``_j, _mask, _point, _donor, _value, _d``: k per visited block."""
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part = np.zeros(len(batch), dtype=np.int64)
-            for space, rows in batch.groupby("_space").indices.items():
-                part[rows] = partitions[space].home(np.stack(batch["_point"].to_numpy()[rows]))
-            yield batch.assign(_part=part)
+            points = _points(batch.column("_point"), p)
+            part = np.zeros(len(points), dtype=np.int64)
+            for space, rows in _by_space(batch.column("_space").to_numpy()) if len(points) else []:
+                part[rows] = partitions[space].home(points[rows])
+            yield batch.append_column("_part", pa.array(part))
 
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            points = _points(batch.column("_at"), p)
             which, parts = [], []
-            for space, rows in batch.groupby("_space").indices.items():
-                who, part = partitions[space].touched(np.stack(batch["_at"].to_numpy()[rows]))
+            for space, rows in _by_space(batch.column("_space").to_numpy()):
+                who, part = partitions[space].touched(points[rows])
                 which.append(rows[who])
                 parts.append(part)
-            if which:
-                yield batch.iloc[np.concatenate(which)].assign(_part=np.concatenate(parts).astype(np.int64))
+            taken = batch.take(pa.array(np.concatenate(which)))
+            yield taken.append_column("_part", pa.array(np.concatenate(parts).astype(np.int64)))
 
     placed = materialize(
-        donors.mapInPandas(place, "_space int, _point array<double>, _donor long, _value double, _part long"), "donors"
+        donors.select("_space", "_point", "_donor", "_value").mapInArrow(
+            place, "_space int, _point array<double>, _donor long, _value double, _part long"
+        ),
+        "donors",
     )
     visits = materialize(
-        receivers.mapInPandas(
+        receivers.mapInArrow(
             visit, "_space int, _j int, _mask long, _point array<double>, _at array<double>, _part long"
         ),
         "visits",
@@ -278,38 +297,36 @@ def _search(
         call_of.alias("_call"), "_j", "_mask", "_point", "_at",
     )
     shared_count = {n: bin(s).count("1") for n, (_, _, s) in enumerate(spaces)}
-    columns = ["_j", "_mask", "_point", "_donor", "_value", "_d"]
-
-    def score(key: tuple, block: pd.DataFrame, callers: pd.DataFrame) -> pd.DataFrame:
-        if not len(block) or not len(callers):
-            return pd.DataFrame(columns=columns)
-        block = block.sort_values("_donor", ignore_index=True)
-        points = np.stack(block["_point"].to_numpy())
+    names = ["_j", "_mask", "_point", "_donor", "_value", "_d"]
+    result = "_j int, _mask long, _point array<double>, _donor long, _value double, _d double"
+
+    def score(key: tuple, block: pa.Table, callers: pa.Table) -> pa.Table:
+        if not block.num_rows or not callers.num_rows:
+            kinds = [pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.int64(), pa.float64(), pa.float64()]
+            return pa.table([pa.array([], k) for k in kinds], names=names)
+        block = block.sort_by("_donor")
+        points, targets = _points(block["_point"], p), _points(callers["_at"], p)
         ids, values = block["_donor"].to_numpy(), block["_value"].to_numpy()
-        scale = p / shared_count[key[0]]
-        most = min(k, len(block))
-        targets = np.stack(callers["_at"].to_numpy())
+        scale = p / shared_count[key[0].as_py()]
+        most = min(k, len(points))
         step = max(1, 4_000_000 // len(points))
         picked, distances = [], []
         for start in range(0, len(targets), step):
             some = targets[start : start + step]
             squared = np.zeros((len(some), len(points)))
-            for axis in range(points.shape[1]):
+            for axis in range(p):
                 squared += (some[:, axis, None] - points[None, :, axis]) ** 2
             squared *= scale
-            # stable: equal distances keep the order of row ids
             nearest = _smallest(squared, most)
             picked.append(nearest)
             distances.append(np.take_along_axis(squared, nearest, axis=1))
         nearest, distance = np.concatenate(picked).ravel(), np.concatenate(distances).ravel()
-        who = np.repeat(np.arange(len(callers)), most)
-        out = callers.iloc[who][["_j", "_mask", "_point"]].reset_index(drop=True)
-        return out.assign(_donor=ids[nearest], _value=values[nearest], _d=distance)[columns]
+        out = callers.select(["_j", "_mask", "_point"]).take(pa.array(np.repeat(np.arange(len(targets)), most)))
+        found = (pa.array(ids[nearest]), pa.array(values[nearest]), pa.array(distance))
+        return pa.table([*out.columns, *found], names=names)
 
     keys = ["_space", "_part", "_block", "_call"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        score, "_j int, _mask long, _point array<double>, _donor long, _value double, _d double"
-    )
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, result)
 
 
 def _smallest(squared: np.ndarray, most: int) -> np.ndarray:

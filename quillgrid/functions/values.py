@@ -32,6 +32,16 @@ def parse_number(col: Column) -> Column:
     return F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
 
 
+def quoted(names: list[str]) -> list[Column]:
+    """Columns by name, whatever characters the names have."""
+    return [F.col(f"`{n}`") for n in names]
+
+
+def without(df: DataFrame, name: str) -> DataFrame:
+    """Drop one column, whatever characters its name has."""
+    return df.select(*quoted([c for c in df.columns if c != name]))
+
+
 def is_numeric(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, T.NumericType)
 
@@ -106,5 +116,5 @@ def display_text(df: DataFrame, name: str) -> Column:
 def same_rows(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` where null equals null; keeps one copy of the keys."""
     other = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
-    condition = all_of([left[k].eqNullSafe(other[f"_right_{k}"]) for k in keys])
+    condition = all_of([left[f"`{k}`"].eqNullSafe(other[f"`_right_{k}`"]) for k in keys])
     return left.join(other, condition, how).drop(*[f"_right_{k}" for k in keys])

@@ -51,14 +51,17 @@ def summarize(df: DataFrame, keys: list[str], specs: list[tuple[str, str, str]],
             F.percentile_approx(as_number(df, c).cast("double"), 0.5).alias(a) for f, c, a in ranked if f == "median"
         ]
         ranked = [r for r in ranked if r[0] == "mode"]
-    order = [*keys, *[a for _, _, a in specs]]
+    groups = [F.col(f"`{k}`") for k in keys]
+    order = [F.col(f"`{c}`") for c in [*keys, *[a for _, _, a in specs]]]
     if not ranked:
-        return df.groupBy(*keys).agg(*aggregates).select(*order)
+        return df.groupBy(*groups).agg(*aggregates).select(*order)
 
     # Ranked functions need a key to be spread by; whole-table calls get one.
-    by = keys or ["_all"]
-    table = df if keys else df.withColumn("_all", F.lit(0))
-    parts = [df.groupBy(*keys).agg(*aggregates, F.count("*").alias("_rows"))]
+    # Keys get names of their own, apart from all other columns.
+    own = [f"_key{i}" for i in range(len(keys))]
+    table = df.withColumns(dict(zip(own, groups))) if keys else df.withColumn("_all", F.lit(0))
+    by = own or ["_all"]
+    parts = [table.groupBy(*own).agg(*aggregates, F.count("*").alias("_rows"))]
     for func in ("median", "mode"):
         wanted = [(c, a) for f, c, a in ranked if f == func]
         if not wanted:
@@ -70,16 +73,16 @@ def summarize(df: DataFrame, keys: list[str], specs: list[tuple[str, str, str]],
         else:
             found, answer = exact_modes(long, [*by, "column"]), F.col("mode")
         picked = [F.max(F.when(F.col("column") == c, _as_type(df, c, func, answer))).alias(a) for c, a in wanted]
-        parts.append(found.groupBy(*keys).agg(*picked))
+        parts.append(found.groupBy(*own).agg(*picked))
     out = parts[0]
     for part in parts[1:]:
         if keys:
-            out = same_rows(out, part, keys, "left")
+            out = same_rows(out, part, own, "left")
         else:
             out = out.unionByName(part, allowMissingColumns=True)
     if not keys:  # one row per part, each with its own columns
-        out = out.agg(*[F.max(a).alias(a) for _, _, a in specs])
-    return out.select(*order)
+        out = out.agg(*[F.max(f"`{a}`").alias(a) for _, _, a in specs])
+    return out.withColumnsRenamed(dict(zip(own, keys))).select(*order)
 
 
 def _as_type(df: DataFrame, name: str, func: str, value: Column) -> Column:
@@ -137,7 +140,7 @@ def group_agg(df: DataFrame, key: str, func: str, column: str | None = None, app
     if column is None:
         if func != "count":
             raise ValueError("name the column to calculate")
-        return df.groupBy(key).agg(F.count("*").alias("row_count"))
+        return df.groupBy(F.col(f"`{key}`")).agg(F.count("*").alias("row_count"))
     alias = f"{column}_count" if func == "count" else f"{func}_{column}"
     return summarize(df, [key], [(func, column, alias)], approx)
 
@@ -157,7 +160,7 @@ def fast_group_agg(df: DataFrame, key: str, column: str, func: str = "avg") -> D
     known = {"avg": F.avg, "sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
     name = func.lower() if func.lower() in known else "avg"
     alias = f"{name}_{column}"
-    grouped = df.groupBy(key).agg(known[name](F.col(f"`{column}`")).alias(alias))
+    grouped = df.groupBy(F.col(f"`{key}`")).agg(known[name](F.col(f"`{column}`")).alias(alias))
     return grouped.orderBy(F.col(f"`{alias}`").desc_nulls_last())
 
 

@@ -105,7 +105,7 @@ def fuzzy_canonicalize(df: DataFrame, columns: list[str], cutoff: int = CUTOFF)
 
     def repair(table: DataFrame, name: str) -> DataFrame:
         fix = fixes.where(F.col("column") == name).select(F.col("value").alias("_from"), F.col("canonical").alias("_to"))
-        joined = table.join(fix, table[name] == fix["_from"], "left")
+        joined = table.join(fix, table[f"`{name}`"] == fix["_from"], "left")
         return joined.withColumn(name, F.coalesce("_to", F.col(f"`{name}`"))).drop("_from", "_to")
 
     return reduce(repair, columns, df)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgrid.functions.values import as_number, folded, is_numeric, parse_number, same_rows
+from quillgrid.functions.values import as_number, folded, is_numeric, parse_number, same_rows, without
 from quillgrid.operators.aggregates import summarize
 from quillgrid.operators.filters import Condition, compare
 from quillgrid.session import materialize
@@ -18,7 +18,7 @@ def trim_headers(df: DataFrame) -> DataFrame:
 
 def drop_column(df: DataFrame, name: str) -> DataFrame:
     """Without the column; a missing column leaves the table as it is."""
-    return df.drop(name)
+    return without(df, name)
 
 
 def rename_column(df: DataFrame, old: str, new: str) -> DataFrame:
@@ -84,7 +84,7 @@ def add_group_stat(df: DataFrame, name: str, key: str, value: str, func: str) ->
     """
     _new_name(df, name)
     stat = summarize(df, [key], [(func, value, "_stat")])
-    stat = stat.select(key, F.bround(F.col("_stat").cast("double"), 2).alias(name))
+    stat = stat.select(F.col(f"`{key}`"), F.bround(F.col("_stat").cast("double"), 2).alias(name))
     return same_rows(df, materialize(stat, "group-stat"), [key], "left")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.functions.values import text_columns
+from quillgrid.functions.values import text_columns, without
 from quillgrid.operators.ordering import with_position
 from quillgrid.session import materialize
 
@@ -35,7 +35,7 @@ def encode_onehot(df: DataFrame, cols: list[str], max_values: int = 1000) -> Dat
             raise ValueError(f"{name!r} has more than {max_values} values; encode it as labels instead")
         values = sorted(r["v"] for r in found)
         flags = [F.coalesce((cell == F.lit(v)).cast("int"), F.lit(0)).alias(f"{name}_{v}") for v in values[1:]]
-        out = out.select("*", *flags).drop(name)
+        out = without(out.select("*", *flags), name)
     return out
 
 

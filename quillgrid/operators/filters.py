@@ -124,7 +124,8 @@ def rows_with_null(df: DataFrame, column: str | None = None) -> DataFrame:
 
 
 def drop_null_rows(df: DataFrame) -> DataFrame:
-    return df.na.drop("any")
+    """Rows without any null cell."""
+    return df.where(all_of([F.col(f"`{n}`").isNotNull() for n in df.columns]))
 
 
 # Words that turn a value hit into "everything but this value".

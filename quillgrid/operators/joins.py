@@ -23,11 +23,11 @@ def join_tables(
     taken = set(a.columns)
     renames = {c: f"{c}{suffix}" for c in b.columns if c in taken and c != right_key}
     b = b.withColumnsRenamed(renames).withColumnRenamed(right_key, "_join_key")
-    match = a[left_key] == b["_join_key"]
+    match = a[f"`{left_key}`"] == b["_join_key"]
     out = a.join(b, match, "inner").drop("_join_key")
     if how in ("left", "full"):
         keys = b.select("_join_key").distinct()
-        alone = a.join(keys, a[left_key] == keys["_join_key"], "left_anti")
+        alone = a.join(keys, a[f"`{left_key}`"] == keys["_join_key"], "left_anti")
         out = out.unionByName(alone, allowMissingColumns=True)
     if how in ("right", "full"):
         keys = a.select(F.col(f"`{left_key}`").alias("_left_key")).distinct()

@@ -26,6 +26,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgrid.functions.values import quoted
 from quillgrid.session import materialize
 
 # Functions sent to the workers travel by value: the package need not be installed there.
@@ -126,7 +127,7 @@ def fill_from_neighbours(df: DataFrame, cols: list[str], gaps: list[str], k: int
     means = df.agg(*[F.avg(f"`{c}`").alias(c) for c in gaps]).first()
     spaces, calls = _spaces(sorted(sizes), [cols.index(c) for c in gaps])
     if not spaces:
-        return df.fillna({c: means[c] for c in gaps if means[c] is not None})
+        return df.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.lit(means[c]).cast("double")) for c in gaps})
     each = _donor_points(rows, spaces, sizes)
     partitions = _partitions(each, p, spaces, sizes, k)
     # Of equal points the k smallest row ids are enough.
@@ -155,7 +156,8 @@ def fill_from_neighbours(df: DataFrame, cols: list[str], gaps: list[str], k: int
         fill = F.coalesce(F.col(f"`{c}`"), F.col("_fill"), F.lit(means[c]).cast("double"))
         filled = filled.withColumn(f"_new_{j}", fill).drop("_fill", "_m", "_q")
     filled = filled.withColumns({c: F.col(f"_new_{cols.index(c)}") for c in gaps})
-    return complete.select(*df.columns).unionByName(filled.select(*df.columns))
+    names = quoted(df.columns)
+    return complete.select(*names).unionByName(filled.select(*names))
 
 
 def _spaces(

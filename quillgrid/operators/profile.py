@@ -69,7 +69,7 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     its reducer as one row per task.
     """
     names = _columns(df)
-    groups = df.groupBy(*names).agg(F.count("*").alias("_copies"))
+    groups = df.groupBy(*[F.col(f"`{n}`") for n in names]).agg(F.count("*").alias("_copies"))
     return groups.agg(F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicate_rows"))
 
 

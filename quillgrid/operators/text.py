@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgrid.functions.number_words import pair_value, phrase_value, word_value
-from quillgrid.functions.values import NOT_WORD, all_of, any_of, strip, whole_word, words_of
+from quillgrid.functions.values import NOT_WORD, all_of, any_of, quoted, strip, whole_word, words_of
 from quillgrid.operators.filters import NEGATION
 from quillgrid.operators.similarity import similar_pairs, similarity
 from quillgrid.session import materialize
@@ -138,7 +138,7 @@ def nearest_prototype(
 
     scored = df.withColumn("_s", score(F.col(f"`{vector_col}`")))
     accepted = F.when(F.col("_s.score") > limit, F.col("_s.label"))
-    return scored.select(*df.columns, accepted.alias("label"), F.col("_s.score").alias("score"))
+    return scored.select(*quoted(df.columns), accepted.alias("label"), F.col("_s.score").alias("score"))
 
 
 # --- numbers in text ---------------------------------------------------------
@@ -155,8 +155,8 @@ def _digit_numbers(text: Column) -> Column:
 def extract_numbers(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     """``keep..., position, number``: every number written in digits, in order."""
     numbers = _digit_numbers(F.col(f"`{text_col}`"))
-    return df.select(*keep, F.posexplode(numbers).alias("_p", "number")).select(
-        *keep, (F.col("_p") + 1).alias("position"), "number"
+    return df.select(*quoted(keep), F.posexplode(numbers).alias("_p", "number")).select(
+        *quoted(keep), (F.col("_p") + 1).alias("position"), "number"
     )
 
 
@@ -168,7 +168,7 @@ def extract_word_numbers(df: DataFrame, text_col: str, keep: list[str]) -> DataF
     """
     text = F.lower(F.col(f"`{text_col}`"))
     words = F.filter(words_of(text), lambda w: w.rlike("^[a-z]+$"))
-    split = df.select(*keep, _digit_numbers(text).alias("_digits"), words.alias("_w"))
+    split = df.select(*quoted(keep), _digit_numbers(text).alias("_digits"), words.alias("_w"))
     values = F.transform("_w", lambda w: F.when(~w.isin(SKIPPED_WORDS), word_value(w)))
     here = split.select("*", values.alias("_v")).where(F.exists("_v", lambda v: v.isNotNull()))
 
@@ -181,8 +181,8 @@ def extract_word_numbers(df: DataFrame, text_col: str, keep: list[str]) -> DataF
 
     found = F.flatten(F.transform(F.sequence(F.lit(0), F.size("_v") - 1), at))
     fresh = F.array_except(F.array_distinct(F.filter(found, lambda v: v > 0)), F.col("_digits"))
-    return here.select(*keep, F.posexplode(fresh).alias("_p", "number")).select(
-        *keep, (F.col("_p") + 1).alias("position"), "number"
+    return here.select(*quoted(keep), F.posexplode(fresh).alias("_p", "number")).select(
+        *quoted(keep), (F.col("_p") + 1).alias("position"), "number"
     )
 
 
@@ -212,8 +212,8 @@ def extract_comparisons(df: DataFrame, text_col: str, keep: list[str]) -> DataFr
     """
     text = F.regexp_replace(F.lower(F.col(f"`{text_col}`")), r"[_\-]+", " ")
     # One pass over the text; the short hits are then taken apart.
-    hits = df.select(*keep, F.posexplode(F.regexp_extract_all(text, F.lit(f"({COMPARISON})"), 1)).alias("_p", "_h"))
-    hits = hits.select(*keep, "_p", *[F.regexp_extract("_h", COMPARISON, i).alias(n) for i, n in ((1, "_o"), (2, "_v"), (3, "_s"))])
+    hits = df.select(*quoted(keep), F.posexplode(F.regexp_extract_all(text, F.lit(f"({COMPARISON})"), 1)).alias("_p", "_h"))
+    hits = hits.select(*quoted(keep), "_p", *[F.regexp_extract("_h", COMPARISON, i).alias(n) for i, n in ((1, "_o"), (2, "_v"), (3, "_s"))])
     operators = F.create_map(*[F.lit(x) for item in COMPARISONS.items() for x in item])
     scales = F.create_map(*[F.lit(x) for item in SCALES.items() for x in item])
     value = F.col("_v")
@@ -222,7 +222,7 @@ def extract_comparisons(df: DataFrame, text_col: str, keep: list[str]) -> DataFr
     number = F.when(value.rlike(r"^-?\d"), digits).otherwise(spelled)
     factor = F.coalesce(F.try_element_at(scales, F.lower("_s")), F.lit(1.0))
     return hits.select(
-        *keep,
+        *quoted(keep),
         (F.col("_p") + 1).alias("position"),
         operators[F.col("_o")].alias("operator"),
         (number * factor).alias("number"),
@@ -250,8 +250,8 @@ def split_steps(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     )
     steps = F.filter(parts, lambda p: F.length(p) >= SHORTEST_STEP)
     steps = F.when(F.size(steps) > 0, steps).otherwise(F.array(strip(text)))
-    return df.select(*keep, F.posexplode(steps).alias("_p", "query")).select(
-        *keep, (F.col("_p") + 1).alias("step"), "query"
+    return df.select(*quoted(keep), F.posexplode(steps).alias("_p", "query")).select(
+        *quoted(keep), (F.col("_p") + 1).alias("step"), "query"
     )
 
 
@@ -486,6 +486,6 @@ def synonym_join(
 ) -> DataFrame:
     """``keep..., field`` for texts that point to exactly one field. No shuffle."""
     found = synonym_fields(df, text_col, synonyms).where(F.size("fields") == 1)
-    return found.select(*keep, F.col("fields")[0].alias("field"))
+    return found.select(*quoted(keep), F.col("fields")[0].alias("field"))
 
 

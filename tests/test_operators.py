@@ -311,3 +311,43 @@ def test_category_candidates_skip_ids(spark):
     df = spark.createDataFrame([(i, f"u{i}", "a" if i % 2 else "b", "same") for i in range(40)], "n int, user_id string, kind string, flat string")
     assert values(insights.category_candidates(df), "column") == ["kind"]
     assert values(insights.category_candidates(df, approx=True), "column") == ["kind"]
+
+
+def test_awkward_column_names(spark):
+    """Dots, spaces, and names the operators use themselves."""
+    rows_ = [(i, "ab"[i % 2], float(i * i), i % 3, "x" if i else None) for i in range(12)]
+    df = spark.createDataFrame(rows_, "_rid long, column string, `unit.price` double, n int, `my text.` string")
+    for func in aggregates.FUNCTIONS:
+        assert aggregates.group_agg(df, "column", func, "unit.price").count() == 2
+        assert aggregates.group_agg(df, "n", func, "unit.price").count() == 3
+        assert columns.add_group_stat(df, "stat", "my text.", "unit.price", func).count() == 12
+        assert aggregates.aggregate(df, func, "unit.price").count() == 1
+    median = {r["column"]: r["median_unit.price"] for r in aggregates.group_agg(df, "column", "median", "unit.price").collect()}
+    assert median == {"a": 26.0, "b": 37.0}
+    assert aggregates.group_agg_all(df, "column", "median").columns == ["column", "unit.price", "n"]
+    assert aggregates.aggregate_matrix(df, ["mean", "median", "mode"]).count() == 2
+    assert aggregates.describe(df).count() == 4
+    assert aggregates.correlations(df).count() == 4
+    assert aggregates.fast_group_agg(df, "my text.", "unit.price").count() == 2
+    assert profile.table_profile(df).count() == 4
+    assert insights.insight_table(df).count() >= 4
+    assert filters.filter_all(df, [Condition("unit.price", ">", 50), Condition("my text.", "==", "x")]).count() == 4
+    assert filters.rows_with_null(df).count() == 1 and filters.drop_null_rows(df).count() == 11
+    assert columns.update_where(df, "unit.price", None, Condition("n", "==", 1)).count() == 12
+    assert columns.drop_column(df, "unit.price").columns == ["_rid", "column", "n", "my text."]
+    assert columns.rename_column(df, "unit.price", "price").columns[2] == "price"
+    assert ordering.top_n(df, "unit.price", 2).first()["_rid"] == 11
+    assert ordering.with_position(df, [F.col("`unit.price`").desc()]).count() == 12
+    assert cleaning.clean_table(df, ["my text.", "column"]).count() == 12
+    assert encode.encode(df, "onehot", ["my text."]).count() == 12
+    assert encode.encode(df, "label", ["my text.", "column"]).count() == 12
+    gaps = df.withColumn("unit.price", F.when(F.col("_rid") != 5, F.col("`unit.price`")))
+    for method in ("knn", "mice", "median"):
+        filled = impute.impute(gaps, method)
+        assert filled.columns == df.columns and filled.where("`unit.price` IS NULL OR `my text.` IS NULL").count() == 0
+    assert diff.cell_changes(df, gaps).count() == 1
+    assert diff.table_diff(df, gaps).first()["modified_cells"] == 1
+    assert rows.append_row(df, {"unit.price": "7"}).count() == 13
+    joined = joins.join_tables(df, df, "unit.price", "unit.price", "full")
+    assert joined.count() == 12 and "n_b" in joined.columns
+    assert ingest.value_dictionary(df).count() == 3

@@ -129,10 +129,15 @@ def fill_from_neighbours(df: DataFrame, cols: list[str], gaps: list[str], k: int
     if not spaces:
         return df.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.lit(means[c]).cast("double")) for c in gaps})
     each = _donor_points(rows, spaces, sizes)
-    partitions = _partitions(each, p, spaces, sizes, k)
-    # Of equal points the k smallest row ids are enough.
-    copies = Window.partitionBy("_space", "_point").orderBy("_donor")
-    donors = each.withColumn("_r", F.row_number().over(copies)).where(F.col("_r") <= k).drop("_r", "_rate")
+    partitions, frequent = _partitions(each, p, spaces, sizes, k)
+    # Of equal points the k smallest row ids are enough. Only points that came up
+    # repeatedly in the sample can be hot, so only their rows are sorted. The hash
+    # comes first: points themselves are compared only where it is equal.
+    hot = F.broadcast(df.sparkSession.createDataFrame(frequent))  # at most _SAMPLE_ROWS points
+    copies = Window.partitionBy("_hash", "_space", "_point").orderBy("_donor")
+    hashed = each.join(hot, ["_space", "_point"], "left_semi").withColumn("_hash", F.xxhash64("_space", "_point"))
+    reduced = hashed.withColumn("_r", F.row_number().over(copies)).where(F.col("_r") <= k)
+    donors = each.join(hot, ["_space", "_point"], "left_anti").unionByName(reduced.drop("_hash", "_r"))
     neighbours = _search(donors, _receivers(rows, calls), spaces, partitions, p, k)
 
     # Fill: one row per (target, receiver point), found again by its coordinates.
@@ -212,20 +217,24 @@ def _receivers(rows: DataFrame, calls: list[tuple[int, int, int, int]]) -> DataF
 
 def _partitions(
     each: DataFrame, p: int, spaces: list[tuple[int, int, int]], sizes: dict[int, int], k: int
-) -> list[_Partition]:
-    """The k-d partition of every space, from about ``_SAMPLE_ROWS`` points in all.
+) -> tuple[list[_Partition], pa.Table]:
+    """The k-d partition of every space, from about ``_SAMPLE_ROWS`` points in all,
+    and the points ``(_space, _point)`` drawn more than once.
 
     The sample only steers the search; a space without sample points is one part.
     """
     draw = F.pmod(F.xxhash64("_donor", "_space"), F.lit(1 << 40)) / float(1 << 40)
     sample = each.where(draw < F.col("_rate")).select("_space", "_point").limit(2 * _SAMPLE_ROWS).toArrow()
     of_space, drawn = sample["_space"].to_numpy(), _points(sample["_point"], p)
-    out = []
+    out, again, owners = [], [], []
     for number, (_, donor, _) in enumerate(spaces):
-        block = np.unique(drawn[of_space == number], axis=0)
+        block, seen = np.unique(drawn[of_space == number], axis=0, return_counts=True)
         parts = min(-(-sizes[donor] // _PART_ROWS), max(len(block) // _SAMPLE_PER_PART, 1))
         out.append(_Partition(block, int(parts), k))
-    return out
+        again += block[seen > 1].tolist()
+        owners += [number] * int((seen > 1).sum())
+    columns = {"_space": pa.array(owners, pa.int32()), "_point": pa.array(again, pa.list_(pa.float64()))}
+    return out, pa.table(columns)
 
 
 def _points(column: pa.Array | pa.ChunkedArray, p: int) -> np.ndarray:
@@ -333,7 +342,8 @@ def _search(
 
 def _smallest(squared: np.ndarray, most: int) -> np.ndarray:
     """Column numbers of the smallest entries per row, lower number first on ties."""
-    if squared.shape[1] > 4 * most:
-        limit = np.partition(squared, most - 1, axis=1)[:, most - 1 : most]
-        squared = np.where(squared <= limit, squared, np.inf)
-    return np.argsort(squared, axis=1, kind="stable")[:, :most]
+    limit = np.partition(squared, most - 1, axis=1)[:, most - 1 : most]
+    row, column = np.nonzero(squared <= limit)
+    order = np.lexsort((column, squared[row, column], row))
+    starts = np.searchsorted(row, np.arange(len(squared)))
+    return column[order][starts[:, None] + np.arange(most)]

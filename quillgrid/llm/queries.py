@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import chat, mixing, secrets, warc
+from quillgrid.llm import bpe, chat, mixing, perplexity, secrets, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -27,6 +28,12 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@_query("op1_ngram_perplexity")
+def ngram_perplexity(spark, folder):
+    """The base rules and the perplexity band of every document."""
+    return perplexity.quality_rules(_table(spark, folder, "documents"))
+
+
 def _spans_sql(rule: secrets.Rule) -> str:
     """DuckDB: the list of (start, end, kind) of one rule's matches."""
     pattern = "'" + rule.pattern.replace("'", "''") + "'"
@@ -140,3 +147,10 @@ FROM k, LATERAL (SELECT unnest(range(1, n + 1)) AS i) x"""
 def poisson_mix(spark, folder):
     """Documents repeated so that a source's share follows its size to the power 0.7."""
     return mixing.mix_sources(_table(spark, folder, "documents"), exponent=0.7)
+
+
+@_query("op9_byte_bpe")
+def byte_bpe(spark, folder):
+    """Every document encoded and decoded."""
+    words = bpe.Vocabulary.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.round_trip(_table(spark, folder, "documents").select("doc_id", "text"), words).drop("text")

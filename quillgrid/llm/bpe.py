@@ -13,6 +13,7 @@ import hashlib
 import heapq
 import re
 import sys
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -201,7 +202,7 @@ class Codec:
         found = old.get(chunk)
         if found is None:
             ids = [i for word in self.pattern.findall(chunk) for i in self._word(word)]
-            found = " ".join(map(str, ids)), np.array(ids, np.uint32).tobytes()
+            found = " ".join(map(str, ids)), array("I", ids).tobytes()
         if len(young) >= CACHE_ENTRIES:
             self.chunks = young, old = {}, young
         young[chunk] = found

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import bpe, chat, mixing, perplexity, secrets, warc
+from quillgrid.llm import bpe, chat, digest, mixing, perplexity, secrets, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -154,3 +154,10 @@ def byte_bpe(spark, folder):
     """Every document encoded and decoded."""
     words = bpe.Vocabulary.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return bpe.round_trip(_table(spark, folder, "documents").select("doc_id", "text"), words).drop("text")
+
+
+@_query("op5_improbable_features")
+def improbable_features(spark, folder):
+    """Digests of all documents and of their edited texts, compared."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return digest.compare_edits(docs, digest.rarity_ranks(docs))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import bpe, chat, digest, mixing, perplexity, secrets, warc
+from quillgrid.llm import bpe, chat, digest, jaccard, mixing, perplexity, secrets, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -161,3 +161,10 @@ def improbable_features(spark, folder):
     """Digests of all documents and of their edited texts, compared."""
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     return digest.compare_edits(docs, digest.rarity_ranks(docs))
+
+
+@_query("op6_jaccard_groups")
+def jaccard_groups(spark, folder):
+    """Documents grouped by links at 90 of 100 over 3-word shingles."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return jaccard.similar_groups(docs, words=3, similarity=(90, 100))

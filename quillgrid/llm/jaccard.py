@@ -74,18 +74,22 @@ class Shingler:
                 held, size = [], 0
         return out + self._sets(held) if held else out
 
-    def _sets(self, raw: list[bytes]) -> list[np.ndarray]:
+    def words_of(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and hash of every word of the texts joined by line breaks, and where each text starts."""
         data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
         self._grow(len(data))
         change = np.diff(_IS_WORD[data].view(np.int8), prepend=np.int8(0))
         starts, ends = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.bytes[data] * self.powers[: len(data)], dtype=np.uint64)])
         words = _mix((sums[ends] - sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
+        return starts, ends, words, np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])])
+
+    def _sets(self, raw: list[bytes]) -> list[np.ndarray]:
+        starts, _, words, begin = self.words_of(raw)
         k = self.words
         grams = words[: max(0, len(words) - k + 1)]
         for j in range(1, k):
             grams = _mix(grams * _A + words[j : len(words) - k + 1 + j])
-        begin = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])])
         at = np.searchsorted(starts, begin)
         out = []
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):

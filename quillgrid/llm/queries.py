@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import bpe, chat, digest, jaccard, mixing, perplexity, secrets, warc
+from quillgrid.llm import bpe, chat, digest, jaccard, mixing, passages, perplexity, secrets, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -168,3 +168,15 @@ def jaccard_groups(spark, folder):
     """Documents grouped by links at 90 of 100 over 3-word shingles."""
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     return jaccard.similar_groups(docs, words=3, similarity=(90, 100))
+
+
+@_query("op7_deobfuscated_toxicity")
+def deobfuscated_toxicity(spark, folder):
+    """Toxicity of every document."""
+    return toxicity.score_toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+@_query("op8_passage_attention")
+def passage_attention(spark, folder):
+    """Quality of every document."""
+    return passages.score_quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))

@@ -16,6 +16,9 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quillgrid.llm.batches import pieces, texts_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -79,11 +82,10 @@ def rarity_ranks(df: DataFrame, text: str = "text") -> np.ndarray:
 
     def count(batches):
         total = np.zeros(LEVELS, np.int64)
-        for batch in batches:
-            for group in _groups(batch.column(0).to_pylist()):
-                data, starts = _joined([t.encode("utf-8", "surrogatepass") for t in group])
-                levels = entropies(data)
-                total += np.bincount(levels[_inside(starts, len(levels), WINDOW)], minlength=LEVELS)
+        for batch in pieces(batches, 0):
+            data, starts = _joined([t.encode("utf-8", "surrogatepass") for t in texts_of(batch.column(0))])
+            levels = entropies(data)
+            total += np.bincount(levels[_inside(starts, len(levels), WINDOW)], minlength=LEVELS)
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(total[held], pa.int64())], names=["level", "n"])
 
@@ -97,19 +99,6 @@ def rarity_ranks(df: DataFrame, text: str = "text") -> np.ndarray:
     return ranks
 
 
-def _groups(texts: list[str | None], size: int = 2 << 20):
-    """Runs of texts of about ``size`` code points; null is empty."""
-    held, total = [], 0
-    for t in texts:
-        held.append(t or "")
-        total += len(held[-1])
-        if total >= size:
-            yield held
-            held, total = [], 0
-    if held:
-        yield held
-
-
 def _features(texts: list[bytes], ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the selected windows in order, and the text that each belongs to.
 
@@ -130,23 +119,25 @@ def _features(texts: list[bytes], ranks: np.ndarray) -> tuple[np.ndarray, np.nda
         key = (ranks[levels] << 40) | np.arange(n)
         key[~valid] = np.iinfo(np.int64).max
         owner = np.repeat(np.arange(len(texts)), sizes)[:n]
-        best, width = key, 1
-        while width < WINDOW:  # smallest key of the next 2, 4, ... windows, ties to the left
-            best = np.minimum(best[: len(best) - width], best[width:])
-            width *= 2
-        # a round counts when all its windows are in one text
-        whole = valid[: len(best)] & valid[WINDOW - 1 :][: len(best)]
-        whole &= owner[: len(best)] == owner[WINDOW - 1 :][: len(best)]
-        winners = best[whole] & ((1 << 40) - 1)
-        popular = np.bincount(winners, minlength=n) >= POPULARITY
+        popular = np.zeros(n, bool)
+        if n >= WINDOW:
+            best, width = key, 1
+            while width < WINDOW:  # smallest key of the next 2, 4, ... windows, ties to the left
+                best = np.minimum(best[: len(best) - width], best[width:])
+                width *= 2
+            # a round counts when all its windows are in one text
+            whole = valid[: len(best)] & valid[WINDOW - 1 :][: len(best)]
+            whole &= owner[: len(best)] == owner[WINDOW - 1 :][: len(best)]
+            winners = best[whole] & ((1 << 40) - 1)
+            popular = np.bincount(winners, minlength=n) >= POPULARITY
         # texts too short for a whole round, or without a popular window, keep their rarest one
         has = np.zeros(len(texts), bool)
         has[owner[popular]] = True
         for i in np.flatnonzero(~has & (sizes >= WINDOW)):
             popular[starts[i] + np.argmin(key[starts[i] : starts[i + 1] - WINDOW + 1])] = True
         at = np.flatnonzero(popular)
-        for i in range(0, len(at), 1 << 16):
-            part = at[i : i + (1 << 16)]
+        for i in range(0, len(at), 1 << 13):
+            part = at[i : i + (1 << 13)]
             which.append(owner[part])
             hashes.append(_mix(data[part[:, None] + np.arange(WINDOW)]))
     if not which:
@@ -224,11 +215,11 @@ def fingerprints(df: DataFrame, ranks: np.ndarray, text: str = "text", name: str
     at = df.columns.index(text)
 
     def run(batches):
-        for batch in batches:
-            found = [as_text(c) for g in _groups(batch.column(at).to_pylist()) for c in filters_of(g, ranks)]
+        for batch in pieces(batches, at):
+            found = [as_text(c) for c in filters_of(texts_of(batch.column(at)), ranks)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, name])
 
-    return df.mapInArrow(run, df.schema.add(name, "string"))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.StringType())]))
 
 
 def neighbour_order(df: DataFrame, key: str, text: str, rows_per_part: int = 4000) -> DataFrame:
@@ -292,7 +283,7 @@ def compare_edits(df: DataFrame, ranks: np.ndarray, key: str = "doc_id", text: s
     def pairs(batches):
         """Each row that isn't a halo with the text behind it."""
         last = None
-        for batch in batches:
+        for batch in pieces(batches, 3):
             for row in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
                 part, halo, own, value = row
                 if last is not None and last[0] == part:
@@ -317,7 +308,7 @@ def compare_edits(df: DataFrame, ranks: np.ndarray, key: str = "doc_id", text: s
         for row in pairs(batches):
             held.append(row)
             size += len(row[1])
-            if size >= 1 << 20:
+            if size >= 1 << 18:
                 yield one(held)
                 held, size = [], 0
         if held:

@@ -149,7 +149,7 @@ def write_archives(pages: DataFrame, folder: str, key: str, url: str, payload: s
 
         def flush():
             name = f"{root}/{uuid.uuid4().hex}.warc.zst"
-            with store.open_output_stream(name) as out:
+            with store.open_output_stream(name, compression=None) as out:
                 write_archive(out, held)
             return pa.RecordBatch.from_pydict({"path": [name], "records": pa.array([len(held)], pa.int64())})
 
@@ -199,7 +199,7 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 rows, size = [], 0
-                with store.open_input_stream(path) as source:
+                with store.open_input_stream(path, compression=None) as source:
                     for record in read_archive(source):
                         found = parse_record(record)
                         h, body = found["headers"], found["payload"]

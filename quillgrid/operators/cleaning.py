@@ -11,7 +11,7 @@ from quillgrid.functions.values import strip, text_columns
 from quillgrid.operators.columns import trim_headers
 from quillgrid.operators.insights import category_candidates
 from quillgrid.operators.rows import drop_duplicates
-from quillgrid.operators.similarity import close_pairs, similar_pairs, similarity
+from quillgrid.operators.similarity import CLOSE_LENGTH, close_pairs, similar_pairs, similarity
 from quillgrid.session import materialize
 
 # Texts that stand for a missing cell; the default similarity; how
@@ -22,9 +22,6 @@ CUTOFF = 80
 NEAREST = 5
 SHORTEST = 3
 
-# Up to this many distinct values the nearest values are found in one step.
-ONE_STEP = 20_000
-
 
 def normalize_text(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Trim text cells and turn missing-value texts into nulls."""
@@ -54,19 +51,22 @@ def _neighbours(counts: DataFrame, cutoff: int) -> DataFrame:
     """Pairs ``column, a, b``: for each value all similar values, or at least
     its ``NEAREST`` most similar ones when there are more.
 
-    With many distinct values the search goes edit by edit. A value that already
-    has enough neighbours leaves the search, because any further one would be
-    less similar. Crowded value sets are therefore settled at one or two edits
-    and never compared in full.
+    The search goes edit by edit. A value leaves it once ``NEAREST`` values
+    within the edits looked at are more similar than any value with one more
+    edit can be; that one is longer by all its edits at best. Crowded value sets
+    are therefore settled at one or two edits and never compared in full.
     """
     values = counts.select("column", "value")
     open_values = values.where(F.length("value") >= SHORTEST)
-    if counts.count() <= ONE_STEP:
-        return similar_pairs(open_values, values, cutoff, ["column"])
     found = []
     for edits in (1, 2):
-        pairs = materialize(close_pairs(open_values, values, cutoff, ["column"], edits), "close-values")
-        have = pairs.groupBy("column", F.col("a").alias("value")).agg(F.count("*").alias("_have"))
+        # beyond the length that the step looks at, partners could be missing
+        asked = open_values.where(F.length("value") <= CLOSE_LENGTH - edits)
+        pairs = close_pairs(asked, values, cutoff, ["column"], edits).where(F.levenshtein("a", "b") <= edits)
+        pairs = materialize(pairs, "close-values")
+        best_left = 100.0 * (1 - (edits + 1) / (F.length("a") + edits + 1))
+        nearer = pairs.where(similarity(F.col("a"), F.col("b")) > best_left + 1e-9)
+        have = nearer.groupBy("column", F.col("a").alias("value")).agg(F.count("*").alias("_have"))
         done = materialize(have.where(F.col("_have") >= NEAREST).select("column", "value"), "settled-values")
         found.append(pairs.join(done.withColumnRenamed("value", "a"), ["column", "a"], "left_semi"))
         open_values = materialize(open_values.join(done, ["column", "value"], "left_anti"), "open-values")

@@ -1,15 +1,15 @@
 """Exact quantiles and modes that never gather a group into one task.
 
 ``percentile``/``median``/``mode`` in Spark keep one map of all distinct values
-per group in a single aggregation buffer. That is fine while the largest group
-is small (counted first), and fails for a group with a third of a huge table.
-Beyond the limit the work is split instead:
+per group in a single aggregation buffer, which fails for a group with a third
+of a huge table. Here the work is split, in the same way for groups of any size:
 
 quantiles
-  1. a sketch per group gives a narrow value range around each wanted rank;
-  2. values outside the ranges only count; values inside are cut into a fixed
-     number of bins and counted (map-side combined);
-  3. the bin holding the rank is found, and only its distinct values are ranked.
+  1. a sketch per group gives cut values around each wanted rank;
+  2. distinct values are counted (map-side combined) with the bin between two
+     cuts that they fall into;
+  3. the bins holding the ranks are found from the bins' sizes, and only their
+     distinct values are ranked.
 
 modes
   count each (group, value) pair, then take the best pair per group.
@@ -23,14 +23,12 @@ from pyspark.sql import functions as F
 from quillgrid.functions.values import any_of, same_rows
 from quillgrid.session import materialize
 
-_BINS = 256
+_SIDE = 4  # cuts to each side of a rank
 
 
-def long_form(df: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
-    """One row per (row, column): ``keys``, ``column``, ``value`` (double, not null)."""
-    cells = F.array(
-        *[F.struct(F.lit(n).alias("column"), c.cast("double").alias("value")) for n, c in values.items()]
-    )
+def long_form(df: DataFrame, keys: list[str], values: dict[str, Column], kind: str = "double") -> DataFrame:
+    """One row per (row, column): ``keys``, ``column``, ``value`` (of one type, not null)."""
+    cells = F.array(*[F.struct(F.lit(n).alias("column"), c.cast(kind).alias("value")) for n, c in values.items()])
     return (
         df.select(*keys, F.explode(cells).alias("_cell"))
         .select(*keys, "_cell.column", "_cell.value")
@@ -39,67 +37,41 @@ def long_form(df: DataFrame, keys: list[str], values: dict[str, Column]) -> Data
 
 
 def exact_quantiles(
-    long: DataFrame,
-    keys: list[str],
-    probs: list[float],
-    value: str = "value",
-    accuracy: int = 2000,
-    group_limit: int = 250_000,
+    long: DataFrame, keys: list[str], probs: list[float], value: str = "value", accuracy: int = 4000
 ) -> DataFrame:
     """``keys`` + ``n`` + ``quantiles`` (array, linear interpolation), exact.
 
-    ``keys`` must not be empty. Up to ``group_limit`` rows in the largest group
-    the built-in ``percentile`` is used; both ways give the same answer. The sketch only steers: should a rank ever fall
-    outside its range the query fails instead of returning a near value.
+    ``keys`` must not be empty. One way for groups of any size. The sketch only
+    steers: it says how finely the values around a rank are cut. If a rank lies
+    elsewhere, its bin is larger and the answer the same.
     """
-    spread = 2.0 / accuracy
-    m = len(probs)
-    bounds = [max(p - spread, 0.0) for p in probs] + [min(p + spread, 1.0) for p in probs]
     rows = long.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    largest = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest <= group_limit:
-        wanted_probs = F.array(*[F.lit(float(p)) for p in probs])
-        return rows.groupBy(*keys).agg(
-            F.count("_v").alias("n"), F.percentile("_v", wanted_probs).alias("quantiles")
-        )
+    # cut values around each rank; between neighbours lies about an eighth of the sketch's error
+    steps = [i / _SIDE for i in range(-_SIDE, _SIDE + 1)]
+    around = sorted({min(1.0, max(0.0, p + s * 2.0 / accuracy)) for p in probs for s in steps})
     sketch = materialize(
         rows.groupBy(*keys).agg(
-            F.count("_v").alias("_n"), F.percentile_approx("_v", bounds, accuracy).alias("_q")
+            F.count("_v").alias("_n"),
+            F.array_distinct(F.percentile_approx("_v", around, accuracy)).alias("_cuts"),
         ),
-        "quantile-ranges",
-    )
-    v = F.col("_v")
-    low = [F.col("_q")[i] for i in range(m)]
-    high = [F.col("_q")[m + i] for i in range(m)]
-    inside = [(v >= low[i]) & (v <= high[i]) for i in range(m)]
-    gap = sum(((v > high[i]).cast("int") for i in range(m)), F.lit(0))
-    bin_of = F.coalesce(
-        *[
-            F.when(
-                inside[i],
-                F.when(high[i] > low[i], F.floor((v - low[i]) / F.nullif(high[i] - low[i], F.lit(0.0)) * (_BINS - 1)))
-                .otherwise(F.lit(0))
-                .cast("int")
-                + i * _BINS,
-            )
-            for i in range(m)
-        ],
-        -1 - gap,
+        "quantile-cuts",
     )
-    # Stored, being needed twice and small: the second and last look at the rows.
+    # a value equal to a cut has a bin of its own, so a very frequent value is one distinct value in its bin
+    below = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
+    bin_of = 2 * below + F.coalesce((F.get("_cuts", below) == F.col("_v")).cast("int"), F.lit(0))
+    # between the outermost cuts distinct values are kept apart; outside they only count, unless a rank is there
     pieces = materialize(
         same_rows(rows, sketch, keys)
-        .select(*keys, "_n", bin_of.alias("_bin"), F.when(any_of(inside), v).alias("_slot"), "_v")
-        .groupBy(*keys, "_n", "_bin", "_slot")
-        .agg(F.count("*").alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max")),
-        "quantile-pieces",
+        .withColumn("_bin", bin_of)
+        .groupBy(*keys, "_n", "_bin", "_v")
+        .agg(F.count("*").alias("_c")),
+        "quantile-counts",
     )
-
-    # Where each bin starts. At most m * _BINS + m + 1 rows per group.
-    by_key = Window.partitionBy(*keys).orderBy("_lowest").rowsBetween(Window.unboundedPreceding, -1)
+    # at most two bins for each cut and one more per group
+    by_key = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = (
         pieces.groupBy(*keys, "_n", "_bin")
-        .agg(F.sum("_c").alias("_size"), F.min("_min").alias("_lowest"))
+        .agg(F.sum("_c").alias("_size"))
         .withColumn("_before", F.coalesce(F.sum("_size").over(by_key), F.lit(0)))
     )
 
@@ -115,23 +87,12 @@ def exact_quantiles(
         ]
     )
     chosen = bins.where(wanted).select(*keys, "_bin", "_before")
-    in_bin = (
-        Window.partitionBy(*keys, "_bin").orderBy("_min").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    placed = same_rows(pieces, chosen, [*keys, "_bin"]).withColumn(
-        "_end", F.col("_before") + F.sum("_c").over(in_bin)
-    )
+    in_bin = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = same_rows(pieces, chosen, [*keys, "_bin"]).withColumn("_end", F.col("_before") + F.sum("_c").over(in_bin))
     start = F.col("_end") - F.col("_c")
 
     def value_at(index: Column) -> Column:
-        here = (index >= start) & (index < F.col("_end"))
-        found = (
-            F.when(F.col("_min") == F.col("_max"), F.col("_min"))
-            .when(index == start, F.col("_min"))
-            .when(index == F.col("_end") - 1, F.col("_max"))
-            .otherwise(F.raise_error("quantile rank outside its range; raise accuracy").cast("double"))
-        )
-        return F.max(F.when(here, found))
+        return F.max(F.when((index >= start) & (index < F.col("_end")), F.col("_v")))
 
     ends = []
     for i, p in enumerate(probs):

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _DELETIONS = 2
+CLOSE_LENGTH = 40  # longest string of ``close_pairs``
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -134,12 +135,13 @@ def _verified(pairs: DataFrame, cutoff: int) -> DataFrame:
 
 
 def close_pairs(left: DataFrame, right: DataFrame, cutoff: int, keys: list[str], edits: int) -> DataFrame:
-    """The similar pairs at most ``edits`` (1 or 2) apart, strings up to 40 long.
+    """All similar pairs at most ``edits`` (1 or 2) apart, strings up to ``CLOSE_LENGTH`` long.
 
-    Strings sharing a deletion key differ in at most that many places, so a key
-    group holds near matches only and cannot grow into all pairs of the table.
+    Some pairs further apart are among them: a swap of two letters shares a
+    string with one deletion. A key group holds near matches only and cannot
+    grow into all pairs of the table.
     """
-    short = F.length("value") <= 40
+    short = F.length("value") <= CLOSE_LENGTH
     depth = F.least(_edits(_longest_partner(F.length("value"), cutoff), cutoff), F.lit(edits))
     return _verified(_share_a_deletion(left.where(short), right.where(short), keys, depth), cutoff)
 

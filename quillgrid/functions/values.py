@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +23,26 @@ def strip(col: Column) -> Column:
     return F.trim(col, F.lit(BLANKS))
 
 
+def given_number(value: object) -> int | float | None:
+    """A number as given by a caller: whole numbers stay whole, however many digits."""
+    if isinstance(value, bool):
+        return None
+    if isinstance(value, (int, float)):
+        return value
+    text = str(value).replace("$", "").replace(",", "").strip()
+    try:
+        return int(text) if re.fullmatch(r"[+-]?\d+", text) else float(text)
+    except ValueError:
+        return None
+
+
+def number_literal(kind: T.DataType, number: int | float) -> Column:
+    """A whole number next to a whole-number column stays whole, so that it is
+    compared exactly, without a cast, and pushed down. Others are doubles."""
+    whole = isinstance(kind, T.IntegralType) and number == number // 1 and -(2**63) <= number < 2**63
+    return F.lit(int(number)) if whole else F.lit(float(number))
+
+
 def parse_number(col: Column) -> Column:
     """Text such as ``$1,234`` to a double; anything else becomes null.
 
@@ -46,26 +67,27 @@ def is_numeric(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, T.NumericType)
 
 
-def numeric_columns(df: DataFrame) -> list[str]:
-    """Numeric columns in table order; names with a leading ``_`` are row ids."""
-    return [
-        f.name
-        for f in df.schema.fields
-        if isinstance(f.dataType, T.NumericType) and not f.name.startswith("_")
-    ]
+# The column that holds row ids, unless a caller names another one. It is the
+# only column that statistics, profiles and repairs leave out.
+ROW_ID = "_rid"
+
+
+def data_columns(df: DataFrame, rid: str = ROW_ID) -> list[str]:
+    """Every column but the row id, in table order."""
+    return [c for c in df.columns if c != rid]
+
+
+def numeric_columns(df: DataFrame, rid: str = ROW_ID) -> list[str]:
+    return [c for c in data_columns(df, rid) if is_numeric(df, c)]
 
 
-def text_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+def text_columns(df: DataFrame, rid: str = ROW_ID) -> list[str]:
+    return [c for c in data_columns(df, rid) if isinstance(df.schema[c].dataType, T.StringType)]
 
 
-def other_columns(df: DataFrame) -> list[str]:
+def other_columns(df: DataFrame, rid: str = ROW_ID) -> list[str]:
     """Every non-numeric column (text, boolean, dates)."""
-    return [
-        f.name
-        for f in df.schema.fields
-        if not isinstance(f.dataType, T.NumericType) and not f.name.startswith("_")
-    ]
+    return [c for c in data_columns(df, rid) if not is_numeric(df, c)]
 
 
 def as_number(df: DataFrame, name: str) -> Column:

@@ -62,11 +62,13 @@ def summarize(df: DataFrame, keys: list[str], specs: list[tuple[str, str, str]],
     table = df.withColumns(dict(zip(own, groups))) if keys else df.withColumn("_all", F.lit(0))
     by = own or ["_all"]
     parts = [table.groupBy(*own).agg(*aggregates, F.count("*").alias("_rows"))]
-    for func in ("median", "mode"):
-        wanted = [(c, a) for f, c, a in ranked if f == func]
+    # whole numbers are counted as such: as doubles, neighbours beyond 2 ** 53 would meet
+    whole = lambda c: isinstance(df.schema[c].dataType, T.IntegralType)
+    for func, kind in (("median", "double"), ("mode", "double"), ("mode", "bigint")):
+        wanted = [(c, a) for f, c, a in ranked if f == func and (func == "median" or whole(c) == (kind == "bigint"))]
         if not wanted:
             continue
-        long = long_form(table, by, {c: as_number(df, c) for c in sorted({c for c, _ in wanted})})
+        long = long_form(table, by, {c: as_number(df, c) for c in sorted({c for c, _ in wanted})}, kind)
         if func == "median":
             found = exact_quantiles(long, [*by, "column"], [0.5])
             answer = F.col("quantiles")[0]
@@ -266,14 +268,17 @@ def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return out
 
 
-def bar_series(df: DataFrame, x: str | None = None, y: str | None = None, bars: int = 20) -> DataFrame:
-    """Data of a bar chart: total of ``y`` per category ``x``, tallest first."""
+def bar_series(df: DataFrame, x: str | None = None, y: str | None = None, bars: int | None = None) -> DataFrame:
+    """Data of a bar chart: total of ``y`` per category ``x``, tallest first.
+
+    All categories, or the ``bars`` tallest if a number is given.
+    """
     x = x or (other_columns(df) or df.columns)[0]
     y = y or (numeric_columns(df) or df.columns)[0]
     total = F.coalesce(F.sum(as_number(df, y)), F.lit(0)).alias("height")
-    return (
+    out = (
         df.groupBy(F.col(f"`{x}`").alias("bar"))
         .agg(total)
         .orderBy(F.col("height").desc_nulls_last(), F.col("bar").asc_nulls_last())
-        .limit(bars)
     )
+    return out if bars is None else out.limit(bars)

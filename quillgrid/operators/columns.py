@@ -6,7 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgrid.functions.values import as_number, folded, is_numeric, parse_number, same_rows, without
+from quillgrid.functions.values import (
+    as_number,
+    folded,
+    given_number,
+    is_numeric,
+    number_literal,
+    parse_number,
+    same_rows,
+    without,
+)
 from quillgrid.operators.aggregates import summarize
 from quillgrid.operators.filters import Condition, compare
 from quillgrid.session import materialize
@@ -128,12 +137,11 @@ def _fits(df: DataFrame, name: str, value: object) -> Column:
         return F.lit(None).cast(kind)
     if not isinstance(kind, T.NumericType):
         return F.lit(value)
-    try:
-        number = float(str(value).replace("$", "").replace(",", "").strip())
-    except ValueError:
+    number = given_number(value)
+    if number is None:
         return F.lit(value)
-    whole = isinstance(kind, T.IntegralType) and number == int(number)
-    return F.lit(int(number)).cast(kind) if whole else F.lit(number)
+    new = number_literal(kind, number)
+    return new.cast(kind) if isinstance(kind, T.IntegralType) and number == number // 1 else new
 
 
 def _set(df: DataFrame, name: str, new: Column, where: Column) -> Column:
@@ -181,5 +189,14 @@ def replace_value(df: DataFrame, name: str, old: str, new: object) -> DataFrame:
     """Replace cells equal to ``old`` (trimmed, any case); others stay."""
     if name not in df.columns:
         raise ValueError(f"no column named {name!r}")
+    return df.withColumn(name, _set(df, name, _fits(df, name, new), _equals(name, old)))
+
+
+def _equals(name: str, old: str) -> Column:
     hit = folded(F.col(f"`{name}`")) == F.lit(str(old).strip().lower())
-    return df.withColumn(name, _set(df, name, _fits(df, name, new), F.coalesce(hit, F.lit(False))))
+    return F.coalesce(hit, F.lit(False))
+
+
+def replaced_cells(df: DataFrame, name: str, old: str) -> DataFrame:
+    """One row: how many cells ``replace_value`` changes."""
+    return df.agg(F.count_if(_equals(name, old)).alias("cells_replaced"))

@@ -12,8 +12,8 @@ def _common(old: DataFrame, new: DataFrame, key: str) -> list[str]:
 
 def _paired(old: DataFrame, new: DataFrame, key: str, how: str) -> tuple[DataFrame, list[str]]:
     common = _common(old, new, key)
-    a = old.select(F.col(f"`{key}`").alias("_old_key"), *[F.col(f"`{c}`").alias(f"_old_{i}") for i, c in enumerate(common)])
-    b = new.select(F.col(f"`{key}`").alias("_new_key"), *[F.col(f"`{c}`").alias(f"_new_{i}") for i, c in enumerate(common)])
+    a = old.select(F.lit(True).alias("_in_old"), F.col(f"`{key}`").alias("_old_key"), *[F.col(f"`{c}`").alias(f"_old_{i}") for i, c in enumerate(common)])
+    b = new.select(F.lit(True).alias("_in_new"), F.col(f"`{key}`").alias("_new_key"), *[F.col(f"`{c}`").alias(f"_new_{i}") for i, c in enumerate(common)])
     return a.join(b, F.col("_old_key") == F.col("_new_key"), how), common
 
 
@@ -26,16 +26,16 @@ def table_diff(old: DataFrame, new: DataFrame, key: str = "_rid") -> DataFrame:
 
     Rows are matched by id, so a removed row is one removed row and not a shift
     of all rows below it. Ids are unique, so the join has no hot keys. Missing
-    equals missing.
+    equals missing. Rows without id match nothing: they count as removed and added.
     """
     both, common = _paired(old, new, key, "full")
-    is_new, is_old = F.col("_old_key").isNull(), F.col("_new_key").isNull()
+    is_new, is_old = F.col("_in_old").isNull(), F.col("_in_new").isNull()
     cells = sum((_changed(i).cast("long") for i in range(len(common))), F.lit(0).cast("long"))
     return both.agg(
         F.count_if(is_new).alias("rows_added"),
         F.count_if(is_old).alias("rows_removed"),
         F.coalesce(F.sum(F.when(~is_new & ~is_old, cells)), F.lit(0)).alias("modified_cells"),
-        F.count("_new_key").alias("total_rows_after"),
+        F.count("_in_new").alias("total_rows_after"),
     ).select(
         "rows_added",
         "rows_removed",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.functions.values import text_columns, without
+from quillgrid.functions.values import ROW_ID, text_columns, without
 from quillgrid.operators.ordering import with_position
 from quillgrid.session import materialize
 
@@ -39,6 +39,25 @@ def encode_onehot(df: DataFrame, cols: list[str], max_values: int = 1000) -> Dat
     return out
 
 
+def encode_onehot_long(df: DataFrame, cols: list[str] | None = None, rid: str = ROW_ID) -> DataFrame:
+    """One-hot cells that are 1, as rows ``rid, column, value, place``: any number of values.
+
+    ``place`` counts a column's values in sorted order from 0; the first value
+    and missing cells have no row, as they are 0 everywhere in the wide form.
+    The distinct values of all columns are found in one pass and numbered by
+    one distributed sort.
+    """
+    cols = text_columns(df, rid) if cols is None else cols
+    cells = F.array(*[F.struct(F.lit(n).alias("column"), F.col(f"`{n}`").cast("string").alias("value")) for n in cols])
+    long = df.select(F.col(f"`{rid}`"), F.explode(cells).alias("_c")).select(f"`{rid}`", "_c.*").where(F.col("value").isNotNull())
+    placed = with_position(long.select("column", "value").distinct(), [F.col("column").asc(), F.col("value").asc()], "_place")
+    first = placed.groupBy("column").agg(F.min("_place").alias("_first"))
+    places = placed.join(first, "column").select("column", "value", (F.col("_place") - F.col("_first")).alias("place"))
+    return long.join(materialize(places.where("place > 0"), "onehot-places"), ["column", "value"]).select(
+        f"`{rid}`", "column", "value", "place"
+    )
+
+
 def encode_label(df: DataFrame, cols: list[str]) -> DataFrame:
     """Each text column becomes the rank (from 0) of its value in sorted order.
 

@@ -11,15 +11,18 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quillgrid.functions.values import (
+    ROW_ID,
     WORD,
     all_of,
     any_of,
     as_number,
+    data_columns,
     folded,
+    given_number,
     is_numeric,
+    number_literal,
     other_columns,
     parse_number,
     whole_word,
@@ -43,20 +46,8 @@ class Condition:
     exact: bool = False
 
 
-def _number(value: object) -> float | None:
-    if isinstance(value, (int, float)) and not isinstance(value, bool):
-        return float(value)
-    try:
-        return float(str(value).replace("$", "").replace(",", "").strip())
-    except ValueError:
-        return None
-
-
-def _literal(df: DataFrame, name: str, number: float) -> Column:
-    """A whole number stays whole next to a whole-number column, so that the
-    comparison needs no cast and is pushed down."""
-    whole = isinstance(df.schema[name].dataType, T.IntegralType) and number == int(number)
-    return F.lit(int(number)) if whole else F.lit(number)
+def _literal(df: DataFrame, name: str, number: int | float) -> Column:
+    return number_literal(df.schema[name].dataType, number)
 
 
 def compare(df: DataFrame, condition: Condition) -> Column:
@@ -65,7 +56,7 @@ def compare(df: DataFrame, condition: Condition) -> Column:
     if name not in df.columns:
         raise ValueError(f"no column named {name!r}")
     if op in _COMPARE:
-        number = _number(value)
+        number = given_number(value)
         if number is None:
             raise ValueError(f"{value!r} is not a number")
         return _COMPARE[op](as_number(df, name), _literal(df, name, number))
@@ -73,7 +64,7 @@ def compare(df: DataFrame, condition: Condition) -> Column:
         return _differs(df, name, value)
     if op != "==":
         raise ValueError(f"unknown operator {op!r}")
-    number = _number(value)
+    number = given_number(value)
     if is_numeric(df, name):
         if number is None:
             raise ValueError(f"{value!r} is not a number")
@@ -87,7 +78,7 @@ def compare(df: DataFrame, condition: Condition) -> Column:
 
 def _differs(df: DataFrame, name: str, value: object) -> Column:
     """Not equal; a null cell differs from every value and is kept."""
-    number = _number(value)
+    number = given_number(value)
     if is_numeric(df, name) and number is not None:
         return ~F.col(f"`{name}`").eqNullSafe(_literal(df, name, number))
     return ~folded(F.col(f"`{name}`")).eqNullSafe(F.lit(str(value).strip().lower()))
@@ -117,15 +108,20 @@ def filter_between(df: DataFrame, column: str, low: float, high: float) -> DataF
     return filter_all(df, [Condition(column, ">", low), Condition(column, "<", high)])
 
 
-def rows_with_null(df: DataFrame, column: str | None = None) -> DataFrame:
-    """Rows with a null in one column, or in any column."""
-    names = [column] if column else df.columns
-    return df.where(any_of([F.col(f"`{n}`").isNull() for n in names]))
+def rows_with_null(df: DataFrame, column: str | None = None, rid: str = ROW_ID) -> DataFrame:
+    """Rows with a null in one column, or in any column but the row id."""
+    names = [column] if column else data_columns(df, rid)
+    return df.where(any_of([F.lit(False)] + [F.col(f"`{n}`").isNull() for n in names]))
+
+
+def drop_null_rows(df: DataFrame, rid: str = ROW_ID) -> DataFrame:
+    """Rows without any null cell; a missing row id doesn't count."""
+    return df.where(all_of([F.lit(True)] + [F.col(f"`{n}`").isNotNull() for n in data_columns(df, rid)]))
 
 
-def drop_null_rows(df: DataFrame) -> DataFrame:
-    """Rows without any null cell."""
-    return df.where(all_of([F.col(f"`{n}`").isNotNull() for n in df.columns]))
+def null_row_count(df: DataFrame, rid: str = ROW_ID) -> DataFrame:
+    """One row: how many rows ``drop_null_rows`` leaves out."""
+    return rows_with_null(df, rid=rid).agg(F.count("*").alias("rows_dropped"))
 
 
 # Words that turn a value hit into "everything but this value".

@@ -6,20 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgrid.functions.values import numeric_columns
-
-
-def _columns(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if not c.startswith("_")]
+from quillgrid.functions.values import ROW_ID, data_columns, numeric_columns
 
 
 def _explode(one_row: DataFrame, cells: list[Column]) -> DataFrame:
     return one_row.select("*", F.explode(F.array(*cells)).alias("_c"))
 
 
-def null_counts(df: DataFrame) -> DataFrame:
+def null_counts(df: DataFrame, rid: str = ROW_ID) -> DataFrame:
     """Per column: position, nulls, rows and null percentage. One aggregate."""
-    names = _columns(df)
+    names = data_columns(df, rid)
     one = df.agg(
         F.count("*").alias("rows"),
         *[F.count_if(F.col(f"`{n}`").isNull()).alias(f"n{i}") for i, n in enumerate(names)],
@@ -48,9 +44,9 @@ def skewness(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return _explode(one, cells).select("_c.*")
 
 
-def hygiene_score(df: DataFrame) -> DataFrame:
+def hygiene_score(df: DataFrame, rid: str = ROW_ID) -> DataFrame:
     """One row: cells, missing cells and the share of filled cells in percent."""
-    names = _columns(df)
+    names = data_columns(df, rid)
     nulls = sum((F.col(f"`{n}`").isNull().cast("long") for n in names), F.lit(0).cast("long"))
     one = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(nulls), F.lit(0)).alias("missing_cells"))
     cells = F.col("rows") * max(len(names), 1)
@@ -62,13 +58,13 @@ def hygiene_score(df: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
+def duplicate_rows(df: DataFrame, rid: str = ROW_ID) -> DataFrame:
     """One row: how many rows repeat an earlier one. Row ids are left out.
 
     Copies are counted on the map side, so a group of identical rows reaches
     its reducer as one row per task.
     """
-    names = _columns(df)
+    names = data_columns(df, rid)
     groups = df.groupBy(*[F.col(f"`{n}`") for n in names]).agg(F.count("*").alias("_copies"))
     return groups.agg(F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicate_rows"))
 
@@ -86,15 +82,15 @@ def type_name(kind: T.DataType) -> str:
     return "object"
 
 
-def table_profile(df: DataFrame) -> DataFrame:
+def table_profile(df: DataFrame, rid: str = ROW_ID) -> DataFrame:
     """One row per column with the table's totals repeated.
 
     Everything except the duplicate count comes from one aggregate over the
     table; the duplicate count needs the one shuffle of whole rows and is
     attached as a scalar subquery.
     """
-    names = _columns(df)
-    numbers = set(numeric_columns(df))
+    names = data_columns(df, rid)
+    numbers = set(numeric_columns(df, rid))
     kinds = {f.name: type_name(f.dataType) for f in df.schema.fields}
     aggregates = [F.count("*").alias("total_rows")]
     for i, n in enumerate(names):
@@ -126,6 +122,6 @@ def table_profile(df: DataFrame) -> DataFrame:
             F.bround(
                 F.greatest(F.lit(0.0), 100 - F.col("missing_cells") / (rows * max(len(names), 1)) * 100), 1
             ).alias("hygiene_score"),
-            duplicate_rows(df).scalar().alias("duplicate_rows"),
+            duplicate_rows(df, rid).scalar().alias("duplicate_rows"),
         )
     )

@@ -21,7 +21,6 @@ NA_TOKENS = [
 ]
 NUMERIC_SHARE = 0.8
 
-_WHOLE = r"^\s*[+-]?\d{1,18}\s*$"
 _TRUTH = ["True", "TRUE", "true", "False", "FALSE", "false"]
 
 
@@ -46,7 +45,7 @@ def csv_scan(
         c = F.col(f"`{n}`")
         checks += [
             F.count(c).alias(f"filled{i}"),
-            F.count_if(c.rlike(_WHOLE)).alias(f"whole{i}"),
+            F.count_if(_whole_number(c).isNotNull()).alias(f"whole{i}"),
             F.count_if(_plain_number(c).isNotNull()).alias(f"number{i}"),
             F.count_if(c.isin(_TRUTH)).alias(f"truth{i}"),
         ]
@@ -65,6 +64,11 @@ def csv_scan(
     return text.select(*[_typed(F.col(f"`{n}`"), k).alias(n) for n, k in zip(names, kinds)])
 
 
+def _whole_number(col: Column) -> Column:
+    """A whole number that 64 bits hold."""
+    return F.when(col.rlike(r"^\s*[+-]?\d+\s*$"), strip(col).try_cast("bigint"))
+
+
 def _plain_number(col: Column) -> Column:
     """A number as written in a file: no currency sign, no thousands comma."""
     return F.when(~col.rlike("[$,]"), parse_number(col))

@@ -8,6 +8,8 @@ from quillgrid.operators import aggregates as D
 from quillgrid.operators import joins as E
 from quillgrid.operators import ordering as O
 from quillgrid.operators import rows as H
+from quillgrid.operators.diff import table_diff
+from quillgrid.operators.filters import drop_null_rows
 from registry.base import over, register, sql_number, table, view
 
 SQL = {
@@ -261,6 +263,36 @@ def bar_series(spark, folder):
     return D.bar_series(view(spark, folder, "dirty_orders"), "priority", "price").withColumn("height", F.bround("height", 2))
 
 
+_BARS = "SELECT o_custkey AS bar, round_even(sum(o_totalprice), 2) AS height FROM orders GROUP BY o_custkey"
+
+
+@register("bar_series_all", _BARS)
+def bar_series_all(spark, folder):
+    return D.bar_series(table(spark, folder, "orders"), "o_custkey", "o_totalprice").withColumn("height", F.bround("height", 2))
+
+
+_BIG = "(SELECT o_custkey % 7 AS part, o_custkey + 9007199254740993 AS id FROM orders)"
+
+
+def _big(spark, folder):
+    orders = table(spark, folder, "orders")
+    return orders.select((F.col("o_custkey") % 7).alias("part"), (F.col("o_custkey") + F.lit(9007199254740993)).alias("id"))
+
+
+@register("agg_mode_big_id", f"SELECT id AS value FROM {_BIG} GROUP BY id ORDER BY count(*) DESC, id LIMIT 1")
+def agg_mode_big_id(spark, folder):
+    return D.aggregate(_big(spark, folder), "mode", "id")
+
+
+@register(
+    "group_mode_big_id",
+    f"""SELECT part, id AS mode_id FROM (SELECT part, id, row_number() OVER (PARTITION BY part ORDER BY count(*) DESC, id) AS k
+        FROM {_BIG} GROUP BY part, id) WHERE k = 1""",
+)
+def group_mode_big_id(spark, folder):
+    return D.group_agg(_big(spark, folder), "part", "mode", "id")
+
+
 # Joins
 
 for _how in ["inner", "left", "right", "full"]:
@@ -342,7 +374,7 @@ def head_n(spark, folder):
 
 @register(
     "append_row",
-    over("dirty_orders", "SELECT * FROM dirty_orders UNION ALL SELECT NULL, 7, '1-URGENT', NULL, 1234.5, NULL"),
+    over("dirty_orders", "SELECT * FROM dirty_orders UNION ALL SELECT (SELECT max(_rid) + 1 FROM dirty_orders), 7, '1-URGENT', NULL, 1234.5, NULL"),
 )
 def append_row(spark, folder):
     values = {"custkey": "7", "priority": "1-URGENT", "price": "$1,234.5", "no such column": "x"}
@@ -389,6 +421,81 @@ def append_rows_rejected(spark, folder):
     return H.split_rows(*_batch(spark, folder))[1]
 
 
+_TYPED = """SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN '3.7' WHEN o_orderkey % 5 = 1 THEN '4.0'
+    WHEN o_orderkey % 5 = 2 THEN '9007199254740993' ELSE CAST(o_custkey AS STRING) END AS o_custkey,
+    CASE WHEN o_orderkey % 7 = 0 THEN 'not a date' ELSE '1995-03-04 00:00:00' END AS o_orderdate FROM {orders}"""
+
+
+def _typed_batch(spark, folder):
+    orders = table(spark, folder, "orders")
+    batch = spark.sql(_TYPED, orders=orders)
+    return orders, batch.select(*[F.col(c).cast("string").alias(c) for c in batch.columns])
+
+
+_TYPED_SQL = _TYPED.replace("{orders}", "orders").replace("AS STRING", "AS VARCHAR")
+
+
+@register(
+    "append_rows_rejected_types",
+    f"""SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_custkey, o_orderdate FROM ({_TYPED_SQL})
+        WHERE o_custkey = '3.7' OR o_orderdate = 'not a date'""",
+)
+def append_rows_rejected_types(spark, folder):
+    return H.split_rows(*_typed_batch(spark, folder))[1]
+
+
+@register(
+    "append_rows_types",
+    f"""SELECT o_orderkey, o_custkey FROM orders UNION ALL
+        SELECT o_orderkey, CAST(CASE WHEN o_custkey = '4.0' THEN '4' ELSE o_custkey END AS BIGINT) FROM ({_TYPED_SQL})
+        WHERE o_custkey <> '3.7' AND o_orderdate <> 'not a date'""",
+)
+def append_rows_types(spark, folder):
+    return H.append_rows(*_typed_batch(spark, folder)).select("o_orderkey", "o_custkey")
+
+
+_FULL_ROW = {"custkey": 7, "priority": "1-URGENT", "status": "O", "price": 10, "price_null_group": 11}
+
+
+@register(
+    "drop_null_rows_after_append",
+    over(
+        "dirty_orders",
+        """SELECT * FROM dirty_orders WHERE custkey IS NOT NULL AND priority IS NOT NULL AND status IS NOT NULL AND price IS NOT NULL
+             AND price_null_group IS NOT NULL
+           UNION ALL SELECT (SELECT max(_rid) + 1 FROM dirty_orders), 7, '1-URGENT', 'O', 10, 11""",
+    ),
+)
+def drop_null_rows_after_append(spark, folder):
+    return drop_null_rows(H.append_row(view(spark, folder, "dirty_orders"), _FULL_ROW))
+
+
+@register(
+    "append_then_diff",
+    over(
+        "base_orders",
+        """SELECT CAST(1 AS BIGINT) AS rows_added, CAST(0 AS BIGINT) AS rows_removed, CAST(1 AS BIGINT) AS net_rows, 0 AS columns_added,
+             0 AS columns_removed, CAST(0 AS BIGINT) AS modified_cells, count(*) + 1 AS total_rows_after, 4 AS total_columns_after
+           FROM base_orders""",
+    ),
+)
+def append_then_diff(spark, folder):
+    orders = view(spark, folder, "base_orders")
+    return table_diff(orders, H.append_row(orders, {"custkey": 3, "status": "O"}))
+
+
+_TWICE = "(SELECT _rid, custkey, status FROM base_orders UNION ALL SELECT _rid + 1000000000, custkey, status FROM base_orders)"
+
+
+@register(
+    "drop_duplicates_with_ids",
+    over("base_orders", f"SELECT min(_rid) AS _rid, custkey, status FROM {_TWICE} GROUP BY custkey, status"),
+)
+def drop_duplicates_with_ids(spark, folder):
+    orders = view(spark, folder, "base_orders").select("_rid", "custkey", "status")
+    return H.drop_duplicates(orders.unionByName(orders.withColumn("_rid", F.col("_rid") + 1000000000)))
+
+
 @register("drop_duplicates", over("dup_orders", "SELECT DISTINCT * FROM dup_orders"))
 def drop_duplicates(spark, folder):
     return H.drop_duplicates(view(spark, folder, "dup_orders"))

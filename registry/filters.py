@@ -70,6 +70,20 @@ def filter_between(spark, folder):
     return C.filter_between(view(spark, folder, "dirty_orders"), "price", 40000, 60000)
 
 
+_BIG = "SELECT o_orderkey + 9007199254740992 AS id, o_custkey FROM {orders}"
+
+
+@register("filter_big_id", f"SELECT * FROM ({_BIG.replace('{orders}', 'orders')}) WHERE id = 9007199254740993")
+def filter_big_id(spark, folder):
+    ids = spark.sql(_BIG, orders=table(spark, folder, "orders"))
+    return C.filter_all(ids, [C.Condition("id", "==", 9007199254740993), C.Condition("id", "!=", "9007199254740992")])
+
+
+@register("null_row_count", over("dirty_orders", "SELECT count(*) AS rows_dropped FROM dirty_orders WHERE custkey IS NULL OR priority IS NULL OR status IS NULL OR price IS NULL OR price_null_group IS NULL"))
+def null_row_count(spark, folder):
+    return C.null_row_count(view(spark, folder, "dirty_orders"))
+
+
 @register("rows_null_in_column", over("dirty_orders", "SELECT * FROM dirty_orders WHERE price IS NULL"))
 def rows_null_in_column(spark, folder):
     return C.rows_with_null(view(spark, folder, "dirty_orders"), "price")

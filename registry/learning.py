@@ -105,6 +105,23 @@ def clean_table(spark, folder):
     return I.clean_table(messy)
 
 
+@register(
+    "clean_table_with_ids",
+    over(
+        "dirty_customer",
+        f"""WITH twice AS (SELECT * FROM dirty_customer UNION ALL SELECT * REPLACE (_rid + 1000000000 AS _rid) FROM dirty_customer),
+            normal AS (SELECT _rid, {_normal('c_name')} AS c_name, c_nationkey, {_normal('segment')} AS segment, balance,
+                         {_normal('balance_text')} AS balance_text FROM twice),
+            {_fuzzy('normal', 'segment')}
+            SELECT min(_rid) AS _rid, c_name, c_nationkey, coalesce(canonical, segment) AS segment, balance, balance_text
+            FROM normal LEFT JOIN fix ON segment = value GROUP BY ALL""",
+    ),
+)
+def clean_table_with_ids(spark, folder):
+    messy = view(spark, folder, "dirty_customer")
+    return I.clean_table(messy.unionByName(messy.withColumn("_rid", F.col("_rid") + 1000000000)), ["segment"])
+
+
 # Imputation
 
 
@@ -196,6 +213,22 @@ def encode_onehot(spark, folder):
     return K.encode(view(spark, folder, "dirty_orders").drop("price_null_group"), "onehot")
 
 
+_VALUES = "SELECT _rid, 'c_name' AS \"column\", c_name AS value FROM dirty_customer UNION ALL SELECT _rid, 'segment', segment FROM dirty_customer"
+
+
+@register(
+    "encode_onehot_wide",
+    over(
+        "dirty_customer",
+        f"""WITH v AS (SELECT * FROM ({_VALUES}) WHERE value IS NOT NULL)
+            SELECT * FROM (SELECT _rid, "column", value, dense_rank() OVER (PARTITION BY "column" ORDER BY value) - 1 AS place FROM v)
+            WHERE place > 0""",
+    ),
+)
+def encode_onehot_wide(spark, folder):
+    return K.encode_onehot_long(view(spark, folder, "dirty_customer"), ["c_name", "segment"])
+
+
 @register(
     "encode_label",
     over(

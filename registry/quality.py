@@ -226,6 +226,19 @@ UNION ALL SELECT 5, 'outliers', "column", CAST(outliers AS DOUBLE),
 UNION ALL SELECT 6, 'correlation', a || ' ~ ' || b, round_even(r, 2), a || ' and ' || b || ' move together most (r = ' || round_even(r, 2) || ')' FROM r"""
 
 
+@register(
+    "table_profile_underscore",
+    """WITH t AS (SELECT count(*) AS n, count(DISTINCT o_orderstatus) AS d FROM orders)
+       SELECT c AS "column", k AS type, CASE WHEN c = '_score' THEN n ELSE 0 END AS nulls, CAST(NULL AS DOUBLE) AS skewness,
+         CASE WHEN c = '_score' THEN CAST(100 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS null_pct, n AS total_rows, 2 AS total_columns,
+         n AS missing_cells, CAST(50 AS DOUBLE) AS hygiene_score, n - d AS duplicate_rows
+       FROM t, (VALUES ('o_orderstatus', 'object'), ('_score', 'float64')) v(c, k)""",
+)
+def table_profile_underscore(spark, folder):
+    orders = table(spark, folder, "orders").select("o_orderstatus", F.lit(None).cast("double").alias("_score"))
+    return P.table_profile(orders)
+
+
 @register("insight_table", over("dirty_orders", _INSIGHTS))
 def insight_table(spark, folder):
     return J.insight_table(view(spark, folder, "dirty_orders"))

@@ -30,9 +30,18 @@ def csv_scan(spark, folder):
     return I.csv_scan(spark, path)
 
 
-@register("csv_sink", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+_IDS = "SELECT o_orderkey + 9007199254740992 AS a, 9223372036854775807 - o_orderkey AS b, o_orderstatus FROM {orders}"
+
+
+@register("csv_scan_big_id", _IDS.replace("{orders}", "orders"))
+def csv_scan_big_id(spark, folder):
+    ids = spark.sql(_IDS.replace("9223372036854775807", "9223372036854775807L"), orders=table(spark, folder, "orders"))
+    return I.csv_scan(spark, I.csv_sink(ids, scratch_path(spark, "csv")))
+
+
+@register("csv_sink", "SELECT * FROM orders")
 def csv_sink(spark, folder):
-    orders = table(spark, folder, "orders").drop("o_orderdate")
+    orders = table(spark, folder, "orders")
     path = I.csv_sink(orders, scratch_path(spark, "csv"))
     return I.csv_scan(spark, path, orders.schema)
 
@@ -99,10 +108,10 @@ def sql_register(spark, folder):
 # Column edits
 
 
-@register("trim_headers", over("dirty_orders", "SELECT _rid, custkey, price FROM dirty_orders"))
+@register("trim_headers", over("dirty_orders", "SELECT * FROM dirty_orders"))
 def trim_headers(spark, folder):
-    orders = view(spark, folder, "dirty_orders").select("_rid", "custkey", "price")
-    return C.trim_headers(orders.toDF(" _rid", "custkey  ", "\tprice "))
+    orders = view(spark, folder, "dirty_orders")
+    return C.trim_headers(orders.toDF(" _rid", "custkey  ", "\tpriority ", "status", " price", "price_null_group "))
 
 
 @register("drop_column", over("dirty_orders", "SELECT * EXCLUDE (price_null_group) FROM dirty_orders"))

@@ -7,7 +7,7 @@ import os
 import statistics
 import time
 
-from quillgrid.session import local_session
+from quillgrid.session import clear_scratch, local_session
 from registry import all_queries
 
 HEADLINE = [
@@ -39,6 +39,7 @@ def main() -> None:
             if run:
                 times.append(time.perf_counter() - start)
         seconds[name] = round(statistics.median(times), 3)
+        clear_scratch(spark)
     print(
         json.dumps(
             {

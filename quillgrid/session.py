@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +20,7 @@ def local_session(cores: int | str = "*", app_name: str = "quillgrid") -> SparkS
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.checkpoint.dir", os.environ.get("QUILLGRID_SCRATCH", f"file:{os.path.abspath('spark-warehouse')}/_scratch"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -30,25 +30,28 @@ def local_session(cores: int | str = "*", app_name: str = "quillgrid") -> SparkS
 def scratch_root(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 
-    Only a local session, where driver and executors share one disk, may fall
-    back to a temporary folder; a cluster without the setting is an error.
+    Where it is unset, a folder beside the warehouse's tables, which all
+    executors share as well.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="quillgrid-"))
-        current = context.getCheckpointDir()
-    return current
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark).rstrip('/')}/quillgrid/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path under the shared folder."""
-    return f"{scratch_root(spark).rstrip('/')}/quillgrid/{name}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove what this application stored. Results that still read it must be written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -1,11 +1,13 @@
 import pytest
 
-from quillgrid.session import local_session
+from quillgrid.session import clear_scratch, local_session
 
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(8, "tests")
+    session = local_session(8, "tests")
+    yield session
+    clear_scratch(session)
 
 
 @pytest.fixture(scope="session")

@@ -23,9 +23,11 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from quillgrid.llm.batches import pieces, texts_of
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-CACHE_ENTRIES = 150_000  # of each generation, in each Python worker
+CACHE_ENTRIES = 250_000  # of each generation, in each Python worker
 _MASK = (1 << 64) - 1
 _STEP, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd constants that spread bits
 
@@ -96,7 +98,7 @@ class Vocabulary:
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"bytes {missing} are not in the vocabulary")
-        self.pattern = pattern
+        self.pattern, self.codec = pattern, None
         self.hash = PerfectHash(list(ranks))
         self.tokens: list[bytes] = [b""] * len(ranks)
         self.ids = np.zeros(len(ranks), np.uint32)
@@ -121,6 +123,13 @@ class Vocabulary:
 class Codec:
     """Encoder and decoder of one worker."""
 
+    @staticmethod
+    def of(vocabulary: Vocabulary) -> Codec:
+        """The codec of a broadcast vocabulary, made once per worker process, so that tasks share its cache."""
+        if vocabulary.codec is None:
+            vocabulary.codec = Codec(vocabulary)
+        return vocabulary.codec
+
     def __init__(self, vocabulary: Vocabulary):
         v = vocabulary
         self.pattern = regex.compile(v.pattern)
@@ -138,8 +147,8 @@ class Codec:
         for t, i in zip(self.tokens, self.ids, strict=True):
             by_id[i] = t
         self.flat = np.frombuffer(b"".join(by_id), np.uint8)
-        self.words: tuple[dict, dict] = ({}, {})
-        self.chunks: tuple[dict, dict] = ({}, {})
+        self.young: dict[str, tuple[str, bytes]] = {}
+        self.old: dict[str, tuple[str, bytes]] = {}
 
     def _whole(self, piece: bytes) -> int:
         """The id of a pre-token that is one token, else -1."""
@@ -151,22 +160,20 @@ class Codec:
     def _merge(self, piece: bytes) -> list[int]:
         """Merge bytes by rank: a heap of (rank, place) over a doubly linked list."""
         pair = self.pairs.get
-        symbols = [self.byte_ids[b] for b in piece]
+        byte_ids = self.byte_ids
+        symbols = [byte_ids[b] for b in piece]
         n = len(symbols)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = []
-        for i in range(n - 1):
-            rank = pair((symbols[i] << 32) | symbols[i + 1])
-            if rank is not None:
-                heap.append((rank << 40) | i)
+        keys = [(a << 32) | b for a, b in zip(symbols, symbols[1:])]
+        heap = [(rank << 40) | i for i, rank in enumerate(map(pair, keys)) if rank is not None]
         heapq.heapify(heap)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         pop, push = heapq.heappop, heapq.heappush
         while heap:
             top = pop(heap)
             rank, i = top >> 40, top & 0xFFFFFFFFFF
-            j = after[i]
+            left, j = symbols[i], after[i]
             # stale entries: the left end is gone, or one of its symbols changed
-            if symbols[i] < 0 or j >= n or pair((symbols[i] << 32) | symbols[j]) != rank:
+            if left < 0 or j >= n or pair((left << 32) | symbols[j]) != rank:
                 continue
             symbols[i], symbols[j] = rank, -1
             k = after[i] = after[j]
@@ -182,43 +189,35 @@ class Codec:
                     push(heap, (more << 40) | h)
         return [s for s in symbols if s >= 0]
 
-    def _word(self, word: str) -> list[int]:
-        young, old = self.words
-        found = young.get(word)
-        if found is None:
-            found = old.get(word)
-            if found is None:
-                piece = word.encode()
-                whole = self._whole(piece)
-                found = [whole] if whole >= 0 else self._merge(piece)
-            if len(young) >= CACHE_ENTRIES:
-                self.words = young, old = {}, young
-            young[word] = found
-        return found
+    def _ids(self, word: str) -> list[int]:
+        piece = word.encode()
+        whole = self._whole(piece)
+        return [whole] if whole >= 0 else self._merge(piece)
 
-    def _chunk(self, chunk: str) -> tuple[str, bytes]:
+    def _stretch(self, text: str) -> tuple[str, bytes]:
         """Ids of a stretch that pre-tokens don't cross: as decimals, and as 32-bit numbers."""
-        young, old = self.chunks
-        found = old.get(chunk)
+        found = self.old.get(text)
         if found is None:
-            ids = [i for word in self.pattern.findall(chunk) for i in self._word(word)]
+            words = (text,) if _ONE.fullmatch(text) else self.pattern.findall(text)
+            ids = self._ids(words[0]) if len(words) == 1 else [i for w in words for i in self._ids(w)]
             found = " ".join(map(str, ids)), array("I", ids).tobytes()
-        if len(young) >= CACHE_ENTRIES:
-            self.chunks = young, old = {}, young
-        young[chunk] = found
+        if len(self.young) >= CACHE_ENTRIES:
+            self.young, self.old = {}, self.young
+        self.young[text] = found
         return found
 
     def encode(self, text: str) -> tuple[str, bytes]:
         """All ids as decimals joined by one space, and as 32-bit numbers.
 
         Without two white-space characters in a row, no pre-token reaches over
-        the place before a blank or line break, so texts are cut there and the
-        stretches cached. Other texts are matched as a whole.
+        the place before a blank, around a line break or between a Latin letter
+        and most marks, so texts are cut there and the stretches cached. Other
+        texts are cut into pre-tokens as a whole.
         """
         pieces = _CUT.findall(text) if not _RUN.search(text) else self.pattern.findall(text)
-        found = list(map(self.chunks[0].get, pieces))
+        found = list(map(self.young.get, pieces))
         if None in found:
-            found = [f if f is not None else self.chunks[0].get(p) or self._chunk(p) for f, p in zip(found, pieces, strict=True)]
+            found = [f if f is not None else self.young.get(p) or self._stretch(p) for f, p in zip(found, pieces, strict=True)]
         return " ".join([f[0] for f in found]), b"".join([f[1] for f in found])
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -230,11 +229,13 @@ class Codec:
         return self.flat[shift + np.arange(ends[-1])].tobytes()
 
 
-_CUT = re.compile(r"[ \n]?[^ \n]+|[ \n]")
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_ONE = re.compile(f" ?[{_LATIN}]+")
+_CUT = re.compile(f" ?[{_LATIN}]+(?=[ \\n.,;:!?%$&*#|]|$)|\\n|[ \\n]?[^ \\n]+|[ \\n]")
 _RUN = regex.compile(r"\s\s")
 
 
-def _with_columns(df: DataFrame, added: list[T.StructField], make, used: str) -> DataFrame:
+def _with_columns(df: DataFrame, added: list[T.StructField], make, used: str, texts: bool = True) -> DataFrame:
     """``df`` and new columns that ``make`` gives for the values of column ``used``."""
     taken = {f.name for f in added} & {c.lower() for c in df.columns}
     if taken:
@@ -243,7 +244,7 @@ def _with_columns(df: DataFrame, added: list[T.StructField], make, used: str) ->
 
     def run(batches):
         one = make()
-        for batch in batches:
+        for batch in pieces(batches, at) if texts else batches:
             columns = list(batch.columns) + one(batch.column(at))
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *[f.name for f in added]])
 
@@ -259,10 +260,10 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", name: str
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def make():
-        codec = Codec(shared.value)
+        codec = Codec.of(shared.value)
 
         def one(texts):
-            packed = [codec.encode(t.as_py() or "")[1] for t in texts]
+            packed = [codec.encode(t)[1] for t in texts_of(texts)]
             offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(packed), np.int32))
             return [pa.ListArray.from_arrays(pa.array(offsets), values)]
@@ -277,14 +278,14 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", name: str =
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def make():
-        codec = Codec(shared.value)
+        codec = Codec.of(shared.value)
 
         def one(lists):
             return [pa.array([codec.decode(np.array(x.as_py() or [], np.int64)) for x in lists], pa.binary())]
 
         return one
 
-    return _with_columns(df, [T.StructField(name, T.BinaryType())], make, ids)
+    return _with_columns(df, [T.StructField(name, T.BinaryType())], make, ids, texts=False)
 
 
 def round_trip(df: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
@@ -297,12 +298,12 @@ def round_trip(df: DataFrame, vocabulary: Vocabulary, text: str = "text") -> Dat
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def make():
-        codec = Codec(shared.value)
+        codec = Codec.of(shared.value)
 
         def one(texts):
             n, ids_hash, text_hash = [], [], []
-            for t in texts:
-                decimals, packed = codec.encode(t.as_py() or "")
+            for t in texts_of(texts):
+                decimals, packed = codec.encode(t)
                 ids = np.frombuffer(packed, np.uint32)
                 n.append(len(ids))
                 ids_hash.append(hashlib.sha256(decimals.encode()).hexdigest())

@@ -7,6 +7,12 @@ All plain aggregates of a call share one pass with map-side combining.
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +21,9 @@ from quillgrid.functions.values import as_number, numeric_columns, other_columns
 from quillgrid.operators.quantiles import exact_modes, exact_quantiles, long_form
 from quillgrid.sources.ingest import number_like_columns
 
+# Functions sent to the workers travel by value: the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Function names and their other spellings.
 FUNCTIONS = ["sum", "mean", "median", "mode", "min", "max", "count"]
 ALIASES = {"avg": "mean", "average": "mean", "total": "sum", "minimum": "min", "maximum": "max"}
@@ -169,40 +178,51 @@ def fast_group_agg(df: DataFrame, key: str, column: str, func: str = "avg") -> D
 def correlations(df: DataFrame, columns: list[str] | None = None, digits: int | None = 3) -> DataFrame:
     """Pearson matrix as rows ``(col_a, col_b, r)`` over rows where both are present.
 
-    Null for a constant column. ``corr`` raises a division error on constants
-    under ANSI rules, hence the explicit quotient. Each row gives one short
-    record per pair of columns, combined before the shuffle to one per pair and
-    task; a single wide aggregate would be too large to compile.
+    Null for a constant column. Values are taken from a middle value of their
+    column (one aggregate), so that the sums lose few digits and a constant is
+    exactly 0. Each task adds up its batches
+    as matrix products and sends one record per pair of columns; rows are never
+    multiplied by the number of pairs.
     """
     columns = columns or numeric_columns(df)
-    pairs = F.array(
-        *[
-            F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"_v{i}").alias("x"), F.col(f"_v{j}").alias("y"))
-            for i in range(len(columns))
-            for j in range(i, len(columns))
-        ]
-    )
+    p = len(columns)
     values = df.select(*[as_number(df, c).cast("double").alias(f"_v{i}") for i, c in enumerate(columns)])
-    found = (
-        values.select(F.explode(pairs).alias("_p"))
-        .select("_p.*")
-        .groupBy("i", "j")
-        # both sides only where the other is present
-        .agg(
-            F.try_divide(
-                F.covar_pop("x", "y"),
-                F.stddev_pop(F.when(F.col("y").isNotNull(), F.col("x")))
-                * F.stddev_pop(F.when(F.col("x").isNotNull(), F.col("y"))),
-            ).alias("r")
-        )
-    )
+    found = values.agg(*[F.percentile_approx(f"_v{i}", 0.5, 100).alias(f"_v{i}") for i in range(p)]).first()
+    middles = np.array([found[i] if found[i] is not None else 0.0 for i in range(p)])
+
+    def run(batches):
+        sums = np.zeros((4, p, p))
+        for batch in batches:
+            raw = [pc.fill_null(c, float("nan")).to_numpy(zero_copy_only=False) for c in batch.columns]
+            x = np.column_stack(raw) - middles if batch.num_rows else np.zeros((0, p))
+            there = ~np.isnan(x)
+            x, there = np.where(there, x, 0.0), there.astype(float)
+            sums += [there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x]
+        i, j = np.triu_indices(p)
+        n, x, xx, xy = sums
+        parts = [i.astype(np.int32), j.astype(np.int32), n[i, j], x[i, j], x[j, i], xx[i, j], xx[j, i], xy[i, j]]
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in parts], names=["i", "j", *_MOMENTS])
+
+    added = values.mapInArrow(run, "i int, j int, " + ", ".join(f"{m} double" for m in _MOMENTS))
+    total = added.groupBy("i", "j").agg(*[F.sum(m).alias(m) for m in _MOMENTS])
+    n = F.nullif(F.col("n"), F.lit(0.0))
+    spread = lambda s, ss: F.col(ss) / n - (F.col(s) / n) * (F.col(s) / n)
+    both = spread("x", "xx") * spread("y", "yy")
+    # rounding leaves a constant column a trace of spread
+    flat = (spread("x", "xx") <= 1e-14 * F.col("xx") / n) | (spread("y", "yy") <= 1e-14 * F.col("yy") / n) | (both <= 0)
+    r = F.when(~flat, (F.col("xy") / n - (F.col("x") / n) * (F.col("y") / n)) / F.sqrt(F.when(both > 0, both)))
     names = F.array(*[F.lit(c) for c in columns])
-    shown = F.col("r") if digits is None else F.bround("r", digits)
+    inside = F.when(r > 1, F.lit(1.0)).when(r < -1, F.lit(-1.0)).otherwise(r)
+    r = F.when(F.col("i") == F.col("j"), F.when(~flat, F.lit(1.0))).otherwise(inside)
+    shown = r if digits is None else F.bround(r, digits)
     a, b = F.get(names, F.col("i")), F.get(names, F.col("j"))
-    both = F.when(
+    pair = F.when(
         F.col("i") == F.col("j"), F.array(F.struct(a.alias("col_a"), b.alias("col_b")))
     ).otherwise(F.array(F.struct(a.alias("col_a"), b.alias("col_b")), F.struct(b.alias("col_a"), a.alias("col_b"))))
-    return found.select(F.explode(both).alias("_c"), shown.alias("r")).select("_c.*", "r")
+    return total.select(F.explode(pair).alias("_c"), shown.alias("r")).select("_c.*", "r")
+
+
+_MOMENTS = ["n", "x", "y", "xx", "yy", "xy"]
 
 
 def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -61,15 +61,25 @@ def encode_onehot_long(df: DataFrame, cols: list[str] | None = None, rid: str =
 def encode_label(df: DataFrame, cols: list[str]) -> DataFrame:
     """Each text column becomes the rank (from 0) of its value in sorted order.
 
-    The distinct values are numbered by a distributed sort and joined back;
-    Spark broadcasts the numbers when they are small.
+    The distinct values of all columns are found in one pass, numbered by one
+    distributed sort and joined back column by column; Spark broadcasts the
+    numbers when they are small.
     """
+    if not cols:
+        return df
+    value = {n: F.coalesce(F.col(f"`{n}`"), F.lit(MISSING)) for n in cols}
+    cells = F.array(*[F.struct(F.lit(n).alias("_column"), v.alias("_value")) for n, v in value.items()])
+    values = df.select(F.explode(cells).alias("_c")).select("_c.*").distinct()
+    placed = with_position(values, [F.col("_column").asc(), F.col("_value").asc()], "_code")
+    first = placed.groupBy(F.col("_column").alias("_of")).agg(F.min("_code").alias("_first"))
+    codes = placed.join(first, F.col("_column") == F.col("_of")).select(
+        "_column", "_value", (F.col("_code") - F.col("_first")).cast("long").alias("_code")
+    )
+    codes = materialize(codes, "labels")
     out = df
     for name in cols:
-        value = F.coalesce(F.col(f"`{name}`"), F.lit(MISSING))
-        values = df.select(value.alias("_value")).distinct()
-        codes = materialize(with_position(values, [F.col("_value").asc()], "_code"), "labels")
-        keyed = out.withColumn("_key", value)
-        joined = keyed.join(codes, keyed["_key"] == codes["_value"], "left")
-        out = joined.withColumn(name, (F.col("_code") - 1).cast("long")).drop("_key", "_value", "_code")
+        own = codes.where(F.col("_column") == name).select("_value", "_code")
+        keyed = out.withColumn("_key", value[name])
+        joined = keyed.join(own, keyed["_key"] == own["_value"], "left")
+        out = joined.withColumn(name, F.col("_code")).drop("_key", "_value", "_code")
     return out

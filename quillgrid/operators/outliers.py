@@ -80,9 +80,8 @@ def isolation_outliers(
     # About 2 * SAMPLE candidates per tree, at most TREES * 2 * SAMPLE rows leave the scan.
     want = 2 * SAMPLE * TREES
     copies = min(max(math.ceil(want / total), 1), TREES)
-    space = 1 << 30
-    draw = F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(space))
-    drawn = rows.where(draw < int(min(1.0, want / total) * space)) if total > want else rows
+    draw = F.xxhash64("_id", F.lit(seed))  # over all 64 bits, so that no table is too large for it
+    drawn = rows.where(draw < int(want / total * 2.0**64) - 2**63) if total > want else rows
     first = F.pmod(F.xxhash64("_id", F.lit(seed + 1)), F.lit(TREES))
     candidates = drawn.select(
         "_id", "_x", F.explode(F.transform(F.sequence(F.lit(0), F.lit(copies - 1)), lambda i: F.pmod(first + i, F.lit(TREES)))).alias("_tree")

@@ -258,15 +258,15 @@ def split_steps(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
 # --- dictionary values in text -----------------------------------------------
 
 
-def _phrases(words: Column, longest: int) -> Column:
-    """All runs of 1..longest neighbouring words, each once."""
+def _phrases(words: Column, sizes: list[int]) -> Column:
+    """All runs of as many neighbouring words as some value has, each once."""
 
     def runs(n: int) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
         found = F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
         return F.when(F.size(words) >= n, found).otherwise(F.array().cast("array<string>"))
 
-    return F.array_distinct(F.concat(words, *[runs(n) for n in range(2, longest + 1)]))
+    return F.array_distinct(F.concat(*[words if n == 1 else runs(n) for n in sizes]))
 
 
 def tag_dictionary_values(df: DataFrame, text_col: str, rid: str, dictionary: DataFrame) -> DataFrame:
@@ -292,7 +292,7 @@ def tag_dictionary_values(df: DataFrame, text_col: str, rid: str, dictionary: Da
         ),
         "dictionary",
     )
-    longest = pairs.agg(F.max(F.size("_words"))).first()[0] or 1
+    sizes = sorted(pairs.agg(F.collect_set(F.size("_words"))).first()[0]) or [1]  # one number per length
     text = F.regexp_replace(F.lower(F.col(f"`{text_col}`")), r"[_\-]+", " ")
     texts = df.select(F.col(f"`{rid}`").alias("_id"), text.alias("_text")).where(F.col("_text").isNotNull())
     # The text with marked word edges, and what follows a negation word in each line.
@@ -304,7 +304,7 @@ def tag_dictionary_values(df: DataFrame, text_col: str, rid: str, dictionary: Da
 
     # Keys travel without the text; it is joined back, by id, to the hits.
     words = texts.select("_id", words_of(F.col("_text")).alias("_w"))
-    runs = words.select("_id", F.explode(_phrases(F.col("_w"), longest)).alias("_phrase"))
+    runs = words.select("_id", F.explode(_phrases(F.col("_w"), sizes)).alias("_phrase"))
     candidates = runs.join(pairs.select("column", "value", "_edged", "_phrase"), "_phrase").drop("_phrase")
     whole = materialize(
         candidates.join(marked, "_id")
@@ -418,7 +418,7 @@ def fuzzy_candidates(
 ) -> DataFrame:
     """``value, match, how``: every entry a value may mean.
 
-    ``exact`` ignores case; ``part`` means one text holds the other (values of
+    ``exact`` ignores case; ``part`` means one text holds the other (both of
     three or more letters); ``similar`` reaches the score.
     """
     left, right = (
@@ -428,8 +428,9 @@ def fuzzy_candidates(
     left_keys = left.where(F.length("_k") >= 3).select("_k").distinct()
     right_keys = right.select("_k").distinct()
     exact = left.select(F.col("_k").alias("a")).distinct().join(right_keys, F.col("a") == F.col("_k"), "left_semi")
-    inner = _parts(right_keys, "b").join(left_keys.withColumnRenamed("_k", "a"), F.col("_part") == F.col("a"))
-    outer = _parts(left_keys, "a").join(right_keys.withColumnRenamed("_k", "b"), F.col("_part") == F.col("b"))
+    long_right = right_keys.where(F.length("_k") >= 3)
+    inner = _parts(long_right, "b", left_keys).join(left_keys.withColumnRenamed("_k", "a"), F.col("_part") == F.col("a"))
+    outer = _parts(left_keys, "a", long_right).join(long_right.withColumnRenamed("_k", "b"), F.col("_part") == F.col("b"))
     similar = similar_pairs(
         left_keys.withColumnRenamed("_k", "value"), right_keys.withColumnRenamed("_k", "value"), score
     )
@@ -448,17 +449,18 @@ def fuzzy_candidates(
     )
 
 
-def _parts(keys: DataFrame, name: str) -> DataFrame:
-    """Every substring of each key, to be met by equality."""
+def _parts(keys: DataFrame, name: str, needles: DataFrame) -> DataFrame:
+    """The pieces of each key that are as long as some needle, to be met by equality."""
+    lengths = sorted(needles.agg(F.collect_set(F.length("_k"))).first()[0])  # one number per length
     text = F.col("_k")
-    size = F.length(text)
+    fitting = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length(text))
     parts = F.flatten(
         F.transform(
-            F.sequence(F.lit(1), size),
-            lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.substring(text, i, n)),
+            fitting,
+            lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n)),
         )
     )
-    return keys.where(size > 0).select(text.alias(name), F.explode(F.array_distinct(parts)).alias("_part"))
+    return keys.select(text.alias(name), F.explode(F.array_distinct(parts)).alias("_part"))
 
 
 # Words that mean a field.

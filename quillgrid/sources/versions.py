@@ -1,23 +1,62 @@
 """Versions of a table as plain parquet folders plus a small log.
 
 ``root/v=<n>`` holds a snapshot, ``root/log`` one JSON row per commit or
-rollback. A draft is simply a DataFrame that is not committed. The log has one
-row per edit and is read on the driver.
+rollback. A draft is a DataFrame tied to the version that it changes, until it
+is confirmed or discarded. The log has one row per edit and is read on the
+driver.
 """
 
 from __future__ import annotations
 
 import datetime
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgrid.operators.diff import table_diff
+
 _LOG = (
     "seq long, action string, version long, index long, tag string, created string, message string, "
     "kind string, trace string, row_count long, column_count long"
 )
 
 
+@dataclass
+class Draft:
+    """A change that is not committed. ``base`` is the version number it was made on."""
+
+    versions: VersionedTable
+    table: DataFrame
+    base: int
+    message: str
+    kind: str
+    trace: str = ""
+    open: bool = True
+
+    def diff(self, key: str = "_rid") -> DataFrame:
+        """``table_diff`` against the active version, and ``active_version``, its number."""
+        changes = table_diff(self.versions.current(), self.table, key)
+        return changes.withColumn("active_version", F.lit(self.versions.active_version()).cast("long"))
+
+    def confirm(self) -> DataFrame:
+        """Commit the draft; an error if it is closed or another version became active."""
+        self._close()
+        if self.versions.active_version() != self.base:
+            raise ValueError("another version became active; make the draft again")
+        return self.versions.commit(self.table, self.message, self.kind, self.trace)
+
+    def discard(self) -> DataFrame:
+        """Drop the draft; returns the active version."""
+        self._close()
+        return self.versions.current()
+
+    def _close(self) -> None:
+        if not self.open:
+            raise ValueError("the draft is closed")
+        self.open = False
+
+
 class VersionedTable:
     """Commit, look back, roll back. Version numbers only ever grow."""
 
@@ -77,6 +116,16 @@ class VersionedTable:
         )
         return stored
 
+    def draft(self, df: DataFrame, message: str, kind: str, trace: str = "") -> Draft:
+        """A change of the active version, to look at, confirm or discard."""
+        return Draft(self, df, self.active_version(), message, kind, trace)
+
+    def active_version(self) -> int:
+        commits, active, _, _ = self._replay()
+        if active < 0:
+            raise ValueError("nothing committed yet")
+        return commits[active]["version"]
+
     def current(self) -> DataFrame:
         commits, active, _, _ = self._replay()
         if active < 0:

@@ -191,6 +191,30 @@ def mice_imputation(spark, folder):
     return impute_mice(view(spark, folder, "dirty_orders"))
 
 
+_LINEAR = """SELECT o_orderkey AS _rid, CAST(o_custkey AS DOUBLE) AS a, o_orderkey % 97 AS b,
+    CASE WHEN o_orderkey % 7 <> 3 THEN 2 * o_custkey - 3 * (o_orderkey % 97) + 5 END AS c FROM {orders}"""
+
+
+@register(
+    "impute_mice_linear",
+    "SELECT o_orderkey AS _rid, CAST(2 * o_custkey - 3 * (o_orderkey % 97) + 5 AS DOUBLE) AS c FROM orders",
+)
+def mice_linear(spark, folder):
+    """Gaps in a column that is a linear function of two others: the truth comes back."""
+    filled = impute_mice(spark.sql(_LINEAR, orders=table(spark, folder, "orders")))
+    return filled.select("_rid", F.bround("c", 2).alias("c"))
+
+
+_EIGHT = [f"CASE WHEN l_orderkey % {7 + i} <> {i} THEN l_quantity * {i + 1} + l_discount * {100 + 7 * i} + l_tax * {50 - 3 * i} END AS v{i}" for i in range(8)]
+
+
+@register("impute_mice_eight")
+def mice_eight(spark, folder):
+    """Eight columns with gaps."""
+    lines = table(spark, folder, "lineitem")
+    return impute_mice(lines.selectExpr("l_orderkey AS _rid", *_EIGHT))
+
+
 # Encoding
 
 
@@ -247,6 +271,20 @@ def outliers(spark, folder):
     return isolation_outliers(view(spark, folder, "dirty_orders"), "price")
 
 
+@register("isolation_outliers_found", "SELECT TRUE AS share_near_contamination, TRUE AS all_extremes_flagged")
+def outliers_found(spark, folder):
+    """The share of flagged rows, and whether injected extremes are among them."""
+    orders = view(spark, folder, "base_orders")
+    extreme = orders.where("_rid % 1000 = 1").withColumn("_rid", -F.col("_rid") - 1).withColumn("price", F.col("price") + 1e9)
+    flagged = isolation_outliers(orders.unionByName(extreme), "price")
+    counts = orders.agg(F.count("*").alias("n")).crossJoin(F.broadcast(extreme.agg(F.count("*").alias("x"))))
+    found = flagged.agg(F.count("*").alias("f"), F.count_if(F.col("_rid") < 0).alias("e"))
+    share = F.col("f") / (F.col("n") + F.col("x"))
+    return counts.crossJoin(F.broadcast(found)).select(
+        share.between(0.0, 0.051).alias("share_near_contamination"), (F.col("e") == F.col("x")).alias("all_extremes_flagged")
+    )
+
+
 # Versions
 
 
@@ -299,6 +337,38 @@ def snapshot_commit(spark, folder):
     return _versions(spark, folder).current()
 
 
+@register(
+    "draft_confirm",
+    over("base_orders edited_orders", "SELECT * FROM edited_orders"),
+)
+def draft_confirm(spark, folder):
+    return _draft(spark, folder).confirm()
+
+
+@register("draft_discard", over("base_orders", "SELECT * FROM base_orders"))
+def draft_discard(spark, folder):
+    return _draft(spark, folder).discard()
+
+
+@register(
+    "draft_diff",
+    over(
+        "base_orders edited_orders",
+        f"""SELECT count(*) FILTER (WHERE a._rid IS NULL) AS rows_added, count(*) FILTER (WHERE b._rid IS NULL) AS rows_removed,
+              CAST(coalesce(sum(CASE WHEN a._rid IS NOT NULL AND b._rid IS NOT NULL THEN {_CELLS} END), 0) AS BIGINT) AS modified_cells,
+              CAST(1 AS BIGINT) AS active_version FROM {_PAIRED}""",
+    ),
+)
+def draft_diff(spark, folder):
+    return _draft(spark, folder).diff().select("rows_added", "rows_removed", "modified_cells", "active_version")
+
+
+def _draft(spark, folder):
+    versions = VersionedTable(spark, scratch_path(spark, "versions"))
+    versions.commit(view(spark, folder, "base_orders"), "first", "INGEST")
+    return versions.draft(view(spark, folder, "edited_orders"), "edited", "EDIT")
+
+
 @register("rollback", over("base_orders", "SELECT * FROM base_orders"))
 def rollback(spark, folder):
     versions = _versions(spark, folder)
@@ -367,3 +437,15 @@ def chained_steps_keep_input(spark, folder):
     """The second step names a missing column: the input comes back unchanged."""
     steps = [lambda t: C.drop_column(t, "price"), lambda t: C.rename_column(t, "price", "cost")]
     return run_steps(view(spark, folder, "dirty_orders"), steps).table
+
+
+@register("chained_steps_keep_input_at_run_time", over("dirty_orders", "SELECT *, CAST(2 AS INTEGER) AS failed_step FROM dirty_orders"))
+def chained_steps_keep_input_at_run_time(spark, folder):
+    """The second step fails on a value when it runs: the input comes back unchanged."""
+    steps = [
+        lambda t: C.drop_column(t, "price_null_group"),
+        lambda t: t.withColumn("priority", F.col("priority").cast("int")),
+        lambda t: C.drop_column(t, "price"),
+    ]
+    outcome = run_steps(view(spark, folder, "dirty_orders"), steps, run=True)
+    return outcome.table.withColumn("failed_step", F.lit(outcome.failed_step))

@@ -223,3 +223,25 @@ _add(
 )
 _add("sql_sample", "orders", "SELECT * FROM {dataset} TABLESAMPLE (10 PERCENT) REPEATABLE (42)", check=False)
 _add("sql_approx_distinct", "orders", "SELECT approx_count_distinct(o_custkey, 0.02) AS customers FROM {dataset}", check=False)
+
+
+@register("sql_sample_share", "SELECT TRUE AS share_in_range, TRUE AS rows_of_the_table")
+def sql_sample_share(spark, folder):
+    """A sample's size, and that it holds nothing but rows of the table."""
+    orders = table(spark, folder, "orders")
+    sample = sql(spark, "SELECT * FROM {dataset} TABLESAMPLE (10 PERCENT) REPEATABLE (42)", dataset=orders)
+    return sql(
+        spark,
+        """SELECT (SELECT count(*) FROM {sample}) BETWEEN 0.05 * count(*) AND 0.15 * count(*) AS share_in_range,
+                  (SELECT count(*) FROM (SELECT * FROM {sample} EXCEPT SELECT * FROM {dataset})) = 0 AS rows_of_the_table
+           FROM {dataset}""",
+        dataset=orders,
+        sample=sample,
+    )
+
+
+@register("sql_approx_distinct_error", "SELECT TRUE AS within_five_percent")
+def sql_approx_distinct_error(spark, folder):
+    text = """SELECT abs(approx_count_distinct(o_custkey, 0.02) / count(DISTINCT o_custkey) - 1) < 0.05 AS within_five_percent
+              FROM {dataset}"""
+    return sql(spark, text, dataset=table(spark, folder, "orders"))

@@ -102,9 +102,20 @@ def extract_word_numbers(spark, folder):
     return N.extract_word_numbers(view(spark, folder, "requests"), "text", ["_rid"])
 
 
-@register("extract_word_numbers_documents", _word_numbers_sql("documents", "doc_id"))
+_SPOKEN = """(SELECT doc_id, concat(text, CASE doc_id % 4 WHEN 0 THEN ' and forty two of them' WHEN 1 THEN ' for three hundred thousand a year'
+    WHEN 2 THEN ' the salary of one team' ELSE ' any price' END) AS text FROM {documents})"""
+
+
+def _spoken(spark, folder):
+    return spark.sql(f"SELECT * FROM {_SPOKEN}", documents=table(spark, folder, "documents"))
+
+
+_SPOKEN_SQL = _SPOKEN.replace("{documents}", "documents")
+
+
+@register("extract_word_numbers_documents", _word_numbers_sql(_SPOKEN_SQL, "doc_id"))
 def extract_word_numbers_documents(spark, folder):
-    return N.extract_word_numbers(table(spark, folder, "documents"), "text", ["doc_id"])
+    return N.extract_word_numbers(_spoken(spark, folder), "text", ["doc_id"])
 
 
 _OPS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in N.COMPARISONS.items()) + "}"
@@ -250,7 +261,7 @@ def fuzzy_lookup(spark, folder):
         """WITH a AS (SELECT DISTINCT segment AS value, lower(segment) AS k FROM dirty_customer WHERE segment IS NOT NULL),
            b AS (SELECT DISTINCT c_mktsegment AS match, lower(c_mktsegment) AS k FROM customer),
            p AS (SELECT a.value, b.match, CASE WHEN a.k = b.k THEN 'exact'
-                   WHEN length(a.k) >= 3 AND (contains(a.k, b.k) OR contains(b.k, a.k)) THEN 'part'
+                   WHEN length(a.k) >= 3 AND length(b.k) >= 3 AND (contains(a.k, b.k) OR contains(b.k, a.k)) THEN 'part'
                    WHEN length(a.k) >= 3 AND levenshtein(a.k, b.k) * 100 <= 30 * greatest(length(a.k), length(b.k)) THEN 'similar' END AS how
                  FROM a, b)
            SELECT * FROM p WHERE how IS NOT NULL""",
@@ -267,7 +278,7 @@ def fuzzy_candidates(spark, folder):
        b AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS match, lower(split_part(p_name, ' ', 2)) AS k FROM part
              UNION SELECT DISTINCT p_name, lower(p_name) FROM part),
        p AS (SELECT a.value, b.match, CASE WHEN a.k = b.k THEN 'exact'
-               WHEN length(a.k) >= 3 AND (contains(a.k, b.k) OR contains(b.k, a.k)) THEN 'part'
+               WHEN length(a.k) >= 3 AND length(b.k) >= 3 AND (contains(a.k, b.k) OR contains(b.k, a.k)) THEN 'part'
                WHEN length(a.k) >= 3 AND levenshtein(a.k, b.k) * 100 <= 30 * greatest(length(a.k), length(b.k)) THEN 'similar' END AS how
              FROM a, b)
        SELECT * FROM p WHERE how IS NOT NULL""",
@@ -296,10 +307,10 @@ def synonym_join(spark, folder):
 
 @register(
     "synonym_join_documents",
-    f"SELECT doc_id, f[1] AS field FROM (SELECT doc_id, {_fields_sql('text')} AS f FROM documents) WHERE len(f) = 1",
+    f"SELECT doc_id, f[1] AS field FROM (SELECT doc_id, {_fields_sql('text')} AS f FROM {_SPOKEN_SQL}) WHERE len(f) = 1",
 )
 def synonym_join_documents(spark, folder):
-    return N.synonym_join(table(spark, folder, "documents"), "text", ["doc_id"])
+    return N.synonym_join(_spoken(spark, folder), "text", ["doc_id"])
 
 
 _SLOT = "CASE WHEN label IN ('GROUP_BY', 'ANOMALY', 'COUNT') THEN 'price' WHEN label = 'FILTER' THEN 'age' END"

@@ -237,6 +237,6 @@ def archive_pages(
     if taken:
         raise ValueError(f"columns {taken} are made by archive_pages; rename yours")
     folder = folder or scratch_path(pages.sparkSession, "warc")
-    if "://" not in folder and not folder.startswith("file:"):
-        folder = f"file://{folder}"
+    if "://" not in folder:  # a plain path, or Hadoop's short spelling file:/path
+        folder = f"file://{folder.removeprefix('file:')}"
     return write_archives(mark_revisits(pages, key, payload), folder, key, url, payload), folder

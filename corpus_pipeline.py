@@ -1,19 +1,49 @@
-"""From raw documents to token counts, in stages that are stored one by one."""
+"""From raw documents to token ids, in stages that are stored one by one.
+
+Each stage takes ``(spark, docs, sf_dir)``, works on all rows that its
+predecessor kept and returns the columns of ``documents`` (the last one: ids).
+Other columns are left out; nulls, empty and very long texts, repeated rows and
+empty tables pass through as the operators' docstrings tell.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillgrid.llm import mixing, secrets
-from quillgrid.session import scratch_path
+from quillgrid.llm import bpe, jaccard, mixing, perplexity, secrets
+from quillgrid.session import materialize, scratch_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that pass the base rules and lie inside their language's perplexity band."""
+    return perplexity.quality_rules(docs.select(*COLUMNS), keep=tuple(COLUMNS)).filter("kept").select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of similar documents, that with the smallest ``doc_id``.
+
+    Rows that share this ``doc_id`` (repeated rows) count as copies too: the
+    smallest text stays. Rows without ``doc_id`` are kept, for nothing tells
+    them apart.
+    """
+    docs = docs.select(*COLUMNS)
+    groups = materialize(jaccard.similar_groups(docs), "groups")
+    repeated = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("component_id"))
+    repeated = materialize(repeated.filter("doc_id is not null and (n > 1 or component_id <> doc_id)"), "copies")
+    firsts = repeated.filter("component_id = doc_id").select("doc_id")
+    once = docs.join(repeated.select("doc_id"), "doc_id", "left_anti")
+    several = docs.join(materialize(firsts, "repeated-ids"), "doc_id", "left_semi").groupBy("doc_id").agg(
+        F.min(F.struct("text", "lang", "source", "n_chars")).alias("row")
+    )
+    return once.select(*COLUMNS).unionByName(several.select("doc_id", "row.*"))
+
+
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span of a secret is replaced by a mark; ``n_chars`` follows the text."""
-    from pyspark.sql import functions as F
-
     clean = secrets.redact(secrets.scan_secrets(docs.select(*COLUMNS)))
     n_chars = F.when(F.size("secret_spans") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))
     return clean.withColumn("n_chars", n_chars).select(*COLUMNS)
@@ -24,7 +54,21 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs.select(*COLUMNS), exponent=0.7).select(*COLUMNS)
 
 
-STAGES = [("secret scans", remove_secrets), ("source mixing", mix)]
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, lang, source, n_tokens, ids``."""
+    words = bpe.Vocabulary.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    encoded = bpe.encode(docs.select(*COLUMNS), words)
+    return encoded.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("quality rules", reject_low_quality),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("secret scans", remove_secrets),
+    ("source mixing", mix),
+    ("byte-level BPE", tokenize),
+]
+# perplexities and merges are beyond SQL; tests hold the stages against plain Python
 ORACLE_SQL = None
 
 

@@ -22,6 +22,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgrid.llm.batches import pieces
 from quillgrid.session import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -69,7 +70,7 @@ class Shingler:
             raw = (t or "").encode("utf-8", "surrogatepass").lower()  # of bytes: A-Z only
             held.append(raw)
             size += len(raw)
-            if size >= 1 << 20:
+            if size >= 512 << 10:
                 out += self._sets(held)
                 held, size = [], 0
         return out + self._sets(held) if held else out
@@ -166,7 +167,7 @@ def frequency_levels(texts: DataFrame, words: int) -> np.ndarray:
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        for batch in batches:
+        for batch in pieces(batches, 0):
             tokens = shingler.sets(batch.column(0).to_pylist())
             if tokens:
                 flat = (np.concatenate(tokens) >> np.uint64(42)).astype(np.int64)
@@ -209,7 +210,7 @@ def index_prefixes(df: DataFrame, levels: np.ndarray, key: str, text: str, words
 
     def run(batches):
         shingler, levels = Shingler(words), shared.value
-        for batch in batches:
+        for batch in pieces(batches, 2):
             sids, sizes, ranks, prefixes = [], [], [], []
             for tokens in shingler.sets(batch.column(2).to_pylist()):
                 n = len(tokens)

@@ -16,6 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgrid.llm.batches import pieces, texts_of
 from quillgrid.llm.jaccard import Shingler
 from quillgrid.llm.labelled import held_out, training_rows
 from quillgrid.session import materialize
@@ -184,8 +185,8 @@ def score_quality(
 
     def encode(batches):
         encoder = Encoder()
-        for batch in batches:
-            x, sizes = encoder.passages(batch.column(1).to_pylist())
+        for batch in pieces(batches, 1):
+            x, sizes = encoder.passages(texts_of(batch.column(1)))
             flat, offsets = pa.array(x.ravel()), np.concatenate([[0], np.cumsum(sizes * NUMBERS)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["label", "x"])
 
@@ -201,8 +202,8 @@ def score_quality(
 
     def score(batches):
         encoder, model = Encoder(), shared.value
-        for batch in batches:
-            x, sizes = encoder.passages([t or "" for t in batch.column(1).to_pylist()])
+        for batch in pieces(batches, 1):
+            x, sizes = encoder.passages(texts_of(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x, sizes), pa.float64())], names=["key", "score"])
 
     rows = docs.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{text}`").alias("text"))

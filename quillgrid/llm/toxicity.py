@@ -20,6 +20,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgrid.llm.batches import pieces, texts_of
 from quillgrid.llm.labelled import held_out, training_rows
 from quillgrid.session import materialize
 
@@ -67,7 +68,7 @@ def letter_model(texts: DataFrame) -> np.ndarray:
 
     def count(batches):
         table, total = _symbol_table(), np.zeros(SYMBOLS**3, np.int64)
-        for batch in batches:
+        for batch in pieces(batches, 0):
             for text in batch.column(0).to_pylist():
                 if text:
                     codes = np.frombuffer(f"  {text} ".encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -152,7 +153,7 @@ def learn_evidence(sample: DataFrame, logp: np.ndarray, least_z: float = LEAST_Z
 
     def count(batches):
         restorer, totals = Restorer(shared.value), (Counter(), Counter())
-        for batch in batches:
+        for batch in pieces(batches, 1):
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 totals[label == 1].update({f for w in restorer.words(text) for f in features(w)})
         names = list(totals[0].keys() | totals[1].keys())
@@ -223,8 +224,8 @@ def score_toxicity(
 
     def evidence_of(batches):
         scorer = Scorer(*shared.value)
-        for batch in batches:
-            found = [scorer(t or "") for t in batch.column(1).to_pylist()]
+        for batch in pieces(batches, 1):
+            found = [scorer(t) for t in texts_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *[pa.array([f[i] for f in found], pa.float64()) for i in (0, 1)]], names=["key", "most", "all"]
             )

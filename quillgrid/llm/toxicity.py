@@ -39,14 +39,14 @@ LEET = {
 }
 GAPS = " .-_*"
 _LEET = re.escape("".join(LEET))
+_MARKS = "".join(c for c in LEET if not c.isalnum()) + GAPS
 _LETTER = r"[^\W\d_]"
-# disguised stretches: single characters with gaps, marks between letters, letters three times
-_SPACED = rf"(?<![^\s])(?:{_LETTER}|[{_LEET}])(?:[ .\-_*](?:{_LETTER}|[{_LEET}])){{2,}}(?![^\s.,;:?])"
-_MARKED = rf"[{_LEET}]*{_LETTER}+(?:[{_LEET}*_.\-]+{_LETTER}+)+"
-_LED = rf"(?<![^\s])[{_LEET}]+{_LETTER}{{2,}}"
-_REPEATED = rf"\w*({_LETTER})\1\1\w*"
-_DISGUISED = re.compile(f"{_SPACED}|{_MARKED}|{_LED}|{_REPEATED}")
 _WORD = re.compile(rf"{_LETTER}+")
+# All of these read a text once, however long its words are.
+_RUN = re.compile(rf"(?:{_LETTER}|[{_LEET}.\-_*])+")
+_TRIPLE = re.compile(rf"({_LETTER})\1\1")
+_INSIDE = re.compile(rf"{_LETTER}")
+_SPACED = re.compile(rf"(?<!\S)(?:{_LETTER}|[{_LEET}])(?:[ .\-_*](?:{_LETTER}|[{_LEET}])){{2,}}(?![^\s.,;:?])")
 
 
 def _symbol(char: str) -> int:
@@ -127,13 +127,30 @@ class Restorer:
             tail = tail[1]
         return "".join(reversed(out))
 
+    def token_words(self, token: str) -> set[str]:
+        """Words of a stretch without white space in lower case, and what its disguised parts restore to.
+
+        A part is disguised when marks or digits stand before or between its
+        letters, or a letter stands three times in a row. Marks behind the last
+        letter or digit are punctuation.
+        """
+        words = set(_WORD.findall(token))
+        if token.isalpha() and not _TRIPLE.search(token):
+            return words
+        for run in _RUN.findall(token):
+            part = run.lstrip(GAPS).rstrip(_MARKS)
+            if _INSIDE.search(part) and (not part.isalpha() or _TRIPLE.search(part)):
+                words.add(self.restore(part))
+        return words
+
+    def stretches(self, lower: str) -> list[str]:
+        """Restored stretches of single characters with gaps."""
+        return [self.restore(found) for found in _SPACED.findall(lower)]
+
     def words(self, text: str) -> set[str]:
         """All words of the text in lower case, and those that disguised stretches restore to."""
         lower = text.lower()
-        words = set(_WORD.findall(lower))
-        for found in _DISGUISED.finditer(lower):
-            words.add(self.restore(found.group()))
-        return words
+        return set().union(self.stretches(lower), *map(self.token_words, set(lower.split())))
 
 
 def features(word: str) -> list[str]:
@@ -179,16 +196,24 @@ class Scorer:
         self.known: dict[str, float] = {}
 
     def _word(self, word: str) -> float:
-        value = max(self.evidence.get(f, 0.0) for f in features(word))
+        return max(self.evidence.get(f, 0.0) for f in features(word))
+
+    def _token(self, token: str) -> float:
+        value = max(map(self._word, self.restorer.token_words(token)), default=0.0)
         if len(self.known) >= CACHE_WORDS:
             self.known = {}
-        self.known[word] = value
+        self.known[token] = value
         return value
 
     def __call__(self, text: str) -> tuple[float, float]:
-        get, own = self.known.get, self._word
-        values = [v for w in self.restorer.words(text) if (v := get(w) if w in self.known else own(w))]
-        return (max(values), math.log1p(sum(values))) if values else (0.0, 0.0)
+        lower = text.lower()
+        tokens = list(set(lower.split()))
+        values = list(map(self.known.get, tokens))
+        if None in values:
+            values = [v if v is not None else self._token(t) for v, t in zip(values, tokens, strict=True)]
+        values += map(self._word, self.restorer.stretches(lower))
+        total = sum(values)
+        return (max(values), math.log1p(total)) if total else (0.0, 0.0)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 50) -> np.ndarray:

@@ -97,17 +97,17 @@ def mix_sources(
 
     Null sources form a source of their own, null keys and equal keys draw the
     same count (repeated rows are repeated alike), null and empty texts count
-    as size 0, an empty table gives an empty table. Columns of ``df`` that are
-    called ``mix_copy``, ``mix_key`` or ``mix_source`` are not allowed.
+    as size 0, an empty table gives an empty table. Names that begin with
+    ``mix_`` are not allowed in ``df``.
     """
-    taken = {"mix_copy", "mix_key", "mix_source"} & {c.lower() for c in df.columns}
+    taken = [c for c in df.columns if c.lower().startswith("mix_")]
     if taken:
-        raise ValueError(f"columns {sorted(taken)} are made by mix_sources; rename yours")
-    rates = materialize(source_rates(df, source, text, **targets), "mix-rates").select("mix_source", "cdf")
+        raise ValueError(f"columns {taken} are made by mix_sources; rename yours")
+    rates = materialize(source_rates(df, source, text, **targets), "mix-rates").select("mix_source", F.col("cdf").alias("mix_cdf"))
     names = [F.col(f"`{c}`") for c in df.columns]
     drawn = df.join(rates, F.col(f"`{source}`").eqNullSafe(rates["mix_source"]))
     u = _uniform(seed, F.col(f"`{key}`"))
-    drawn = drawn.withColumn("mix_u", u).withColumn("mix_n", F.size(F.filter("cdf", lambda c: c <= F.col("mix_u"))))
+    drawn = drawn.withColumn("mix_u", u).withColumn("mix_n", F.size(F.filter("mix_cdf", lambda c: c <= F.col("mix_u"))))
     copies = drawn.filter("mix_n > 0").select(*names, F.explode(F.sequence(F.lit(1), F.col("mix_n"))).alias("mix_copy"))
     place = F.md5(
         F.concat_ws("|", F.lit(seed + "-order"), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")), "mix_copy")

@@ -277,11 +277,10 @@ def outliers_found(spark, folder):
     orders = view(spark, folder, "base_orders")
     extreme = orders.where("_rid % 1000 = 1").withColumn("_rid", -F.col("_rid") - 1).withColumn("price", F.col("price") + 1e9)
     flagged = isolation_outliers(orders.unionByName(extreme), "price")
-    counts = orders.agg(F.count("*").alias("n")).crossJoin(F.broadcast(extreme.agg(F.count("*").alias("x"))))
+    n, x = orders.agg(F.count("*")).scalar(), extreme.agg(F.count("*")).scalar()
     found = flagged.agg(F.count("*").alias("f"), F.count_if(F.col("_rid") < 0).alias("e"))
-    share = F.col("f") / (F.col("n") + F.col("x"))
-    return counts.crossJoin(F.broadcast(found)).select(
-        share.between(0.0, 0.051).alias("share_near_contamination"), (F.col("e") == F.col("x")).alias("all_extremes_flagged")
+    return found.select(
+        (F.col("f") <= 0.051 * (n + x)).alias("share_near_contamination"), (F.col("e") == x).alias("all_extremes_flagged")
     )
 
 

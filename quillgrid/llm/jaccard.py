@@ -29,7 +29,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 COUNTERS = 1 << 22  # of the frequency sketch, which orders N-grams; 8 MB are broadcast
 _PART = 1 << 16
-FILTER_BITS = 1 << 26  # of the bitmap of shared N-grams; 8 MB are broadcast
+FILTER_BITS = 1 << 25  # of the bitmap of shared N-grams; 4 MB are broadcast
 TEXT_BITS = 1 << 22  # of the bitmap of wanted texts
 SHARED = 3  # N-grams that two prefixes must share at least (fewer for tiny sets)
 GROUP_SHINGLES = 400_000  # compared in one call
@@ -300,7 +300,7 @@ def _leaders(shared: DataFrame, at: Threshold) -> DataFrame:
     counted = own.groupBy("sid", "n", "lead").agg(F.count(F.lit(1)).alias("c"))
     enough = F.greatest(at.needed(F.col("n")), F.floor((F.col("n") - F.ceil(F.col("n") * at.p / at.q) + 1) / 4))
     star = counted.filter(F.col("c") >= enough).groupBy("sid", "n").agg(F.max_by("lead", F.struct("c", "lead")).alias("lead"))
-    for _ in range(3):
+    for _ in range(2):
         above = star.select(F.col("sid").alias("l_sid"), F.col("lead").alias("l_lead"))
         star = materialize(
             star.join(above, F.col("lead") == F.col("l_sid"), "left").select("sid", "n", F.coalesce("l_lead", "lead").alias("lead")), "leaders"
@@ -400,15 +400,13 @@ def _crossing(shared: DataFrame, followers: DataFrame, at: Threshold) -> DataFra
     """``sid, other``: pairs of leaders (or single sets) that may have similar sets under them.
 
     A list keeps one entry for all sets of a leader, with the first position and
-    the range of sizes; lists of one leader fall away.
+    the range of sizes; a list of one leader has nothing to meet.
     """
     lead = followers.select(F.col("sid").alias("f_sid"), F.col("other").alias("f_lead"))
     own = shared.join(lead, F.col("sid") == F.col("f_sid"), "left").withColumn("top", F.coalesce("f_lead", "sid"))
     entries = materialize(
         own.groupBy("tok", "top").agg(F.min("pos").alias("pos"), F.min("n").alias("low"), F.max("n").alias("high")), "entries"
     )
-    several = entries.groupBy("tok").agg(F.min("top").alias("a"), F.max("top").alias("b")).filter("a <> b").select("tok")
-    entries = entries.join(several, "tok", "left_semi")
     a = entries.select("tok", *[F.col(c).alias(f"a_{c}") for c in ("top", "pos", "low", "high")])
     b = entries.select("tok", *[F.col(c).alias(f"b_{c}") for c in ("top", "pos", "low", "high")])
     differ = at.differ(F.col("a_high") + F.col("b_high"))

@@ -106,6 +106,13 @@ def test_model_blocks_give_the_same(spark, docs, monkeypatch):
     assert whole.keys() == parts.keys() and all(whole[k] == pytest.approx(parts[k]) for k in whole)
 
 
+def test_bands_reject_junk_and_keep_clean_rows(spark):
+    table = lambda n: spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet")
+    rows = perplexity.quality_rules(table("documents")).filter("not base_failed").join(table("labels"), "doc_id").collect()
+    junk, clean = ([r["kept"] for r in rows if r["quality"] == q] for q in (0, 1))
+    assert len(junk) > 20 and np.mean(junk) < 0.4 and np.mean(clean) > 0.97
+
+
 def test_quality_rules_on_hard_rows(hard, hard_rows, nothing):
     found = perplexity.quality_rules(hard.withColumn("nats", F.lit(1)).withColumn("n", F.lit(2)))
     rows = found.collect()

@@ -44,9 +44,13 @@ _LETTER = r"[^\W\d_]"
 _WORD = re.compile(rf"{_LETTER}+")
 # All of these read a text once, however long its words are.
 _RUN = re.compile(rf"(?:{_LETTER}|[{_LEET}.\-_*])+")
+_DOUBLE = re.compile(rf"({_LETTER})\1")
+_BLANKS = re.compile(r"\s+")
+_LITERAL = str.maketrans({mark: letters[0] for mark, letters in LEET.items()})
+_AROUND = "\"'()[].,;:!?"
 _TRIPLE = re.compile(rf"({_LETTER})\1\1")
 _INSIDE = re.compile(rf"{_LETTER}")
-_SPACED = re.compile(rf"(?<!\S)(?:{_LETTER}|[{_LEET}])(?:[ .\-_*](?:{_LETTER}|[{_LEET}])){{2,}}(?![^\s.,;:?])")
+_SPACED = re.compile(rf"(?<!\S)(?:{_LETTER}|[{_LEET}])(?:(?:\s+|[.\-_*])(?:{_LETTER}|[{_LEET}])){{2,}}(?![^\s.,;:?])")
 
 
 def _symbol(char: str) -> int:
@@ -96,8 +100,11 @@ class Restorer:
         # the channel: log probabilities of a mark for a letter, of a repetition, of a gap
         self.mark, self.twice, self.gap = math.log(0.3), math.log(0.2), math.log(0.1)
 
-    def restore(self, stretch: str) -> str:
-        """The likeliest word. A run of one character stands for one or two letters, a gap for none."""
+    def restore(self, stretch: str, borders: bool = False) -> str:
+        """The likeliest word. A run of one character stands for one or two letters, a gap for none.
+
+        With ``borders`` the likeliest words: a gap stands for nothing or for a blank between words.
+        """
         paths = {(0, 0): (0.0, None)}  # by the last two symbols: score and the letters so far, last first
         at, n = 0, len(stretch)
         while at < n:
@@ -109,6 +116,11 @@ class Restorer:
             found: dict = {}
             if not letters:  # a gap, or a mark that stands for nothing
                 found = {k: (s + self.gap, tail) for k, (s, tail) in paths.items()}
+                if borders and char in GAPS:
+                    for (a, b), (score, tail) in paths.items():
+                        key, value = (b, 0), score + self.gap + self.logp[a][b][0]
+                        if b and (key not in found or value > found[key][0]):
+                            found[key] = (value, (" ", tail))
             for letter, cost in letters:
                 c = _symbol(letter)
                 for (a, b), (score, tail) in paths.items():
@@ -132,7 +144,7 @@ class Restorer:
 
         A part is disguised when marks or digits stand before or between its
         letters, or a letter stands three times in a row. Marks behind the last
-        letter or digit are punctuation.
+        letter or digit are punctuation in one reading and letters in others.
         """
         words = set(_WORD.findall(token))
         if token.isalpha() and not _TRIPLE.search(token):
@@ -141,11 +153,40 @@ class Restorer:
             part = run.lstrip(GAPS).rstrip(_MARKS)
             if _INSIDE.search(part) and (not part.isalpha() or _TRIPLE.search(part)):
                 words.add(self.restore(part))
+            whole = run.strip(GAPS)
+            tail = whole[len(whole.rstrip(_MARKS)) :]
+            if tail and len(tail) < len(whole) and _INSIDE.search(whole):
+                words.add("".join(c for c in whole.translate(_LITERAL) if c.isalpha()))
+                if tail.strip("!" + GAPS):  # exclamation marks alone rarely are letters
+                    words.add(self.restore(whole))
         return words
 
-    def stretches(self, lower: str) -> list[str]:
-        """Restored stretches of single characters with gaps."""
-        return [self.restore(found) for found in _SPACED.findall(lower)]
+    def likelihood(self, words: str) -> float:
+        """Log probability of words with a blank between them."""
+        a, b, total = 0, 0, 0.0
+        for c in map(_symbol, words + " "):
+            a, b, total = b, c, total + self.logp[a][b][c]
+        return total
+
+    def inside(self, word: str, lexicon, longest: int) -> set[str]:
+        """Words of the lexicon in a word whose letters all stood apart, where borders around them are likelier than none."""
+        found = set()
+        for i in range(len(word)):
+            for j in range(i + 2, min(len(word), i + longest) + 1):
+                if j - i < len(word) and word[i:j] in lexicon:  # letters further away change nothing
+                    before, after = word[max(0, i - 4) : i], word[j : j + 4]
+                    if self.likelihood(f"{before} {word[i:j]} {after}".strip()) > self.likelihood(before + word[i:j] + after):
+                        found.add(word[i:j])
+        return found
+
+    def stretches(self, lower: str, lexicon=(), longest: int = 0) -> list[str]:
+        """Restored stretches of single characters with gaps, read as one word and as several."""
+        words = []
+        for found in _SPACED.findall(lower):
+            found = _BLANKS.sub(" ", found)
+            one = self.restore(found)
+            words += {one, *self.restore(found, borders=True).split(), *self.inside(one, lexicon, longest)}
+        return words
 
     def words(self, text: str) -> set[str]:
         """All words of the text in lower case, and those that disguised stretches restore to."""
@@ -194,24 +235,52 @@ class Scorer:
     def __init__(self, logp: np.ndarray, evidence: dict[str, float]):
         self.restorer, self.evidence = Restorer(logp), evidence
         self.known: dict[str, float] = {}
+        self.longest = max(map(len, evidence), default=0)
+        self.starts = {word[:k] for word in evidence if word.isalpha() for k in range(1, len(word))}
 
     def _word(self, word: str) -> float:
         return max(self.evidence.get(f, 0.0) for f in features(word))
 
     def _token(self, token: str) -> float:
-        value = max(map(self._word, self.restorer.token_words(token)), default=0.0)
+        words = self.restorer.token_words(token)
+        value = max(map(self._word, words), default=0.0)
+        for word in words:
+            if _DOUBLE.search(word):  # letters may be doubled; only whole words count then
+                short = len(word) <= self.longest + 1
+                once = [word[: m.start()] + word[m.start() + 1 :] for m in _DOUBLE.finditer(word)] if short else []
+                value = max(value, *[self.evidence.get(w, 0.0) for w in (_DOUBLE.sub(r"\1", word), *once)])
         if len(self.known) >= CACHE_WORDS:
             self.known = {}
         self.known[token] = value
         return value
 
+    def _fragments(self, tokens: list[str]) -> list[float]:
+        """Evidence of whole words that neighbouring tokens make together.
+
+        Single characters alone are left to the lattice.
+        """
+        found, starts = {}, self.starts
+        for i, token in enumerate(tokens):
+            if token in starts or (token := token.lstrip(_AROUND)) in starts:
+                joined, longest, at = token, len(token), i + 1
+                while joined in starts and at < len(tokens):
+                    part = tokens[at].rstrip(_AROUND)
+                    joined, longest, at = joined + part, max(longest, len(part)), at + 1
+                    if longest > 1 and part and joined in self.evidence:
+                        found[joined] = self.evidence[joined]
+                    if part != tokens[at - 1]:  # the sentence or its part ends here
+                        break
+        return list(found.values())
+
     def __call__(self, text: str) -> tuple[float, float]:
         lower = text.lower()
-        tokens = list(set(lower.split()))
+        read = lower.split()
+        tokens = list(set(read))
         values = list(map(self.known.get, tokens))
         if None in values:
             values = [v if v is not None else self._token(t) for v, t in zip(values, tokens, strict=True)]
-        values += map(self._word, self.restorer.stretches(lower))
+        values += map(self._word, self.restorer.stretches(lower, self.evidence, self.longest))
+        values += self._fragments(read)
         total = sum(values)
         return (max(values), math.log1p(total)) if total else (0.0, 0.0)
 

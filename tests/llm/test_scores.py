@@ -87,6 +87,20 @@ def test_disguised_words_are_read(letters):
     assert any(w.startswith("stup") for w in words("stuuuupid"))
 
 
+@pytest.mark.parametrize("text", [
+    "what a i d i o t", "y o u i d i o t here", "an i  d  i  o  t here", "an i\td\ti\to\tt here", "an i\nd\ni\no\nt here", "an id iot.", "an i di ot here",
+    "an idiiot", "an iddiioott", "an a$$", "an idio+", "an 1d10+ here",
+])
+def test_split_doubled_and_marked_words_are_evidence(letters, text):
+    assert toxicity.Scorer(letters, {"idiot": 2.0, "ass": 2.0})(text)[0] == 2.0
+
+
+def test_neighbours_that_only_touch_are_no_evidence(letters):
+    score = toxicity.Scorer(letters, {"idiot": 2.0, "ass": 2.0})
+    for text in ("the id, iot of it", "c l a s s", "a letter still passes", "id est iot", "idiocy at last", "20 a 30", ""):
+        assert score(text) == (0.0, 0.0), text
+
+
 def test_held_out_rows(spark):
     rows = spark.range(500).select("id", held_out(F.col("id")).alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 5 == 0) for r in rows)

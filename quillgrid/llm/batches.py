@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
+from pyspark.sql import SparkSession
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -27,6 +29,22 @@ def pieces(batches, text: int, size: int = PIECE_BYTES) -> Iterator[pa.RecordBat
             yield batch.slice(a, b - a)
 
 
+@contextmanager
+def lending(spark: SparkSession) -> Iterator[Callable]:
+    """Broadcasts that are gone at the end of the block; what needs them must be stored inside it."""
+    held = []
+
+    def lend(value):
+        held.append(spark.sparkContext.broadcast(value))
+        return held[-1]
+
+    try:
+        yield lend
+    finally:
+        for broadcast in held:
+            broadcast.destroy()
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """The column's values, null as empty."""
     return [t or "" for t in column.to_pylist()]

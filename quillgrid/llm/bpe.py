@@ -27,7 +27,8 @@ from quillgrid.llm.batches import pieces, texts_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-CACHE_ENTRIES = 250_000  # of each generation, in each Python worker
+CACHE_BYTES = 24 << 20  # of each of the two generations, in each Python worker; empty again at the end of a task
+_ENTRY_BYTES = 330  # of a cached stretch beside its characters and ids
 _MASK = (1 << 64) - 1
 _STEP, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd constants that spread bits
 
@@ -147,8 +148,13 @@ class Codec:
         for t, i in zip(self.tokens, self.ids, strict=True):
             by_id[i] = t
         self.flat = np.frombuffer(b"".join(by_id), np.uint8)
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the cache."""
         self.young: dict[str, tuple[str, bytes]] = {}
         self.old: dict[str, tuple[str, bytes]] = {}
+        self.held = 0
 
     def _whole(self, piece: bytes) -> int:
         """The id of a pre-token that is one token, else -1."""
@@ -201,9 +207,11 @@ class Codec:
             words = (text,) if _ONE.fullmatch(text) else self.pattern.findall(text)
             ids = self._ids(words[0]) if len(words) == 1 else [i for w in words for i in self._ids(w)]
             found = " ".join(map(str, ids)), array("I", ids).tobytes()
-        if len(self.young) >= CACHE_ENTRIES:
-            self.young, self.old = {}, self.young
-        self.young[text] = found
+        self.held += _ENTRY_BYTES + 4 * len(text) + len(found[0]) + len(found[1])
+        if self.held > CACHE_BYTES:
+            self.young, self.old, self.held = {}, self.young, 0
+        if len(text) <= _LONGEST:
+            self.young[text] = found
         return found
 
     def encode(self, text: str) -> tuple[str, bytes]:
@@ -229,24 +237,27 @@ class Codec:
         return self.flat[shift + np.arange(ends[-1])].tobytes()
 
 
+_LONGEST = 1 << 16  # characters of a cached stretch
 _LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _ONE = re.compile(f" ?[{_LATIN}]+")
 _CUT = re.compile(f" ?[{_LATIN}]+(?=[ \\n.,;:!?%$&*#|]|$)|\\n|[ \\n]?[^ \\n]+|[ \\n]")
 _RUN = regex.compile(r"\s\s")
 
 
-def _with_columns(df: DataFrame, added: list[T.StructField], make, used: str, texts: bool = True) -> DataFrame:
-    """``df`` and new columns that ``make`` gives for the values of column ``used``."""
+def _with_columns(df: DataFrame, vocabulary: Vocabulary, added: list[T.StructField], make, used: str, texts: bool = True) -> DataFrame:
+    """``df`` and new columns that ``make`` gives for a codec and the values of column ``used``."""
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
     taken = {f.name for f in added} & {c.lower() for c in df.columns}
     if taken:
         raise ValueError(f"columns {sorted(taken)} are made here; rename yours")
     at = df.columns.index(used)
 
     def run(batches):
-        one = make()
+        codec = Codec.of(shared.value)
         for batch in pieces(batches, at) if texts else batches:
-            columns = list(batch.columns) + one(batch.column(at))
+            columns = list(batch.columns) + make(codec, batch.column(at))
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *[f.name for f in added]])
+        codec.forget()
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *added]))
 
@@ -257,35 +268,23 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", name: str
     Empty texts have no ids; repeated rows get the same ids; a column of ``df``
     with that name is refused.
     """
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def make():
-        codec = Codec.of(shared.value)
-
-        def one(texts):
-            packed = [codec.encode(t)[1] for t in texts_of(texts)]
-            offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(packed), np.int32))
-            return [pa.ListArray.from_arrays(pa.array(offsets), values)]
+    def make(codec, texts):
+        packed = [codec.encode(t)[1] for t in texts_of(texts)]
+        offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
+        values = pa.array(np.frombuffer(b"".join(packed), np.int32))
+        return [pa.ListArray.from_arrays(pa.array(offsets), values)]
 
-        return one
-
-    return _with_columns(df, [T.StructField(name, T.ArrayType(T.IntegerType()))], make, text)
+    return _with_columns(df, vocabulary, [T.StructField(name, T.ArrayType(T.IntegerType()))], make, text)
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", name: str = "decoded") -> DataFrame:
     """``df`` and ``name``, the bytes of the ids (null: no bytes)."""
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def make():
-        codec = Codec.of(shared.value)
-
-        def one(lists):
-            return [pa.array([codec.decode(np.array(x.as_py() or [], np.int64)) for x in lists], pa.binary())]
+    def make(codec, lists):
+        return [pa.array([codec.decode(np.array(x.as_py() or [], np.int64)) for x in lists], pa.binary())]
 
-        return one
-
-    return _with_columns(df, [T.StructField(name, T.BinaryType())], make, ids, texts=False)
+    return _with_columns(df, vocabulary, [T.StructField(name, T.BinaryType())], make, ids, texts=False)
 
 
 def round_trip(df: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
@@ -295,26 +294,20 @@ def round_trip(df: DataFrame, vocabulary: Vocabulary, text: str = "text") -> Dat
     decoded bytes. They are taken where the ids are made, so the ids, which are
     larger than the texts, don't travel.
     """
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def make():
-        codec = Codec.of(shared.value)
-
-        def one(texts):
-            n, ids_hash, text_hash = [], [], []
-            for t in texts_of(texts):
-                decimals, packed = codec.encode(t)
-                ids = np.frombuffer(packed, np.uint32)
-                n.append(len(ids))
-                ids_hash.append(hashlib.sha256(decimals.encode()).hexdigest())
-                text_hash.append(hashlib.sha256(codec.decode(ids)).hexdigest())
-            return [pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
 
-        return one
+    def make(codec, texts):
+        n, ids_hash, text_hash = [], [], []
+        for t in texts_of(texts):
+            decimals, packed = codec.encode(t)
+            ids = np.frombuffer(packed, np.uint32)
+            n.append(len(ids))
+            ids_hash.append(hashlib.sha256(decimals.encode()).hexdigest())
+            text_hash.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+        return [pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
 
     added = [
         T.StructField("n_tokens", T.LongType()),
         T.StructField("ids_sha256", T.StringType()),
         T.StructField("decoded_sha256", T.StringType()),
     ]
-    return _with_columns(df, added, make, text)
+    return _with_columns(df, vocabulary, added, make, text)

@@ -18,11 +18,11 @@ import sys
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import cloudpickle
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.batches import pieces
+from quillgrid.llm.batches import lending, pieces
 from quillgrid.session import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -200,13 +200,13 @@ def frequency_levels(texts: DataFrame, words: int) -> np.ndarray:
     return levels
 
 
-def index_prefixes(df: DataFrame, levels: np.ndarray, key: str, text: str, words: int, at: Threshold) -> DataFrame:
+def index_prefixes(df: DataFrame, shared: Broadcast, key: str, text: str, words: int, at: Threshold) -> DataFrame:
     """One row per document: ``key, text_key, sid, n, rank, tokens`` (the indexed prefix, rarest first).
 
     ``rank`` orders sets as leaders: those whose rarest N-gram is most frequent
     first, since the middle of a group of near copies has no N-gram of its own.
+    ``shared`` holds the frequency levels.
     """
-    shared = df.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches):
         shingler, levels = Shingler(words), shared.value
@@ -264,9 +264,9 @@ def _shared_postings(index: DataFrame, at: Threshold) -> DataFrame:
     for each one before. An entry that is too far down to meet even its list's
     first entry is left out.
     """
-    spread = index.filter("n > 0").select(F.col("sid").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("s"), F.explode("tokens").alias("tok"))
+    spread = index.filter("n > 0").select(F.col("sid").alias("s"), F.explode("tokens").alias("tok"))
     repeated = spread.groupBy("tok").agg(F.min("s").alias("a"), F.max("s").alias("b")).filter("a <> b")
-    bitmap = index.sparkSession.sparkContext.broadcast(_bitmap(repeated, "tok", FILTER_BITS))
+    held = _bitmap(repeated, "tok", FILTER_BITS)
 
     def kept(batches):
         bits = bitmap.value
@@ -284,8 +284,10 @@ def _shared_postings(index: DataFrame, at: Threshold) -> DataFrame:
             )
 
     rows = index.filter("n > 0").select("sid", "n", "rank", "tokens")
-    postings = rows.mapInArrow(kept, "tok long, sid long, n long, pos long, rank long").dropDuplicates(["tok", "sid"])
-    postings = materialize(postings, "postings")
+    with lending(index.sparkSession) as lend:
+        bitmap = lend(held)
+        postings = rows.mapInArrow(kept, "tok long, sid long, n long, pos long, rank long").dropDuplicates(["tok", "sid"])
+        postings = materialize(postings, "postings")
     lists = postings.groupBy("tok").agg(
         F.min("sid").alias("low"), F.max("sid").alias("high"), F.min("pos").alias("first"),
         F.max_by("sid", "rank").alias("lead"), F.max_by("n", "rank").alias("lead_n"),
@@ -309,9 +311,8 @@ def _leaders(shared: DataFrame, at: Threshold) -> DataFrame:
     return star.join(ends, F.col("lead") == F.col("l_sid"), "left_anti")
 
 
-def _texts(df: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
-    """``text_key, text`` of (at least) the wanted keys; a task passes a text on once."""
-    bitmap = df.sparkSession.sparkContext.broadcast(_bitmap(wanted, "text_key", TEXT_BITS))
+def _texts(df: DataFrame, bitmap: Broadcast, text: str) -> DataFrame:
+    """``text_key, text`` of (at least) the keys in a bitmap; a task passes a text on once."""
 
     def run(batches):
         bits, seen = bitmap.value, set()
@@ -343,8 +344,6 @@ def _compare(df: DataFrame, pairs: DataFrame, index: DataFrame, levels: np.ndarr
         "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("other").alias("sid"), F.lit(-1).cast("bigint").alias("keep"), "text_key"
     )
     plan = materialize(left.select("other", "part", "sid", F.col("keep").cast("bigint"), "text_key").unionByName(heads), "comparisons")
-    rows = plan.join(_texts(df, plan, text), "text_key")
-    shared = df.sparkSession.sparkContext.broadcast(levels)
     schema = "sid long, other long, n long, m long, d long, delta array<long>"
 
     def run(table: pa.Table) -> pa.Table:
@@ -367,7 +366,10 @@ def _compare(df: DataFrame, pairs: DataFrame, index: DataFrame, levels: np.ndarr
         kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
         return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), kinds, strict=True)})
 
-    return materialize(rows.groupBy("other", "part").applyInArrow(run, schema), "distances")
+    with lending(df.sparkSession) as lend:
+        shared = lend(levels)
+        rows = plan.join(_texts(df, lend(_bitmap(plan, "text_key", TEXT_BITS)), text), "text_key")
+        return materialize(rows.groupBy("other", "part").applyInArrow(run, schema), "distances")
 
 
 def _follower_links(followers: DataFrame, at: Threshold) -> DataFrame:
@@ -477,6 +479,19 @@ def similar_groups(
 ) -> DataFrame:
     """Group documents whose sets of distinct word N-grams are similar: ``key, n_shingles, component_id``.
 
+    See ``labelled_groups`` for what is linked and for unusual rows.
+    """
+    return labelled_groups(df, key, text, words, similarity).select(key, "n_shingles", "component_id")
+
+
+def labelled_groups(
+    df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: tuple[int, int] = (8, 10)
+) -> DataFrame:
+    """``key, text_key, n_shingles, label, component_id``: a row's group, and what tells rows of one key apart.
+
+    ``text_key`` is ``xxhash64`` of the text, ``label`` names the group (null: a
+    text without words), also where several groups have rows of one ``key``.
+
     Words are runs of anything but ASCII white space, with A-Z in lower case; a
     text of fewer than ``words`` words is one N-gram, a text without words (or
     null) has none and is linked with nothing. Two documents are linked when
@@ -490,7 +505,8 @@ def similar_groups(
     """
     at = Threshold(*similarity)
     levels = frequency_levels(df.select(F.col(f"`{text}`").alias("text")), words)
-    index = materialize(index_prefixes(df, levels, key, text, words, at), "prefixes")
+    with lending(df.sparkSession) as lend:
+        index = materialize(index_prefixes(df, lend(levels), key, text, words, at), "prefixes")
     shared = _shared_postings(index, at)
     star = _leaders(shared, at)
     # differences beyond a third of the set save nothing: such sets stand alone
@@ -512,9 +528,9 @@ def similar_groups(
     below = materialize(_links_below(tops, followers, labels, at), "links-below")
     if not below.isEmpty():
         labels = connect(links.unionByName(below))
-    rows = index.select("key", "sid", "n").join(labels, F.col("sid") == F.col("node"), "left")
-    rows = materialize(rows.select("key", F.col("n").alias("n_shingles"), F.coalesce("label", "sid").alias("label")), "labels")
+    rows = index.select("key", "text_key", "sid", "n").join(labels, F.col("sid") == F.col("node"), "left")
+    rows = materialize(rows.select("key", "text_key", F.col("n").alias("n_shingles"), F.coalesce("label", "sid").alias("label")), "labels")
     first_key = rows.filter(F.col("label").isNotNull()).groupBy("label").agg(F.min("key").alias("component_id"))
     return rows.join(first_key, "label", "left").select(
-        F.col("key").alias(key), "n_shingles", F.when(F.col("label").isNull(), F.col("key")).otherwise(F.col("component_id")).alias("component_id")
+        F.col("key").alias(key), "text_key", "n_shingles", "label", F.when(F.col("label").isNull(), F.col("key")).otherwise(F.col("component_id")).alias("component_id")
     )

@@ -30,7 +30,7 @@ SAMPLE_ROWS = 12_000  # labelled documents to learn from, at most
 LEAST_Z = 3.0  # standard errors by which a feature's evidence must differ from none
 BEGINNINGS = (4, 5, 6, 7, 8)
 SYMBOLS = 28  # border, a-z, any other letter
-CACHE_WORDS = 200_000
+CACHE_WORDS = 200_000  # of at most 40 characters, in each task
 
 # What marks and digits stand for.
 LEET = {
@@ -251,7 +251,8 @@ class Scorer:
                 value = max(value, *[self.evidence.get(w, 0.0) for w in (_DOUBLE.sub(r"\1", word), *once)])
         if len(self.known) >= CACHE_WORDS:
             self.known = {}
-        self.known[token] = value
+        if len(token) <= 40:
+            self.known[token] = value
         return value
 
     def _fragments(self, tokens: list[str]) -> list[float]:

@@ -24,22 +24,28 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of similar documents, that with the smallest ``doc_id``.
+    """One row of each group of similar documents, that with the smallest ``doc_id`` (of several, the smallest text hash).
 
-    Rows that share this ``doc_id`` (repeated rows) count as copies too: the
-    smallest text stays. Rows without ``doc_id`` are kept, for nothing tells
-    them apart.
+    A row is told from others by its ``doc_id`` and the hash of its text, so
+    unrelated texts of one ``doc_id`` are judged apart; rows that agree in both
+    are one, with the smallest other columns. Texts without words and rows
+    without ``doc_id`` are kept: the first are like nothing, the second are
+    never a group's document.
     """
     docs = docs.select(*COLUMNS)
-    groups = materialize(jaccard.similar_groups(docs), "groups")
-    repeated = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("component_id"))
-    repeated = materialize(repeated.filter("doc_id is not null and (n > 1 or component_id <> doc_id)"), "copies")
-    firsts = repeated.filter("component_id = doc_id").select("doc_id")
-    once = docs.join(repeated.select("doc_id"), "doc_id", "left_anti")
-    several = docs.join(materialize(firsts, "repeated-ids"), "doc_id", "left_semi").groupBy("doc_id").agg(
-        F.min(F.struct("text", "lang", "source", "n_chars")).alias("row")
-    )
-    return once.select(*COLUMNS).unionByName(several.select("doc_id", "row.*"))
+    alone = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    groups = jaccard.labelled_groups(docs).filter("doc_id is not null and label is not null")
+    rows = groups.groupBy("label", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    first = rows.groupBy("label").agg(F.min(F.struct("doc_id", "text_key", "n")).alias("row"))
+    first = materialize(first.select("row.*"), "firsts")
+    others = docs.filter(~alone).withColumn("text_key", F.xxhash64("text"))
+    once = others.join(first.filter("n = 1").drop("n"), ["doc_id", "text_key"], "left_semi")
+    several = (
+        others.join(first.filter("n > 1").drop("n"), ["doc_id", "text_key"], "left_semi")
+        .groupBy("doc_id", "text_key")
+        .agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row"))
+    )
+    return docs.filter(alone).unionByName(once.select(*COLUMNS)).unionByName(several.select("doc_id", "row.*"))
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,6 +60,15 @@ def test_stages_on_hard_rows(spark, hard, nothing, tmp_path):
     assert alone.filter("doc_id = 4").count() == 1 and alone.filter("doc_id is null").count() == 1
 
 
+def test_unrelated_texts_of_one_id_stay(spark):
+    a, b, c, d = ("".join(f"{x}{i} " for i in range(60)) for x in "abcd")
+    rows = [(3, a), (7, a + "more"), (7, b), (8, c), (8, d), (8, d), (None, "".join(reversed(a))), (None, ""), (9, " "), (9, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, FOLDER).collect()
+    want = [(3, a), (7, b), (8, c), (8, d), (None, "".join(reversed(a))), (None, ""), (9, " "), (9, " ")]
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in kept))) == sorted(map(repr, want))
+
+
 def test_run_gives_the_last_stage(spark):
     rows = corpus_pipeline.run(spark, FOLDER)
     assert rows.columns == ["doc_id", "lang", "source", "n_tokens", "ids"] and rows.count() > 50

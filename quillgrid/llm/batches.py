@@ -45,6 +45,13 @@ def lending(spark: SparkSession) -> Iterator[Callable]:
             broadcast.destroy()
 
 
+def clashing(columns, made: set[str]) -> None:
+    """Refuse columns with names that an operator makes."""
+    taken = {c.lower() for c in columns} & made
+    if taken:
+        raise ValueError(f"columns {sorted(taken)} are made here; rename yours")
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """The column's values, null as empty."""
     return [t or "" for t in column.to_pylist()]

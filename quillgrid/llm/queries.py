@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import bpe, chat, digest, jaccard, mixing, passages, perplexity, secrets, toxicity, warc
+from quillgrid.llm import balltree, bpe, chat, digest, jaccard, manifest, mixing, passages, perplexity, secrets, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -180,3 +180,73 @@ def deobfuscated_toxicity(spark, folder):
 def passage_attention(spark, folder):
     """Quality of every document."""
     return passages.score_quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def _merkle_sql(levels: int = 7) -> str:
+    """DuckDB: the tree level by level, for groups of up to 16 ** levels rows and as many groups."""
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode(CAST({c} AS VARCHAR))) || ':' || {c} END"
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    low = f"translate(text, '{upper}', '{upper.lower()}')"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars"))) + " || " + field(text) + ")"
+    # unsigned crc32 of the decimal id, bit by bit
+    crc = """list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+        lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)::BIGINT[]), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))"""
+    parts = [
+        f"""l AS (SELECT doc_id, source, {leaf("text")} AS leaf, CASE WHEN xor({crc}, 4294967295) % 5 = 0 THEN {leaf(low)} ELSE {leaf("text")} END AS bad FROM documents)""",
+        """a0 AS (SELECT doc_id, source, leaf, bad, leaf AS h, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS LAST, leaf) - 1 AS p,
+            count(*) OVER (PARTITION BY source) AS n FROM l)""",
+        "n0 AS (SELECT source, p, h, n FROM a0)",
+        """f0 AS (SELECT doc_id, source, leaf, p AS q, '' AS proof, bad AS folded FROM a0)""",
+    ]
+    for kind, group, same in (("", "source, ", "f.source IS NOT DISTINCT FROM r.source AND "), ("g", "", "")):
+        for k in range(levels):
+            part = "PARTITION BY source" if group else ""
+            rest = "string_agg(h, '' ORDER BY p)"
+            parts += [
+                # the runs of a level; a single node stays as it is
+                f"{kind}r{k} AS (SELECT {group}p // 16 AS s, list(h ORDER BY p) AS run, any_value(n) AS n FROM {kind}n{k} GROUP BY {group}p // 16)",
+                f"""{kind}n{k + 1} AS (SELECT {group}s AS p, CASE WHEN n > 1 THEN sha256(list_aggregate(run, 'string_agg', '')) ELSE run[1] END AS h,
+                    CAST(ceil(n / 16.0) AS BIGINT) AS n FROM {kind}r{k})""",
+                f"""{kind}f{k + 1} AS (SELECT f.* EXCLUDE (q, proof, folded), q // 16 AS q,
+                    CASE WHEN n > 1 THEN proof || coalesce(list_aggregate(run[1:q % 16], 'string_agg', ''), '') || coalesce(list_aggregate(run[q % 16 + 2:], 'string_agg', ''), '') ELSE proof END AS proof,
+                    CASE WHEN n > 1 THEN sha256(coalesce(list_aggregate(run[1:q % 16], 'string_agg', ''), '') || folded || coalesce(list_aggregate(run[q % 16 + 2:], 'string_agg', ''), '')) ELSE folded END AS folded
+                    FROM {kind}f{k} f JOIN {kind}r{k} r ON {same}f.q // 16 = r.s)""",
+            ]
+        if group:
+            parts += [
+                f"""s AS (SELECT source, h, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS p, count(*) OVER () AS n FROM n{levels})""",
+                "gn0 AS (SELECT p, h, n FROM s)",
+                f"gf0 AS (SELECT f.* EXCLUDE (q), s.p AS q, s.h AS subroot FROM f{levels} f JOIN s ON f.source IS NOT DISTINCT FROM s.source)",
+            ]
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT doc_id, leaf, subroot, gn{levels}.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = gn{levels}.h AS verified
+FROM gf{levels}, gn{levels}"""
+
+
+@_query("op13_merkle_manifest", _merkle_sql())
+def merkle_manifest(spark, folder):
+    """Every document as a leaf, proven against the root, some with changed texts."""
+    return manifest.document_manifest(_table(spark, folder, "documents"))
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_TERMS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+_SEARCH_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS t FROM documents),
+c AS (SELECT count(*) FILTER (len(t) > 0) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS length FROM d),
+i AS (SELECT row_number() OVER () AS q, item_id, {_TERMS} AS t FROM benchmark),
+b AS (SELECT q, item_id, term, count(*) AS n FROM (SELECT q, item_id, unnest(t) AS term FROM i) GROUP BY ALL),
+f AS (SELECT r, doc_id, size, term, count(*) AS tf FROM (SELECT r, doc_id, len(t) AS size, unnest(t) AS term FROM d)
+      WHERE term IN (SELECT term FROM b) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM f, c GROUP BY term, n_docs),
+s AS (SELECT q, item_id, r, doc_id,
+        CAST(sum(n * weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * size * n_docs) // length)))) AS BIGINT) AS score
+      FROM f JOIN w USING (term) JOIN b USING (term), c GROUP BY q, item_id, r, doc_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= 10"""
+
+
+@_query("op12_ball_tree_search", _SEARCH_SQL)
+def ball_tree_search(spark, folder):
+    """The ten best documents for every benchmark item."""
+    return balltree.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import balltree, bpe, chat, digest, jaccard, manifest, mixing, passages, perplexity, secrets, toxicity, warc
+from quillgrid.llm import balltree, bpe, chat, digest, jaccard, manifest, mixing, passages, perplexity, repeats, secrets, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -250,3 +250,9 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <
 def ball_tree_search(spark, folder):
     """The ten best documents for every benchmark item."""
     return balltree.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+@_query("op11_recompression_dedup")
+def recompression_dedup(spark, folder):
+    """Every document without the passages of 20 words that occur earlier."""
+    return repeats.remove_repeats(_table(spark, folder, "documents").select("doc_id", "text"))

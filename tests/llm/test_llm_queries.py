@@ -16,8 +16,8 @@ def test_query_equals_sql(spark, name):
     assert status == "ok", detail
 
 
-def test_ten_queries_are_there():
-    assert sorted({int(n[2:].split("_")[0]) for n in QUERIES}) == list(range(1, 11))
+def test_thirteen_queries_are_there():
+    assert sorted({int(n[2:].split("_")[0]) for n in QUERIES}) == list(range(1, 14))
 
 
 def test_nothing_swallows_import_errors():

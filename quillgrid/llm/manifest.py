@@ -77,7 +77,8 @@ def rank_in_groups(df: DataFrame, groups: list[str], key: str, weight: str) -> D
     before = None
     for bits, level in zip(reversed(_DIRECTORY), reversed(levels), strict=True):
         keys = ", ".join(f"`{g}`" for g in groups)
-        own = level.withColumn("parent", F.shiftright("node", bits))
+        # at most 65,536 nodes, below and above 0, are left at the top
+        own = level.withColumn("parent", F.lit(0).cast("bigint") if before is None else F.shiftright("node", bits))
         inside = F.expr(
             f"coalesce(sum(total) over (partition by {keys}{', ' if keys else ''}parent order by node "
             "rows between unbounded preceding and 1 preceding), 0)"

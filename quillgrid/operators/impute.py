@@ -2,29 +2,17 @@
 
 from __future__ import annotations
 
-import sys
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quillgrid.functions.values import any_of, numeric_columns, other_columns
+from quillgrid.functions.values import numeric_columns, other_columns
+from quillgrid.operators.chained import chained_fill
 from quillgrid.operators.knn import fill_from_neighbours
 from quillgrid.operators.quantiles import exact_modes, exact_quantiles, long_form
-from quillgrid.session import materialize
-
-# Functions sent to the workers travel by value: the package need not be installed there.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Neighbours, rounds, stopping tolerance, and the text for a
-# column without any value.
+# Neighbours, rounds, and the text for a column without any value.
 NEIGHBOURS = 5
 ROUNDS = 10
-TOLERANCE = 1e-3
 NO_VALUE = "Unknown"
 
 
@@ -100,128 +88,11 @@ def _null_counts(df: DataFrame, cols: list[str]) -> dict[str, int]:
 
 
 def impute_mice(df: DataFrame, cols: list[str] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """Numeric gaps by chained linear regressions on the other columns.
-
-    Start from column means; in each round, column by column (fewest gaps
-    first), regress on the others and predict the gaps again. A regression needs
-    only sums of products: those of the complete rows are taken once, those of
-    the incomplete rows (stored once) per step. The state is the short list of
-    coefficients found so far; a pass over the incomplete rows replays it batch
-    by batch and adds up the sums. Rows are neither moved nor stored again, and
-    a lost executor costs only its own partitions.
+    """Numeric gaps by chained linear regressions on the other columns, ``rounds`` at most.
+
+    Two passes over the table whatever the rounds (see ``chained``). The columns
+    become doubles; a column without any value becomes 0.
     """
     cols = numeric_columns(df) if cols is None else cols
     doubles = df.withColumns({c: F.col(f"`{c}`").cast("double") for c in cols})
-    if not cols:
-        return doubles
-    first = doubles.agg(
-        *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}") for i, c in enumerate(cols)],
-        *[F.avg(f"`{c}`").alias(f"m{i}") for i, c in enumerate(cols)],
-        *[F.stddev_pop(f"`{c}`").alias(f"s{i}") for i, c in enumerate(cols)],
-        *[F.max(F.abs(f"`{c}`")).alias(f"a{i}") for i, c in enumerate(cols)],
-    ).first()
-    p = len(cols)
-    means = np.array([first[f"m{i}"] if first[f"m{i}"] is not None else 0.0 for i in range(p)])
-    scales = np.array([first[f"s{i}"] or 1.0 for i in range(p)])
-    largest = max([first[f"a{i}"] or 0.0 for i in range(p)], default=0.0)
-    gaps = sorted([i for i in range(p) if first[f"n{i}"]], key=lambda i: (first[f"n{i}"], i))
-    if not gaps:
-        return doubles
-    gap = [F.col(f"`{c}`").isNull() for c in cols]
-    values = [F.col(f"`{c}`").alias(f"_v{i}") for i, c in enumerate(cols)]
-    complete, _ = _sums(doubles.where(~any_of(gap)).select(*values), _Chain(means, scales), None)
-    stored = materialize(doubles.where(any_of(gap)).select(*values), "incomplete-rows")
-    chain = _Chain(means, scales)
-    if p > 1:
-        for turn in range(rounds):
-            for place, i in enumerate(gaps):
-                products, moved = _sums(stored, chain, i)
-                if turn and not place and max(moved[j] * scales[j] for j in gaps) < TOLERANCE * largest:
-                    return _filled(doubles, cols, chain)
-                chain.steps.append((i, _solve(complete + products, i, p)))
-    return _filled(doubles, cols, chain)
-
-
-class _Chain:
-    """Means, scales and the regressions found so far; small, whatever the table."""
-
-    def __init__(self, means: np.ndarray, scales: np.ndarray) -> None:
-        self.means, self.scales, self.steps = means, scales, []
-
-    def replay(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Scaled values with all steps applied, where gaps are, and how far each gap moved last."""
-        empty = np.isnan(raw)
-        x = np.where(empty, 0.0, (raw - self.means) / self.scales)
-        moved = np.zeros_like(x)
-        for i, weights in self.steps:
-            rows = np.flatnonzero(empty[:, i])
-            guess = weights[0] + x[rows] @ weights[1:]  # the target's own weight is 0
-            moved[rows, i] = np.abs(guess - x[rows, i])
-            x[rows, i] = guess
-        return x, empty, moved
-
-
-def _matrix(batch: pa.RecordBatch, places: list[int]) -> np.ndarray:
-    columns = [pc.fill_null(batch.column(i), float("nan")).to_numpy(zero_copy_only=False) for i in places]
-    return np.column_stack(columns) if batch.num_rows else np.zeros((0, len(places)))
-
-
-def _sums(rows: DataFrame, chain: _Chain, target: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of products of (1, x0, x1, ...) over the rows that have the target, and the largest last moves.
-
-    One pass; each task sends one short record per product.
-    """
-    p = len(rows.columns)
-
-    def run(batches):
-        total, most = np.zeros((p + 1, p + 1)), np.zeros(p)
-        for batch in batches:
-            x, empty, moved = chain.replay(_matrix(batch, list(range(p))))
-            if len(x):
-                most = np.maximum(most, moved.max(axis=0))
-            known = x if target is None else x[~empty[:, target]]
-            terms = np.column_stack([np.ones(len(known)), known])
-            total += terms.T @ terms
-        places = np.arange((p + 1) ** 2 + p)
-        values = np.concatenate([total.ravel(), most])
-        yield pa.RecordBatch.from_arrays([pa.array(places, pa.int32()), pa.array(values)], names=["k", "v"])
-
-    added = rows.mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("s"), F.max("v").alias("m"))
-    sums, largest = np.zeros((p + 1) ** 2), np.zeros(p)
-    for r in added.collect():  # (p + 1) ** 2 + p rows
-        if r["k"] < len(sums):
-            sums[r["k"]] = r["s"]
-        else:
-            largest[r["k"] - len(sums)] = r["m"]
-    return sums.reshape(p + 1, p + 1), largest
-
-
-def _solve(products: np.ndarray, target: int, p: int) -> np.ndarray:
-    """Weights (intercept first, 0 for the target itself), lightly ridged."""
-    use = [0, *[j + 1 for j in range(p) if j != target]]
-    left = products[np.ix_(use, use)]
-    ridge = np.eye(len(use)) * 1e-9 * max(products[0, 0], 1.0)
-    ridge[0, 0] = 0.0
-    found = np.linalg.lstsq(left + ridge, products[use, target + 1], rcond=None)[0]
-    weights = np.zeros(p + 1)
-    weights[use] = found
-    return weights
-
-
-def _filled(df: DataFrame, cols: list[str], chain: _Chain) -> DataFrame:
-    """The table with the chain's guesses in the gaps; other cells and columns pass through."""
-    places = [df.columns.index(c) for c in cols]
-    plain = [f"_c{i}" for i in range(len(df.columns))]  # names that any Arrow version takes
-    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(plain, df.schema.fields)])
-
-    def run(batches):
-        for batch in batches:
-            raw = _matrix(batch, places)
-            x, empty, _ = chain.replay(raw)
-            whole = np.where(empty, x * chain.scales + chain.means, raw)
-            columns = list(batch.columns)
-            for k, at in enumerate(places):
-                columns[at] = pa.array(whole[:, k])
-            yield pa.RecordBatch.from_arrays(columns, names=plain)
-
-    return df.toDF(*plain).mapInArrow(run, schema).toDF(*df.columns)
+    return chained_fill(doubles, cols, rounds) if cols else doubles

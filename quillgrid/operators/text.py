@@ -16,6 +16,7 @@ from quillgrid.functions.number_words import pair_value, phrase_value, word_valu
 from quillgrid.functions.values import NOT_WORD, all_of, any_of, quoted, strip, whole_word, words_of
 from quillgrid.operators.filters import NEGATION
 from quillgrid.operators.similarity import similar_pairs, similarity
+from quillgrid.operators.tagging import tag_dictionary_values  # noqa: F401
 from quillgrid.session import materialize
 
 # Functions sent to the workers travel by value: the package need not be installed there.
@@ -255,117 +256,6 @@ def split_steps(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     )
 
 
-# --- dictionary values in text -----------------------------------------------
-
-
-def _phrases(words: Column, sizes: list[int]) -> Column:
-    """All runs of as many neighbouring words as some value has, each once."""
-
-    def runs(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
-        found = F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
-        return F.when(F.size(words) >= n, found).otherwise(F.array().cast("array<string>"))
-
-    return F.array_distinct(F.concat(*[words if n == 1 else runs(n) for n in sizes]))
-
-
-def tag_dictionary_values(df: DataFrame, text_col: str, rid: str, dictionary: DataFrame) -> DataFrame:
-    """Which ``(column, value)`` pairs of a dictionary does each text name?
-
-    Output per text and column: ``rid, column, value, matched, negated,
-    conflict``. ``matched`` is ``whole`` when the text holds the whole value; only
-    for texts without any whole value it is ``word``: a shared word of three or
-    more letters. Several values of one column are a conflict and leave ``value``
-    null.
-
-    Texts meet values by equal keys: runs of words of the same length as a
-    value, or single words. Both sides are reduced before the join (distinct
-    keys per text; per word at most the smallest and largest value), so a
-    frequent word never multiplies rows by the number of values holding it.
-    """
-    value = F.lower(strip(F.col("value")))
-    pairs = dictionary.where(F.col("value").isNotNull()).select("column", value.alias("value")).distinct()
-    pairs = pairs.where(F.length("value") > 0).withColumn("_words", words_of(F.col("value")))
-    pairs = materialize(
-        pairs.withColumns({"_phrase": F.array_join("_words", " "), "_edged": _edges(F.col("value"))}).where(
-            F.size("_words") > 0
-        ),
-        "dictionary",
-    )
-    sizes = sorted(pairs.agg(F.collect_set(F.size("_words"))).first()[0]) or [1]  # one number per length
-    text = F.regexp_replace(F.lower(F.col(f"`{text_col}`")), r"[_\-]+", " ")
-    texts = df.select(F.col(f"`{rid}`").alias("_id"), text.alias("_text")).where(F.col("_text").isNotNull())
-    # The text with marked word edges, and what follows a negation word in each line.
-    marked = texts.select(
-        "_id",
-        _edges(F.col("_text")).alias("_marked"),
-        F.transform(F.regexp_extract_all("_text", F.lit(_AFTER_NEGATION), 1), _edges).alias("_tails"),
-    )
-
-    # Keys travel without the text; it is joined back, by id, to the hits.
-    words = texts.select("_id", words_of(F.col("_text")).alias("_w"))
-    runs = words.select("_id", F.explode(_phrases(F.col("_w"), sizes)).alias("_phrase"))
-    candidates = runs.join(pairs.select("column", "value", "_edged", "_phrase"), "_phrase").drop("_phrase")
-    whole = materialize(
-        candidates.join(marked, "_id")
-        .where(F.contains("_marked", "_edged"))
-        .groupBy("_id", "column")
-        .agg(
-            F.min("value").alias("_low"),
-            F.max("value").alias("_high"),
-            F.max_by(_negated(F.col("_edged")), F.col("value")).alias("negated"),
-        ),
-        "whole-values",
-    )
-
-    by_word = (
-        pairs.select("column", "value", F.explode(_long_words(F.col("value"))).alias("_w"))
-        .groupBy("column", "_w")
-        .agg(F.min("value").alias("_low"), F.max("value").alias("_high"))
-    )
-    rest = texts.join(whole.select("_id").distinct(), "_id", "left_anti")
-    loose = (
-        rest.select("_id", F.explode(_long_words(F.col("_text"))).alias("_w"))
-        .join(by_word, "_w")
-        .groupBy("_id", "column")
-        .agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"))
-        .join(marked, "_id")
-        .select("_id", "column", "_low", "_high", _negated(_edges(F.col("_low"))).alias("negated"))
-    )
-    one = F.col("_low") == F.col("_high")
-    both = whole.withColumn("matched", F.lit("whole")).unionByName(loose.withColumn("matched", F.lit("word")))
-    return both.select(
-        F.col("_id").alias(rid),
-        "column",
-        F.when(one, F.col("_low")).alias("value"),
-        "matched",
-        F.when(one, F.col("negated")).alias("negated"),
-        (~one).alias("conflict"),
-    )
-
-
-_AFTER_NEGATION = f"(?:^|{NOT_WORD})(?:{NEGATION})({NOT_WORD}.*)"
-
-
-def _edges(text: Column) -> Column:
-    """Mark where words start and end, and the places between two other characters.
-
-    A value stands alone in a text exactly when its marked form occurs in the
-    marked text, so no pattern has to be built per value.
-    """
-    between = F.regexp_replace(text, r"(?<![\p{L}\p{N}_])(?![\p{L}\p{N}_])", "\u0003")
-    return F.regexp_replace(between, r"([\p{L}\p{N}_]+)", "\u0001$1\u0002")
-
-
-def _negated(edged: Column) -> Column:
-    return F.exists("_tails", lambda tail: F.contains(tail, edged))
-
-
-def _long_words(text: Column) -> Column:
-    words = F.regexp_extract_all(text, F.lit(r"((?:[\p{L}\p{N}_]|')+)"), 1)
-    return F.array_distinct(F.filter(words, lambda w: F.length(w) >= 3))
-
-
 # --- fuzzy lookups -----------------------------------------------------------
 
 # Accepted score, its lead over the runner-up, candidate score.

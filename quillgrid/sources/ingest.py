@@ -12,6 +12,7 @@ from quillgrid.functions.values import (
     strip,
     text_columns,
 )
+from quillgrid.sources.records import quoted_records
 
 # Cell texts that mean "missing" in a CSV file, and the share of
 # filled cells that must parse for a text column to count as numeric.
@@ -32,10 +33,10 @@ def csv_scan(
     Everything is read as text first, because the missing tokens would spoil
     Spark's own inference. One aggregate over the file then decides per column:
     whole numbers, numbers, true/false or text. Pass ``schema`` to skip it.
-    ``multi_line`` allows line breaks inside quoted cells, at the price that a
-    file can no longer be read by several tasks.
+    Quoted cells may hold line breaks; a file is read by many tasks all the
+    same (see ``records``). ``multi_line`` leaves that to Spark, one task a file.
     """
-    raw = spark.read.options(header=True, escape='"', multiLine=multi_line).csv(path)
+    raw = _cells(spark, path, multi_line)
     names = raw.columns
     text = raw.select(*[F.when(~F.col(f"`{n}`").isin(NA_TOKENS), F.col(f"`{n}`")).alias(n) for n in names])
     if schema is not None:
@@ -64,6 +65,18 @@ def csv_scan(
     return text.select(*[_typed(F.col(f"`{n}`"), k).alias(n) for n, k in zip(names, kinds)])
 
 
+def _cells(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    """Every cell as text, under the names of the header."""
+    whole = spark.read.options(header=True, escape='"', multiLine=True)
+    records = None if multi_line else quoted_records(spark, path)
+    if records is None:
+        return whole.option("multiLine", multi_line).csv(path)
+    names = whole.csv(path).columns  # reads no further than the first record
+    cells = ", ".join(f"c{i} string" for i in range(len(names)))
+    row = F.from_csv("record", cells, {"escape": '"', "multiLine": "true"})
+    return records.where("not first").select(row.alias("_row")).select("_row.*").toDF(*names)
+
+
 def _whole_number(col: Column) -> Column:
     """A whole number that 64 bits hold."""
     return F.when(col.rlike(r"^\s*[+-]?\d+\s*$"), strip(col).try_cast("bigint"))

@@ -30,6 +30,15 @@ def csv_scan(spark, folder):
     return I.csv_scan(spark, path)
 
 
+@register(
+    "csv_scan_quoted_breaks",
+    f"""SELECT doc_id, CASE WHEN text NOT IN ({_NA}) THEN text END AS text, lang, source, n_chars FROM documents""",
+)
+def csv_scan_quoted_breaks(spark, folder):
+    """Texts with line breaks, quotes and commas inside, written and read back."""
+    return I.csv_scan(spark, I.csv_sink(table(spark, folder, "documents"), scratch_path(spark, "csv")))
+
+
 _IDS = "SELECT o_orderkey + 9007199254740992 AS a, 9223372036854775807 - o_orderkey AS b, o_orderstatus FROM {orders}"
 
 

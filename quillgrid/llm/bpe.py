@@ -27,8 +27,8 @@ from quillgrid.llm.batches import pieces, texts_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-CACHE_BYTES = 24 << 20  # of each of the two generations, in each Python worker; empty again at the end of a task
-_ENTRY_BYTES = 330  # of a cached stretch beside its characters and ids
+CACHE_BYTES = 56 << 20  # of each of the two generations, in each Python worker; empty again at the end of a task
+_ENTRY_BYTES = 190  # of a cached stretch beside its characters and ids
 _MASK = (1 << 64) - 1
 _STEP, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd constants that spread bits
 
@@ -148,12 +148,13 @@ class Codec:
         for t, i in zip(self.tokens, self.ids, strict=True):
             by_id[i] = t
         self.flat = np.frombuffer(b"".join(by_id), np.uint8)
+        self.texts = list(map(str, range(most)))
         self.forget()
 
     def forget(self) -> None:
         """Empty the cache."""
-        self.young: dict[str, tuple[str, bytes]] = {}
-        self.old: dict[str, tuple[str, bytes]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.held = 0
 
     def _whole(self, piece: bytes) -> int:
@@ -200,22 +201,22 @@ class Codec:
         whole = self._whole(piece)
         return [whole] if whole >= 0 else self._merge(piece)
 
-    def _stretch(self, text: str) -> tuple[str, bytes]:
-        """Ids of a stretch that pre-tokens don't cross: as decimals, and as 32-bit numbers."""
+    def _stretch(self, text: str) -> bytes:
+        """Ids of a stretch that pre-tokens don't cross, as 32-bit numbers."""
         found = self.old.get(text)
         if found is None:
             words = (text,) if _ONE.fullmatch(text) else self.pattern.findall(text)
             ids = self._ids(words[0]) if len(words) == 1 else [i for w in words for i in self._ids(w)]
-            found = " ".join(map(str, ids)), array("I", ids).tobytes()
-        self.held += _ENTRY_BYTES + 4 * len(text) + len(found[0]) + len(found[1])
+            found = array("I", ids).tobytes()
+        self.held += _ENTRY_BYTES + len(text) + len(found)
         if self.held > CACHE_BYTES:
             self.young, self.old, self.held = {}, self.young, 0
         if len(text) <= _LONGEST:
             self.young[text] = found
         return found
 
-    def encode(self, text: str) -> tuple[str, bytes]:
-        """All ids as decimals joined by one space, and as 32-bit numbers.
+    def pack(self, text: str) -> bytes:
+        """All ids as 32-bit numbers.
 
         Without two white-space characters in a row, no pre-token reaches over
         the place before a blank, around a line break or between a Latin letter
@@ -226,7 +227,12 @@ class Codec:
         found = list(map(self.young.get, pieces))
         if None in found:
             found = [f if f is not None else self.young.get(p) or self._stretch(p) for f, p in zip(found, pieces, strict=True)]
-        return " ".join([f[0] for f in found]), b"".join([f[1] for f in found])
+        return b"".join(found)
+
+    def encode(self, text: str) -> tuple[str, bytes]:
+        """All ids as decimals joined by one space, and as 32-bit numbers."""
+        packed = self.pack(text)
+        return " ".join(map(self.texts.__getitem__, np.frombuffer(packed, np.uint32).tolist())), packed
 
     def decode(self, ids: np.ndarray) -> bytes:
         sizes = self.sizes[ids]
@@ -270,7 +276,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", name: str
     """
 
     def make(codec, texts):
-        packed = [codec.encode(t)[1] for t in texts_of(texts)]
+        packed = [codec.pack(t) for t in texts_of(texts)]
         offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
         values = pa.array(np.frombuffer(b"".join(packed), np.int32))
         return [pa.ListArray.from_arrays(pa.array(offsets), values)]

@@ -5,11 +5,11 @@ per group in a single aggregation buffer, which fails for a group with a third
 of a huge table. Here the work is split, in the same way for groups of any size:
 
 quantiles
-  1. a sketch per group gives cut values around each wanted rank;
-  2. distinct values are counted (map-side combined) with the bin between two
-     cuts that they fall into;
-  3. the bins holding the ranks are found from the bins' sizes, and only their
-     distinct values are ranked.
+  1. a sketch per group brackets each wanted rank by two values;
+  2. values outside the brackets are only counted, those inside are counted one
+     by one (all combined before the shuffle);
+  3. the pieces of brackets that hold the ranks are found from their sizes, and
+     only their values are ranked.
 
 modes
   count each (group, value) pair, then take the best pair per group.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from quillgrid.functions.values import any_of, same_rows
 from quillgrid.session import materialize
 
-_SIDE = 4  # cuts to each side of a rank
+_PIECES = 256  # of a bracket
 
 
 def long_form(df: DataFrame, keys: list[str], values: dict[str, Column], kind: str = "double") -> DataFrame:
@@ -41,67 +41,80 @@ def exact_quantiles(
 ) -> DataFrame:
     """``keys`` + ``n`` + ``quantiles`` (array, linear interpolation), exact.
 
-    ``keys`` must not be empty. One way for groups of any size. The sketch only
-    steers: it says how finely the values around a rank are cut. If a rank lies
-    elsewhere, its bin is larger and the answer the same.
+    ``keys`` must not be empty. One way for groups of any size: a sketch, whose
+    error is at most ``1 / accuracy`` of a group, brackets each wanted rank by two
+    values; a second pass counts what lies outside the brackets and keeps apart
+    only the values inside. Two scans of ``long``; what travels is a count for
+    each gap between brackets and about ``4 / accuracy`` of the distinct values.
     """
+    probs_up = sorted(set(probs))
     rows = long.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    # cut values around each rank; between neighbours lies about an eighth of the sketch's error
-    steps = [i / _SIDE for i in range(-_SIDE, _SIDE + 1)]
-    around = sorted({min(1.0, max(0.0, p + s * 2.0 / accuracy)) for p in probs for s in steps})
+    # how far a bracket reaches beyond its rank, as a share: the error and two rows more
+    reach = [2.0 / accuracy, 0.01, 0.1]
+    marks = [min(1.0, max(0.0, p + side * d)) for p in probs_up for d in reach for side in (-1, 1)]
     sketch = materialize(
-        rows.groupBy(*keys).agg(
-            F.count("_v").alias("_n"),
-            F.array_distinct(F.percentile_approx("_v", around, accuracy)).alias("_cuts"),
-        ),
-        "quantile-cuts",
+        rows.groupBy(*keys).agg(F.count("_v").alias("_n"), F.percentile_approx("_v", marks, accuracy).alias("_marks")),
+        "quantile-marks",
     )
-    # a value equal to a cut has a bin of its own, so a very frequent value is one distinct value in its bin
-    below = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
-    bin_of = 2 * below + F.coalesce((F.get("_cuts", below) == F.col("_v")).cast("int"), F.lit(0))
-    # between the outermost cuts distinct values are kept apart; outside they only count, unless a rank is there
-    pieces = materialize(
-        same_rows(rows, sketch, keys)
-        .withColumn("_bin", bin_of)
-        .groupBy(*keys, "_n", "_bin", "_v")
-        .agg(F.count("*").alias("_c")),
-        "quantile-counts",
-    )
-    # at most two bins for each cut and one more per group
-    by_key = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = (
-        pieces.groupBy(*keys, "_n", "_bin")
-        .agg(F.sum("_c").alias("_size"))
-        .withColumn("_before", F.coalesce(F.sum("_size").over(by_key), F.lit(0)))
+    width = sum(((F.col("_n") * (d - 1.0 / accuracy) < 2).cast("int") for d in reach), F.lit(0))  # of groups too small for a reach
+    ends = []
+    for i in range(len(probs_up)):
+        at = 2 * len(reach) * i + 2 * width
+        low = F.coalesce(F.get("_marks", at), F.lit(float("-inf")))
+        high = F.coalesce(F.get("_marks", at + 1), F.lit(float("inf")))
+        whole = width >= len(reach)  # a few rows: all are inside
+        ends.append(
+            F.struct(
+                F.when(whole, F.lit(float("-inf"))).otherwise(low).alias("low"), F.when(whole, F.lit(float("inf"))).otherwise(high).alias("high")
+            )
+        )
+    brackets = sketch.select(*keys, "_n", *[e.alias(f"_b{i}") for i, e in enumerate(ends)])
+    # a value's gap is the number of brackets below it; rows of a gap stand before the values of its bracket
+    gap = sum(((F.col(f"_b{i}.high") < F.col("_v")).cast("int") for i in range(len(ends))), F.lit(0))
+    inside = any_of([F.col("_v").between(F.col(f"_b{i}.low"), F.col(f"_b{i}.high")) for i in range(len(ends))])
+    placed = same_rows(rows, brackets, keys).select(*keys, "_n", gap.alias("_gap"), F.when(inside, F.col("_v")).alias("_v"), *[f"_b{i}" for i in range(len(ends))])
+    # values of a bracket are ranked inside one of its pieces, so that a bracket of a huge group is not one list
+    piece = F.lit(-1)
+    for i in reversed(range(len(ends))):
+        low, high = F.col(f"_b{i}.low"), F.col(f"_b{i}.high")
+        share = F.floor((F.col("_v") - low) / (high - low) * _PIECES).cast("int")
+        share = F.when((high > low) & (high - low < float("inf")), F.least(share, F.lit(_PIECES - 1))).otherwise(0)
+        piece = F.when(F.col("_v").between(low, high) & (F.col("_gap") == i), share).otherwise(piece)
+    counted = placed.groupBy(*keys, "_n", "_gap", piece.alias("_piece"), "_v").agg(F.count(F.lit(1)).alias("_c"))
+    pieces = counted.groupBy(*keys, "_n", "_gap", "_piece").agg(
+        F.sum("_c").alias("_size"), F.collect_list(F.struct("_v", "_c")).alias("_values")
     )
+    before = Window.partitionBy(*keys).orderBy("_gap", "_piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
 
     def rank(p: float, step: int) -> Column:
         position = (F.col("_n") - 1) * F.lit(p)
         return (F.floor(position) if step == 0 else F.ceil(position)).cast("long")
 
-    wanted = any_of(
-        [
-            (rank(p, s) >= F.col("_before")) & (rank(p, s) < F.col("_before") + F.col("_size"))
-            for p in probs
-            for s in (0, 1)
-        ]
+    ranks = [rank(p, s) for p in probs_up for s in (0, 1)]
+    here = [(r >= F.col("_before")) & (r < F.col("_before") + F.col("_size")) for r in ranks]
+    ranked = pieces.where(any_of(here)).withColumn("_values", F.array_sort("_values"))
+
+    def value_at(index: Column, inside: Column) -> Column:
+        """The value behind whose run of equal ones more than ``index`` rows stand."""
+        start = F.struct(F.col("_before").alias("end"), F.lit(None).cast("double").alias("v"))
+        walked = F.aggregate(
+            "_values",
+            start,
+            lambda acc, x: F.struct(
+                (acc["end"] + x["_c"]).alias("end"), F.when(acc["end"] <= index, x["_v"]).otherwise(acc["v"]).alias("v")
+            ),
+        )
+        return F.max(F.when(inside, walked["v"]))
+
+    out = ranked.groupBy(*keys, "_n").agg(
+        *[value_at(r, w).alias(f"_{k % 2}_{k // 2}") for k, (r, w) in enumerate(zip(ranks, here, strict=True))]
     )
-    chosen = bins.where(wanted).select(*keys, "_bin", "_before")
-    in_bin = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = same_rows(pieces, chosen, [*keys, "_bin"]).withColumn("_end", F.col("_before") + F.sum("_c").over(in_bin))
-    start = F.col("_end") - F.col("_c")
-
-    def value_at(index: Column) -> Column:
-        return F.max(F.when((index >= start) & (index < F.col("_end")), F.col("_v")))
-
-    ends = []
-    for i, p in enumerate(probs):
-        ends += [value_at(rank(p, 0)).alias(f"_lo{i}"), value_at(rank(p, 1)).alias(f"_hi{i}")]
-    out = placed.groupBy(*keys, "_n").agg(*ends)
     answers = []
-    for i, p in enumerate(probs):
+    for p in probs:
+        i = probs_up.index(p)
         position = (F.col("_n") - 1) * F.lit(p)
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        lo, hi = F.col(f"_0_{i}"), F.col(f"_1_{i}")
         answers.append(lo + (hi - lo) * (position - F.floor(position)))
     return out.select(*keys, F.col("_n").alias("n"), F.array(*answers).alias("quantiles"))
 

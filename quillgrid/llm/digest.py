@@ -9,16 +9,18 @@ overlap beyond chance.
 
 from __future__ import annotations
 
+import hashlib
 import sys
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillgrid.llm.batches import pieces, texts_of
+from quillgrid.session import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -222,39 +224,23 @@ def fingerprints(df: DataFrame, ranks: np.ndarray, text: str = "text", name: str
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.StringType())]))
 
 
-def neighbour_order(df: DataFrame, key: str, text: str, rows_per_part: int = 4000) -> DataFrame:
-    """Rows dealt to consecutive ranges of descending keys: ``part, halo, key, text``.
+_PREFIX = 64  # characters of a text that tell rows of one key apart where rows are dealt
 
-    Each part ends with one more row, ``halo`` = 1, the first of the following
-    part (after the last: of the first), so that a part's rows find the row
-    behind them without another exchange. Cuts are quantiles of the keys, whose
-    number follows the table's rows. Null keys come last; equal keys are in one
-    part, ordered by text.
+
+def neighbour_order(df: DataFrame, key: str, text: str, rows_per_part: int | None = None) -> DataFrame:
+    """``key, text`` by descending key, null last, equal keys by text: partitions are consecutive and sorted.
+
+    Partitions are ranges that Spark samples, as many as its shuffles have
+    (or one for each ``rows_per_part`` rows). Rows of one key are dealt by the
+    beginning of their text, so only equal texts of one key stay together.
     """
-    column = F.col(f"`{key}`").cast("bigint")
-    rows = df.select(column.alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    parts = max(1, -(-rows.count() // rows_per_part))
-    cuts = sorted({int(c) for c in rows.approxQuantile("key", [i / parts for i in range(1, parts)], 0.25 / parts)}) if parts > 1 else []
-    bounds = F.array(*[F.lit(c) for c in reversed(cuts)]).cast("array<bigint>") if cuts else F.array().cast("array<bigint>")
-    # a descending key falls behind as many cuts as are above it
-    part = F.when(F.col("key").isNull(), F.lit(len(cuts))).otherwise(F.size(F.filter(bounds, lambda c: c > F.col("key"))))
-    placed = rows.withColumn("part", part)
-    heads = placed.groupBy("part").agg(F.max("key").alias("head")).orderBy("part").collect()  # one row per part
-    first = [(r["part"], r["head"]) for r in heads]
-    before = [first[i - 1][0] for i in range(len(first))]
-    schema = "to_part int, h_part int, h_key long"
-    spark = df.sparkSession
-    halo = spark.createDataFrame([(b, p, k) for b, (p, k) in zip(before, first, strict=True)], schema)
-    lowest = (
-        placed.join(F.broadcast(halo), (F.col("part") == F.col("h_part")) & F.col("key").eqNullSafe(F.col("h_key")))
-        .groupBy(F.col("to_part").alias("part"), "key")
-        .agg(F.min("text").alias("text"))
-        .select("part", F.lit(1).alias("halo"), "key", "text")
-    )
-    both = placed.select("part", F.lit(0).alias("halo"), "key", "text").unionByName(lowest)
-    return both.repartition(max(1, len(cuts) + 1), "part").sortWithinPartitions(
-        "part", "halo", F.col("key").desc_nulls_last(), "text"
-    )
+    rows = df.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    order = [F.col("key").desc_nulls_last(), F.substring("text", 1, _PREFIX)]
+    if rows_per_part is None:
+        dealt = rows.repartitionByRange(*order)
+    else:
+        dealt = rows.repartitionByRange(max(1, -(-rows.count() // rows_per_part)), *order)
+    return dealt.sortWithinPartitions(F.col("key").desc_nulls_last(), "text")
 
 
 def edited_text(text: str, following: str) -> str:
@@ -271,25 +257,13 @@ def compare_edits(df: DataFrame, ranks: np.ndarray, key: str = "doc_id", text: s
     after the smallest the largest (a single row: itself). Null texts are empty;
     null keys come after all others; equal keys are ordered by text.
     """
-    import hashlib
-
-    schema = (
+    result = (
         f"`{key}` long, n_chars long, edited_sha256 string, fingerprint string, "
         "edited_fingerprint string, near_edited double, near_next double"
     )
     names = [key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64()]
 
-    def pairs(batches):
-        """Each row that isn't a halo with the text behind it."""
-        last = None
-        for batch in pieces(batches, 3):
-            for row in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
-                part, halo, own, value = row
-                if last is not None and last[0] == part:
-                    yield last[1], last[2], value
-                last = None if halo else (part, own, value)
-
     def one(rows):
         edits = [edited_text(t, n) for _, t, n in rows]
         every = list(dict.fromkeys(x for (_, t, n), e in zip(rows, edits, strict=True) for x in (t, n, e)))
@@ -299,19 +273,63 @@ def compare_edits(df: DataFrame, ranks: np.ndarray, key: str = "doc_id", text: s
              likeness(chain[t], chain[e]), likeness(chain[t], chain[n]))
             for (k, t, n), e in zip(rows, edits, strict=True)
         ]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(zip(*done, strict=True), kinds, strict=True)], names=names
-        )
+        return [pa.array(c, t) for c, t in zip(zip(*done, strict=True), kinds, strict=True)]
 
-    def run(batches):
+    def in_pieces(rows):
         held, size = [], 0
-        for row in pairs(batches):
+        for row in rows:
             held.append(row)
             size += len(row[1])
             if size >= 1 << 18:
-                yield one(held)
+                yield held
                 held, size = [], 0
         if held:
-            yield one(held)
-
-    return neighbour_order(df, key, text).mapInArrow(run, schema)
+            yield held
+
+    def inner(batches):
+        """Results of all rows but a partition's last, which waits, with the first, for the other partitions."""
+        from pyspark import TaskContext
+
+        part, ends = TaskContext.get().partitionId(), []
+
+        def pairs():
+            last = None
+            for batch in pieces(batches, 1):
+                for own, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if last is None:
+                        ends.append((1, own, value))
+                    else:
+                        yield last[0], last[1], value
+                    last = own, value
+            if last is not None:
+                ends.append((2, *last))
+
+        blank = lambda n, kind: pa.nulls(n, kind)
+        for rows in in_pieces(pairs()):
+            n = len(rows)
+            yield pa.RecordBatch.from_arrays(
+                [*one(rows), blank(n, pa.int64()), pa.array([0] * n, pa.int32()), blank(n, pa.string())], names=[*names, "__part", "__role", "__text"]
+            )
+        roles, own, values = ([e[i] for e in ends] for i in range(3))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(own, pa.int64()), *[blank(len(ends), k) for k in kinds[1:]], pa.array([part] * len(ends), pa.int64()),
+             pa.array(roles, pa.int32()), pa.array(values, pa.string())],
+            names=[*names, "__part", "__role", "__text"],
+        )
+
+    def across(batches):
+        for batch in batches:
+            for rows in in_pieces(zip(*[c.to_pylist() for c in batch.columns], strict=True)):
+                yield pa.RecordBatch.from_arrays(one(rows), names=names)
+
+    ordered = neighbour_order(df, key, text)
+    stored = materialize(ordered.mapInArrow(inner, f"{result}, __part long, __role int, __text string"), "edits")
+    heads = stored.filter("__role = 1").select(F.col("__part").alias("h_part"), F.col("__text").alias("h_text"))
+    # which partition follows: a number for each partition, no texts
+    by_part = Window.orderBy("__part")
+    following = stored.filter("__role = 1").select("__part").select(
+        "__part", F.coalesce(F.lead("__part").over(by_part), F.first("__part").over(by_part)).alias("__next")
+    )
+    tails = stored.filter("__role = 2").join(following, "__part").join(heads, F.col("__next") == F.col("h_part"))
+    last = tails.select(F.col(f"`{key}`").alias("key"), "__text", "h_text").mapInArrow(across, result)
+    return stored.filter("__role = 0").select(*[F.col(f"`{n}`") for n in names]).unionByName(last)

@@ -1,18 +1,21 @@
 """Exact nearest-row imputation without comparing every pair of rows.
 
-Rows are grouped by which columns they have. A row with a gap (receiver) and a
-row with the value (donor) are compared in the columns both have; receivers and
-donors with the same shared columns form one space. Per space:
-
-1. equal donor points are reduced to their k smallest row ids, and equal
-   receivers to one, so copies cost nothing;
-2. a bounded sample of donors gives a k-d partition of the space, and for each
-   receiver a distance that its k-th neighbour cannot exceed;
-3. a receiver visits only the parts its ball touches; big parts are cut into
-   blocks of bounded size, and each block returns k candidates per receiver;
-4. the best k of all blocks are averaged.
-
-Spark does the grouping, shuffling and merging; numpy scores one block.
+A row with gaps (receiver) is compared with rows that have the missing value
+(donors), in the columns both have. Donors stand in a k-d partition that Spark
+builds level by level: each level cuts every part that is still too large at
+quantiles of the column in which it is widest, rows without that column going to
+a part of their own. The rules are a small table, whatever the rows.
+
+1. a receiver looks into the part it belongs to; its k-th neighbour there bounds
+   how far its ball reaches;
+2. it visits only the other parts that the ball touches; large parts are cut
+   into blocks, and each block returns k candidates per receiver and gap;
+3. the best k of all are averaged.
+
+Receivers that miss the same columns as many others get a partition over just
+the columns they have, for a column they miss can't keep them out of a part. All
+others share one over all columns, so any set of gaps, and any number of sets,
+is searched exactly.
 """
 
 from __future__ import annotations
@@ -23,10 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgrid.functions.values import quoted
+from quillgrid.functions.values import any_of, quoted
 from quillgrid.session import materialize
 
 # Functions sent to the workers travel by value: the package need not be installed there.
@@ -34,214 +37,171 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _PART_ROWS = 4_000
 _BLOCK_ROWS = 20_000
-_SAMPLE_ROWS = 200_000
-_SAMPLE_PER_PART = 24
-_MOST_SPACES = 10_000
+MOST_PARTS = 1 << 16  # of all partitions together; parts grow beyond that
+FREQUENT = 8  # sets of columns with a partition of their own
+RARE = 0.1  # a column filled in fewer rows has donors of its own
+_WAYS = 64  # a part is cut into at most so many
+_LEVELS = 24
 
 
-class _Partition:
-    """A k-d partition of one space, built from sample points.
+class Space:
+    """Donors with one of the columns ``targets``, partitioned by the columns ``axes``.
 
-    Node boxes are closed below and open above; leaves are numbered as parts.
+    ``only`` is the set of columns whose receivers look here; none: see ``rest``.
+    ``rest`` takes all sets that have no partition of their own.
     """
 
-    def __init__(self, points: np.ndarray, parts: int, k: int) -> None:
-        self.points, self.k = points, k
-        self.members: list[np.ndarray] = []
-        nodes: list[list] = []
-        size = points.shape[1]
-        self._split(nodes, np.arange(len(points)), parts, np.full(size, -np.inf), np.full(size, np.inf))
-        low, high, axis, cut, left, right, part = zip(*nodes)
-        self.low, self.high = np.array(low), np.array(high)
-        self.axis, self.cut = np.array(axis), np.array(cut)
-        self.left, self.right, self.part = np.array(left), np.array(right), np.array(part)
-
-    def _split(self, nodes: list, rows: np.ndarray, parts: int, low: np.ndarray, high: np.ndarray) -> int:
-        number = len(nodes)
-        nodes.append([low, high, 0, 0.0, -1, -1, -1])
-        if parts > 1 and len(rows) >= 2 * max(self.k, 2):
-            axis = int(np.argmax(np.ptp(self.points[rows], axis=0)))
-            values = self.points[rows, axis]
-            cut = float(np.median(values))
-            if cut == values.min() < values.max():
-                cut = float(values[values > cut].min())
-            below = values < cut
-            if below.any():
-                up, down = high.copy(), low.copy()
-                up[axis], down[axis] = cut, cut
-                left = self._split(nodes, rows[below], parts // 2, low, up)
-                right = self._split(nodes, rows[~below], parts - parts // 2, down, high)
-                nodes[number][2:6] = [axis, cut, left, right]
-                return number
-        nodes[number][6] = len(self.members)
-        self.members.append(rows)
-        return number
-
-    def home(self, points: np.ndarray) -> np.ndarray:
-        """Part of each point, one tree level at a time."""
-        at = np.zeros(len(points), dtype=np.int64)
-        while True:
-            inner = np.flatnonzero(self.left[at] >= 0)
-            if not len(inner):
-                return self.part[at]
-            node = at[inner]
-            below = points[inner, self.axis[node]] < self.cut[node]
-            at[inner] = np.where(below, self.left[node], self.right[node])
-
-    def touched(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (point, part): the parts that may hold one of its k nearest donors."""
-        bound = np.full(len(points), np.inf)
-        homes = self.home(points)
-        for part in np.unique(homes):
-            mine = np.flatnonzero(homes == part)
-            sample = self.points[self.members[part]]
-            if len(sample) >= self.k:
-                squared = ((points[mine, None, :] - sample[None, :, :]) ** 2).sum(axis=2)
-                bound[mine] = np.partition(squared, self.k - 1, axis=1)[:, self.k - 1]
-        bound *= 1 + 1e-9  # slack for rounding in the two distance computations
-        who, at = np.arange(len(points)), np.zeros(len(points), dtype=np.int64)
-        found_who, found_part = [], []
+    def __init__(self, axes: list[int], targets: list[int], low: np.ndarray, high: np.ndarray, only: str = "", rest: bool = False) -> None:
+        self.axes, self.targets, self.only, self.rest = axes, targets, only, rest
+        # a node's box; not a number where its rows don't have the column
+        self.low, self.high = [low.copy()], [high.copy()]
+        self.axis, self.cuts, self.child = [-1], [np.zeros(0)], [-1]
+        self.open = {0: self._widest(0)}
+
+    def _widest(self, node: int) -> int:
+        low, high = self.low[node][self.axes], self.high[node][self.axes]
+        wide = np.where(high > np.nextafter(low, np.inf), high - low, 0.0)  # not a number compares as false
+        return self.axes[int(wide.argmax())] if len(wide) and wide.max() > 0 else -1
+
+    def split(self, node: int, count: int, marks: list[float], part_rows: int) -> None:
+        """Cut a node at some of the marks; what can't be cut is a part, whatever its size."""
+        axis = self.open.pop(node)
+        ways = min(_WAYS, -(-count // part_rows))
+        if axis < 0 or ways < 2:
+            return
+        if not marks:  # none of its rows has the column
+            self.low[node][axis] = self.high[node][axis] = np.nan
+            self.open[node] = self._widest(node)
+            return
+        some = [marks[min(len(marks) - 1, round(i * len(marks) / ways))] for i in range(1, ways)]
+        again = [float(np.nextafter(a, np.inf)) for a, b in zip(marks, marks[1:]) if a == b]  # a frequent value gets a part of its own
+        low, high = self.low[node][axis], self.high[node][axis]
+        cuts = np.array(sorted({c for c in [*some, *[a for a, b in zip(marks, marks[1:]) if a == b], *again] if low < c <= high}))
+        if not len(cuts):
+            return
+        self.axis[node], self.cuts[node], self.child[node] = axis, cuts, len(self.axis)
+        edges = [low, *cuts.tolist(), high]
+        for a, b in [*zip(edges, edges[1:]), (np.nan, np.nan)]:  # the last child has no value
+            below, above = self.low[node].copy(), self.high[node].copy()
+            below[axis], above[axis] = a, b
+            self.low.append(below), self.high.append(above)
+            self.axis.append(-1), self.cuts.append(np.zeros(0)), self.child.append(-1)
+            self.open[len(self.axis) - 1] = self._widest(len(self.axis) - 1)
+
+    def place(self, points: np.ndarray, looking: bool = False) -> np.ndarray:
+        """The node that each point belongs to. A receiver without the column (``looking``) takes the middle part."""
+        at = np.zeros(len(points), np.int64)
+        axis, child = np.array(self.axis), np.array(self.child)
+        inner = np.flatnonzero(axis[at] >= 0)
+        while len(inner):
+            for node in np.unique(at[inner]).tolist():
+                rows = inner[at[inner] == node]
+                x, cuts = points[rows, axis[node]], self.cuts[node]
+                step = np.searchsorted(cuts, x, side="right")
+                step[np.isnan(x)] = (len(cuts) + 1) // 2 if looking else len(cuts) + 1
+                at[rows] = child[node] + step
+            inner = inner[axis[at[inner]] >= 0]
+        return at
+
+    def touched(self, points: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (point, part) for all parts that a point's ball reaches."""
+        low, high, child = np.array(self.low), np.array(self.high), np.array(self.child)
+        many = np.array([len(c) + 2 for c in self.cuts])
+        bound = bound * (1 + 1e-9)  # rounding in the two ways to a distance
+        have = np.maximum((~np.isnan(points)).sum(axis=1), 1)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        who, at = np.arange(len(points)), np.zeros(len(points), np.int64)
         while len(who):
-            here = points[who]
-            away = np.maximum(np.maximum(self.low[at] - here, here - self.high[at]), 0.0)
-            near = (away**2).sum(axis=1) <= bound[who]
+            near = np.zeros(len(who), bool)
+            for a in range(0, len(who), 200_000):
+                part = slice(a, a + 200_000)
+                here = points[who[part]]
+                away = np.maximum(np.maximum(low[at[part]] - here, here - high[at[part]]), 0.0)
+                squared = np.nansum(away**2, axis=1) * (points.shape[1] / have[who[part]])
+                near[part] = squared <= bound[who[part]]
             who, at = who[near], at[near]
-            leaf = self.left[at] < 0
-            found_who.append(who[leaf])
-            found_part.append(self.part[at[leaf]])
+            leaf = child[at] < 0
+            found.append((who[leaf], at[leaf]))
             who, at = who[~leaf], at[~leaf]
-            who, at = np.concatenate([who, who]), np.concatenate([self.left[at], self.right[at]])
-        return np.concatenate(found_who), np.concatenate(found_part)
+            step = np.concatenate([np.arange(n) for n in many[at].tolist()]) if len(at) else np.zeros(0, np.int64)
+            who, at = np.repeat(who, many[at]), np.repeat(child[at], many[at]) + step
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
 def fill_from_neighbours(df: DataFrame, cols: list[str], gaps: list[str], k: int, rid: str) -> DataFrame:
     """``df`` with the gaps of ``gaps`` filled; ``cols`` are doubles, ``rid`` is unique."""
     p = len(cols)
-    # Which columns a row has, as bits; its coordinates with 0 for missing ones.
-    mask = sum((F.col(f"`{c}`").isNotNull().cast("long") * (1 << i) for i, c in enumerate(cols)), F.lit(0).cast("long"))
-    point = F.array(*[F.coalesce(F.col(f"`{c}`"), F.lit(0.0)) + F.lit(0.0) for c in cols])
-    rows = df.select(F.col(f"`{rid}`").alias("_id"), mask.alias("_mask"), point.alias("_point"))
-    # One row per set of present columns, each of which is a space at least.
-    found = rows.groupBy("_mask").count().limit(_MOST_SPACES + 1).collect()
-    sizes = {r["_mask"]: r["count"] for r in found}
-    means = df.agg(*[F.avg(f"`{c}`").alias(c) for c in gaps]).first()
-    spaces, calls = _spaces(sorted(sizes), [cols.index(c) for c in gaps])
-    if not spaces:
-        return df.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.lit(means[c]).cast("double")) for c in gaps})
-    each = _donor_points(rows, spaces, sizes)
-    partitions, frequent = _partitions(each, p, spaces, sizes, k)
-    # Of equal points the k smallest row ids are enough. Only points that came up
-    # repeatedly in the sample can be hot, so only their rows are sorted. The hash
-    # comes first: points themselves are compared only where it is equal.
-    hot = F.broadcast(df.sparkSession.createDataFrame(frequent))  # at most _SAMPLE_ROWS points
-    copies = Window.partitionBy("_hash", "_space", "_point").orderBy("_donor")
-    hashed = each.join(hot, ["_space", "_point"], "left_semi").withColumn("_hash", F.xxhash64("_space", "_point"))
-    reduced = hashed.withColumn("_r", F.row_number().over(copies)).where(F.col("_r") <= k)
-    donors = each.join(hot, ["_space", "_point"], "left_anti").unionByName(reduced.drop("_hash", "_r"))
-    neighbours = _search(donors, _receivers(rows, calls), spaces, partitions, p, k)
-
-    # Fill: one row per (target, receiver point), found again by its coordinates.
-    best = Window.partitionBy("_j", "_mask", "_point").orderBy("_d", "_donor")
-    answers = (
-        neighbours.withColumn("_r", F.row_number().over(best))
-        .where(F.col("_r") <= k)
-        .groupBy("_j", "_mask", "_point")
-        .agg(F.avg("_value").alias("_fill"))
-    )
-    answers = materialize(answers, "neighbour-means")
-    whole = df.withColumns({"_mask": mask, "_point": point})
-    complete = whole.where(F.col("_mask") == (1 << p) - 1)
-    filled = whole.where(F.col("_mask") != (1 << p) - 1)
-    for c in gaps:
-        j = cols.index(c)
-        one = answers.where(F.col("_j") == j).select(
-            F.col("_mask").alias("_m"), F.col("_point").alias("_q"), "_fill"
-        )
-        filled = filled.join(one, (filled["_mask"] == one["_m"]) & (filled["_point"] == one["_q"]), "left")
-        fill = F.coalesce(F.col(f"`{c}`"), F.col("_fill"), F.lit(means[c]).cast("double"))
-        filled = filled.withColumn(f"_new_{j}", fill).drop("_fill", "_m", "_q")
-    filled = filled.withColumns({c: F.col(f"_new_{cols.index(c)}") for c in gaps})
+    number = lambda c: F.coalesce(F.col(f"`{c}`") + F.lit(0.0), F.lit(float("nan")))
+    whole = df.withColumn("_point", F.array(*[number(c) for c in cols]))
+    rows = whole.select(F.col(f"`{rid}`").alias("_id"), "_point")
+    targets = [cols.index(c) for c in gaps]
+    missing = lambda j: F.isnan(F.get("_point", F.lit(j)))
+    stats = rows.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.count_if(~missing(j)).alias(f"n{j}") for j in range(p)],
+        *[f(F.nanvl(F.get("_point", F.lit(j)), F.lit(None))).alias(f"{n}{j}") for j in range(p) for n, f in (("a", F.min), ("b", F.max), ("m", F.avg))],
+    ).first()
+    means = {j: stats[f"m{j}"] for j in targets}
+    spaces = _spaces(rows, stats, targets, p)
+    if spaces:
+        donors, receivers = _donors(rows, spaces, stats["rows"], k), _receivers(rows, spaces, targets)
+        neighbours = _search(donors, receivers, spaces, targets, p, k)
+        best = Window.partitionBy("_j", "_point").orderBy("_d", "_donor")
+        fills = (
+            neighbours.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k)
+            .groupBy("_j", "_point").agg(F.avg("_value").alias("_fill"))
+            .groupBy("_point").agg(F.map_from_entries(F.collect_list(F.struct("_j", "_fill"))).alias("_fills"))
+        )
+        fills = materialize(fills, "neighbour-means")
+        gap = any_of([missing(j) for j in targets])
+        found = whole.where(gap).join(fills, "_point", "left")
+        fill = lambda j: F.try_element_at("_fills", F.lit(j))
+    else:
+        gap, found, fill = F.lit(False), None, None
+    mean = lambda j: F.lit(means[j]).cast("double")
+    known = lambda j: F.nanvl(F.get("_point", F.lit(j)), F.lit(None))
     names = quoted(df.columns)
-    return complete.select(*names).unionByName(filled.select(*names))
-
-
-def _spaces(
-    masks: list[int], targets: list[int]
-) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int]]]:
-    """Spaces ``(target, donor columns, shared columns)``, and which rows look
-    into them: ``(receiver columns, space, target, shared columns)``."""
-    numbers: dict[tuple[int, int, int], int] = {}
-    calls = []
-    for j in targets:
-        for donor in (m for m in masks if m >> j & 1):
-            for receiver in (m for m in masks if not m >> j & 1):
-                if donor & receiver:
-                    number = numbers.setdefault((j, donor, donor & receiver), len(numbers))
-                    calls.append((receiver, number, j, donor & receiver))
-        if len(numbers) > _MOST_SPACES:
-            raise ValueError(
-                f"the rows miss their values in too many different ways (over {_MOST_SPACES} combinations); "
-                "impute fewer columns together, or use the median or chained regressions"
-            )
-    return list(numbers), calls
-
-
-# The coordinates kept in a space; the others are 0 on both sides.
-_SHARED_POINT = "transform(_point, (v, i) -> if((_shared & shiftleft(1L, i)) != 0, v, 0D))"
-
-
-def _donor_points(rows: DataFrame, spaces: list[tuple[int, int, int]], sizes: dict[int, int]) -> DataFrame:
-    """``_space, _point, _donor, _value, _rate``: every row in every space it gives to."""
-    share = _SAMPLE_ROWS // len(spaces)
-    table = [(n, j, donor, shared, min(1.0, share / sizes[donor])) for n, (j, donor, shared) in enumerate(spaces)]
-    offers = rows.sparkSession.createDataFrame(table, "_space int, _j int, _mask long, _shared long, _rate double")
-    return rows.join(F.broadcast(offers), "_mask").select(  # at most _MOST_SPACES rows
-        "_space",
-        F.expr(_SHARED_POINT).alias("_point"),
-        F.col("_id").alias("_donor"),
-        F.get(F.col("_point"), F.col("_j")).alias("_value"),
-        "_rate",
-    )
-
+    if found is None:
+        return whole.withColumns({c: F.coalesce(known(j), mean(j)) for c, j in zip(gaps, targets)}).select(*names)
+    filled = found.withColumns({c: F.coalesce(known(j), fill(j), mean(j)) for c, j in zip(gaps, targets)})
+    return whole.where(~gap).select(*names).unionByName(filled.select(*names))
+
+
+def _spaces(rows: DataFrame, stats, targets: list[int], p: int) -> list[Space]:
+    """One partition over all columns for columns filled often, one for each rare one,
+    and one for each frequent set of columns that receivers have."""
+    filled = [j for j in targets if 0 < stats[f"n{j}"]]
+    often = [j for j in filled if stats[f"n{j}"] >= RARE * stats["rows"]]
+    low = np.array([np.nan if stats[f"a{j}"] is None else stats[f"a{j}"] for j in range(p)])
+    high = np.array([np.nan if stats[f"b{j}"] is None else stats[f"b{j}"] for j in range(p)])
+    if p < 2 or not filled:
+        return []
+    has = F.concat(*[F.when(F.isnan(F.get("_point", F.lit(j))), "0").otherwise("1") for j in range(p)])
+    sets = (
+        rows.where(any_of([F.isnan(F.get("_point", F.lit(j))) for j in targets])).groupBy(has.alias("has")).count()
+        .orderBy(F.col("count").desc(), "has").limit(FREQUENT).collect()
+    )
+    out = [Space(list(range(p)), [j], low, high) for j in filled if j not in often]
+    if often:
+        out.append(Space(list(range(p)), often, low, high, rest=True))
+    for r in sets:
+        axes = [j for j in range(p) if r["has"][j] == "1"]
+        own = [j for j in often if r["has"][j] == "0"]
+        if axes and own:
+            out.append(Space(axes, own, low, high, only=r["has"]))
+    return out
 
-def _receivers(rows: DataFrame, calls: list[tuple[int, int, int, int]]) -> DataFrame:
-    """``_space, _j, _mask, _point, _at``: distinct points, ``_at`` within the space."""
-    looks = rows.sparkSession.createDataFrame(calls, "_mask long, _space int, _j int, _shared long")
-    return (
-        rows.select("_mask", "_point")
-        .distinct()
-        .join(F.broadcast(looks), "_mask")  # a few rows per space
-        .select("_space", "_j", "_mask", "_point", F.expr(_SHARED_POINT).alias("_at"))
-    )
 
+def _has(point: Column, j: int) -> Column:
+    return ~F.isnan(F.get(point, F.lit(j)))
 
-def _partitions(
-    each: DataFrame, p: int, spaces: list[tuple[int, int, int]], sizes: dict[int, int], k: int
-) -> tuple[list[_Partition], pa.Table]:
-    """The k-d partition of every space, from about ``_SAMPLE_ROWS`` points in all,
-    and the points ``(_space, _point)`` drawn more than once.
 
-    The sample only steers the search; a space without sample points is one part.
-    """
-    draw = F.pmod(F.xxhash64("_donor", "_space"), F.lit(1 << 40)) / float(1 << 40)
-    sample = each.where(draw < F.col("_rate")).select("_space", "_point").limit(2 * _SAMPLE_ROWS).toArrow()
-    of_space, drawn = sample["_space"].to_numpy(), _points(sample["_point"], p)
-    out, again, owners = [], [], []
-    for number, (_, donor, _) in enumerate(spaces):
-        block, seen = np.unique(drawn[of_space == number], axis=0, return_counts=True)
-        parts = min(-(-sizes[donor] // _PART_ROWS), max(len(block) // _SAMPLE_PER_PART, 1))
-        out.append(_Partition(block, int(parts), k))
-        again += block[seen > 1].tolist()
-        owners += [number] * int((seen > 1).sum())
-    columns = {"_space": pa.array(owners, pa.int32()), "_point": pa.array(again, pa.list_(pa.float64()))}
-    return out, pa.table(columns)
-
-
-def _points(column: pa.Array | pa.ChunkedArray, p: int) -> np.ndarray:
+def _points(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """A column of coordinate lists as a matrix."""
     if isinstance(column, pa.ChunkedArray):
         column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), p)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
 def _by_space(spaces: np.ndarray) -> list[tuple[int, np.ndarray]]:
@@ -250,94 +210,214 @@ def _by_space(spaces: np.ndarray) -> list[tuple[int, np.ndarray]]:
     return list(zip(numbers.tolist(), np.split(order, starts[1:])))
 
 
-def _search(
-    donors: DataFrame,
-    receivers: DataFrame,
-    spaces: list[tuple[int, int, int]],
-    partitions: list[_Partition],
-    p: int,
-    k: int,
-) -> DataFrame:
-    """Candidates ``_j, _mask, _point, _donor, _value, _d``: k per visited block."""
+def _donors(rows: DataFrame, spaces: list[Space], n: int, k: int) -> DataFrame:
+    """``_space, _part, _donor, _point``, with the spaces cut until every part is small."""
+    owns = F.array_compact(
+        F.array(*[F.when(any_of([_has(F.col("_point"), j) for j in s.targets]), F.lit(i)) for i, s in enumerate(spaces)])
+    )
+    each = rows.select(F.explode(owns).alias("_space"), F.col("_id").alias("_donor"), "_point")
+    part_rows = max(_PART_ROWS, n * len(spaces) // MOST_PARTS)
+    marks = [i / _WAYS for i in range(1, _WAYS)]
+    for _ in range(_LEVELS):
+        waiting = {(i, node) for i, s in enumerate(spaces) for node in s.open}
+        if not waiting:
+            break
+
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                points = _points(batch.column(1))
+                node, x = np.zeros(len(points), np.int64), np.full(len(points), np.nan)
+                for number, own in _by_space(batch.column(0).to_numpy()):
+                    space = spaces[number]
+                    node[own] = space.place(points[own])
+                    axis = np.array([space.open.get(a, -2) for a in range(len(space.axis))])[node[own]]
+                    x[own] = np.where(axis >= 0, points[own, axis], np.nan)
+                    node[own[axis == -2]] = -1
+                keep = np.flatnonzero(node >= 0)
+                value = pa.array(x[keep], from_pandas=True)  # not a number: null
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), pa.array(node[keep]), value], names=["_space", "_node", "_x"])
+
+        sizes = each.select("_space", "_point").mapInArrow(measure, "_space int, _node long, _x double").groupBy("_space", "_node")
+        found = sizes.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("_x", marks, 1000).alias("marks")).collect()  # MOST_PARTS at most
+        for r in found:
+            spaces[r["_space"]].split(r["_node"], r["n"], r["marks"] or [], part_rows)
+            waiting.discard((r["_space"], r["_node"]))
+        for i, node in waiting:  # no rows there
+            spaces[i].open.pop(node, None)
+    for s in spaces:
+        s.open = {}
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            points = _points(batch.column("_point"), p)
-            part = np.zeros(len(points), dtype=np.int64)
-            for space, rows in _by_space(batch.column("_space").to_numpy()) if len(points) else []:
-                part[rows] = partitions[space].home(points[rows])
-            yield batch.append_column("_part", pa.array(part))
+            if batch.num_rows:
+                points = _points(batch.column(2))
+                part = np.zeros(len(points), np.int64)
+                for number, own in _by_space(batch.column(0).to_numpy()):
+                    part[own] = spaces[number].place(points[own])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(part), *batch.columns[1:]], names=["_space", "_part", "_donor", "_point"])
+
+    placed = materialize(each.mapInArrow(place, "_space int, _part long, _donor long, _point array<double>"), "donors")
+    return _without_copies(placed, spaces, k, max(_BLOCK_ROWS, 4 * part_rows))
+
+
+def _without_copies(placed: DataFrame, spaces: list[Space], k: int, most: int) -> DataFrame:
+    """Parts that couldn't be cut hold equal points: of each, rows with the k smallest ids for some
+    column are enough. Blocks of such parts are thinned until they are small."""
+    targets = [s.targets for s in spaces]
+    names = ["_space", "_part", "_donor", "_point"]
+
+    def thin(table: pa.Table) -> pa.Table:
+        table = table.select(names).sort_by("_donor")
+        points = _points(table["_point"])
+        _, same = np.unique(points, axis=0, return_inverse=True)
+        keep = np.zeros(len(points), bool)
+        for j in targets[table["_space"][0].as_py()]:
+            own = np.flatnonzero(~np.isnan(points[:, j]))
+            order = own[np.argsort(same.ravel()[own], kind="stable")]
+            groups = same.ravel()[order]
+            place = np.arange(len(order)) - np.searchsorted(groups, groups)
+            keep[order[place < k]] = True
+        return table.filter(pa.array(keep))
+
+    for _ in range(4):
+        sizes = placed.groupBy("_space", "_part").agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+        large = materialize(sizes.select("_space", "_part", F.ceil(F.col("_n") / _BLOCK_ROWS).cast("int").alias("_b")), "large-parts")
+        if large.isEmpty():
+            break
+        big = placed.join(large, ["_space", "_part"]).withColumn("_block", F.pmod(F.xxhash64("_donor"), F.col("_b")))
+        thinned = big.groupBy("_space", "_part", "_block").applyInArrow(thin, "_space int, _part long, _donor long, _point array<double>")
+        small = placed.join(large.drop("_b"), ["_space", "_part"], "left_anti")
+        placed = materialize(small.select(*names).unionByName(thinned), "donors")
+    return placed
+
+
+def _receivers(rows: DataFrame, spaces: list[Space], targets: list[int]) -> DataFrame:
+    """``_space, _point``: distinct points with a gap, in each space that may fill it."""
+    has = lambda j: _has(F.col("_point"), j)
+    some = any_of([has(j) for j in sorted({a for s in spaces for a in s.axes})])
+    own = [_matches(s.only) for s in spaces if s.only]
+    looks = []
+    for i, s in enumerate(spaces):
+        fits = any_of([~has(j) for j in s.targets])
+        if s.only:
+            fits = fits & _matches(s.only)
+        elif s.rest and own:
+            fits = fits & ~any_of(own)
+        looks.append(F.when(fits, F.lit(i)))
+    points = rows.where(some & any_of([~has(j) for j in targets])).select("_point").distinct()
+    return points.select(F.explode(F.array_compact(F.array(*looks))).alias("_space"), "_point")
+
+
+def _matches(only: str) -> Column:
+    out = F.lit(True)
+    for j, c in enumerate(only):
+        out = out & (_has(F.col("_point"), j) if c == "1" else ~_has(F.col("_point"), j))
+    return out
+
+
+def _search(donors: DataFrame, receivers: DataFrame, spaces: list[Space], targets: list[int], p: int, k: int) -> DataFrame:
+    """Candidates ``_j, _point, _donor, _value, _d``: k per visited block."""
+    looking = "_space int, _point array<double>, _part long, _bound double"
+
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                points = _points(batch.column(1))
+                part = np.zeros(len(points), np.int64)
+                for number, own in _by_space(batch.column(0).to_numpy()):
+                    part[own] = spaces[number].place(points[own], looking=True)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part), pa.nulls(len(points), pa.float64())], names=["_space", "_point", "_part", "_bound"])
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            points = _points(batch.column("_at"), p)
-            which, parts = [], []
-            for space, rows in _by_space(batch.column("_space").to_numpy()):
-                who, part = partitions[space].touched(points[rows])
-                which.append(rows[who])
-                parts.append(part)
-            taken = batch.take(pa.array(np.concatenate(which)))
-            yield taken.append_column("_part", pa.array(np.concatenate(parts).astype(np.int64)))
-
-    placed = materialize(
-        donors.select("_space", "_point", "_donor", "_value").mapInArrow(
-            place, "_space int, _point array<double>, _donor long, _value double, _part long"
-        ),
-        "donors",
-    )
-    visits = materialize(
-        receivers.mapInArrow(
-            visit, "_space int, _j int, _mask long, _point array<double>, _at array<double>, _part long"
-        ),
-        "visits",
-    )
+            for a in range(0, batch.num_rows, 2000):
+                some = batch.slice(a, 2000)
+                points, homes = _points(some.column(1)), some.column(2).to_numpy()
+                bound = some.column(3).fill_null(float("inf")).to_numpy(zero_copy_only=False)
+                which, parts = [], []
+                for number, own in _by_space(some.column(0).to_numpy()):
+                    who, part = spaces[number].touched(points[own], bound[own])
+                    other = part != homes[own[who]]
+                    which.append(own[who[other]]), parts.append(part[other])
+                taken = some.take(pa.array(np.concatenate(which)))
+                yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(np.concatenate(parts)), taken.column(3)], names=some.schema.names)
+
+    at_home = materialize(receivers.mapInArrow(home, looking), "homes")
+    first = materialize(_scores(donors, at_home, spaces, targets, p, k), "home-candidates")
+    bounds = first.where("_j < 0").groupBy("_space", "_point").agg(F.min("_d").alias("_bound"))
+    bounded = at_home.drop("_bound").join(bounds, ["_space", "_point"], "left").select("_space", "_point", "_part", "_bound")
+    visits = materialize(bounded.mapInArrow(visit, looking), "visits")
+    rest = _scores(donors, visits, spaces, targets, p, k)
+    return first.unionByName(rest).where("_j >= 0").drop("_space")
+
+
+def _scores(donors: DataFrame, visits: DataFrame, spaces: list[Space], targets: list[int], p: int, k: int) -> DataFrame:
+    """Candidates of every visit, and for ``_j`` = -1 how far the k-th neighbour is at most (infinite: too few donors)."""
     # Cut every part into blocks of bounded size on both sides.
-    cuts = placed.groupBy("_space", "_part").agg(F.ceil(F.count("*") / _BLOCK_ROWS).cast("int").alias("_blocks"))
+    cuts = donors.groupBy("_space", "_part").agg(F.ceil(F.count("*") / _BLOCK_ROWS).cast("int").alias("_blocks"))
     calls = visits.groupBy("_space", "_part").agg(F.ceil(F.count("*") / _BLOCK_ROWS).cast("int").alias("_calls"))
     plan = materialize(cuts.join(calls, ["_space", "_part"]), "blocks")
     block_of = F.pmod(F.xxhash64("_donor"), F.col("_blocks")).cast("int")
-    call_of = F.pmod(F.xxhash64("_point", "_mask"), F.col("_calls")).cast("int")
-    left = placed.join(plan, ["_space", "_part"]).select(
-        "_space", "_part", block_of.alias("_block"),
-        F.explode(F.sequence(F.lit(0), F.col("_calls") - 1)).alias("_call"), "_point", "_donor", "_value",
+    call_of = F.pmod(F.xxhash64("_point"), F.col("_calls")).cast("int")
+    left = donors.join(plan, ["_space", "_part"]).select(
+        "_space", "_part", block_of.alias("_block"), F.explode(F.sequence(F.lit(0), F.col("_calls") - 1)).alias("_call"), "_point", "_donor"
     )
     right = visits.join(plan, ["_space", "_part"]).select(
-        "_space", "_part", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"),
-        call_of.alias("_call"), "_j", "_mask", "_point", "_at",
+        "_space", "_part", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"), call_of.alias("_call"), "_point"
     )
-    shared_count = {n: bin(s).count("1") for n, (_, _, s) in enumerate(spaces)}
-    names = ["_j", "_mask", "_point", "_donor", "_value", "_d"]
-    result = "_j int, _mask long, _point array<double>, _donor long, _value double, _d double"
+    owned = [set(s.targets) & set(targets) for s in spaces]
+    names = ["_space", "_j", "_point", "_donor", "_value", "_d"]
+    kinds = [pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.int64(), pa.float64(), pa.float64()]
 
     def score(key: tuple, block: pa.Table, callers: pa.Table) -> pa.Table:
-        if not block.num_rows or not callers.num_rows:
-            kinds = [pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.int64(), pa.float64(), pa.float64()]
-            return pa.table([pa.array([], k) for k in kinds], names=names)
-        block = block.sort_by("_donor")
-        points, targets = _points(block["_point"], p), _points(callers["_at"], p)
-        ids, values = block["_donor"].to_numpy(), block["_value"].to_numpy()
-        scale = p / shared_count[key[0].as_py()]
-        most = min(k, len(points))
-        step = max(1, 4_000_000 // len(points))
-        picked, distances = [], []
-        for start in range(0, len(targets), step):
-            some = targets[start : start + step]
-            squared = np.zeros((len(some), len(points)))
-            for axis in range(p):
-                squared += (some[:, axis, None] - points[None, :, axis]) ** 2
-            squared *= scale
-            nearest = _smallest(squared, most)
-            picked.append(nearest)
-            distances.append(np.take_along_axis(squared, nearest, axis=1))
-        nearest, distance = np.concatenate(picked).ravel(), np.concatenate(distances).ravel()
-        out = callers.select(["_j", "_mask", "_point"]).take(pa.array(np.repeat(np.arange(len(targets)), most)))
-        found = (pa.array(ids[nearest]), pa.array(values[nearest]), pa.array(distance))
-        return pa.table([*out.columns, *found], names=names)
+        parts = []
+        if block.num_rows and callers.num_rows:
+            block = block.sort_by("_donor")
+            points, asked = _points(block["_point"]), _points(callers["_point"])
+            ids = block["_donor"].to_numpy()
+            have, number = ~np.isnan(points), key[0].as_py()
+            step = max(1, 4_000_000 // len(points))
+            for start in range(0, len(asked), step):
+                some = asked[start : start + step]
+                squared = np.zeros((len(some), len(points)))
+                for axis in np.flatnonzero(have.any(axis=0) & ~np.isnan(some).all(axis=0)).tolist():
+                    squared += np.nan_to_num((some[:, axis, None] - points[None, :, axis]) ** 2, nan=0.0, posinf=np.inf)
+                shared = (~np.isnan(some)).astype(float) @ have.T
+                squared = np.where(shared > 0, squared * (p / np.maximum(shared, 1)), np.inf)
+                radius = np.zeros(len(some))
+                for j in sorted(owned[number]):
+                    lack, own = np.flatnonzero(np.isnan(some[:, j])), np.flatnonzero(have[:, j])
+                    if not len(lack):
+                        continue
+                    most = min(k, len(own))
+                    if most < k:
+                        radius[lack] = np.inf
+                    if not most:
+                        continue
+                    near = squared[np.ix_(lack, own)]
+                    nearest = _smallest(near, most)
+                    distance = np.take_along_axis(near, nearest, axis=1)
+                    radius[lack] = np.maximum(radius[lack], distance[:, -1])
+                    fine = np.isfinite(distance)
+                    donor = own[nearest[fine]]
+                    parts.append((j, start + lack[np.nonzero(fine)[0]], ids[donor], points[donor, j], distance[fine]))
+                parts.append((-1, start + np.arange(len(some)), np.zeros(len(some), np.int64), np.zeros(len(some)), radius))
+        if not parts:
+            return pa.table([pa.array([], t) for t in kinds], names=names)
+        which = np.concatenate([x[1] for x in parts])
+        columns = [
+            pa.array(np.full(len(which), key[0].as_py()), pa.int32()),
+            pa.array(np.concatenate([np.full(len(x[1]), x[0]) for x in parts]), pa.int32()),
+            callers["_point"].take(pa.array(which)),
+            *[pa.array(np.concatenate([x[i] for x in parts]), t) for i, t in ((2, pa.int64()), (3, pa.float64()), (4, pa.float64()))],
+        ]
+        return pa.table(columns, names=names)
 
     keys = ["_space", "_part", "_block", "_call"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, result)
+    schema = "_space int, _j int, _point array<double>, _donor long, _value double, _d double"
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, schema)
 
 
 def _smallest(squared: np.ndarray, most: int) -> np.ndarray:

@@ -172,11 +172,14 @@ def _knn_sql(source, rid, cols):
                SELECT n.{rid}, {out} FROM n {joins}"""
 
 
-@register("impute_knn", over("dirty_orders", _knn_sql("dirty_orders", "_rid", ["custkey", "price"])))
+_ORDERS = ["custkey", "price", "price_null_group"]
+
+
+@register("impute_knn", over("dirty_orders", _knn_sql("dirty_orders", "_rid", _ORDERS)))
 def knn_imputation(spark, folder):
-    orders = view(spark, folder, "dirty_orders").select("_rid", "custkey", "price")
-    filled = impute_knn(orders)
-    return filled.withColumns({c: F.bround(c, 4) for c in ("custkey", "price")})
+    """All numeric columns of the orders."""
+    orders = view(spark, folder, "dirty_orders").select("_rid", *_ORDERS)
+    return impute_knn(orders).withColumns({c: F.bround(c, 4) for c in _ORDERS})
 
 
 @register("impute_knn_customers", over("dirty_customer", _knn_sql("dirty_customer", "_rid", ["c_nationkey", "balance"])))

@@ -191,7 +191,6 @@ def test_knn_with_scattered_gaps_in_five_columns(spark):
 def test_knn_equals_brute_force(spark, monkeypatch, small):
     if small:  # many parts and many blocks
         monkeypatch.setattr(knn, "_PART_ROWS", 20)
-        monkeypatch.setattr(knn, "_SAMPLE_PER_PART", 6)
         monkeypatch.setattr(knn, "_BLOCK_ROWS", 7)
     draw = np.random.default_rng(3)
     data = np.round(draw.normal(size=(400, 3)) * [1, 5, 2], 1)
@@ -209,6 +208,45 @@ def test_knn_equals_brute_force(spark, monkeypatch, small):
             assert got[i][name] == pytest.approx(expected, rel=1e-12, abs=1e-12), (i, name)
 
 
+def brute_knn(rows, p, k=5):
+    """Rows ``(id, values)``: every gap from all rows that have the value."""
+    means = [(lambda v: sum(v) / len(v) if v else None)([r[1][j] for r in rows if r[1][j] is not None]) for j in range(p)]
+    out = {}
+    for rid, own in rows:
+        new = list(own)
+        for j in range(p):
+            if own[j] is None:
+                near = []
+                for other, theirs in rows:
+                    both = [c for c in range(p) if own[c] is not None and theirs[c] is not None]
+                    if theirs[j] is not None and both:
+                        near.append((sum((own[c] - theirs[c]) ** 2 for c in both) * (p / len(both)), other, theirs[j]))
+                best = sorted(near)[:k]
+                new[j] = sum(b[2] for b in best) / len(best) if best else means[j]
+        out[rid] = new
+    return out
+
+
+@pytest.mark.parametrize("p,n,share,part", [(66, 150, 0.03, 10), (4, 400, 0.25, 15), (3, 300, 0.6, 4000)])
+def test_knn_of_any_width(spark, monkeypatch, p, n, share, part):
+    """Nearly every row misses other columns; a rare column, copies of a point and rows of gaps."""
+    r = random.Random(p)
+    rows = [(i, [None if r.random() < share else float(r.choice([r.randrange(8), r.randrange(1000)])) for _ in range(p)]) for i in range(n)]
+    rows += [(n + i, [1.0] * (p - 1) + [float(i)]) for i in range(60)] + [(n + 70 + i, [1.0] * (p - 1) + [None]) for i in range(5)]
+    rows.append((n + 100, [None] * p))
+    for i, values in rows:
+        if i % 25:
+            values[1] = None
+    monkeypatch.setattr(knn, "_PART_ROWS", part)
+    monkeypatch.setattr(knn, "_BLOCK_ROWS", 30)
+    df = spark.createDataFrame([(i, *v) for i, v in rows], "_rid long, " + ", ".join(f"c{j} double" for j in range(p)))
+    got = {x[0]: list(x[1:]) for x in impute.impute_knn(df).collect()}
+    want = brute_knn(rows, p)
+    assert got.keys() == want.keys()
+    for i in want:
+        assert got[i] == pytest.approx(want[i], rel=1e-9), i
+
+
 def test_mice_recovers_a_linear_relation(spark):
     df = spark.range(3000).select(
         F.col("id").alias("_rid"),

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from quillgrid.functions.values import strip, text_columns
 from quillgrid.operators.columns import trim_headers
-from quillgrid.operators.insights import category_candidates
 from quillgrid.operators.rows import drop_duplicates
 from quillgrid.operators.similarity import CLOSE_LENGTH, close_pairs, similar_pairs, similarity
 from quillgrid.session import materialize
@@ -114,11 +113,8 @@ def fuzzy_canonicalize(df: DataFrame, columns: list[str], cutoff: int = CUTOFF)
 def clean_table(df: DataFrame, columns: list[str] | None = None, cutoff: int = CUTOFF) -> DataFrame:
     """Trim headers, normalise text, repair spelling, drop repeated rows.
 
-    Spelling is repaired in ``columns``; by default in the columns that look
-    like categories, so that names, ids and dates are left alone.
+    Spelling is repaired in ``columns``; by default in every text column,
+    whatever its values.
     """
     out = normalize_text(trim_headers(df))
-    if columns is None:
-        texts = set(text_columns(out))
-        columns = [r["column"] for r in category_candidates(out).collect() if r["column"] in texts]
-    return drop_duplicates(fuzzy_canonicalize(out, columns, cutoff))
+    return drop_duplicates(fuzzy_canonicalize(out, text_columns(out) if columns is None else columns, cutoff))

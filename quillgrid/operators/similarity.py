@@ -3,7 +3,7 @@
 similarity(a, b) = 100 * (1 - edits / longer length), edits = Levenshtein
 distance. It works on characters, so reordered words are not recognised.
 
-Two exact candidate filters, chosen by the length of the longer string:
+Three exact candidate filters, chosen by the length of the longer string:
 
 * one or two allowed edits: two strings within k edits share a string that
   each reaches by deleting at most k characters (Bocek et al., fast similarity
@@ -11,16 +11,35 @@ Two exact candidate filters, chosen by the length of the longer string:
 * more allowed edits: a string cut into k + 1 pieces has one piece unchanged in
   the other string, shifted by at most k (Li et al., PASS-JOIN, 2011).
 
-Both turn the search into an equi-join on short keys, which Spark spreads; the
-real distance is then computed for the candidates only.
+* beyond ``LONGEST`` characters pieces get too short to tell strings apart:
+  strings of near lengths meet in blocks, where the counts of their character
+  pairs bound the distance from below (an edit changes four of them at most).
+
+The first two turn the search into an equi-join on short keys, which Spark
+spreads; the real distance is then computed for the candidates only.
 """
 
 from __future__ import annotations
 
+import math
+import sys
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quillgrid.session import materialize
+
+# Functions sent to the workers travel by value: the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _DELETIONS = 2
+LONGEST = 100  # characters of a string found by its pieces
+BLOCK_VALUES = 1_000  # long strings compared in one call, on each side
+_PAIR_COUNTERS = 512
 CLOSE_LENGTH = 40  # longest string of ``close_pairs``
 
 
@@ -153,6 +172,8 @@ def similar_pairs(left: DataFrame, right: DataFrame, cutoff: int, keys: list[str
     with equal keys are compared.
     """
     keys = keys or []
+    long = _long_pairs(left, right, cutoff, keys)
+    left, right = (side.where(F.length("value") <= LONGEST) for side in (left, right))
     limit = _short_limit(cutoff)
     short = F.length("value") <= limit
     depth = _edits(F.least(F.lit(limit), _longest_partner(F.length("value"), cutoff)), cutoff)
@@ -162,4 +183,55 @@ def similar_pairs(left: DataFrame, right: DataFrame, cutoff: int, keys: list[str
         probe = _probe_pieces(longer, keys, cutoff, limit).withColumnRenamed("value", x)
         index = _index_pieces(shorter, keys, cutoff).withColumnRenamed("value", y)
         out = out.unionByName(probe.join(index, on).select(*keys, "a", "b"))
-    return _verified(out, cutoff)
+    return _verified(out.unionByName(long) if long is not None else out, cutoff)
+
+
+def _long_pairs(left: DataFrame, right: DataFrame, cutoff: int, keys: list[str]) -> DataFrame | None:
+    """Candidates ``keys, a, b`` whose longer string has over ``LONGEST`` characters; None if there is none.
+
+    Strings stand in bands of lengths, each reaching to ``100 / cutoff`` times
+    its start, so that partners are at most one band apart. Bands are cut into
+    blocks on both sides and compared block by block.
+    """
+    partner = math.ceil(LONGEST * cutoff / 100)
+    if not 0 < cutoff < 100 or left.unionByName(right).where(F.length("value") > LONGEST).isEmpty():
+        return None
+    band = F.floor(F.log(F.length("value").cast("double")) / F.lit(math.log(100 / cutoff))).cast("int")
+    near = F.explode(F.array(band - 1, band, band + 1)).alias("_band")
+    a = materialize(left.where(F.length("value") >= partner).select(*keys, F.col("value").alias("a"), near), "long-left")
+    b = materialize(right.where(F.length("value") >= partner).select(*keys, F.col("value").alias("b"), band.alias("_band")), "long-right")
+    on = [*keys, "_band"]
+    blocks = lambda side, name: side.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / BLOCK_VALUES).cast("int").alias(name))
+    plan = materialize(blocks(a, "_na").join(blocks(b, "_nb"), on), "long-blocks")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    rows_a = a.join(plan, on).select(*on, own("a", "_na").alias("_i"), every("_nb").alias("_j"), "a")
+    rows_b = b.join(plan, on).select(*on, every("_na").alias("_i"), own("b", "_nb").alias("_j"), "b")
+    share = 100 - cutoff
+    schema = T.StructType([*[left.schema[k] for k in keys], T.StructField("a", T.StringType()), T.StructField("b", T.StringType())])
+
+    def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        out = np.zeros((len(texts), _PAIR_COUNTERS), np.int32)
+        for i, t in enumerate(texts):
+            points = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            pairs = (points[:-1] * np.uint64(0x9E3779B1) + points[1:]) * np.uint64(0x85EBCA6B)
+            out[i] = np.bincount(((pairs >> np.uint64(16)) % np.uint64(_PAIR_COUNTERS)).astype(np.int64), minlength=_PAIR_COUNTERS)
+        return out, np.array([len(t) for t in texts])
+
+    def compare(_key: tuple, one: pa.Table, two: pa.Table) -> pa.Table:
+        texts, others = one["a"].to_pylist(), two["b"].to_pylist()
+        found_a, found_b = [], []
+        if texts and others:
+            (x, n), (y, m) = counted(texts), counted(others)
+            for i in range(len(texts)):
+                most = np.maximum(n[i], m) * share // 100
+                close = (np.abs(n[i] - m) <= most) & (np.maximum(n[i], m) > LONGEST)
+                at = np.flatnonzero(close)
+                at = at[np.abs(y[at] - x[i]).sum(axis=1) <= 4 * most[at]]
+                found_a += [i] * len(at)
+                found_b += at.tolist()
+        columns = [(one if len(found_a) else one.slice(0, 0))[k].take(pa.array(found_a, pa.int64())) for k in keys]
+        return pa.table([*columns, one["a"].take(pa.array(found_a, pa.int64())), two["b"].take(pa.array(found_b, pa.int64()))], names=schema.names)
+
+    by = [*on, "_i", "_j"]
+    return rows_a.groupBy(*by).cogroup(rows_b.groupBy(*by)).applyInArrow(compare, schema)

@@ -208,6 +208,33 @@ def test_knn_equals_brute_force(spark, monkeypatch, small):
             assert got[i][name] == pytest.approx(expected, rel=1e-12, abs=1e-12), (i, name)
 
 
+@pytest.mark.parametrize("block", [1000, 3])
+def test_long_values_are_compared_in_blocks(spark, monkeypatch, block):
+    from quillgrid.operators import similarity
+
+    r = random.Random(4)
+    monkeypatch.setattr(similarity, "BLOCK_VALUES", block)
+    values = []
+    for size in (85, 99, 101, 120, 130, 300, 2000):
+        base = "".join(r.choices("abcdefgh é", k=size))
+        for edits in (0, 1, size // 10, size // 6, size // 4):
+            text = list(base)
+            for _ in range(edits):
+                at = r.randrange(len(text))
+                text[at : at + 1] = r.choice(["", "x", "yz"])
+            values.append("".join(text))
+    values = sorted(set(values))
+    df = spark.createDataFrame([(k, v) for k in "pq" for v in values], "k string, value string")
+    got = {(x["k"], x["a"], x["b"]) for x in similar_pairs(df, df, 80, ["k"]).collect()}
+    want = set()
+    for a in values:
+        for b in values:
+            longer = max(len(a), len(b))
+            if abs(len(a) - len(b)) * 5 <= longer and (a == b or edit_distance(a, b) * 5 <= longer):
+                want |= {("p", a, b), ("q", a, b)}
+    assert got == want
+
+
 def brute_knn(rows, p, k=5):
     """Rows ``(id, values)``: every gap from all rows that have the value."""
     means = [(lambda v: sum(v) / len(v) if v else None)([r[1][j] for r in rows if r[1][j] is not None]) for j in range(p)]

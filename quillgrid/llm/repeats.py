@@ -327,13 +327,13 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
     firsts = _names(docs, window, None).groupBy("name").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
     firsts = materialize(firsts.select("name", "low"), "first-names")
     with lending(spark) as lend:
-        names = _names(docs, window, lend(_bitmap(firsts, "name", NAME_BITS)))
-        known = names.filter("name is null").select("id", "text_key", "kind", "a", "b")
-        # a repeated anchor asks for a comparison in its first row, too; a long symbol is gone in all but that
-        shared = names.filter("name is not null").join(firsts, "name").filter((F.col("kind") == 0) | (F.col("id") > F.col("low")))
-        spans = known.unionByName(shared.select("id", "text_key", "kind", "a", "b"))
-        spans = spans.groupBy("id", "text_key").agg(F.collect_set(F.struct("kind", "a", "b")).alias("spans"))
-        spans = materialize(spans, "spans")
+        names = materialize(_names(docs, window, lend(_bitmap(firsts, "name", NAME_BITS))), "repeated-names")
+    known = names.filter("name is null").select("id", "text_key", "kind", "a", "b")
+    # a repeated anchor asks for a comparison in its first row, too; a long symbol is gone in all but that
+    shared = names.filter("name is not null").join(firsts, "name").filter((F.col("kind") == 0) | (F.col("id") > F.col("low")))
+    spans = known.unionByName(shared.select("id", "text_key", "kind", "a", "b"))
+    spans = spans.groupBy("id", "text_key").agg(F.collect_set(F.struct("kind", "a", "b")).alias("spans"))
+    spans = materialize(spans, "spans")
     rows = _packed(docs).join(spans, ["id", "text_key"], "left")
     settled = materialize(_settle(rows, window), "settled")
     done = settled.filter("n_words is not null").select("id", "n_words", "n_removed", "kept_sha256")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgrid.functions.values import as_number, numeric_columns, other_columns, same_rows
+from quillgrid.functions.values import any_of, as_number, numeric_columns, other_columns, same_rows
 from quillgrid.operators.quantiles import exact_modes, exact_quantiles, long_form
 from quillgrid.sources.ingest import number_like_columns
 
@@ -178,39 +178,63 @@ def fast_group_agg(df: DataFrame, key: str, column: str, func: str = "avg") -> D
 def correlations(df: DataFrame, columns: list[str] | None = None, digits: int | None = 3) -> DataFrame:
     """Pearson matrix as rows ``(col_a, col_b, r)`` over rows where both are present.
 
-    Null for a constant column. Values are taken from a middle value of their
-    column (one aggregate), so that the sums lose few digits and a constant is
-    exactly 0. Each task adds up its batches
-    as matrix products and sends one record per pair of columns; rows are never
+    Null for a constant column. One pass: each task keeps counts, means and
+    co-moments of its batches, taken from a middle value of each batch, and
+    merges them pairwise (Chan et al., 1979), so nothing cancels however large
+    the values are. A task sends one record per pair of columns; rows are never
     multiplied by the number of pairs.
     """
     columns = columns or numeric_columns(df)
     p = len(columns)
     values = df.select(*[as_number(df, c).cast("double").alias(f"_v{i}") for i, c in enumerate(columns)])
-    found = values.agg(*[F.percentile_approx(f"_v{i}", 0.5, 100).alias(f"_v{i}") for i in range(p)]).first()
-    middles = np.array([found[i] if found[i] is not None else 0.0 for i in range(p)])
 
     def run(batches):
-        sums = np.zeros((4, p, p))
+        from pyspark import TaskContext
+
+        n, mean, square, product = np.zeros((4, p, p))  # of column i over the rows that have i and j
         for batch in batches:
-            raw = [pc.fill_null(c, float("nan")).to_numpy(zero_copy_only=False) for c in batch.columns]
-            x = np.column_stack(raw) - middles if batch.num_rows else np.zeros((0, p))
+            if not batch.num_rows:
+                continue
+            x = np.column_stack([pc.fill_null(c, float("nan")).to_numpy(zero_copy_only=False) for c in batch.columns])
             there = ~np.isnan(x)
-            x, there = np.where(there, x, 0.0), there.astype(float)
-            sums += [there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x]
+            middle = np.array([np.partition(v[t], t.sum() // 2)[t.sum() // 2] if t.any() else 0.0 for v, t in zip(x.T, there.T)])
+            x, there = np.where(there, x - middle, 0.0), there.astype(float)
+            count = there.T @ there
+            own = np.divide(x.T @ there, count, out=np.zeros((p, p)), where=count > 0)
+            squares = (x * x).T @ there
+            spread = squares - count * own * own
+            spread[spread <= 1e-13 * squares] = 0.0
+            both = x.T @ x - count * own * own.T
+            total = n + count
+            share = np.divide(count, total, out=np.zeros((p, p)), where=total > 0)
+            apart = np.where(n > 0, own + middle[:, None] - mean, 0.0)
+            square += spread + apart * apart * n * share
+            product += both + apart * apart.T * n * share
+            mean, n = np.where(n > 0, mean + apart * share, own + middle[:, None]), total
         i, j = np.triu_indices(p)
-        n, x, xx, xy = sums
-        parts = [i.astype(np.int32), j.astype(np.int32), n[i, j], x[i, j], x[j, i], xx[i, j], xx[j, i], xy[i, j]]
-        yield pa.RecordBatch.from_arrays([pa.array(v) for v in parts], names=["i", "j", *_MOMENTS])
-
-    added = values.mapInArrow(run, "i int, j int, " + ", ".join(f"{m} double" for m in _MOMENTS))
-    total = added.groupBy("i", "j").agg(*[F.sum(m).alias(m) for m in _MOMENTS])
-    n = F.nullif(F.col("n"), F.lit(0.0))
-    spread = lambda s, ss: F.col(ss) / n - (F.col(s) / n) * (F.col(s) / n)
-    both = spread("x", "xx") * spread("y", "yy")
-    # rounding leaves a constant column a trace of spread
-    flat = (spread("x", "xx") <= 1e-14 * F.col("xx") / n) | (spread("y", "yy") <= 1e-14 * F.col("yy") / n) | (both <= 0)
-    r = F.when(~flat, (F.col("xy") / n - (F.col("x") / n) * (F.col("y") / n)) / F.sqrt(F.when(both > 0, both)))
+        lane = np.full(len(i), TaskContext.get().partitionId() % 64, np.int32)
+        parts = [i.astype(np.int32), j.astype(np.int32), lane, n[i, j], mean[i, j], mean[j, i], square[i, j], square[j, i], product[i, j]]
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in parts], names=["i", "j", "lane", *_MOMENTS])
+
+    def merged(a: Column, b: Column) -> Column:
+        total = a["n"] + b["n"]
+        share = F.when(total > 0, b["n"] / total).otherwise(0.0)
+        x, y = (F.when(a["n"] > 0, b[m] - a[m]).otherwise(0.0) for m in ("mx", "my"))
+        first = lambda m, d: F.when(a["n"] > 0, a[m] + d * share).otherwise(b[m]).alias(m)
+        weight = a["n"] * share
+        return F.struct(
+            total.alias("n"), first("mx", x), first("my", y), (a["xx"] + b["xx"] + x * x * weight).alias("xx"),
+            (a["yy"] + b["yy"] + y * y * weight).alias("yy"), (a["xy"] + b["xy"] + x * y * weight).alias("xy"),
+        )
+
+    moments = values.mapInArrow(run, "i int, j int, lane int, " + ", ".join(f"{m} double" for m in _MOMENTS))
+    nothing = F.struct(*[F.lit(0.0).alias(m) for m in _MOMENTS])
+    for keys in (["i", "j", "lane"], ["i", "j"]):  # tasks by lane, then the lanes
+        lists = moments.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*_MOMENTS))).alias("_all"))
+        moments = lists.select(*keys, F.aggregate("_all", nothing, merged).alias("_m")).select(*keys, "_m.*")
+    total = moments
+    flat = any_of([F.col(s) <= F.pow(F.lit(1e-14) * F.col(m), 2) * F.col("n") for s, m in (("xx", "mx"), ("yy", "my"))])
+    r = F.when(~flat, F.col("xy") / (F.sqrt("xx") * F.sqrt("yy")))
     names = F.array(*[F.lit(c) for c in columns])
     inside = F.when(r > 1, F.lit(1.0)).when(r < -1, F.lit(-1.0)).otherwise(r)
     r = F.when(F.col("i") == F.col("j"), F.when(~flat, F.lit(1.0))).otherwise(inside)
@@ -222,7 +246,7 @@ def correlations(df: DataFrame, columns: list[str] | None = None, digits: int |
     return total.select(F.explode(pair).alias("_c"), shown.alias("r")).select("_c.*", "r")
 
 
-_MOMENTS = ["n", "x", "y", "xx", "yy", "xy"]
+_MOMENTS = ["n", "mx", "my", "xx", "yy", "xy"]
 
 
 def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -315,6 +315,23 @@ def table_diff(spark, folder):
     return L.table_diff(view(spark, folder, "base_orders"), edited)
 
 
+@register(
+    "table_diff_ranges",
+    over(
+        "base_orders edited_orders",
+        f"""SELECT count(*) FILTER (WHERE a._rid IS NULL) AS rows_added, count(*) FILTER (WHERE b._rid IS NULL) AS rows_removed,
+              count(*) FILTER (WHERE a._rid IS NULL) - count(*) FILTER (WHERE b._rid IS NULL) AS net_rows,
+              1 AS columns_added, 0 AS columns_removed,
+              CAST(coalesce(sum(CASE WHEN a._rid IS NOT NULL AND b._rid IS NOT NULL THEN {_CELLS} END), 0) AS BIGINT) AS modified_cells,
+              count(b._rid) AS total_rows_after, 5 AS total_columns_after FROM {_PAIRED}""",
+    ),
+)
+def table_diff_ranges(spark, folder):
+    """Rows meet only in ranges of ids whose digests differ."""
+    edited = view(spark, folder, "edited_orders").withColumn("checked", F.lit(True))
+    return L.table_diff_ranges(view(spark, folder, "base_orders"), edited)
+
+
 @register(
     "cell_changes",
     over(

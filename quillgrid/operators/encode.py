@@ -24,17 +24,25 @@ def encode_onehot(df: DataFrame, cols: list[str], max_values: int = 1000) -> Dat
     """Each text column becomes 0/1 columns ``{column}_{value}``.
 
     Values are sorted and the first is left out; a missing cell is 0 everywhere.
-    The value list decides the schema and is collected; more than ``max_values``
-    values in a column are an error, not a cut.
+    The value lists decide the schema and are collected, found in one pass over
+    all columns; more than ``max_values`` values in a column are an error, not a
+    cut. Cells are compared as text.
     """
+    if not cols:
+        return df
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{n}`").cast("string").alias("v")) for i, n in enumerate(cols)])
+    pairs = df.select(F.explode(cells).alias("_c")).select("_c.*").where(F.col("v").isNotNull()).distinct()
+    pairs = materialize(pairs, "onehot-values")
+    crowded = pairs.groupBy("i").count().where(F.col("count") > max_values).orderBy("i").first()
+    if crowded is not None:
+        raise ValueError(f"{cols[crowded['i']]!r} has more than {max_values} values; encode it as labels instead")
+    values: list[list[str]] = [[] for _ in cols]
+    for r in pairs.orderBy("i", "v").collect():  # max_values for each column at most
+        values[r["i"]].append(r["v"])
     out = df
-    for name in cols:
-        cell = F.col(f"`{name}`")
-        found = df.where(cell.isNotNull()).select(cell.alias("v")).distinct().limit(max_values + 1).collect()
-        if len(found) > max_values:
-            raise ValueError(f"{name!r} has more than {max_values} values; encode it as labels instead")
-        values = sorted(r["v"] for r in found)
-        flags = [F.coalesce((cell == F.lit(v)).cast("int"), F.lit(0)).alias(f"{name}_{v}") for v in values[1:]]
+    for name, own in zip(cols, values):
+        cell = F.col(f"`{name}`").cast("string")
+        flags = [F.coalesce((cell == F.lit(v)).cast("int"), F.lit(0)).alias(f"{name}_{v}") for v in own[1:]]
         out = without(out.select("*", *flags), name)
     return out
 

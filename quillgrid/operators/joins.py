@@ -15,22 +15,19 @@ def join_tables(
     never match. Right-only rows have a null key, because the right key is not
     part of the result. Columns of ``b`` whose name is taken get ``suffix``.
 
-    Outer joins are written as the inner join plus the unmatched rows. Adaptive
-    execution can split a hot key on either side of an inner or anti join, but
-    not on the padded side of an outer join, nor anywhere in a full join.
+    A full join is written as the inner join plus the unmatched rows of both
+    sides: adaptive execution can split a hot key in inner and anti joins, and on
+    the kept side of a left or right join, but nowhere in a full join.
     """
     how = how.lower() if how.lower() in ("inner", "left", "right", "full") else "inner"
     taken = set(a.columns)
     renames = {c: f"{c}{suffix}" for c in b.columns if c in taken and c != right_key}
     b = b.withColumnsRenamed(renames).withColumnRenamed(right_key, "_join_key")
     match = a[f"`{left_key}`"] == b["_join_key"]
-    out = a.join(b, match, "inner").drop("_join_key")
-    if how in ("left", "full"):
-        keys = b.select("_join_key").distinct()
-        alone = a.join(keys, a[f"`{left_key}`"] == keys["_join_key"], "left_anti")
-        out = out.unionByName(alone, allowMissingColumns=True)
-    if how in ("right", "full"):
-        keys = a.select(F.col(f"`{left_key}`").alias("_left_key")).distinct()
-        alone = b.join(keys, b["_join_key"] == keys["_left_key"], "left_anti").drop("_join_key")
-        out = out.unionByName(alone, allowMissingColumns=True)
-    return out
+    if how != "full":
+        return a.join(b, match, how).drop("_join_key")
+    keys = b.select("_join_key").distinct()
+    left = a.join(keys, a[f"`{left_key}`"] == keys["_join_key"], "left_anti")
+    keys = a.select(F.col(f"`{left_key}`").alias("_left_key")).distinct()
+    right = b.join(keys, b["_join_key"] == keys["_left_key"], "left_anti").drop("_join_key")
+    return a.join(b, match, "inner").drop("_join_key").unionByName(left, allowMissingColumns=True).unionByName(right, allowMissingColumns=True)

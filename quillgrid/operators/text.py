@@ -3,24 +3,19 @@
 from __future__ import annotations
 
 import re
-import sys
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgrid.functions.number_words import pair_value, phrase_value, word_value
 from quillgrid.functions.values import NOT_WORD, all_of, any_of, quoted, strip, whole_word, words_of
 from quillgrid.operators.filters import NEGATION
+from quillgrid.operators.prototypes import nearest_prototype  # noqa: F401
 from quillgrid.operators.similarity import similar_pairs, similarity
 from quillgrid.operators.tagging import tag_dictionary_values  # noqa: F401
 from quillgrid.session import materialize
 
-# Functions sent to the workers travel by value: the package need not be installed there.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # --- labels by rules ---------------------------------------------------------
 
@@ -96,52 +91,6 @@ def label_by_rules(
     return folded.withColumn(name, label.otherwise(default)).drop("_folded")
 
 
-# --- labels by vectors -------------------------------------------------------
-
-# Fixed value: a best cosine at or below this gives no label.
-COSINE_LIMIT = 0.35
-MOST_PROTOTYPES = 10_000
-
-
-def nearest_prototype(
-    df: DataFrame, vector_col: str, prototypes: DataFrame, limit: float = COSINE_LIMIT, most: int = MOST_PROTOTYPES
-) -> DataFrame:
-    """Add ``label`` and ``score`` of the prototype with the greatest cosine.
-
-    ``prototypes`` has ``label`` (text) and ``vector``; several rows per label
-    are allowed. It is a parameter set of at most ``most`` rows, checked, and
-    travels with the function; the vectors are scored in Arrow batches.
-    """
-    rows = prototypes.select("label", "vector").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} prototypes")
-    labels = [r["label"] for r in rows]
-    matrix = np.asarray([r["vector"] for r in rows], dtype=np.float64)
-    matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-    order = sorted(range(len(labels)), key=lambda i: labels[i])
-    labels, matrix = [labels[i] for i in order], matrix[order]
-    width = matrix.shape[1]
-
-    @F.arrow_udf("struct<label string, score double>")
-    def score(vectors: pa.Array) -> pa.Array:
-        out_label, out_score = [None] * len(vectors), [None] * len(vectors)
-        usable = [i for i, n in enumerate(vectors.value_lengths().to_pylist()) if n == width]
-        if usable:
-            values = vectors.take(pa.array(usable)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            block = values.reshape(len(usable), width)
-            cosines = (block @ matrix.T) / np.maximum(np.linalg.norm(block, axis=1, keepdims=True), 1e-300)
-            best = cosines.argmax(axis=1)
-            for row, i in enumerate(usable):
-                out_label[i], out_score[i] = labels[best[row]], float(cosines[row, best[row]])
-        return pa.StructArray.from_arrays(
-            [pa.array(out_label, pa.string()), pa.array(out_score, pa.float64())], ["label", "score"]
-        )
-
-    scored = df.withColumn("_s", score(F.col(f"`{vector_col}`")))
-    accepted = F.when(F.col("_s.score") > limit, F.col("_s.label"))
-    return scored.select(*quoted(df.columns), accepted.alias("label"), F.col("_s.score").alias("score"))
-
-
 # --- numbers in text ---------------------------------------------------------
 
 # Digits in text, and the words never read as numbers.

@@ -61,6 +61,23 @@ def nearest_prototype(spark, folder):
     return scored.select("vec_id", "label", F.bround("score", 6).alias("score"))
 
 
+@register(
+    "nearest_prototype_many",
+    """WITH q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+       p AS (SELECT CAST(vec_id AS VARCHAR) AS label, list_concat(v[2:], v[1:1]) AS v FROM q),
+       scored AS (SELECT vec_id, label, list_cosine_similarity(q.v, p.v) AS s FROM q, p),
+       best AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label) AS r FROM scored)
+       SELECT vec_id, CASE WHEN s > 0.35 THEN label END AS label, round_even(s, 6) AS score FROM best WHERE r = 1""",
+)
+def nearest_prototype_many(spark, folder):
+    """Every vector against all vectors turned by one place, searched by groups."""
+    vectors = table(spark, folder, "embeddings").drop("label")
+    turned = F.concat(F.slice("embedding", F.lit(2), F.size("embedding")), F.slice("embedding", 1, 1))
+    prototypes = vectors.select(F.col("vec_id").cast("string").alias("label"), turned.alias("vector"))
+    scored = N.nearest_prototype(vectors, "embedding", prototypes, most=100)
+    return scored.select("vec_id", "label", F.bround("score", 6).alias("score"))
+
+
 def _numbers_sql(table_name, key):
     return f"""SELECT {key}, CAST(unnest(range(1, len(l) + 1)) AS INTEGER) AS position, TRY_CAST(unnest(l) AS DOUBLE) AS number
                FROM (SELECT {key}, regexp_extract_all(text, '-?[0-9]+\\.?[0-9]*') AS l FROM {table_name})"""

@@ -165,7 +165,7 @@ def test_ids_equal_the_library(vocabulary, reference, docs, hard_rows):
 
 
 def test_small_caches_give_the_same(vocabulary, reference, docs, monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 3)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 1000)
     codec = bpe.Codec(vocabulary)
     for r in docs.limit(20).collect():
         assert np.frombuffer(codec.encode(r["text"])[1], np.uint32).tolist() == reference.encode_ordinary(r["text"])

@@ -67,7 +67,7 @@ class Space:
         """Cut a node at some of the marks; what can't be cut is a part, whatever its size."""
         axis = self.open.pop(node)
         ways = min(_WAYS, -(-count // part_rows))
-        if axis < 0 or ways < 2:
+        if axis < 0 or count <= 2 * part_rows:  # not again for a few rows more than planned
             return
         if not marks:  # none of its rows has the column
             self.low[node][axis] = self.high[node][axis] = np.nan
@@ -179,12 +179,12 @@ def _spaces(rows: DataFrame, stats, targets: list[int], p: int) -> list[Space]:
     has = F.concat(*[F.when(F.isnan(F.get("_point", F.lit(j))), "0").otherwise("1") for j in range(p)])
     sets = (
         rows.where(any_of([F.isnan(F.get("_point", F.lit(j))) for j in targets])).groupBy(has.alias("has")).count()
-        .orderBy(F.col("count").desc(), "has").limit(FREQUENT).collect()
+        .orderBy(F.col("count").desc(), "has").limit(FREQUENT + 1).collect()
     )
     out = [Space(list(range(p)), [j], low, high) for j in filled if j not in often]
-    if often:
+    if often and len(sets) > FREQUENT:
         out.append(Space(list(range(p)), often, low, high, rest=True))
-    for r in sets:
+    for r in sets[:FREQUENT]:
         axes = [j for j in range(p) if r["has"][j] == "1"]
         own = [j for j in often if r["has"][j] == "0"]
         if axes and own:
@@ -213,7 +213,12 @@ def _by_space(spaces: np.ndarray) -> list[tuple[int, np.ndarray]]:
 def _donors(rows: DataFrame, spaces: list[Space], n: int, k: int) -> DataFrame:
     """``_space, _part, _donor, _point``, with the spaces cut until every part is small."""
     owns = F.array_compact(
-        F.array(*[F.when(any_of([_has(F.col("_point"), j) for j in s.targets]), F.lit(i)) for i, s in enumerate(spaces)])
+        F.array(
+            *[
+                F.when(any_of([_has(F.col("_point"), j) for j in s.targets]) & any_of([_has(F.col("_point"), j) for j in s.axes]), F.lit(i))
+                for i, s in enumerate(spaces)
+            ]
+        )
     )
     each = rows.select(F.explode(owns).alias("_space"), F.col("_id").alias("_donor"), "_point")
     part_rows = max(_PART_ROWS, n * len(spaces) // MOST_PARTS)
@@ -281,11 +286,14 @@ def _without_copies(placed: DataFrame, spaces: list[Space], k: int, most: int) -
             keep[order[place < k]] = True
         return table.filter(pa.array(keep))
 
-    for _ in range(4):
+    before = None
+    while True:
         sizes = placed.groupBy("_space", "_part").agg(F.count("*").alias("_n")).where(F.col("_n") > most)
         large = materialize(sizes.select("_space", "_part", F.ceil(F.col("_n") / _BLOCK_ROWS).cast("int").alias("_b")), "large-parts")
-        if large.isEmpty():
+        left = large.agg(F.count(F.lit(1)).alias("n"), F.sum("_b").alias("b")).first()
+        if not left["n"] or (left["n"], left["b"]) == before:  # none, or no copies are left
             break
+        before = (left["n"], left["b"])
         big = placed.join(large, ["_space", "_part"]).withColumn("_block", F.pmod(F.xxhash64("_donor"), F.col("_b")))
         thinned = big.groupBy("_space", "_part", "_block").applyInArrow(thin, "_space int, _part long, _donor long, _point array<double>")
         small = placed.join(large.drop("_b"), ["_space", "_part"], "left_anti")
@@ -365,7 +373,7 @@ def _scores(donors: DataFrame, visits: DataFrame, spaces: list[Space], targets:
         "_space", "_part", block_of.alias("_block"), F.explode(F.sequence(F.lit(0), F.col("_calls") - 1)).alias("_call"), "_point", "_donor"
     )
     right = visits.join(plan, ["_space", "_part"]).select(
-        "_space", "_part", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"), call_of.alias("_call"), "_point"
+        "_space", "_part", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"), call_of.alias("_call"), "_point", "_bound"
     )
     owned = [set(s.targets) & set(targets) for s in spaces]
     names = ["_space", "_j", "_point", "_donor", "_value", "_d"]
@@ -379,13 +387,21 @@ def _scores(donors: DataFrame, visits: DataFrame, spaces: list[Space], targets:
             ids = block["_donor"].to_numpy()
             have, number = ~np.isnan(points), key[0].as_py()
             step = max(1, 4_000_000 // len(points))
+            bound = callers["_bound"].combine_chunks().fill_null(float("inf")).to_numpy(zero_copy_only=False)
+            bound = bound * (1 + 1e-9)  # rounding; what lies beyond can't be among the nearest
+            bounded = bool(np.isfinite(bound).any())
             for start in range(0, len(asked), step):
                 some = asked[start : start + step]
                 squared = np.zeros((len(some), len(points)))
                 for axis in np.flatnonzero(have.any(axis=0) & ~np.isnan(some).all(axis=0)).tolist():
-                    squared += np.nan_to_num((some[:, axis, None] - points[None, :, axis]) ** 2, nan=0.0, posinf=np.inf)
+                    away = some[:, axis, None] - points[None, :, axis]
+                    away *= away
+                    if not (have[:, axis].all() and not np.isnan(some[:, axis]).any()):
+                        away[np.isnan(away)] = 0.0
+                    squared += away
                 shared = (~np.isnan(some)).astype(float) @ have.T
-                squared = np.where(shared > 0, squared * (p / np.maximum(shared, 1)), np.inf)
+                squared *= p / np.maximum(shared, 1)
+                squared[shared == 0] = np.inf
                 radius = np.zeros(len(some))
                 for j in sorted(owned[number]):
                     lack, own = np.flatnonzero(np.isnan(some[:, j])), np.flatnonzero(have[:, j])
@@ -396,13 +412,27 @@ def _scores(donors: DataFrame, visits: DataFrame, spaces: list[Space], targets:
                         radius[lack] = np.inf
                     if not most:
                         continue
-                    near = squared[np.ix_(lack, own)]
-                    nearest = _smallest(near, most)
-                    distance = np.take_along_axis(near, nearest, axis=1)
-                    radius[lack] = np.maximum(radius[lack], distance[:, -1])
+                    whole = len(lack) == len(some) and len(own) == len(points)
+                    near = squared if whole else squared[np.ix_(lack, own)]
+                    if bounded:
+                        row, column = np.nonzero(near <= bound[start : start + step][lack][:, None])
+                        crowded = np.flatnonzero(np.bincount(row, minlength=len(lack)) > most)
+                        single = ~np.isin(row, crowded)
+                        row, column = row[single], column[single]
+                    else:
+                        crowded, row, column = np.arange(len(lack)), np.zeros(0, np.int64), np.zeros(0, np.int64)
+                    if len(crowded):
+                        nearest = _smallest(near if len(crowded) == len(lack) else near[crowded], most)
+                        row = np.concatenate([row, np.repeat(crowded, most)])
+                        column = np.concatenate([column, nearest.ravel()])
+                    distance = near[row, column]
+                    if not bounded:
+                        radius[lack] = np.maximum(radius[lack], distance.reshape(len(lack), most)[:, -1])
                     fine = np.isfinite(distance)
-                    donor = own[nearest[fine]]
-                    parts.append((j, start + lack[np.nonzero(fine)[0]], ids[donor], points[donor, j], distance[fine]))
+                    donor = own[column[fine]]
+                    parts.append((j, start + lack[row[fine]], ids[donor], points[donor, j], distance[fine]))
+                if bounded:
+                    continue
                 parts.append((-1, start + np.arange(len(some)), np.zeros(len(some), np.int64), np.zeros(len(some)), radius))
         if not parts:
             return pa.table([pa.array([], t) for t in kinds], names=names)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillgrid.functions.values import is_numeric
-from quillgrid.operators.quantiles import exact_quantiles
+from quillgrid.operators.quantiles import exact_quantiles, long_form
 
 # Functions sent to the workers travel by value: the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -69,8 +69,7 @@ def isolation_outliers(
     """
     if col not in df.columns or not is_numeric(df, col):
         return df.limit(0).withColumn("is_anomaly", F.lit(-1))
-    base = df.select(F.lit(0).alias("_all"), F.col(f"`{col}`").cast("double").alias("value"))
-    median = exact_quantiles(base, ["_all"], [0.5]).first()
+    median = exact_quantiles(long_form(df, [], {col: F.col(f"`{col}`")}), ["column"], [0.5]).first()
     if median is None:
         return df.limit(0).withColumn("is_anomaly", F.lit(-1))
     value = F.coalesce(F.col(f"`{col}`").cast("double"), F.lit(median["quantiles"][0]))

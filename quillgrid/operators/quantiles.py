@@ -41,7 +41,8 @@ def exact_quantiles(
 ) -> DataFrame:
     """``keys`` + ``n`` + ``quantiles`` (array, linear interpolation), exact.
 
-    ``keys`` must not be empty. One way for groups of any size: a sketch, whose
+    ``keys`` must not be empty, and not literals alone (a join on them would be
+    none): ``long_form`` gives whole columns a key. One way for groups of any size: a sketch, whose
     error is at most ``1 / accuracy`` of a group, brackets each wanted rank by two
     values; a second pass counts what lies outside the brackets and keeps apart
     only the values inside. Two scans of ``long``; what travels is a count for

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.operators.quantiles import exact_quantiles
+from quillgrid.operators.quantiles import exact_quantiles, long_form
 
 
 def score_predictions(
@@ -23,6 +23,6 @@ def score_predictions(
         F.bround(F.avg(F.coalesce(hit, F.lit(False)).cast("int")) * 100, 2).alias("slot_hit_pct"),
         F.bround(F.avg(latency), 2).alias("avg_latency_ms"),
     )
-    slow = exact_quantiles(df.select(F.lit(0).alias("_all"), F.col(latency).alias("value")), ["_all"], [0.95])
+    slow = exact_quantiles(long_form(df, [], {latency: F.col(latency)}), ["column"], [0.95])
     p95 = slow.select(F.col("quantiles")[0]).scalar()
     return summary.withColumn("p95_latency_ms", F.bround(p95, 2))

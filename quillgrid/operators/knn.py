@@ -223,6 +223,9 @@ def _donors(rows: DataFrame, spaces: list[Space], n: int, k: int) -> DataFrame:
     each = rows.select(F.explode(owns).alias("_space"), F.col("_id").alias("_donor"), "_point")
     part_rows = max(_PART_ROWS, n * len(spaces) // MOST_PARTS)
     marks = [i / _WAYS for i in range(1, _WAYS)]
+    if n <= 2 * part_rows:  # one part each
+        for s in spaces:
+            s.open = {}
     for _ in range(_LEVELS):
         waiting = {(i, node) for i, s in enumerate(spaces) for node in s.open}
         if not waiting:

@@ -36,7 +36,8 @@ from quillgrid.session import materialize
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _PART_ROWS = 4_000
-_BLOCK_ROWS = 20_000
+_BLOCK_ROWS = 20_000  # donors compared in one call
+_CALL_ROWS = 2_000  # receivers of one call: many short calls keep all tasks busy
 MOST_PARTS = 1 << 16  # of all partitions together; parts grow beyond that
 FREQUENT = 8  # sets of columns with a partition of their own
 RARE = 0.1  # a column filled in fewer rows has donors of its own
@@ -368,7 +369,7 @@ def _scores(donors: DataFrame, visits: DataFrame, spaces: list[Space], targets:
     """Candidates of every visit, and for ``_j`` = -1 how far the k-th neighbour is at most (infinite: too few donors)."""
     # Cut every part into blocks of bounded size on both sides.
     cuts = donors.groupBy("_space", "_part").agg(F.ceil(F.count("*") / _BLOCK_ROWS).cast("int").alias("_blocks"))
-    calls = visits.groupBy("_space", "_part").agg(F.ceil(F.count("*") / _BLOCK_ROWS).cast("int").alias("_calls"))
+    calls = visits.groupBy("_space", "_part").agg(F.ceil(F.count("*") / _CALL_ROWS).cast("int").alias("_calls"))
     plan = materialize(cuts.join(calls, ["_space", "_part"]), "blocks")
     block_of = F.pmod(F.xxhash64("_donor"), F.col("_blocks")).cast("int")
     call_of = F.pmod(F.xxhash64("_point"), F.col("_calls")).cast("int")

@@ -66,9 +66,9 @@ def _neighbours(counts: DataFrame, cutoff: int) -> DataFrame:
         best_left = 100.0 * (1 - (edits + 1) / (F.length("a") + edits + 1))
         nearer = pairs.where(similarity(F.col("a"), F.col("b")) > best_left + 1e-9)
         have = nearer.groupBy("column", F.col("a").alias("value")).agg(F.count("*").alias("_have"))
-        done = materialize(have.where(F.col("_have") >= NEAREST).select("column", "value"), "settled-values")
+        done = materialize(have.where(F.col("_have") >= NEAREST).select("column", "value"), "settled-values", plain=True)
         found.append(pairs.join(done.withColumnRenamed("value", "a"), ["column", "a"], "left_semi"))
-        open_values = materialize(open_values.join(done, ["column", "value"], "left_anti"), "open-values")
+        open_values = materialize(open_values.join(done, ["column", "value"], "left_anti"), "open-values", plain=True)
     found.append(similar_pairs(open_values, values, cutoff, ["column"]))
     return reduce(DataFrame.unionByName, found)
 
@@ -80,9 +80,9 @@ def spelling_map(df: DataFrame, columns: list[str], cutoff: int = CUTOFF) -> Dat
     frequent first on equal similarity) and takes the most frequent of them,
     then the longest, then the most similar. One hop: targets are not followed.
     """
-    counts = materialize(_counts(df, columns), "value-counts")
+    counts = materialize(_counts(df, columns), "value-counts", plain=True)
     pairs = _neighbours(counts, cutoff)
-    scored = pairs.join(
+    scored = pairs.hint("merge").join(
         counts.select("column", F.col("value").alias("b"), "n"), ["column", "b"]
     ).withColumn("_s", similarity(F.col("a"), F.col("b")))
     nearest = Window.partitionBy("column", "a").orderBy(F.col("_s").desc(), F.col("n").desc(), F.col("b"))
@@ -100,7 +100,7 @@ def fuzzy_canonicalize(df: DataFrame, columns: list[str], cutoff: int = CUTOFF)
     """
     if not columns:
         return df
-    fixes = materialize(spelling_map(df, columns, cutoff), "spelling-map")
+    fixes = materialize(spelling_map(df, columns, cutoff), "spelling-map", plain=True)
 
     def repair(table: DataFrame, name: str) -> DataFrame:
         fix = fixes.where(F.col("column") == name).select(F.col("value").alias("_from"), F.col("canonical").alias("_to"))

@@ -144,7 +144,8 @@ def _probe_pieces(values: DataFrame, keys: list[str], cutoff: int, limit: int) -
 def _share_a_deletion(left: DataFrame, right: DataFrame, keys: list[str], depth: Column) -> DataFrame:
     a = _deletion_keys(left, keys, depth).withColumnRenamed("value", "a")
     b = _deletion_keys(right, keys, depth).withColumnRenamed("value", "b")
-    return a.join(b, [*keys, "_key"]).select(*keys, "a", "b")
+    # far more keys than the values' size tells: never sent to every task
+    return a.hint("merge").join(b.hint("merge"), [*keys, "_key"]).select(*keys, "a", "b")
 
 
 def _verified(pairs: DataFrame, cutoff: int) -> DataFrame:
@@ -182,7 +183,7 @@ def similar_pairs(left: DataFrame, right: DataFrame, cutoff: int, keys: list[str
     for longer, shorter, x, y in ((left, right, "a", "b"), (right, left, "b", "a")):
         probe = _probe_pieces(longer, keys, cutoff, limit).withColumnRenamed("value", x)
         index = _index_pieces(shorter, keys, cutoff).withColumnRenamed("value", y)
-        out = out.unionByName(probe.join(index, on).select(*keys, "a", "b"))
+        out = out.unionByName(probe.hint("merge").join(index.hint("merge"), on).select(*keys, "a", "b"))
     return _verified(out.unionByName(long) if long is not None else out, cutoff)
 
 

@@ -336,3 +336,16 @@ def test_dictionary_values_follow_the_text(spark):
         (5, "dept"): ("human resources", "word", False, False),
         (6, "code"): ("#5", "whole", False, False),
     }
+
+
+def test_exploded_keys_are_not_broadcast(spark):
+    """Alike values take few bytes in a file, so their many keys looked small enough to send to every task."""
+    from quillgrid.operators import similarity
+    from quillgrid.session import materialize
+
+    names = spark.range(5_000).select(F.format_string("Customer#%09d", "id").alias("value"))
+    values = materialize(names, "names", plain=True)
+    for pairs in (similarity.close_pairs(values, values, 80, [], 1), similarity.similar_pairs(values, values, 80)):
+        assert "Broadcast" not in pairs._jdf.queryExecution().sparkPlan().toString()
+    size = lambda df: int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert size(values) > 5_000 * 18 > size(materialize(names, "names"))

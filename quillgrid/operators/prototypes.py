@@ -4,7 +4,9 @@ A few prototypes travel with the function and are scored as one matrix. More of
 them are dealt to groups: each to the nearest of some pivots, which are prototypes
 themselves. A vector's best angle is at most that to the nearest pivot, and a
 group's members are at most its radius away from its pivot, so by the triangle
-inequality most groups can't hold the best. Vectors meet the others block by block.
+inequality some groups can't hold the best. Neighbouring groups share a block; a
+vector meets the blocks of its other groups, each once, in calls of bounded size.
+Where vectors have no neighbourhoods no group is left out, and the work is all pairs.
 """
 
 from __future__ import annotations
@@ -28,7 +30,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 COSINE_LIMIT = 0.35
 MOST_PROTOTYPES = 10_000  # that travel with the function
 PIVOTS = 1_000
-BLOCK_VECTORS = 20_000
+BLOCK_VECTORS = 20_000  # prototypes of one call, of at most
+BLOCK_VALUES = 4_000_000  # numbers in all
+CALL_VECTORS = 5_000  # vectors that they meet in one call
+_SLICE = 2_000  # rows whose angles are held at a time
 _SLACK = 1e-6  # radians, far above the rounding of an angle
 
 
@@ -86,59 +91,96 @@ def _rows(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
 
 
 def _by_groups(df: DataFrame, vector_col: str, prototypes: DataFrame, limit: float) -> DataFrame:
-    known = materialize(prototypes.select("label", F.col("vector").cast("array<double>").alias("vector")).where("vector is not null"), "prototypes")
+    vectors = prototypes.select("label", F.col("vector").cast("array<double>").alias("vector")).where("vector is not null")
+    known = materialize(vectors.groupBy("vector").agg(F.min("label").alias("label")).select("label", "vector"), "prototypes")
     width = known.select(F.max(F.size("vector")).alias("n")).first()["n"]
     drawn = known.where(F.size("vector") == width).orderBy(F.xxhash64("label", "vector"), "label").limit(PIVOTS).collect()  # bounded
     _, pivots = _unit([r["label"] for r in drawn], [r["vector"] for r in drawn])
 
-    def deal(batches):
+    def angles_of(batches, column):
+        """Slices of the rows that have the width, and their angles to the pivots."""
         for batch in batches:
-            fits = np.flatnonzero(batch.column(1).value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) == width)
-            own = batch.take(pa.array(fits, pa.int64()))
-            angles = np.arccos(np.clip(_rows(own.column(1), width) @ pivots.T, -1, 1)) if len(fits) else np.zeros((0, len(pivots)))
-            group = angles.argmin(axis=1) if len(fits) else np.zeros(0, np.int64)
-            apart = angles[np.arange(len(fits)), group]
+            fits = np.flatnonzero(batch.column(column).value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) == width)
+            for a in range(0, len(fits), _SLICE):
+                own = batch.take(pa.array(fits[a : a + _SLICE], pa.int64()))
+                yield own, np.arccos(np.clip(_rows(own.column(column), width) @ pivots.T, -1, 1))
+
+    def deal(batches):
+        for own, angles in angles_of(batches, 1):
+            group = angles.argmin(axis=1)
+            apart = angles[np.arange(len(group)), group]
             yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(group.astype(np.int32)), pa.array(apart)], names=["label", "vector", "group", "apart"])
 
     dealt = materialize(known.mapInArrow(deal, "label string, vector array<double>, group int, apart double"), "prototype-groups")
-    radius = np.full(len(pivots), -np.inf)  # of an empty group
-    for r in dealt.groupBy("group").agg(F.max("apart").alias("radius")).collect():  # one row for each pivot
-        radius[r["group"]] = r["radius"]
+    radius, sizes = np.full(len(pivots), -np.inf), np.zeros(len(pivots), np.int64)  # of an empty group
+    for r in dealt.groupBy("group").agg(F.max("apart").alias("radius"), F.count(F.lit(1)).alias("n")).collect():  # one row for each pivot
+        radius[r["group"]], sizes[r["group"]] = r["radius"], r["n"]
+    first, parts, at = _blocks(pivots, sizes, max(1, min(BLOCK_VECTORS, BLOCK_VALUES // max(width or 1, 1))))
 
     def visit(batches):
-        for batch in batches:
-            fits = np.flatnonzero(batch.column(0).value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) == width)
-            for a in range(0, len(fits), 4096):
-                own = batch.take(pa.array(fits[a : a + 4096], pa.int64()))
-                angles = np.arccos(np.clip(_rows(own.column(0), width) @ pivots.T, -1, 1))
-                who, group = np.nonzero(angles - radius <= angles.min(axis=1, keepdims=True) + _SLACK)
-                yield pa.RecordBatch.from_arrays([own.column(0).take(pa.array(who)), pa.array(group.astype(np.int32))], names=["vector", "group"])
+        """The blocks in which a vector's best may be, as a list: Spark repeats the row."""
+        for own, angles in angles_of(batches, 1):
+            near = angles - radius <= angles.min(axis=1, keepdims=True) + _SLACK
+            reached = np.zeros((len(near), at), bool)
+            for group in np.flatnonzero(sizes).tolist():
+                reached[:, first[group] : first[group] + parts[group]] |= near[:, group, None]
+            who, block = np.nonzero(reached)
+            starts = np.searchsorted(who, np.arange(len(near) + 1)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(block.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), lists], names=["id", "vector", "blocks"])
 
     asked = df.select(F.col(f"`{vector_col}`").cast("array<double>").alias("vector")).where("vector is not null").distinct()
-    visits = materialize(asked.mapInArrow(visit, "vector array<double>, group int"), "prototype-visits")
-    count = lambda side, n: side.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK_VECTORS).cast("int").alias(n))
-    plan = materialize(count(dealt, "_n").join(count(visits, "_m"), "group"), "prototype-blocks")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = materialize(asked.select(F.monotonically_increasing_id().alias("id"), "vector"), "asked-vectors", plain=True)
+    visits = materialize(asked.mapInArrow(visit, "id long, vector array<double>, blocks array<int>"), "prototype-visits")
+    visits = visits.select("id", "vector", F.explode("blocks").alias("block"))
+    calls = materialize(visits.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / CALL_VECTORS).cast("int").alias("calls")), "prototype-calls")
+    places = df.sparkSession.createDataFrame([(g, int(first[g]), int(parts[g])) for g in range(len(pivots))], "group int, first int, parts int")
     own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    left = dealt.join(plan, "group").select("group", own("vector", "_n").alias("i"), every("_m").alias("j"), "label", "vector")
-    right = visits.join(plan, "group").select("group", every("_n").alias("i"), own("vector", "_m").alias("j"), "vector")
-    schema = T.StructType([T.StructField("vector", T.ArrayType(T.DoubleType())), T.StructField("label", T.StringType()), T.StructField("score", T.DoubleType())])
+    left = dealt.join(F.broadcast(places), "group").select((F.col("first") + own("vector", "parts")).alias("block"), "label", "vector")
+    left = left.join(calls, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("calls") - 1)).alias("call"), "label", "vector")
+    right = visits.join(calls, "block").select("block", own("id", "calls").alias("call"), "id", "vector")
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("label", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def score(_key: tuple, block: pa.Table, some: pa.Table) -> pa.Table:
         if not block.num_rows or not some.num_rows:
-            return pa.table([pa.array([], pa.list_(pa.float64())), pa.array([], pa.string()), pa.array([], pa.float64())], names=schema.names)
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.string()), pa.array([], pa.float64())], names=schema.names)
         block = block.sort_by("label")
-        matrix, step = _rows(block["vector"], width), max(1, 4_000_000 // block.num_rows)
+        matrix, step = _rows(block["vector"], width).T, max(1, 4_000_000 // block.num_rows)
         places, best = [], []
         asked = _rows(some["vector"], width)
         for a in range(0, len(asked), step):
-            cosines = asked[a : a + step] @ matrix.T
-            places.append(cosines.argmax(axis=1)), best.append(cosines.max(axis=1))
-        return pa.table([some["vector"], block["label"].take(pa.array(np.concatenate(places))), pa.array(np.concatenate(best))], names=schema.names)
+            cosines = asked[a : a + step] @ matrix
+            places.append(cosines.argmax(axis=1))
+            best.append(cosines[np.arange(len(cosines)), places[-1]])
+        return pa.table([some["id"], block["label"].take(pa.array(np.concatenate(places))), pa.array(np.concatenate(best))], names=schema.names)
 
-    keys = ["group", "i", "j"]
+    keys = ["block", "call"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, schema)
-    top = found.groupBy("vector").agg(F.min(F.struct((-F.col("score")).alias("s"), "label")).alias("_b"))
-    top = materialize(top.select(F.col("vector").alias("_vector"), F.struct(F.col("_b.label").alias("label"), (-F.col("_b.s")).alias("score")).alias("_s")), "nearest-prototypes")
+    top = found.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "label")).alias("_b"))
+    top = top.join(asked, "id").select(F.col("vector").alias("_vector"), F.struct(F.col("_b.label").alias("label"), (-F.col("_b.s")).alias("score")).alias("_s"))
+    top = materialize(top, "nearest-prototypes", plain=True)
     joined = df.join(top, F.col(f"`{vector_col}`").cast("array<double>") == F.col("_vector"), "left")
     return _labelled(joined, df.columns, limit)
+
+
+def _blocks(pivots: np.ndarray, sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Each group's first block and number of blocks, and how many blocks there are.
+
+    Neighbouring groups fill a block up to ``most`` vectors, larger groups have several of their own.
+    """
+    first, parts = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64)
+    left, at, room = set(np.flatnonzero(sizes).tolist()), -1, 0
+    near = pivots @ pivots.T
+    here = min(left, default=-1)
+    while left:
+        left.discard(here)
+        if sizes[here] > room:
+            first[here], parts[here] = at + 1, -(-sizes[here] // most)
+            at += int(parts[here])
+            room = most - sizes[here] if parts[here] == 1 else 0
+        else:
+            first[here], room = at, room - sizes[here]
+        if left:
+            rest = np.fromiter(left, np.int64)
+            here = int(rest[near[here, rest].argmax()])
+    return first, parts, at + 1

@@ -44,3 +44,23 @@ def test_a_hundred_thousand_prototypes(spark):
     for r in asked.collect():
         v = np.array(r["v"], float)
         assert found[r["id"]] == pytest.approx(float((matrix @ (v / np.linalg.norm(v))).max()), abs=1e-9)
+
+
+def test_visits_do_not_grow_with_groups(spark, monkeypatch, tmp_path):
+    """Random directions leave no group out: a vector is stored once, and met once a block, not once a group."""
+    r = np.random.default_rng(5)
+    vectors = [(i, v.tolist()) for i, v in enumerate(r.normal(size=(1500, 24)))]
+    df = spark.createDataFrame(vectors, "id long, v array<double>")
+    protos = df.select(F.col("id").cast("string").alias("label"), F.reverse("v").alias("vector"))
+    stored, keep = {}, P.materialize
+
+    def watched(df, name, *more, **options):
+        stored[name] = keep(df, name, *more, **options)
+        return stored[name]
+
+    monkeypatch.setattr(P, "materialize", watched)
+    monkeypatch.setattr(P, "BLOCK_VECTORS", 400)
+    many = answers(P.nearest_prototype(df, "v", protos, most=10))
+    visits = stored["prototype-visits"]
+    assert visits.count() == 1500 and visits.agg(F.max(F.size("blocks")).alias("n")).first()["n"] <= 8  # 1,000 groups
+    assert many == answers(P.nearest_prototype(df, "v", protos))

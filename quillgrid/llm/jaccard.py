@@ -428,7 +428,14 @@ def _xor(a: Column, b: Column) -> Column:
 
 
 def _links_below(tops: DataFrame, followers: DataFrame, linked: DataFrame, at: Threshold) -> DataFrame:
-    """Links between sets of two different leaders: their distance follows from the three differences."""
+    """Links between sets of two different leaders: their distance follows from the three differences.
+
+    Two steps: which sets under the first leader can reach one under the second,
+    then which those are. In both a difference either is so small that nothing
+    need be shared, or must share elements with the other one; few of these
+    serve as index. So a leader's many followers don't meet all of its many
+    neighbours.
+    """
     none = F.array().cast("array<bigint>")
     near = tops.filter(F.col("delta").isNotNull())
     ends = near.select(F.col("sid").alias("lead"), F.col("n").alias("f_n")).unionByName(near.select(F.col("other").alias("lead"), F.col("m").alias("f_n"))).distinct()
@@ -436,17 +443,50 @@ def _links_below(tops: DataFrame, followers: DataFrame, linked: DataFrame, at: T
         ends.select("lead", F.col("lead").alias("sid"), "f_n", F.lit(0).cast("bigint").alias("f_d"), none.alias("f_delta"))
     )
     label = linked.select(F.col("node").alias("sid"), "label")
-    under = under.join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    side = lambda c: under.select(*[F.col(k).alias(f"{c}_{k}") for k in ("lead", "sid", "f_n", "f_d", "f_delta", "label")])
-    pairs = (
-        near.select(F.col("sid").alias("top_a"), F.col("other").alias("top_b"), "d", "delta")
-        .join(side("a"), F.col("top_a") == F.col("a_lead"))
-        .join(side("b"), F.col("top_b") == F.col("b_lead"))
-    )
-    total = F.col("a_f_n") + F.col("b_f_n")
-    may = (F.col("a_label") != F.col("b_label")) & at.sizes(F.col("a_f_n"), F.col("b_f_n")) & (F.col("d") - F.col("a_f_d") - F.col("b_f_d") <= at.differ(total))
-    distance = F.size(_xor(_xor(F.col("delta"), F.col("a_f_delta")), F.col("b_f_delta")))
-    return pairs.filter(may).filter(at.similar(distance, F.col("a_f_n"), F.col("b_f_n"))).select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b"))
+    under = under.join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid")).withColumn("f_reach", at.reach(F.col("f_n")))
+    under = materialize(under.join(ends.select("lead").distinct(), "lead", "left_semi"), "under-leaders")
+    radius = under.groupBy(F.col("lead").alias("r_lead")).agg(F.max("f_d").alias("radius"))
+    pairs = near.select(F.col("sid").alias("lead"), F.col("other").alias("top"), "d", "delta").join(radius, F.col("top") == F.col("r_lead"))
+    # the least distance to the second leader that a set may have
+    first = _meet(pairs.select("lead", "top", "delta", F.col("d").alias("size"), F.col("radius").alias("spare")), under)
+    size = F.size("delta")
+    first = first.select(
+        F.col("top").alias("lead"), F.col("sid").alias("a_sid"), F.col("f_n").alias("a_n"), F.col("label").alias("a_label"), "spare",
+        F.col("f_reach").alias("a_reach"), _xor(F.col("delta"), F.col("f_delta")).alias("delta"),
+    )
+    first = first.filter(size <= F.col("a_reach") + F.col("spare")).withColumn("size", size.cast("bigint")).withColumn("spare", F.lit(0).cast("bigint"))
+    second = _meet(materialize(first, "reaching-sets"), under)
+    may = (F.col("a_label") != F.col("label")) & at.sizes(F.col("a_n"), F.col("f_n"))
+    distance = F.size(_xor(F.col("delta"), F.col("f_delta")))
+    return second.filter(may).filter(at.similar(distance, F.col("a_n"), F.col("f_n"))).select(F.col("a_sid").alias("a"), F.col("sid").alias("b"))
+
+
+def _meet(asks: DataFrame, under: DataFrame) -> DataFrame:
+    """``asks(lead, delta, size, spare, ...)`` with those sets under the leader whose difference may
+    be at most ``f_reach + spare`` away from ``delta``.
+
+    That is ``size + f_d - 2 * shared``. What need not share an element is found
+    by sizes; else one of the first ``f_d - shared + 1`` elements of the set's
+    difference is in ``delta``.
+    """
+    least = asks.groupBy(F.col("lead").alias("l_lead")).agg(F.min(F.col("size") - F.col("spare")).alias("least"))
+    sets = under.join(least, F.col("lead") == F.col("l_lead")).drop("l_lead")
+    sure = F.col("size") + F.col("f_d") <= F.col("f_reach") + F.col("spare")
+    most = sets.groupBy(F.col("lead").alias("l_lead")).agg(F.max(F.col("f_reach") - F.col("f_d")).alias("most"))
+    some = asks.join(most, F.col("lead") == F.col("l_lead")).filter(F.col("size") - F.col("spare") <= F.col("most")).drop("l_lead", "most")
+    direct = some.join(sets.filter(F.col("f_d") - F.col("f_reach") + F.col("least") <= 0).drop("least"), "lead").filter(sure)
+    shared = F.greatest(F.lit(1), F.ceil((F.col("f_d") - F.col("f_reach") + F.col("least")) / 2)).cast("int")
+    cut = F.greatest(F.size("f_delta") - shared + 1, F.lit(0))
+    keys = sets.select("lead", "sid", "f_d", "f_reach", F.explode(F.slice("f_delta", F.lit(1), cut)).alias("tok"))
+    tokens = asks.select("lead", F.xxhash64("delta", *_names(asks)).alias("ask"), "size", "spare", F.explode("delta").alias("tok"))
+    met = tokens.join(keys, ["lead", "tok"]).filter(~sure).select("lead", "ask", "sid").distinct()
+    found = asks.withColumn("ask", F.xxhash64("delta", *_names(asks))).join(met, ["lead", "ask"]).join(sets.drop("least"), ["lead", "sid"])
+    return direct.unionByName(found.drop("ask"))
+
+
+def _names(asks: DataFrame) -> list[str]:
+    """Whole-number columns that tell one row from another."""
+    return [c for c, kind in asks.dtypes if kind == "bigint"]
 
 
 def connect(edges: DataFrame) -> DataFrame:

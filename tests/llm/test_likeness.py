@@ -109,6 +109,40 @@ def test_a_thousand_near_copies_make_few_comparisons(spark, monkeypatch):
     assert sum(made) < 5000
 
 
+def test_many_followers_do_not_meet_all_neighbours(spark, monkeypatch):
+    """A leader's followers (several groups of them) and its many neighbours, of which one is linked to a follower."""
+    draw = random.Random(9)
+    none = []
+    base = list(range(1000, 1100))
+    differ = lambda k: sorted(draw.sample(base, k // 2)) + [draw.randrange(1 << 40) + 10_000 for _ in range(k - k // 2)]
+    follower = [(i + 10, 1, 100, 100, 30, differ(30)) for i in range(80)]
+    tops = [(1, 500 + j, 100, 100, 60, differ(60)) for j in range(50)]
+    tops[7] = (1, 507, 100, 100, 32, follower[3][5] + [77_777, 77_778])
+    # as if 500 were the smaller side: the leader's followers are asked for in the second step
+    tops[8] = (508, 1, 100, 100, 31, follower[5][5] + [77_779])
+    kind = "sid long, other long, n long, m long, d long, delta array<long>"
+    made, keep = {}, jaccard.materialize
+
+    def watched(df, name):
+        made[name] = keep(df, name)
+        return made[name]
+
+    monkeypatch.setattr(jaccard, "materialize", watched)
+    followers, near = spark.createDataFrame(follower, kind), spark.createDataFrame(tops, kind)
+    linked = spark.createDataFrame(none, "node long, label long")
+    at = jaccard.Threshold(8, 10)
+    got = {tuple(sorted((r["a"], r["b"]))) for r in jaccard._links_below(near, followers, linked, at).collect()}
+    under = {1: [(1, none)] + [(f[0], f[5]) for f in follower]}
+    want = set()
+    for a, b, _, _, _, delta in tops:
+        for x, dx in under.get(a, [(a, none)]):
+            for y, dy in under.get(b, [(b, none)]):
+                if 18 * len(set(delta) ^ set(dx) ^ set(dy)) <= 2 * 200:
+                    want.add(tuple(sorted((x, y))))
+    assert got == want == {(13, 507), (15, 508)}
+    assert made["reaching-sets"].count() < 60  # of 81 * 49 pairs
+
+
 def test_components_of_long_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1002), (1002, 1001)], "a long, b long")
     labels = {r["node"]: r["label"] for r in jaccard.connect(edges).collect()}

@@ -349,3 +349,21 @@ def test_exploded_keys_are_not_broadcast(spark):
         assert "Broadcast" not in pairs._jdf.queryExecution().sparkPlan().toString()
     size = lambda df: int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     assert size(values) > 5_000 * 18 > size(materialize(names, "names"))
+
+
+def test_a_sketch_for_each_value_stays_in_small_parts(spark, monkeypatch):
+    """Beside a distinct count every value has a sketch of its own, so a task must hold few values."""
+    from quillgrid.sources import sqlbox
+    from registry import sqlbox as queries
+
+    sizes = {}
+
+    def watched(spark, text, **tables):
+        parts = tables["dataset"].groupBy(F.spark_partition_id()).agg(F.countDistinct("o_custkey").alias("n")).collect()
+        sizes[len(sizes)] = [r["n"] for r in parts]
+        return sqlbox.sql(spark, text, **tables)
+
+    monkeypatch.setattr(queries, "sql", watched)
+    monkeypatch.setattr(sqlbox.dealt, "__kwdefaults__", {"rows": 100})
+    row = queries.sql_approx_distinct_error(spark, "/root/testdata/sf0.01").first()
+    assert row["within_five_percent"] and len(sizes[0]) > 100 and max(sizes[0]) <= 40  # 1,500 values

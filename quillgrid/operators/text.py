@@ -314,19 +314,26 @@ SYNONYMS = {
 }
 
 
+def _fields(text_col: str, synonyms: dict[str, list[str]] | None) -> Column:
+    """A list of one entry, the fields of the text. As the argument of a function the text is made plain once, not for each field."""
+
+    def hits(text: Column) -> Column:
+        return F.array_compact(F.array(*[F.when(text.rlike(whole_word("|".join(words))), F.lit(f)) for f, words in (synonyms or SYNONYMS).items()]))
+
+    return F.transform(F.array(F.regexp_replace(F.lower(F.col(f"`{text_col}`")), r"[_\-]+", " ")), hits)
+
+
 def synonym_fields(df: DataFrame, text_col: str, synonyms: dict[str, list[str]] | None = None) -> DataFrame:
     """Add ``fields``: every field whose words stand in the text, in table order."""
-    plain = df.withColumn("_plain", F.regexp_replace(F.lower(F.col(f"`{text_col}`")), r"[_\-]+", " "))
-    text = F.col("_plain")
-    hits = [F.when(text.rlike(whole_word("|".join(words))), F.lit(f)) for f, words in (synonyms or SYNONYMS).items()]
-    return plain.withColumn("fields", F.array_compact(F.array(*hits))).drop("_plain")
+    return df.withColumn("fields", _fields(text_col, synonyms)[0])
 
 
 def synonym_join(
     df: DataFrame, text_col: str, keep: list[str], synonyms: dict[str, list[str]] | None = None
 ) -> DataFrame:
     """``keep..., field`` for texts that point to exactly one field. No shuffle."""
-    found = synonym_fields(df, text_col, synonyms).where(F.size("fields") == 1)
-    return found.select(*quoted(keep), F.col("fields")[0].alias("field"))
+    # a filter before the list is taken apart would search every text again
+    only = F.filter(_fields(text_col, synonyms), lambda fields: F.size(fields) == 1)
+    return df.select(*quoted(keep), F.explode(only).alias("_fields")).select(*quoted(keep), F.col("_fields")[0].alias("field"))
 
 

@@ -367,3 +367,13 @@ def test_a_sketch_for_each_value_stays_in_small_parts(spark, monkeypatch):
     monkeypatch.setattr(sqlbox.dealt, "__kwdefaults__", {"rows": 100})
     row = queries.sql_approx_distinct_error(spark, "/root/testdata/sf0.01").first()
     assert row["within_five_percent"] and len(sizes[0]) > 100 and max(sizes[0]) <= 40  # 1,500 values
+
+
+def test_texts_are_searched_once_for_synonyms(spark):
+    """The optimizer copied the plain text into each field's search, and all searches into the filter."""
+    from quillgrid.operators.text import synonym_fields, synonym_join
+
+    df = spark.createDataFrame([(1, "the price_x and price"), (2, "age"), (3, None), (4, "nothing")], "id long, t string")
+    for out in (synonym_join(df, "t", ["id"]), synonym_fields(df, "t")):
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+    assert {r["id"]: r["fields"] for r in synonym_fields(df, "t").collect()}[3] == []

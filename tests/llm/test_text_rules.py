@@ -185,3 +185,26 @@ def test_mixing_reaches_targets_and_repeats_itself(spark, docs, hard, hard_rows,
     assert mixing.mix_sources(nothing).count() == 0
     high = mixing.source_rates(many, total=3e8).collect()
     assert all(r["rate"] > 1000 and r["cdf"][-1] == pytest.approx(1, abs=1e-9) for r in high)
+
+
+def test_code_points_of_one_symbol_are_told_apart(spark):
+    """Letters that share a symbol of the alphabet have probabilities of their own."""
+    table = perplexity.alphabet()
+    pairs = [(c, c + int(perplexity.SYMBOLS - 31 - len(perplexity.MARKS))) for c in (0x43E, 0x4E00)]
+    assert all(table[a] == table[b] for a, b in pairs)
+    rng = np.random.default_rng(5)
+    words = ["".join(chr(pairs[0][0] if x < 0.5 else pairs[1][0]) for x in rng.random(6)) for _ in range(6000)]
+    texts = [" ".join(words[i : i + 60]) for i in range(0, 6000, 60)]
+    other = texts[7].replace(chr(pairs[0][0]), chr(pairs[0][1])).replace(chr(pairs[1][0]), chr(pairs[1][1]))
+    rows = [(i, t, None) for i, t in enumerate([*texts, other])]
+    found = {r["doc_id"]: r for r in perplexity.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert found[7]["perplexity"] == found[100]["perplexity"]  # the symbols are the same
+    assert found[7]["kept"] and not found[100]["kept"] and not found[100]["base_failed"]
+    counts, symbols = Counter(), Counter()
+    for _, t, _ in rows:
+        counts.update(t)
+        symbols.update(int(table[ord(c)]) for c in t)
+    for i in (7, 100):
+        rest = [c for c in rows[i][1] if ord(c) > 127]  # blanks have a symbol by rule
+        spelled = -sum(math.log(counts[c] / symbols[int(table[ord(c)])]) for c in rest) / (len(rows[i][1]) + 1)
+        assert found[i]["code_point_perplexity"] == pytest.approx(found[i]["perplexity"] * math.exp(spelled), rel=1e-5)

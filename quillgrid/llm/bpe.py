@@ -140,6 +140,7 @@ class Codec:
             (a << 32) | b: c for a, b, c in zip(*[x.tolist() for x in v.pairs], strict=True)
         }
         self.byte_ids = [self._whole(bytes([b])) for b in range(256)]
+        self.byte_pairs = [self.pairs.get((a << 32) | b, -1) for a in self.byte_ids for b in self.byte_ids]
         most = max(self.ids) + 1
         sizes = np.zeros(most, np.int64)
         sizes[v.ids] = [len(t) for t in self.tokens]
@@ -165,35 +166,42 @@ class Codec:
         return self.ids[at] if self.tokens[at] == piece else -1
 
     def _merge(self, piece: bytes) -> list[int]:
-        """Merge bytes by rank: a heap of (rank, place) over a doubly linked list."""
+        """Merge bytes by rank: a heap of (rank, place) over a doubly linked list.
+
+        ``ranks`` holds what the pair at a place merges into, -1 for nothing: an
+        entry of the heap that differs is out of date.
+        """
         pair = self.pairs.get
-        byte_ids = self.byte_ids
+        byte_ids, first = self.byte_ids, self.byte_pairs
         symbols = [byte_ids[b] for b in piece]
         n = len(symbols)
-        keys = [(a << 32) | b for a, b in zip(symbols, symbols[1:])]
-        heap = [(rank << 40) | i for i, rank in enumerate(map(pair, keys)) if rank is not None]
+        ranks = [first[a << 8 | b] for a, b in zip(piece, piece[1:])]
+        heap = [rank * n + i for i, rank in enumerate(ranks) if rank >= 0]
         heapq.heapify(heap)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         pop, push = heapq.heappop, heapq.heappush
         while heap:
             top = pop(heap)
-            rank, i = top >> 40, top & 0xFFFFFFFFFF
-            left, j = symbols[i], after[i]
-            # stale entries: the left end is gone, or one of its symbols changed
-            if left < 0 or j >= n or pair((left << 32) | symbols[j]) != rank:
+            rank = top // n
+            i = top - rank * n
+            if ranks[i] != rank:
                 continue
-            symbols[i], symbols[j] = rank, -1
+            j = after[i]
             k = after[i] = after[j]
+            symbols[i], symbols[j] = rank, -1
             if k < n:
+                ranks[j] = -1
                 before[k] = i
-                more = pair((rank << 32) | symbols[k])
-                if more is not None:
-                    push(heap, (more << 40) | i)
+                more = ranks[i] = pair((rank << 32) | symbols[k], -1)
+                if more >= 0:
+                    push(heap, more * n + i)
+            else:
+                ranks[i] = -1
             h = before[i]
             if h >= 0:
-                more = pair((symbols[h] << 32) | rank)
-                if more is not None:
-                    push(heap, (more << 40) | h)
+                more = ranks[h] = pair((symbols[h] << 32) | rank, -1)
+                if more >= 0:
+                    push(heap, more * n + h)
         return [s for s in symbols if s >= 0]
 
     def _ids(self, word: str) -> list[int]:

@@ -164,6 +164,36 @@ def test_ids_equal_the_library(vocabulary, reference, docs, hard_rows):
         assert decimals == " ".join(map(str, want)) and codec.decode(ids) == text.encode()
 
 
+def test_merges_look_up_at_most_two_pairs_each(vocabulary):
+    """Entries of the heap that are out of date are told by the ranks in place, not by another lookup."""
+
+    class Counting(dict):
+        looked = 0
+
+        def get(self, *key):
+            self.looked += 1
+            return super().get(*key)
+
+    def plain(piece):
+        ids = [codec.byte_ids[b] for b in piece]
+        while True:
+            ranks = [pairs.get((a << 32) | b, 1 << 40) for a, b in zip(ids, ids[1:])]
+            if not ranks or min(ranks) == 1 << 40:
+                return ids
+            at = ranks.index(min(ranks))
+            ids[at : at + 2] = [ranks[at]]
+
+    codec = bpe.Codec(vocabulary)
+    pairs = codec.pairs
+    rng = np.random.default_rng(3)
+    words = [b"", b"a", b"aaaaaaaaaaaaaa", "ééé".encode(), *[bytes(rng.choice(list(b"  aehinorst"), int(n))) for n in rng.integers(1, 60, 300)]]
+    for word in words:
+        codec.pairs = Counting(pairs)
+        ids = codec._merge(word)
+        assert ids == plain(word)
+        assert codec.pairs.looked <= 2 * (len(word) - len(ids))
+
+
 def test_small_caches_give_the_same(vocabulary, reference, docs, monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_BYTES", 1000)
     codec = bpe.Codec(vocabulary)

@@ -22,7 +22,7 @@ from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.batches import lending, pieces
+from quillgrid.llm.batches import lending, pieces, short
 from quillgrid.session import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -170,8 +170,8 @@ def frequency_levels(texts: DataFrame, words: int) -> np.ndarray:
         for batch in pieces(batches, 0):
             tokens = shingler.sets(batch.column(0).to_pylist())
             if tokens:
-                flat = (np.concatenate(tokens) >> np.uint64(42)).astype(np.int64)
-                total += np.bincount(flat, minlength=COUNTERS).astype(np.uint32)
+                places, n = np.unique((np.concatenate(tokens) >> np.uint64(42)).astype(np.int64), return_counts=True)
+                total[places] += n.astype(np.uint32)  # no second table of all counters
         if total.any():
             for part in range(COUNTERS // _PART):
                 planes = total[part * _PART : (part + 1) * _PART].view(np.uint8).reshape(-1, 4).T
@@ -270,7 +270,7 @@ def _shared_postings(index: DataFrame, at: Threshold) -> DataFrame:
 
     def kept(batches):
         bits = bitmap.value
-        for batch in batches:
+        for batch in short(batches):
             lists = batch.column(3)
             flat = lists.flatten().to_numpy(zero_copy_only=False)
             sizes = np.diff(lists.offsets.to_numpy())

@@ -208,3 +208,13 @@ def test_code_points_of_one_symbol_are_told_apart(spark):
         rest = [c for c in rows[i][1] if ord(c) > 127]  # blanks have a symbol by rule
         spelled = -sum(math.log(counts[c] / symbols[int(table[ord(c)])]) for c in rest) / (len(rows[i][1]) + 1)
         assert found[i]["code_point_perplexity"] == pytest.approx(found[i]["perplexity"] * math.exp(spelled), rel=1e-5)
+
+
+def test_model_takes_few_stages(spark, docs):
+    """The driver keeps plans and generated code of every stage; orders of the model share them."""
+    spark.sparkContext.setJobGroup("few-stages", "")
+    perplexity.train(perplexity.count_grams(docs, "text", "lang"))
+    tracker = spark.sparkContext.statusTracker()
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("few-stages")]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len({s for j in jobs if j for s in j.stageIds}) < 60

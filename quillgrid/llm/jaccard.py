@@ -302,6 +302,7 @@ def _leaders(shared: DataFrame, at: Threshold) -> DataFrame:
     counted = own.groupBy("sid", "n", "lead").agg(F.count(F.lit(1)).alias("c"))
     enough = F.greatest(at.needed(F.col("n")), F.floor((F.col("n") - F.ceil(F.col("n") * at.p / at.q) + 1) / 4))
     star = counted.filter(F.col("c") >= enough).groupBy("sid", "n").agg(F.max_by("lead", F.struct("c", "lead")).alias("lead"))
+    star = materialize(star, "leaders")
     for _ in range(2):
         above = star.select(F.col("sid").alias("l_sid"), F.col("lead").alias("l_lead"))
         star = materialize(
@@ -334,10 +335,11 @@ def _compare(df: DataFrame, pairs: DataFrame, index: DataFrame, levels: np.ndarr
 
     ``delta``, the elements in one set but not the other, rarest first, is given
     where ``d`` is at most ``keep``. The pairs of one ``other`` are compared in
-    calls of bounded size, each of which reads the other set once.
+    calls of bounded size, each of which reads the other set once. The pairs are
+    stored, since they are needed three times and take a long plan to find.
     """
     keys = index.filter("n > 0").groupBy("sid").agg(F.min("text_key").alias("text_key"), F.min("n").alias("n"))
-    left = pairs.join(keys, "sid")
+    left = materialize(pairs.join(keys, "sid"), "pairs")
     parts = left.groupBy("other").agg(F.ceil(F.sum("n") / GROUP_SHINGLES).cast("int").alias("parts"))
     left = left.join(parts, "other").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
     heads = parts.join(keys, parts["other"] == keys["sid"]).select(
@@ -448,7 +450,7 @@ def _links_below(tops: DataFrame, followers: DataFrame, linked: DataFrame, at: T
     radius = under.groupBy(F.col("lead").alias("r_lead")).agg(F.max("f_d").alias("radius"))
     pairs = near.select(F.col("sid").alias("lead"), F.col("other").alias("top"), "d", "delta").join(radius, F.col("top") == F.col("r_lead"))
     # the least distance to the second leader that a set may have
-    first = _meet(pairs.select("lead", "top", "delta", F.col("d").alias("size"), F.col("radius").alias("spare")), under)
+    first = _meet(materialize(pairs.select("lead", "top", "delta", F.col("d").alias("size"), F.col("radius").alias("spare")), "asks"), under)
     size = F.size("delta")
     first = first.select(
         F.col("top").alias("lead"), F.col("sid").alias("a_sid"), F.col("f_n").alias("a_n"), F.col("label").alias("a_label"), "spare",
@@ -467,10 +469,11 @@ def _meet(asks: DataFrame, under: DataFrame) -> DataFrame:
 
     That is ``size + f_d - 2 * shared``. What need not share an element is found
     by sizes; else one of the first ``f_d - shared + 1`` elements of the set's
-    difference is in ``delta``.
+    difference is in ``delta``. ``asks`` and ``under`` are stored tables: both
+    are read several times.
     """
     least = asks.groupBy(F.col("lead").alias("l_lead")).agg(F.min(F.col("size") - F.col("spare")).alias("least"))
-    sets = under.join(least, F.col("lead") == F.col("l_lead")).drop("l_lead")
+    sets = materialize(under.join(least, F.col("lead") == F.col("l_lead")).drop("l_lead"), "asked-sets")
     sure = F.col("size") + F.col("f_d") <= F.col("f_reach") + F.col("spare")
     most = sets.groupBy(F.col("lead").alias("l_lead")).agg(F.max(F.col("f_reach") - F.col("f_d")).alias("most"))
     some = asks.join(most, F.col("lead") == F.col("l_lead")).filter(F.col("size") - F.col("spare") <= F.col("most")).drop("l_lead", "most")
@@ -494,9 +497,9 @@ def connect(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps, which need a number of rounds
     that grows with the logarithm of the longest chain; every step is stored.
+    No round is needed after the one that leaves only stars.
     """
     edges = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
@@ -506,10 +509,10 @@ def connect(edges: DataFrame) -> DataFrame:
         joined = large.join(low, "a")
         small = joined.select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b").unionByName(low.select("a", F.col("low").alias("b")))
         edges = materialize(small.distinct(), "small-star")
-        mark = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-        if (mark["n"], mark["x"]) == before:
+        ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up")))
+        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.count(F.lit(1)).alias("n"))
+        if ends.filter("up > 0 and n > 1").isEmpty():  # every node above another one has that edge alone
             break
-        before = (mark["n"], mark["x"])
     tops = edges.select("b").distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(tops.select(F.col("b").alias("node"), F.col("b").alias("label")))
 
@@ -567,7 +570,7 @@ def labelled_groups(
     labels = connect(links)
     below = materialize(_links_below(tops, followers, labels, at), "links-below")
     if not below.isEmpty():
-        labels = connect(links.unionByName(below))
+        labels = connect(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(below))
     rows = index.select("key", "text_key", "sid", "n").join(labels, F.col("sid") == F.col("node"), "left")
     rows = materialize(rows.select("key", "text_key", F.col("n").alias("n_shingles"), F.coalesce("label", "sid").alias("label")), "labels")
     first_key = rows.filter(F.col("label").isNotNull()).groupBy("label").agg(F.min("key").alias("component_id"))

@@ -149,6 +149,30 @@ def test_components_of_long_chains(spark):
     assert all(labels[i] == 0 for i in range(301)) and labels[1000] == labels[1001] == labels[1002] == 1000
 
 
+def test_components_need_no_round_to_see_that_nothing_changes(spark, monkeypatch):
+    stored = []
+    keep = jaccard.materialize
+    monkeypatch.setattr(jaccard, "materialize", lambda df, name: stored.append(name) or keep(df, name))
+    edges = spark.createDataFrame([(1, 5), (5, 7), (2, 3), (9, 9)], "a long, b long")
+    labels = {r["node"]: r["label"] for r in jaccard.connect(edges).collect()}
+    assert labels == {1: 1, 5: 1, 7: 1, 2: 2, 3: 2}
+    assert stored.count("large-star") == 1
+
+
+def test_pairs_are_found_once(spark, docs, monkeypatch):
+    """The driver keeps the plan of every step: what is needed several times is stored, not planned again."""
+    stored = []
+    keep = jaccard.materialize
+
+    def watched(df, name):
+        stored.append((name, df._jdf.queryExecution().optimizedPlan().toString().count("Join ")))
+        return keep(df, name)
+
+    monkeypatch.setattr(jaccard, "materialize", watched)
+    jaccard.similar_groups(docs).collect()
+    assert max(n for _, n in stored) <= 9, stored
+
+
 def plain_level(window):
     share = np.array(list(Counter(window).values())) / 64
     return round(float(-(share * np.log2(share)).sum() * 1023 / 6))

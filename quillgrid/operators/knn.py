@@ -12,6 +12,10 @@ a part of their own. The rules are a small table, whatever the rows.
    into blocks, and each block returns k candidates per receiver and gap;
 3. the best k of all are averaged.
 
+Inside a part donors stand in line along the column in which they are widest. A
+few receivers at a time, that are near in this column, are compared with the
+donors that their balls can reach along it, not with the whole part.
+
 Receivers that miss the same columns as many others get a partition over just
 the columns they have, for a column they miss can't keep them out of a part. All
 others share one over all columns, so any set of gaps, and any number of sets,
@@ -38,6 +42,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _PART_ROWS = 4_000
 _BLOCK_ROWS = 20_000  # donors compared in one call
 _CALL_ROWS = 2_000  # receivers of one call: many short calls keep all tasks busy
+_ABREAST = 64  # receivers compared at a time, and donors in line that give them a first bound
 MOST_PARTS = 1 << 16  # of all partitions together; parts grow beyond that
 FREQUENT = 8  # sets of columns with a partition of their own
 RARE = 0.1  # a column filled in fewer rows has donors of its own
@@ -58,6 +63,14 @@ class Space:
         self.low, self.high = [low.copy()], [high.copy()]
         self.axis, self.cuts, self.child = [-1], [np.zeros(0)], [-1]
         self.open = {0: self._widest(0)}
+        self.packed: tuple[np.ndarray, ...] | None = None
+
+    def _arrays(self) -> tuple[np.ndarray, ...]:
+        """Low and high ends, first child, children and axis of all nodes, made once for many batches."""
+        if self.packed is None:
+            many = np.array([len(c) + 2 for c in self.cuts])
+            self.packed = np.array(self.low), np.array(self.high), np.array(self.child), many, np.array(self.axis)
+        return self.packed
 
     def _widest(self, node: int) -> int:
         low, high = self.low[node][self.axes], self.high[node][self.axes]
@@ -66,7 +79,7 @@ class Space:
 
     def split(self, node: int, count: int, marks: list[float], part_rows: int) -> None:
         """Cut a node at some of the marks; what can't be cut is a part, whatever its size."""
-        axis = self.open.pop(node)
+        axis, self.packed = self.open.pop(node), None
         ways = min(_WAYS, -(-count // part_rows))
         if axis < 0 or count <= 2 * part_rows:  # not again for a few rows more than planned
             return
@@ -92,11 +105,11 @@ class Space:
     def place(self, points: np.ndarray, looking: bool = False) -> np.ndarray:
         """The node that each point belongs to. A receiver without the column (``looking``) takes the middle part."""
         at = np.zeros(len(points), np.int64)
-        axis, child = np.array(self.axis), np.array(self.child)
+        _, _, child, _, axis = self._arrays()
         inner = np.flatnonzero(axis[at] >= 0)
         while len(inner):
-            for node in np.unique(at[inner]).tolist():
-                rows = inner[at[inner] == node]
+            for node, own in _by_space(at[inner]):
+                rows = inner[own]
                 x, cuts = points[rows, axis[node]], self.cuts[node]
                 step = np.searchsorted(cuts, x, side="right")
                 step[np.isnan(x)] = (len(cuts) + 1) // 2 if looking else len(cuts) + 1
@@ -106,8 +119,7 @@ class Space:
 
     def touched(self, points: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (point, part) for all parts that a point's ball reaches."""
-        low, high, child = np.array(self.low), np.array(self.high), np.array(self.child)
-        many = np.array([len(c) + 2 for c in self.cuts])
+        low, high, child, many, _ = self._arrays()
         bound = bound * (1 + 1e-9)  # rounding in the two ways to a distance
         have = np.maximum((~np.isnan(points)).sum(axis=1), 1)
         found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -390,22 +402,16 @@ def _scores(donors: DataFrame, visits: DataFrame, spaces: list[Space], targets:
             points, asked = _points(block["_point"]), _points(callers["_point"])
             ids = block["_donor"].to_numpy()
             have, number = ~np.isnan(points), key[0].as_py()
-            step = max(1, 4_000_000 // len(points))
             bound = callers["_bound"].combine_chunks().fill_null(float("inf")).to_numpy(zero_copy_only=False)
             bound = bound * (1 + 1e-9)  # rounding; what lies beyond can't be among the nearest
             bounded = bool(np.isfinite(bound).any())
-            for start in range(0, len(asked), step):
-                some = asked[start : start + step]
-                squared = np.zeros((len(some), len(points)))
-                for axis in np.flatnonzero(have.any(axis=0) & ~np.isnan(some).all(axis=0)).tolist():
-                    away = some[:, axis, None] - points[None, :, axis]
-                    away *= away
-                    if not (have[:, axis].all() and not np.isnan(some[:, axis]).any()):
-                        away[np.isnan(away)] = 0.0
-                    squared += away
-                shared = (~np.isnan(some)).astype(float) @ have.T
-                squared *= p / np.maximum(shared, 1)
-                squared[shared == 0] = np.inf
+            all_points, all_have, all_ids = points, have, ids
+            for rows, reached in _abreast(asked, points, bound if bounded else None, sorted(owned[number]), k):
+                some = asked[rows]
+                points, have, ids = (all_points, all_have, all_ids) if reached is None else (all_points[reached], all_have[reached], all_ids[reached])
+                if not len(points):
+                    continue
+                squared = _squared(some, points, have)
                 radius = np.zeros(len(some))
                 for j in sorted(owned[number]):
                     lack, own = np.flatnonzero(np.isnan(some[:, j])), np.flatnonzero(have[:, j])
@@ -419,7 +425,7 @@ def _scores(donors: DataFrame, visits: DataFrame, spaces: list[Space], targets:
                     whole = len(lack) == len(some) and len(own) == len(points)
                     near = squared if whole else squared[np.ix_(lack, own)]
                     if bounded:
-                        row, column = np.nonzero(near <= bound[start : start + step][lack][:, None])
+                        row, column = np.nonzero(near <= bound[rows][lack][:, None])
                         crowded = np.flatnonzero(np.bincount(row, minlength=len(lack)) > most)
                         single = ~np.isin(row, crowded)
                         row, column = row[single], column[single]
@@ -434,10 +440,10 @@ def _scores(donors: DataFrame, visits: DataFrame, spaces: list[Space], targets:
                         radius[lack] = np.maximum(radius[lack], distance.reshape(len(lack), most)[:, -1])
                     fine = np.isfinite(distance)
                     donor = own[column[fine]]
-                    parts.append((j, start + lack[row[fine]], ids[donor], points[donor, j], distance[fine]))
+                    parts.append((j, rows[lack[row[fine]]], ids[donor], points[donor, j], distance[fine]))
                 if bounded:
                     continue
-                parts.append((-1, start + np.arange(len(some)), np.zeros(len(some), np.int64), np.zeros(len(some)), radius))
+                parts.append((-1, rows, np.zeros(len(some), np.int64), np.zeros(len(some)), radius))
         if not parts:
             return pa.table([pa.array([], t) for t in kinds], names=names)
         which = np.concatenate([x[1] for x in parts])
@@ -454,6 +460,63 @@ def _scores(donors: DataFrame, visits: DataFrame, spaces: list[Space], targets:
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, schema)
 
 
+def _squared(some: np.ndarray, points: np.ndarray, have: np.ndarray) -> np.ndarray:
+    """Squared distances of all pairs over the columns that both have, scaled up for the others.
+
+    ``points`` and ``have`` may also hold donors of their own for each row of ``some``.
+    """
+    p = some.shape[1]
+    squared = np.zeros((len(some), points.shape[-2]))
+    for axis in np.flatnonzero(have.reshape(-1, p).any(axis=0) & ~np.isnan(some).all(axis=0)).tolist():
+        away = some[:, axis, None] - points[..., axis]
+        away *= away
+        if not (have[..., axis].all() and not np.isnan(some[:, axis]).any()):
+            away[np.isnan(away)] = 0.0
+        squared += away
+    known = (~np.isnan(some)).astype(float)
+    shared = known @ have.T if have.ndim == 2 else np.einsum("rp,rnp->rn", known, have)
+    squared *= p / np.maximum(shared, 1)
+    squared[shared == 0] = np.inf
+    return squared
+
+
+def _abreast(
+    asked: np.ndarray, points: np.ndarray, bound: np.ndarray | None, targets: list[int], k: int
+) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """Rows of ``asked``, some at a time, with the donors (by ascending number) that their balls may reach; none: all.
+
+    Without bounds, donors next in line give them: the k-th of these for every gap.
+    """
+    everywhere = ~np.isnan(points).any(axis=0) & ~np.isnan(asked).any(axis=0)
+    axes = np.flatnonzero(everywhere)
+    if not len(axes) or len(points) <= 4 * _ABREAST:
+        step = max(1, 4_000_000 // len(points))
+        for start in range(0, len(asked), step):
+            yield np.arange(start, min(start + step, len(asked))), None
+        return
+    wide = np.subtract(*np.quantile(points[:, axes], [0.9, 0.1], axis=0))  # far outliers make no column wide
+    axis = axes[int(wide.argmax())]
+    line = np.argsort(points[:, axis], kind="stable")
+    x, p = points[line, axis], points.shape[1]
+    order = np.argsort(asked[:, axis], kind="stable")
+    for start in range(0, len(order), _ABREAST):
+        rows = order[start : start + _ABREAST]
+        some, z = asked[rows], asked[rows, axis]
+        if bound is None:
+            first = np.clip(np.searchsorted(x, z) - _ABREAST // 2, 0, len(x) - _ABREAST)
+            near = points[line[first[:, None] + np.arange(_ABREAST)]]
+            away, far = _squared(some, near, ~np.isnan(near)), np.zeros(len(rows))
+            for j in targets:
+                own = np.where(np.isnan(near[..., j]), np.inf, away)
+                kth = np.partition(own, k - 1, axis=1)[:, k - 1] if k <= _ABREAST else np.full(len(rows), np.inf)
+                far = np.maximum(far, np.where(np.isnan(some[:, j]), kth, 0.0))
+        else:
+            far = bound[rows]
+        reach = np.sqrt(far * ((~np.isnan(some)).sum(axis=1) / p)) * (1 + 1e-9)  # of the columns that both have, the line is one
+        low, high = np.searchsorted(x, (z - reach).min(), side="left"), np.searchsorted(x, (z + reach).max(), side="right")
+        yield rows, np.sort(line[low:high])
+
+
 def _smallest(squared: np.ndarray, most: int) -> np.ndarray:
     """Column numbers of the smallest entries per row, lower number first on ties."""
     limit = np.partition(squared, most - 1, axis=1)[:, most - 1 : most]

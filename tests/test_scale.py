@@ -208,6 +208,43 @@ def test_knn_equals_brute_force(spark, monkeypatch, small):
             assert got[i][name] == pytest.approx(expected, rel=1e-12, abs=1e-12), (i, name)
 
 
+def test_knn_receivers_meet_the_donors_in_their_reach():
+    draw = np.random.default_rng(5)
+    donors, asked = draw.random((4000, 3)), draw.random((1000, 3))
+    donors[:300] = donors[0]  # ties: lower numbers first
+    asked[:50] = donors[0]
+    asked[:, 2] = np.nan
+    whole = knn._squared(asked, donors, ~np.isnan(donors))
+    best = knn._smallest(whole, 5)
+    for bound in (None, np.take_along_axis(whole, best, 1)[:, -1]):
+        compared, seen = 0, []
+        for rows, reached in knn._abreast(asked, donors, bound, [2], 5):
+            some = donors[reached]
+            squared = knn._squared(asked[rows], some, ~np.isnan(some))
+            assert (reached[knn._smallest(squared, 5)] == best[rows]).all()
+            compared += squared.size
+            seen += rows.tolist()
+        assert sorted(seen) == list(range(1000))
+        assert compared < 0.3 * whole.size
+
+
+def test_knn_in_line_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(knn, "_ABREAST", 8)
+    monkeypatch.setattr(knn, "_PART_ROWS", 150)
+    draw = np.random.default_rng(6)
+    data = np.round(draw.normal(size=(900, 3)) * [40, 5, 2], 1)
+    data[:60] = data[0]
+    data[200:230, 0] *= 50
+    data[draw.random(data.shape) < 0.1] = np.nan
+    rows = [(i, *[None if np.isnan(v) else float(v) for v in row]) for i, row in enumerate(data)]
+    df = spark.createDataFrame(rows, "_rid long, a double, b double, c double")
+    got = {r["_rid"]: r for r in impute.impute_knn(df).collect()}
+    for i, row in enumerate(data):
+        for axis, name in enumerate("abc"):
+            expected = _nearest(data, axis, i, 5) if np.isnan(row[axis]) else row[axis]
+            assert got[i][name] == pytest.approx(expected, rel=1e-12, abs=1e-12), (i, name)
+
+
 @pytest.mark.parametrize("block", [1000, 3])
 def test_long_values_are_compared_in_blocks(spark, monkeypatch, block):
     from quillgrid.operators import similarity

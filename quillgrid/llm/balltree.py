@@ -28,7 +28,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgrid.llm.batches import lending, pieces
+from quillgrid.llm.batches import bounded, lending, pieces
 from quillgrid.session import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -88,7 +88,7 @@ def term_vectors(docs: DataFrame, block, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), *lists], names=["key", "n", "terms", "tfs"])
 
     rows = docs.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(run, "key long, n long, terms array<int>, tfs array<int>")
+    return bounded(rows).mapInArrow(run, "key long, n long, terms array<int>, tfs array<int>")
 
 
 class Tree:
@@ -245,9 +245,9 @@ def plant(vectors: DataFrame, block, n_docs: int, length: int) -> DataFrame:
             yield from made()
 
     rows = vectors.filter(F.size("terms") > 0)
-    placed = rows.mapInArrow(rare, "top long, key long, n long, terms array<int>, tfs array<int>")
+    placed = bounded(rows).mapInArrow(rare, "top long, key long, n long, terms array<int>, tfs array<int>")
     dealt = placed.repartitionByRange(parts, "top", "key").sortWithinPartitions("top", "key")
-    return materialize(dealt.mapInArrow(build, "packed binary"), "ball-trees")
+    return materialize(bounded(dealt).mapInArrow(build, "packed binary"), "ball-trees")
 
 
 def _answers(trees: DataFrame, block, floors, k: int) -> DataFrame:
@@ -264,7 +264,7 @@ def _answers(trees: DataFrame, block, floors, k: int) -> DataFrame:
                 columns = list(zip(*rows, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query", "item", "copies", "key", "score"])
 
-    return trees.mapInArrow(run, "query long, item long, copies long, key long, score long")
+    return bounded(trees).mapInArrow(run, "query long, item long, copies long, key long, score long")
 
 
 def _best(answers: DataFrame, k: int) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quillgrid.llm.batches import pieces, texts_of
+from quillgrid.llm.batches import bounded, pieces, texts_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -273,7 +273,7 @@ def _with_columns(df: DataFrame, vocabulary: Vocabulary, added: list[T.StructFie
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *[f.name for f in added]])
         codec.forget()
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *added]))
+    return bounded(df).mapInArrow(run, T.StructType([*df.schema.fields, *added]))
 
 
 def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", name: str = "ids") -> DataFrame:

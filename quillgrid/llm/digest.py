@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgrid.llm.batches import pieces, texts_of
+from quillgrid.llm.batches import bounded, pieces, texts_of
 from quillgrid.session import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -91,7 +91,7 @@ def rarity_ranks(df: DataFrame, text: str = "text") -> np.ndarray:
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(total[held], pa.int64())], names=["level", "n"])
 
-    counted = df.select(F.col(f"`{text}`").alias("text")).mapInArrow(count, "level int, n long")
+    counted = bounded(df.select(F.col(f"`{text}`").alias("text"))).mapInArrow(count, "level int, n long")
     counts = np.zeros(LEVELS, np.int64)
     for row in counted.groupBy("level").agg(F.sum("n").alias("n")).collect():  # one row per level at most
         counts[row["level"]] = row["n"]
@@ -221,7 +221,7 @@ def fingerprints(df: DataFrame, ranks: np.ndarray, text: str = "text", name: str
             found = [as_text(c) for c in filters_of(texts_of(batch.column(at)), ranks)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, name])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.StringType())]))
+    return bounded(df).mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.StringType())]))
 
 
 _PREFIX = 64  # characters of a text that tell rows of one key apart where rows are dealt
@@ -323,7 +323,7 @@ def compare_edits(df: DataFrame, ranks: np.ndarray, key: str = "doc_id", text: s
                 yield pa.RecordBatch.from_arrays(one(rows), names=names)
 
     ordered = neighbour_order(df, key, text)
-    stored = materialize(ordered.mapInArrow(inner, f"{result}, __part long, __role int, __text string"), "edits")
+    stored = materialize(bounded(ordered).mapInArrow(inner, f"{result}, __part long, __role int, __text string"), "edits")
     heads = stored.filter("__role = 1").select(F.col("__part").alias("h_part"), F.col("__text").alias("h_text"))
     # which partition follows: a number for each partition, no texts
     by_part = Window.orderBy("__part")
@@ -331,5 +331,5 @@ def compare_edits(df: DataFrame, ranks: np.ndarray, key: str = "doc_id", text: s
         "__part", F.coalesce(F.lead("__part").over(by_part), F.first("__part").over(by_part)).alias("__next")
     )
     tails = stored.filter("__role = 2").join(following, "__part").join(heads, F.col("__next") == F.col("h_part"))
-    last = tails.select(F.col(f"`{key}`").alias("key"), "__text", "h_text").mapInArrow(across, result)
+    last = bounded(tails.select(F.col(f"`{key}`").alias("key"), "__text", "h_text")).mapInArrow(across, result)
     return stored.filter("__role = 0").select(*[F.col(f"`{n}`") for n in names]).unionByName(last)

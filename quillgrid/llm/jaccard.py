@@ -22,7 +22,7 @@ from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.batches import lending, pieces, short
+from quillgrid.llm.batches import bounded, lending, pieces, short
 from quillgrid.session import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -190,7 +190,7 @@ def frequency_levels(texts: DataFrame, words: int) -> np.ndarray:
         return pa.table({"part": table.column("part")[:1], "lane": pa.array([0], pa.int32()), "packed": [pack.compress(planes.tobytes())]})
 
     schema = "part int, lane int, packed binary"
-    lanes = texts.mapInArrow(count, schema).groupBy("part", "lane").applyInArrow(add, schema)
+    lanes = bounded(texts).mapInArrow(count, schema).groupBy("part", "lane").applyInArrow(add, schema)
     levels, unpack = np.zeros(COUNTERS, np.uint16), zstandard.ZstdDecompressor()
     for row in lanes.groupBy("part").applyInArrow(add, schema).collect():  # 64 rows
         planes = np.frombuffer(unpack.decompress(row["packed"]), np.uint8).reshape(4, -1)
@@ -233,7 +233,7 @@ def index_prefixes(df: DataFrame, shared: Broadcast, key: str, text: str, words:
     rows = df.select(
         F.col(f"`{key}`").cast("bigint").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("text_key"), F.col(f"`{text}`").alias("text")
     )
-    return rows.mapInArrow(run, "key long, text_key long, sid long, n long, rank long, tokens array<long>")
+    return bounded(rows).mapInArrow(run, "key long, text_key long, sid long, n long, rank long, tokens array<long>")
 
 
 def _bitmap(values: DataFrame, column: str, bits: int) -> np.ndarray:
@@ -286,7 +286,7 @@ def _shared_postings(index: DataFrame, at: Threshold) -> DataFrame:
     rows = index.filter("n > 0").select("sid", "n", "rank", "tokens")
     with lending(index.sparkSession) as lend:
         bitmap = lend(held)
-        postings = rows.mapInArrow(kept, "tok long, sid long, n long, pos long, rank long").dropDuplicates(["tok", "sid"])
+        postings = bounded(rows).mapInArrow(kept, "tok long, sid long, n long, pos long, rank long").dropDuplicates(["tok", "sid"])
         postings = materialize(postings, "postings")
     lists = postings.groupBy("tok").agg(
         F.min("sid").alias("low"), F.max("sid").alias("high"), F.min("pos").alias("first"),
@@ -327,7 +327,7 @@ def _texts(df: DataFrame, bitmap: Broadcast, text: str) -> DataFrame:
             yield batch.filter(pa.array(mask))
 
     rows = df.select(F.xxhash64(F.col(f"`{text}`")).alias("text_key"), F.col(f"`{text}`").alias("text")).filter(F.col("text").isNotNull())
-    return rows.mapInArrow(run, "text_key long, text string")
+    return bounded(rows).mapInArrow(run, "text_key long, text string")
 
 
 def _compare(df: DataFrame, pairs: DataFrame, index: DataFrame, levels: np.ndarray, text: str, words: int) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.batches import pieces, texts_of
+from quillgrid.llm.batches import bounded, pieces, texts_of
 from quillgrid.llm.jaccard import Shingler
 from quillgrid.llm.labelled import held_out, training_rows
 from quillgrid.session import materialize
@@ -191,7 +191,7 @@ def score_quality(
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["label", "x"])
 
     sample = training_rows(docs, labels, label, sample_rows, key, text).select("label", "text")
-    bags = materialize(sample.mapInArrow(encode, "label int, x array<double>"), "quality-sample").orderBy(F.xxhash64("x", "label")).toArrow()
+    bags = materialize(bounded(sample).mapInArrow(encode, "label int, x array<double>"), "quality-sample").orderBy(F.xxhash64("x", "label")).toArrow()
     model = Attention()
     if bags.num_rows:
         x = bags.column("x").combine_chunks()
@@ -207,7 +207,7 @@ def score_quality(
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x, sizes), pa.float64())], names=["key", "score"])
 
     rows = docs.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{text}`").alias("text"))
-    scored = rows.mapInArrow(score, "key long, score double")
+    scored = bounded(rows).mapInArrow(score, "key long, score double")
     return scored.select(
         F.col("key").alias(key), held_out(F.col("key")).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted")
     )

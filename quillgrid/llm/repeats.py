@@ -31,7 +31,7 @@ from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.batches import lending, pieces
+from quillgrid.llm.batches import bounded, lending, pieces
 from quillgrid.llm.jaccard import Shingler, _bitmap, _held, _mix
 from quillgrid.session import materialize
 
@@ -204,7 +204,7 @@ def _names(docs: DataFrame, window: int, bitmap: Broadcast | None) -> DataFrame:
                 )
 
     schema = "name long, id long" if bitmap is None else "id long, text_key long, name long, kind int, a int, b int"
-    return docs.mapInArrow(run, schema)
+    return bounded(docs).mapInArrow(run, schema)
 
 
 def _covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -267,7 +267,7 @@ def _settle(rows: DataFrame, window: int) -> DataFrame:
         "id long, text_key long, n_words long, n_removed long, kept_sha256 string, packed binary, gone binary, "
         "starts array<long>, low array<long>, high array<long>"
     )
-    return rows.mapInArrow(run, schema)
+    return bounded(rows).mapInArrow(run, schema)
 
 
 def _finish(rows: DataFrame, window: int) -> DataFrame:
@@ -286,7 +286,7 @@ def _finish(rows: DataFrame, window: int) -> DataFrame:
                     names=["id", *[c for c, _ in _RESULT]],
                 )
 
-    return rows.mapInArrow(run, "id long, n_words long, n_removed long, kept_sha256 string")
+    return bounded(rows).mapInArrow(run, "id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -298,7 +298,7 @@ def _packed(docs: DataFrame) -> DataFrame:
             packed = pa.array([pack.compress(x) for x in _raw(batch.column(2))], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], names=["id", "text_key", "packed"])
 
-    return docs.mapInArrow(run, "id long, text_key long, packed binary")
+    return bounded(docs).mapInArrow(run, "id long, text_key long, packed binary")
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = 20) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.batches import pieces, texts_of
+from quillgrid.llm.batches import bounded, pieces, texts_of
 from quillgrid.llm.labelled import held_out, training_rows
 from quillgrid.session import materialize
 
@@ -81,7 +81,7 @@ def letter_model(texts: DataFrame) -> np.ndarray:
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(total[held], pa.int64())], names=["gram", "n"])
 
-    counted = texts.mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counted = bounded(texts).mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     n = np.zeros(SYMBOLS**3)
     for row in counted.collect():
         n[row["gram"]] = row["n"]
@@ -221,7 +221,7 @@ def learn_evidence(sample: DataFrame, logp: np.ndarray, least_z: float = LEAST_Z
                 [pa.array(part, pa.string()), *[pa.array([totals[k][f] for f in part], pa.int64()) for k in (1, 0)]], names=["feature", "t", "c"]
             )
 
-    counted = sample.select("label", "text").mapInArrow(count, "feature string, t long, c long")
+    counted = bounded(sample.select("label", "text")).mapInArrow(count, "feature string, t long, c long")
     counted = counted.groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).filter("t >= 3")
     odds = F.log((F.col("t") + 0.5) / (sizes["t"] + 1.0)) - F.log((F.col("c") + 0.5) / (sizes["c"] + 1.0))
     error = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
@@ -326,13 +326,13 @@ def score_toxicity(
             )
 
     rest = sample.filter(fold == 0).select(F.col("label").cast("bigint").alias("key"), "text")
-    known = rest.mapInArrow(evidence_of, "key long, most double, all double").collect()  # a quarter of the sample at most
+    known = bounded(rest).mapInArrow(evidence_of, "key long, most double, all double").collect()  # a quarter of the sample at most
     x, y = np.array([[r["most"], r["all"]] for r in known]).reshape(-1, 2), np.array([float(r["key"] == 1) for r in known])
     weights = fit_logistic(x, y) if len(y) else np.zeros(3)
     rows = docs.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{text}`").alias("text"))
     line = F.col("most") * float(weights[0]) + F.col("all") * float(weights[1]) + float(weights[2])
     score = 1 / (1 + F.exp(-line))
-    scored = rows.mapInArrow(evidence_of, "key long, most double, all double").withColumn("score", score)
+    scored = bounded(rows).mapInArrow(evidence_of, "key long, most double, all double").withColumn("score", score)
     return scored.select(
         F.col("key").alias(key), held_out(F.col("key")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )

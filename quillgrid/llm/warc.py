@@ -19,6 +19,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgrid.llm.batches import bounded
 from quillgrid.session import materialize, scratch_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -172,7 +173,7 @@ def write_archives(pages: DataFrame, folder: str, key: str, url: str, payload: s
         "warc_bytes",
         F.col("warc_refers").cast("bigint").alias("r"),
     )
-    return materialize(rows.mapInArrow(write, "path string, records long"), "warc-manifest")
+    return materialize(bounded(rows).mapInArrow(write, "path string, records long"), "warc-manifest")
 
 
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:

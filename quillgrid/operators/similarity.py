@@ -17,6 +17,9 @@ Three exact candidate filters, chosen by the length of the longer string:
 
 The first two turn the search into an equi-join on short keys, which Spark
 spreads; the real distance is then computed for the candidates only.
+
+``nearest_one_edit`` makes no pairs at all: values that differ in one place only
+form a group, and each of them needs the group's first few alone.
 """
 
 from __future__ import annotations
@@ -61,10 +64,15 @@ def _short_limit(cutoff: int) -> int:
     return longest
 
 
-def _longest_partner(length: Column, cutoff: int) -> Column:
+def longest_partner(length: Column, cutoff: int) -> Column:
     return F.floor(length * 100 / cutoff).cast("int")
 
 
+def most_edits(length: Column, cutoff: int) -> Column:
+    """Edits between a value of this length and its similar values, at most."""
+    return _edits(longest_partner(length, cutoff), cutoff)
+
+
 def _edits(length: Column, cutoff: int) -> Column:
     return F.floor(length * (100 - cutoff) / 100).cast("int")
 
@@ -106,7 +114,7 @@ def _piece_start(i: Column, length: Column, pieces: Column) -> Column:
 
 def _index_pieces(values: DataFrame, keys: list[str], cutoff: int) -> DataFrame:
     length = F.length("value")
-    edits = _edits(_longest_partner(length, cutoff), cutoff)
+    edits = most_edits(length, cutoff)
     pieces = values.select(
         *keys, "value", length.alias("_m"), (edits + 1).alias("_p"), F.explode(F.sequence(F.lit(0), edits)).alias("_i")
     )
@@ -122,7 +130,7 @@ def _probe_pieces(values: DataFrame, keys: list[str], cutoff: int, limit: int) -
     lengths = values.where(n > limit).select(
         *keys, "value", n.alias("_n"), F.explode(F.sequence(shortest, n)).alias("_m")
     )
-    edits = _edits(_longest_partner(F.col("_m"), cutoff), cutoff)
+    edits = _edits(longest_partner(F.col("_m"), cutoff), cutoff)
     pieces = lengths.select("*", edits.alias("_k"), F.explode(F.sequence(F.lit(0), edits)).alias("_i"))
     start = _piece_start(F.col("_i"), F.col("_m"), F.col("_k") + 1)
     size = _piece_start(F.col("_i") + 1, F.col("_m"), F.col("_k") + 1) - start
@@ -162,10 +170,136 @@ def close_pairs(left: DataFrame, right: DataFrame, cutoff: int, keys: list[str],
     grow into all pairs of the table.
     """
     short = F.length("value") <= CLOSE_LENGTH
-    depth = F.least(_edits(_longest_partner(F.length("value"), cutoff), cutoff), F.lit(edits))
+    depth = F.least(_edits(longest_partner(F.length("value"), cutoff), cutoff), F.lit(edits))
     return _verified(_share_a_deletion(left.where(short), right.where(short), keys, depth), cutoff)
 
 
+def _one_edit_keys(values: DataFrame, keys: list[str], cutoff: int) -> DataFrame:
+    """``_x, _y, _kind, r, n``: a 128-bit hash for each group that a value belongs to.
+
+    ``_kind`` 2: the places of a value, each with what is left without its
+    character, so a group's values differ in that place alone. 1: what is left without any one
+    character. 0: the value itself, in the group of those with one character more.
+    Lengths without a value have no such groups.
+    """
+    value, length = F.col("value"), F.length("value")
+    lengths = materialize(values.select(*keys, length.alias("_l")).distinct(), "lengths")
+    there = lambda shift, name: lengths.select(*[F.col(k).alias(f"{name}_{k}") for k in keys], (F.col("_l") + shift).alias(name))
+    same = lambda name: [F.col(k).eqNullSafe(F.col(f"{name}_{k}")) for k in keys] + [length == F.col(name)]
+    known = values.join(there(1, "_shorter"), same("_shorter"), "left").join(there(-1, "_longer"), same("_longer"), "left")
+    allowed = lambda longer: longer * (100 - cutoff) >= 100
+    group = lambda kind, place, text: F.struct(
+        F.xxhash64(F.lit(1), *keys, place, text).alias("_x"), F.xxhash64(F.lit(2), text, place, *keys).alias("_y"), F.lit(kind).alias("_kind")
+    )
+    without = lambda i: F.concat(F.substring(value, F.lit(1), i - 1), F.substring(value, i + 1, length - i))
+    places, own = F.sequence(F.lit(1), length), F.lit(0)
+    none = F.filter(F.array(group(0, own, value)), lambda _: F.lit(False))
+    groups = F.concat(
+        F.when(allowed(length) & (length < CLOSE_LENGTH), F.transform(places, lambda i: group(2, i, without(i)))).otherwise(none),
+        F.when(
+            allowed(length) & F.col("_shorter").isNotNull(),
+            F.transform(F.array_distinct(F.transform(places, without)), lambda text: group(1, own, text)),
+        ).otherwise(none),
+        F.when(allowed(length + 1) & F.col("_longer").isNotNull(), F.array(group(0, own, value))).otherwise(none),
+    )
+    return known.where((length >= 1) & (length <= CLOSE_LENGTH)).select("r", "n", F.explode(groups).alias("_g")).select("_g.*", "r", "n")
+
+
+def _whole_groups(batches, names: list[str]):
+    """Tables of sorted batches, cut only where the columns ``names`` change."""
+    held = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(c).to_numpy() for c in names]
+        new = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
+        first = held and any(held[-1].column(c)[-1] != batch.column(c)[0] for c in names)
+        cut = int(new[-1]) if len(new) else 0
+        if cut or first:
+            whole = [*held, batch.slice(0, cut)] if cut else held
+            held = []
+            yield pa.Table.from_batches(whole)
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _group_starts(columns: list[np.ndarray]) -> np.ndarray:
+    """Whether a row begins a group."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
+def nearest_one_edit(values: DataFrame, cutoff: int, keys: list[str], most: int) -> DataFrame:
+    """``r, found, best``: how many values, at most ``most``, are similar to a value and one edit apart, and
+    the ``r`` of the most frequent, then longest, then most similar, then first of these and itself.
+
+    ``values`` holds distinct ``(keys..., value)`` with their frequency ``n`` and a
+    number ``r`` that rises from frequent to rare and then from small to large. Where
+    there are more than ``most``, those with one character more go first (they are
+    more similar), then those with the smaller ``r``. Values without such a
+    neighbour are left out. Only those shorter than ``CLOSE_LENGTH`` have all theirs.
+    """
+
+    def meet(batches):
+        for rows in _whole_groups(batches, ["_x", "_y"]):
+            x, y, kind, r, n = (rows.column(c).to_numpy() for c in ("_x", "_y", "_kind", "r", "n"))
+            new = _group_starts([x, y])
+            starts = np.flatnonzero(new)
+            group = np.cumsum(new) - 1
+            start, size = starts[group], np.diff([*starts, len(x)])[group]
+            place = np.arange(len(x)) - start
+            t = np.arange(most)
+            # of the same length: the group's first ones but itself
+            of_place = np.flatnonzero((kind == 2) & (size > 1))
+            a = start[of_place, None] + t + (t >= place[of_place, None])
+            a_fits = t < size[of_place, None] - 1
+            # one character more: they come after the value itself in its group
+            with_own = kind[start] == 0
+            own = np.flatnonzero(with_own & (place == 0) & (size > 1))
+            b = own[:, None] + 1 + t
+            b_fits = t < size[own, None] - 1
+            # one character less
+            less = np.flatnonzero(with_own & (place > 0))
+            at = np.concatenate([of_place, own, less])
+            more = np.repeat(np.array([0, 1, -1], np.int8), [len(of_place), len(own), len(less)])
+            others = np.concatenate([a[a_fits], b[b_fits], start[less]])
+            counts = np.concatenate([a_fits.sum(axis=1), b_fits.sum(axis=1), np.ones(len(less), np.int64)])
+            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(c[others])) for c in (r, n)]
+            yield pa.RecordBatch.from_arrays([pa.array(r[at]), pa.array(n[at]), pa.array(more), *lists], names=["r", "n", "more", "others", "ns"])
+
+    def choose(batches):
+        for rows in _whole_groups(batches, ["r"]):
+            rows = rows.combine_chunks()
+            own_r, own_n, more = (rows.column(c).to_numpy() for c in ("r", "n", "more"))
+            lists = [rows.column(c).chunk(0) for c in ("others", "ns")]
+            others, ns = (c.flatten().to_numpy() for c in lists)
+            line = np.repeat(np.arange(len(own_r)), np.diff(lists[0].offsets.to_numpy()))
+            order = np.lexsort([others, more[line] != 1, own_r[line]])
+            line, others, ns = line[order], others[order], ns[order]
+            new = _group_starts([own_r[line]])
+            starts = np.flatnonzero(new)
+            near = np.arange(len(line)) - starts[np.cumsum(new) - 1] < most
+            line, others, ns = line[near], others[near], ns[near]
+            starts = np.flatnonzero(_group_starts([own_r[line]]))
+            first = line[starts]  # with itself
+            a = np.concatenate([own_r[first], own_r[line]])
+            b, n = np.concatenate([own_r[first], others]), np.concatenate([own_n[first], ns])
+            longer = np.concatenate([np.zeros(len(first), np.int8), more[line]])
+            order = np.lexsort([b, a != b, -longer, -n, a])
+            best = b[order][_group_starts([a[order]])]
+            found = np.diff([*starts, len(line)])
+            yield pa.RecordBatch.from_arrays([pa.array(own_r[first]), pa.array(found, pa.int32()), pa.array(best)], names=["r", "found", "best"])
+
+    rows = _one_edit_keys(values, keys, cutoff)
+    met = rows.repartition("_x").sortWithinPartitions("_x", "_y", "_kind", "r").mapInArrow(
+        meet, "r long, n long, more byte, others array<long>, ns array<long>"
+    )
+    return met.repartition("r").sortWithinPartitions("r").mapInArrow(choose, "r long, found int, best long")
+
+
 def similar_pairs(left: DataFrame, right: DataFrame, cutoff: int, keys: list[str] | None = None) -> DataFrame:
     """``keys, a, b``: all pairs with similarity >= cutoff.
 
@@ -177,7 +311,7 @@ def similar_pairs(left: DataFrame, right: DataFrame, cutoff: int, keys: list[str
     left, right = (side.where(F.length("value") <= LONGEST) for side in (left, right))
     limit = _short_limit(cutoff)
     short = F.length("value") <= limit
-    depth = _edits(F.least(F.lit(limit), _longest_partner(F.length("value"), cutoff)), cutoff)
+    depth = _edits(F.least(F.lit(limit), longest_partner(F.length("value"), cutoff)), cutoff)
     out = _share_a_deletion(left.where(short), right.where(short), keys, depth)
     on = [*keys, "_m", "_i", "_key"]
     for longer, shorter, x, y in ((left, right, "a", "b"), (right, left, "b", "a")):

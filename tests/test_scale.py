@@ -156,6 +156,28 @@ def test_spelling_map_equals_all_pairs(spark, cutoff):
     assert got == spelling_by_hand(counts, cutoff)
 
 
+def test_crowded_values_are_settled_without_pairs(spark, monkeypatch):
+    """Values with enough others one edit apart stand in groups, however the groups fall into batches."""
+
+    def no_pairs(*_):
+        raise AssertionError("pairs of values were made")
+
+    for search in ("close_pairs", "similar_pairs"):
+        monkeypatch.setattr(cleaning, search, no_pairs)
+    counts = {f"Name#{i:04d}": 1 + (i * 7919) % 4 for i in range(90)}
+    counts |= {f"Name#{i:03d}": 2 for i in range(6)} | {f"$1{i}": 1 + i for i in range(8)} | {f"1{i}": 9 - i for i in range(8)} | {"ab": 50, "n/a": 3}
+    df = spark.createDataFrame([(w,) for w, n in counts.items() for _ in range(n)], "v string")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for rows in ("3", "10000"):
+        spark.conf.set(key, rows)
+        try:
+            got = {r["value"]: r["canonical"] for r in cleaning.spelling_map(df, ["v"]).collect()}
+        finally:
+            spark.conf.unset(key)
+        assert got == spelling_by_hand(counts, 80)
+        assert len(got) > 50
+
+
 def _nearest(data, target, row, k):
     """Row ids are positions; nan marks a gap."""
     p = data.shape[1]

@@ -210,6 +210,52 @@ def test_code_points_of_one_symbol_are_told_apart(spark):
         assert found[i]["code_point_perplexity"] == pytest.approx(found[i]["perplexity"] * math.exp(spelled), rel=1e-5)
 
 
+def test_characters_equal_plain_model(spark, docs, monkeypatch):
+    """Every code point a symbol of its own, with case and digits told apart; also where N-grams are looked up part by part."""
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.limit(40).collect()]
+    rows += [(1000 + i, t, lang) for i, (t, lang) in enumerate([("AbC 0123 \0\0 \U0001F600 Привет", None), ("abc 3210", None), ("", "en"), (None, "de")])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = {}
+    for lang in {r[2] for r in rows}:
+        texts = {i: [ord(c) + 1 for c in t] for i, t, x in rows if x == lang and t}
+        plain = plain_kneser_ney(texts.values(), perplexity.ORDER, 0x110001)
+        for i, t in texts.items():
+            padded = [0, 0, 0, *t, 0]
+            logs = [math.log(plain(tuple(padded[k - 3 : k + 1]))) for k in range(3, len(padded))]
+            want[i] = math.exp(-sum(logs) / len(logs))
+    for size in (perplexity.PART_BYTES, 60_000):
+        monkeypatch.setattr(perplexity, "PART_BYTES", size)
+        found = {r["doc_id"]: r["character_perplexity"] for r in perplexity.quality_rules(df).collect()}
+        assert found.keys() == {r[0] for r in rows}
+        assert all(found[i] == pytest.approx(want[i], rel=1e-4) if i in want else found[i] is None for i in found)
+
+
+def test_case_and_digits_are_told_apart(spark):
+    """Texts that only differ in case and digits had one perplexity, and one verdict."""
+    rng = np.random.default_rng(6)
+    words = [a + b for a in ("An", "Be", "Ca", "1", "9") for b in ("na", "rt", "rl", "84", "o")]
+    texts = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(100)]
+    other = texts[7].translate(str.maketrans("ABC1984", "XYZ2705"))
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*texts, other])], "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r for r in perplexity.quality_rules(df).collect()}
+    assert found[7]["perplexity"] == found[100]["perplexity"] and found[7]["character_perplexity"] < found[100]["character_perplexity"]
+    assert found[7]["kept"] and not found[100]["kept"] and not found[100]["base_failed"]
+
+
+def test_many_code_points_are_counted_in_full(spark, monkeypatch):
+    """More code points than a task numbers, in one text and over several; and counts handed over early."""
+    monkeypatch.setattr(perplexity, "_HELD", 1)
+    every = [chr(c) for c in range(1, 0x16000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(every), "".join(every[:40_000]), "".join(every[40_000:]), "aaaa", "aaaa"]
+    df = spark.createDataFrame([(t, "x") for t in texts], "text string, lang string").coalesce(1)
+    got = perplexity.count_grams(df, "text", "lang").filter(F.col("kind") == 2).agg(F.sum("n"), F.count("*"), F.max("n")).first()
+    grams = Counter()
+    for t in texts:
+        points = [0, 0, 0, *map(ord, t), -1]
+        grams.update(tuple(points[k - 3 : k + 1]) for k in range(3, len(points)))
+    assert tuple(got) == (sum(grams.values()), len(grams), max(grams.values()))
+
+
 def test_model_takes_few_stages(spark, docs):
     """The driver keeps plans and generated code of every stage; orders of the model share them."""
     spark.sparkContext.setJobGroup("few-stages", "")
